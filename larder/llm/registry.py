@@ -1,9 +1,12 @@
 """The queries of this subpackage and the SQL of those that SQL can express."""
 
-from larder.llm import mixing
+from larder.llm import mixing, quality, sentence_pieces, token_counts
 
 QUERIES = {
+    "op2_token_counts": token_counts.op2_token_counts,
     "op3_pareto_mix": mixing.op3_pareto_mix,
+    "op6_prefix_table": sentence_pieces.op6_prefix_table,
+    "op10_decision_list": quality.op10_decision_list,
 }
 SQL = {
     "op3_pareto_mix": mixing.OP3_SQL,
