@@ -102,9 +102,9 @@ def mix(docs: DataFrame, *, sizes: DataFrame | None = None, weights: tuple[int,
     bins = _ranked(_with_plan(sizes, plan, n)).groupBy("_key", "_bin").agg(F.sum("size").alias("_words"))
     upto = Window.partitionBy("_key").orderBy("_bin")
     ends = (
-        _with_plan(bins, plan.select("_key", "_left"), n)
+        _with_plan(bins, plan.select("_key", "_p", "_left"), n)
         .withColumn("_after", F.sum("_words").over(upto))
-        .filter(F.col("_after") > F.col("_left"))
+        .filter((F.col("_p") > 0) & (F.col("_after") > F.col("_left")))
         .groupBy("_key")
         .agg(F.min_by(F.struct("_bin", (F.col("_after") - F.col("_words")).alias("_before")), "_bin").alias("_end"))
     )
