@@ -1,8 +1,9 @@
 """The queries of this subpackage and the SQL of those that SQL can express."""
 
-from larder.llm import mixing, quality, sentence_pieces, token_counts, token_files
+from larder.llm import mixing, quality, sentence_pieces, token_counts, token_files, toxicity
 
 QUERIES = {
+    "op1_toxicity_grammar": toxicity.op1_toxicity_grammar,
     "op2_token_counts": token_counts.op2_token_counts,
     "op3_pareto_mix": mixing.op3_pareto_mix,
     "op6_prefix_table": sentence_pieces.op6_prefix_table,
