@@ -1,11 +1,12 @@
 """The queries of this subpackage and the SQL of those that SQL can express."""
 
-from larder.llm import mixing, quality, sentence_pieces, token_counts, token_files, toxicity
+from larder.llm import mixing, ngram_join, quality, sentence_pieces, token_counts, token_files, toxicity
 
 QUERIES = {
     "op1_toxicity_grammar": toxicity.op1_toxicity_grammar,
     "op2_token_counts": token_counts.op2_token_counts,
     "op3_pareto_mix": mixing.op3_pareto_mix,
+    "op4_signature_tree": ngram_join.op4_signature_tree,
     "op6_prefix_table": sentence_pieces.op6_prefix_table,
     "op7_token_files": token_files.op7_token_files,
     "op10_decision_list": quality.op10_decision_list,
