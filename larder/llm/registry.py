@@ -1,6 +1,6 @@
 """The queries of this subpackage and the SQL of those that SQL can express."""
 
-from larder.llm import mixing, ngram_join, quality, sentence_pieces, token_counts, token_files, toxicity
+from larder.llm import mixing, ngram_join, quality, sentence_pieces, token_counts, token_files, top_k, toxicity
 
 QUERIES = {
     "op1_toxicity_grammar": toxicity.op1_toxicity_grammar,
@@ -9,8 +9,10 @@ QUERIES = {
     "op4_signature_tree": ngram_join.op4_signature_tree,
     "op6_prefix_table": sentence_pieces.op6_prefix_table,
     "op7_token_files": token_files.op7_token_files,
+    "op8_branch_and_bound": top_k.op8_branch_and_bound,
     "op10_decision_list": quality.op10_decision_list,
 }
 SQL = {
     "op3_pareto_mix": mixing.OP3_SQL,
+    "op8_branch_and_bound": top_k.OP8_SQL,
 }
