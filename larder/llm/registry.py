@@ -1,6 +1,6 @@
 """The queries of this subpackage and the SQL of those that SQL can express."""
 
-from larder.llm import mixing, ngram_join, quality, sentence_pieces, token_counts, token_files, top_k, toxicity
+from larder.llm import chat_roles, mixing, ngram_join, quality, sentence_pieces, token_counts, token_files, top_k, toxicity
 
 QUERIES = {
     "op1_toxicity_grammar": toxicity.op1_toxicity_grammar,
@@ -10,6 +10,7 @@ QUERIES = {
     "op6_prefix_table": sentence_pieces.op6_prefix_table,
     "op7_token_files": token_files.op7_token_files,
     "op8_branch_and_bound": top_k.op8_branch_and_bound,
+    "op9_role_repair": chat_roles.op9_role_repair,
     "op10_decision_list": quality.op10_decision_list,
 }
 SQL = {
