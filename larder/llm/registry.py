@@ -1,12 +1,13 @@
 """The queries of this subpackage and the SQL of those that SQL can express."""
 
-from larder.llm import chat_roles, mixing, ngram_join, quality, sentence_pieces, token_counts, token_files, top_k, toxicity
+from larder.llm import chat_roles, mixing, ngram_join, quality, repeats, sentence_pieces, token_counts, token_files, top_k, toxicity
 
 QUERIES = {
     "op1_toxicity_grammar": toxicity.op1_toxicity_grammar,
     "op2_token_counts": token_counts.op2_token_counts,
     "op3_pareto_mix": mixing.op3_pareto_mix,
     "op4_signature_tree": ngram_join.op4_signature_tree,
+    "op5_column_suffix_order": repeats.op5_column_suffix_order,
     "op6_prefix_table": sentence_pieces.op6_prefix_table,
     "op7_token_files": token_files.op7_token_files,
     "op8_branch_and_bound": top_k.op8_branch_and_bound,
