@@ -1,41 +1,8 @@
-"""All queries over the star-schema tables, by name, with the SQL that gives the same rows."""
+"""All queries over the given tables."""
 
-from __future__ import annotations
+from larder.plans import curation, functions, relational, rules
+from larder.plans.base import QUERIES, SQL
 
-from collections.abc import Callable
+flagship = relational.recipes_per_ingredient
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-
-
-def query(name: str, sql: str | None = None):
-    """Registers the decorated function, and its SQL if there is one."""
-
-    def keep(function: Callable[[SparkSession, str], DataFrame]):
-        QUERIES[name] = function
-        if sql:
-            SQL[name] = sql
-        return function
-
-    return keep
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Merge ingredients by name, rewrite and deduplicate recipe lines, count recipes."""
-    part, lines = table(spark, sf_dir, "part"), table(spark, sf_dir, "lineitem")
-    keep = part.filter(F.col("p_name") != "").groupBy("p_name").agg(F.min("p_partkey").alias("keep_id"))
-    merge_map = part.join(keep, "p_name").select("p_partkey", "keep_id", "p_name")
-    return (
-        lines.join(merge_map, lines.l_partkey == merge_map.p_partkey)
-        .select("l_orderkey", "keep_id", "p_name")
-        .distinct()
-        .groupBy("keep_id", "p_name")
-        .agg(F.count(F.lit(1)).alias("n_recipes"))
-    )
+__all__ = ["QUERIES", "SQL", "curation", "flagship", "functions", "relational", "rules"]
