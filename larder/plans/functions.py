@@ -1 +1,130 @@
-"""Queries."""
+"""Queries of column functions."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from larder.functions import ingredients, text
+from larder.operators import similarity
+from larder.plans.base import query, table
+
+
+@query("f01", "SELECT page_id, substr(sha1(coalesce(substr(html, 1, 40), '') || '|' || coalesce(url, '') || '|'), 1, 32) AS source_key FROM pages")
+def f01(spark, d):
+    return table(spark, d, "pages").select("page_id", text.source_key(F.substring("html", 1, 40), "url", F.lit(None).cast("string")).alias("source_key"))
+
+
+@query("f02", "SELECT p_partkey, translate(lower(trim(p_type)), '- ', '__') AS label FROM part")
+def f02(spark, d):
+    return table(spark, d, "part").select("p_partkey", text.label("p_type").alias("label"))
+
+
+@query("f03", "SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN 'ing_' || lpad(CAST(p_partkey AS VARCHAR), 5, '0') ELSE 'x_' || p_partkey END AS class_key, CASE WHEN p_size % 2 = 0 THEN p_partkey END AS class_id FROM part")
+def f03(spark, d):
+    raw = F.when(F.col("p_size") % 2 == 0, F.concat(F.lit("ING_"), F.col("p_partkey").cast("string"))).otherwise(F.concat(F.lit("x_"), F.col("p_partkey").cast("string")))
+    return table(spark, d, "part").withColumn("raw", raw).select("p_partkey", text.class_key("raw").alias("class_key"), text.class_id("raw").alias("class_id"))
+
+
+@query("f13", "SELECT p_partkey, p_name || ' / ' || p_name || ' bottle / ' || p_name || ' fresh' AS queries FROM part")
+def f13(spark, d):
+    return table(spark, d, "part").select("p_partkey", F.array_join(text.queries_for("p_name", [" bottle", " fresh"]), " / ").alias("queries"))
+
+
+@query("f14", """
+SELECT doc_id, CASE WHEN k > 1 THEN source || '_' || lang || '_' || (k - 1) || '.txt' ELSE source || '_' || lang || '.txt' END AS file
+FROM (SELECT *, row_number() OVER (PARTITION BY source, lang ORDER BY doc_id) AS k FROM documents)""")
+def f14(spark, d):
+    from larder.operators.datasets import collision_safe
+
+    docs = table(spark, d, "documents").select("doc_id", F.concat_ws("_", "source", "lang").alias("stem"))
+    return collision_safe(docs, "stem", ".txt", ["doc_id"]).select("doc_id", "file")
+
+
+@query("f16", "SELECT page_id, split_part(url || '#top', '#', 1) AS url FROM pages")
+def f16(spark, d):
+    return table(spark, d, "pages").select("page_id", text.without_fragment(F.concat("url", F.lit("#top"))).alias("url"))
+
+
+@query("f17", "SELECT p_partkey, array_to_string(list_transform(string_split(p_name || ' , ' || p_type, ','), lambda x: trim(x)), '|') AS aliases FROM part")
+def f17(spark, d):
+    return table(spark, d, "part").select("p_partkey", F.array_join(text.alias_list(F.concat_ws(" , ", "p_name", "p_type")), "|").alias("aliases"))
+
+
+@query("f18", "SELECT p_partkey, '식재료: ' || p_name || CASE WHEN p_size > 25 THEN '. 원문: ' || p_type ELSE '' END AS text FROM part")
+def f18(spark, d):
+    part = table(spark, d, "part").withColumn("original", F.when(F.col("p_size") > 25, F.col("p_type")).otherwise(F.col("p_name")))
+    return part.select("p_partkey", text.embedding_text("p_name", "original").alias("text"))
+
+
+@query("f23", """
+SELECT a.vec_id AS left_id, b.vec_id AS right_id, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 4) AS similarity
+FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1""")
+def f23(spark, d):
+    e = table(spark, d, "embeddings")
+    right = e.select(F.col("vec_id").alias("right_id"), F.col("embedding").alias("other"))
+    pairs = e.join(right, F.col("right_id") == F.col("vec_id") + 1)
+    return pairs.select(F.col("vec_id").alias("left_id"), "right_id", F.round(similarity.cosine("embedding", "other"), 4).alias("similarity"))
+
+
+@query("f24", "SELECT vec_id, round(sqrt(list_inner_product(v, v)), 6) AS norm FROM (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE) / sqrt(list_inner_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[])))) AS v FROM embeddings)")
+def f24(spark, d):
+    return table(spark, d, "embeddings").withColumn("v", similarity.unit("embedding")).select("vec_id", F.round(F.sqrt(similarity.dot(F.col("v"), F.col("v"))), 6).alias("norm"))
+
+
+@query("f43", r"SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS text FROM documents")
+def f43(spark, d):
+    return table(spark, d, "documents").select("doc_id", text.collapsed("text").alias("text"))
+
+
+@query("f46", r"SELECT doc_id, round(CASE WHEN length(text) = 0 THEN 1.0 ELSE 1.0 - length(regexp_replace(text, '[^\p{L}]', '', 'g')) / length(text) END, 6) AS ratio FROM documents")
+def f46(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.round(text.non_letter_ratio("text"), 6).alias("ratio"))
+
+
+@query("p12", "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'u' || user_id ELSE CAST(user_id AS VARCHAR) END AS user_key FROM events")
+def p12(spark, d):
+    raw = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("u"), F.col("user_id").cast("string"))).otherwise(F.concat(F.lit("00"), F.col("user_id").cast("string")))
+    return table(spark, d, "events").select("event_id", text.user_key(raw).alias("user_key"))
+
+
+@query("p05", "SELECT event_id, CASE WHEN event_id % 4 <> 0 THEN user_id END AS id FROM events")
+def p05(spark, d):
+    raw = F.when(F.col("event_id") % 4 == 0, F.lit("x1")).otherwise(F.col("user_id").cast("string"))
+    return table(spark, d, "events").select("event_id", text.digits_id(raw).alias("id"))
+
+
+@query("p01", "SELECT p_partkey, coalesce(nullif(trim(CASE WHEN p_size > 30 THEN '  ' ELSE p_name END), ''), nullif(trim(p_type), ''), 'none') AS name FROM part")
+def p01(spark, d):
+    blank = F.when(F.col("p_size") > 30, F.lit("  ")).otherwise(F.col("p_name"))
+    return table(spark, d, "part").select("p_partkey", text.first_filled([blank, "p_type"], "none").alias("name"))
+
+
+@query("t08", "SELECT p_partkey, CASE WHEN length(p_name) <= length(p_brand || ' ' || p_brand) OR length(string_split(p_name, ' ')) < 2 THEN p_name ELSE p_brand || ' ' || p_brand END AS first FROM part WHERE length(string_split(p_name, ' ')) <= 2")
+def t08(spark, d):
+    part = table(spark, d, "part").filter(F.size(F.split("p_name", " ")) <= 2)
+    return part.select("p_partkey", text.short_first(F.array("p_name", F.concat_ws(" ", "p_brand", "p_brand")))[0].alias("first"))
+
+
+@query("f08", "SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN '후춧가루' WHEN 1 THEN '소금' WHEN 2 THEN '초고추장' ELSE p_name END AS name FROM part")
+def f08(spark, d):
+    k = F.col("p_partkey") % 4
+    raw = F.when(k == 0, F.lit(" 후추가루\n국산")).when(k == 1, F.lit("굵은 소금")).when(k == 2, F.lit("초고추장")).otherwise(F.lit(None))
+    part = table(spark, d, "part").withColumn("raw", raw)
+    return ingredients.normalized(part, "raw", "name").select("p_partkey", F.coalesce("name", "p_name").alias("name"))
+
+
+@query("j07", """
+SELECT a.vec_id AS left_id, b.vec_id AS right_id, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 4) AS similarity
+FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id WHERE list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) >= 0.3""")
+def j07(spark, d):
+    pairs = similarity.similar_pairs(table(spark, d, "embeddings"), "vec_id", "embedding", 0.3)
+    return pairs.select("left_id", "right_id", F.round("similarity", 4).alias("similarity"))
+
+
+@query("c04", """
+SELECT a.vec_id AS left_id, 'label' || a.label AS left_name, b.vec_id AS right_id, 'label' || b.label AS right_name,
+       round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 4) AS similarity, '' AS suggested_name, '' AS approved, '' AS memo
+FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id AND a.label <> b.label WHERE list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) >= 0.3""")
+def c04(spark, d):
+    e = table(spark, d, "embeddings").withColumn("name", F.concat(F.lit("label"), F.col("label").cast("string")))
+    return similarity.suggest_merges(e, "vec_id", "name", e, "embedding", threshold=0.3)
