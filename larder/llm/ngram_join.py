@@ -34,6 +34,7 @@ from larder.llm.components import components
 
 BITS = 1024
 BLOCK = 1024
+CHECK_BLOCK = 256
 FIRST_HASHES = 3
 LEAF, FAN = 8, 4
 #: Buckets left for the second round are joined by broadcast up to this number (20 bytes each), by a shuffle beyond.
@@ -235,22 +236,38 @@ def candidates(cells: DataFrame, *, spanning: bool, num: int, den: int) -> DataF
 
 
 def linked(pairs: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) whose texts reach the threshold, checked exactly; texts has a text for each class."""
+    """The pairs (a, b) whose texts reach the threshold, checked exactly; texts has a text for each class.
+
+    Pairs are dealt out by the connected group of candidates that they are in and by blocks of its classes, so that a text
+    travels once for each pair of blocks and not for each pair of texts.
+    """
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: tuple[int | None, np.ndarray] = (None, np.empty(0, np.uint64))
+        cell, sets = None, {}
         for batch in batches:
+            keys = zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True)
             keep = []
-            for a, s, t in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                if held[0] != a:
-                    held = (a, shingle_set(s, k))
-                u, v = held[1], shingle_set(t, k)
-                common = len(u) + len(v) - len(np.union1d(u, v))
+            for key, a, b, text in zip(keys, batch.column(3).to_pylist(), batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True):
+                if key != cell:
+                    cell, sets = key, {}
+                if b is None:
+                    sets[a] = shingle_set(text, k)
+                    keep.append(False)
+                    continue
+                u, v = sorted((sets[a], sets[b]), key=len)
+                at = np.minimum(np.searchsorted(v, u), len(v) - 1)
+                common = int(np.count_nonzero(v[at] == u))
                 keep.append(den * common >= num * (len(u) + len(v) - common))
             yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
 
-    both = pairs.join(texts.withColumnsRenamed({"cls": "a", "text": "s"}), "a").join(texts.withColumnsRenamed({"cls": "b", "text": "t"}), "b")
-    return both.select("a", "b", "s", "t").mapInArrow(rows, "a long, b long")
+    groups = written(components(pairs), "jaccard-groups")
+    sizes = groups.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / CHECK_BLOCK).alias("blocks"))
+    placed = groups.join(sizes, "root").select("node", "root", F.pmod(F.xxhash64("node"), F.col("blocks")).alias("block"))
+    cells = pairs.join(placed.select(F.col("node").alias("a"), "root", F.col("block").alias("p")), "a").join(placed.select(F.col("node").alias("b"), F.col("block").alias("q")), "b")
+    cells = written(cells.select("root", F.least("p", "q").alias("x"), F.greatest("p", "q").alias("y"), "a", "b"), "jaccard-cells")
+    members = cells.select("root", "x", "y", F.explode(F.array("a", "b")).alias("cls")).distinct().join(texts, "cls")
+    both = members.select("root", "x", "y", F.col("cls").alias("a"), F.lit(None).cast("long").alias("b"), "text").unionByName(cells.withColumn("text", F.lit(None).cast("string")))
+    return both.repartition("root", "x", "y").sortWithinPartitions("root", "x", "y", F.asc_nulls_first("b")).mapInArrow(rows, "a long, b long")
 
 
 def cells_of(rows: DataFrame, buckets: DataFrame, few: bool) -> DataFrame:
@@ -292,8 +309,10 @@ def jaccard_components(docs: DataFrame, *, k: int = 5, num: int = 4, den: int =
 
     def texts_for(pairs: DataFrame) -> DataFrame:
         wanted = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
-        wanted = classes.select("cls", F.col("doc_id").alias("id"), "text_hash").join(wanted, "cls", "left_semi")
+        wanted = written(classes.select("cls", F.col("doc_id").alias("id"), "text_hash").join(wanted, "cls", "left_semi"), "jaccard-wanted")
         rows = docs.select(F.col(doc_id).alias("id2"), or_empty(text).alias("text")).withColumn("text_hash2", F.xxhash64("text"))
+        # 24 bytes for each class that is in question; beyond that many the texts are dealt out.
+        wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_BUCKETS else wanted
         found = rows.join(wanted, (F.col("text_hash2") == F.col("text_hash")) & F.col("id").eqNullSafe(F.col("id2")))
         return written(found.select("cls", "text").dropDuplicates(["cls"]), "jaccard-texts")
 
