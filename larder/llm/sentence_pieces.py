@@ -25,6 +25,7 @@ import re
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -58,7 +59,7 @@ class PrefixTable:
             self.rank[i] = k
         self.parts: dict[int, tuple[int, int]] = {}
         self.known: dict[int, bool] = {}
-        self.units: dict[str, tuple[str, str, int]] = {}
+        self.units: dict[str, tuple[str, str, int, bytes]] = {}
         usable = [p for p in self.id if len(p) == 1 or self._merges_to(p)]
         self.automaton = ahocorasick.Automaton()
         for p in usable:
@@ -134,9 +135,9 @@ class PrefixTable:
                 k -= len(self.text[token])
         return out[::-1]
 
-    def _unit(self, unit: str) -> tuple[str, str, int]:
+    def _unit(self, unit: str) -> tuple[str, str, int, bytes]:
         ids = self.encode_unit(unit)
-        row = (",".join(map(str, ids)), b"".join([self.decoded[i] for i in ids]).decode(errors="replace"), len(ids))
+        row = (",".join(map(str, ids)), b"".join([self.decoded[i] for i in ids]).decode(errors="replace"), len(ids), np.array(ids, np.int32).tobytes())
         if len(unit) <= LONGEST_REMEMBERED:
             if len(self.units) >= REMEMBERED:
                 self.units.clear()
@@ -150,12 +151,12 @@ class PrefixTable:
         marked = SPACE + text.replace(" ", SPACE)
         return re.findall(f"{SPACE}*[^{SPACE}]+|{SPACE}+", marked)
 
-    def rows(self, text: str) -> list[tuple[str, str, int]]:
+    def rows(self, text: str) -> list[tuple[str, str, int, bytes]]:
         units = self.units
         return [units.get(u) or self._unit(u) for u in self.split(text)]
 
     def encode(self, text: str) -> list[int]:
-        return [int(i) for row in self.rows(text) for i in row[0].split(",")]
+        return np.frombuffer(b"".join([row[3] for row in self.rows(text)]), np.int32).tolist()
 
     def decode(self, ids: list[int]) -> str:
         return b"".join([self.decoded[i] for i in ids]).decode(errors="replace").removeprefix(" ")
@@ -185,8 +186,11 @@ def encode_decode(docs: DataFrame, model: str, *, text: str = "text", doc_id: st
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = table(model)
         for batch in batches:
-            ids = [tool.encode(t) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in ids], pa.int64()), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "n_tokens", "ids"])
+            ids = [b"".join([row[3] for row in tool.rows(t)]) for t in batch.column(1).to_pylist()]
+            sizes = np.array([len(x) // 4 for x in ids], np.int64)
+            offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
+            lists = pa.ListArray.from_arrays(offsets, pa.array(np.frombuffer(b"".join(ids), np.int32)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes), lists], ["doc_id", "n_tokens", "ids"])
 
     rows = docs.select(F.col(doc_id).alias("doc_id"), or_empty(text).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
