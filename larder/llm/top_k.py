@@ -73,14 +73,14 @@ def search_cell(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, col
     """(query id, candidate ids, scores) of the best k of each query; columns has a row for each dimension."""
     dimensions, n = columns.shape
     exact = columns.astype(np.float64)  # sums stay below 2^53
-    squares = exact * exact
+    lengths = np.einsum("ij,ij->j", exact, exact)
     for query_id, query in zip(query_ids.tolist(), queries.astype(np.float64), strict=True):
         order = np.argsort(-np.abs(query), kind="stable")
         alive = np.flatnonzero(ids != query_id)
-        score, rest = np.zeros(len(alive)), squares.sum(0)[alive]
+        score, rest = np.zeros(len(alive)), lengths[alive]
         for at in range(0, dimensions, DIMENSIONS):
             block = order[at : at + DIMENSIONS]
-            part = exact[block] if len(alive) == n else exact[block][:, alive]
+            part = exact[block] if len(alive) == n else exact[block[:, None], alive]
             score += query[block] @ part
             rest -= np.einsum("ij,ij->j", part, part)
             if len(alive) <= k or at + DIMENSIONS >= dimensions:
@@ -90,7 +90,7 @@ def search_cell(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, col
             bound = length * np.sqrt(np.maximum(rest, 0.0)) + 1e-6
             # Full scores of the most promising candidates give the score to beat.
             best = np.argpartition(score, len(score) - k)[-k:]
-            beat = (score[best] + query[later] @ exact[later][:, alive[best]]).min()
+            beat = (score[best] + query[later] @ exact[later[:, None], alive[best]]).min()
             keep = score + bound >= beat
             alive, score, rest = alive[keep], score[keep], rest[keep]
         top = np.lexsort((ids[alive], -score))[:k]
