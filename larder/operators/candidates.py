@@ -175,3 +175,30 @@ def verified_folders(manifest: DataFrame, labels: DataFrame) -> DataFrame:
     joined = rows.join(labels.select("normalized_name", F.col("key").alias("_class")), "normalized_name", "left")
     fail = F.raise_error(F.concat(F.lit("unknown name "), F.col("normalized_name")))
     return joined.withColumn("class", F.coalesce("_class", fail)).drop("_class")
+
+
+def route_classes(files: DataFrame, path: str, mapping: DataFrame) -> DataFrame:
+    """the route class of each file by its deepest known folder; mapping (folder, value) holds folders and route classes."""
+    return source_class(files, path, mapping.withColumn("folder", label("folder"))).withColumnRenamed("value", "route_class").filter("route_class is not null")
+
+
+def recognize(routes: DataFrame, direct: DataFrame, raw: DataFrame, ocr: DataFrame, *, k: int = 3) -> DataFrame:
+    """C11: one row for each image with its stage, final route, candidates by confidence, review flag and anomaly.
+
+    routes: image, answer (JSON in either layout). direct, raw, ocr: image, candidates (arrays of display_name, normalized_name, category,
+    confidence, ingredient_id, uncertain). k from 1 to 10 may be asked for; at most 3 candidates are given.
+    """
+    from larder.operators.recognition import anomaly, by_confidence
+
+    if not 1 <= k <= 10:
+        raise ValueError("k must be from 1 to 10")
+    rows = routes.select("image", route_fields("answer").alias("r"))
+    kind = next(f.dataType for f in raw.schema.fields if f.name == "candidates")
+    for name, df in (("direct", direct), ("raw", raw), ("ocr", ocr)):
+        rows = rows.join(df.select("image", F.col("candidates").alias(name)), "image", "left").withColumn(name, F.coalesce(name, F.array().cast(kind)))
+    rows = rows.withColumn("s", stage(F.col("r.route"), "ocr", "raw", "direct")).withColumn("candidates", F.slice(by_confidence(F.col("s.candidates")), 1, min(k, 3)))
+    first = F.get("candidates", F.lit(0))
+    review = F.col("r.needs_review") | (F.size("candidates") == 0) | F.coalesce(first["uncertain"], F.lit(False))
+    rows = rows.withColumn("needs_review", review)
+    judged = anomaly(F.col("r.confidence"), F.col("r.needs_review"), first["confidence"], F.size("candidates"), F.col("s.stage"), F.col("needs_review"))
+    return rows.select("image", "s.stage", "s.route", "candidates", "needs_review", judged.alias("anomaly"))

@@ -58,3 +58,15 @@ def nearest(recipes: DataFrame, targets: DataFrame, recipe_id: str, k: int = 3)
     scored = rows.select(recipe_id, F.col("_meal.meal").alias("meal"), distance({n: F.col(n) for n in names}, {n: F.col(f"_meal.{n}") for n in names}).alias("score"))
     order = Window.partitionBy("meal").orderBy("score", recipe_id)
     return scored.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= k)
+
+
+def menu_lines(recipes: DataFrame, title: str, order: str, group: Column | None = None) -> DataFrame:
+    """one line for each recipe with its nutrients (unknown ones as 0), and the lines of a group (of bounded size) in order as one text."""
+    value = lambda n: F.coalesce(F.col(n), F.lit(0)).cast("string")
+    line = F.concat(
+        F.lit("- "), F.col(title), F.lit(" (칼로리: "), value("calories"), F.lit("kcal, 탄수화물: "), value("carbs"), F.lit("g, 단백질: "), value("protein"), F.lit("g, 지방: "), value("fat"),
+        F.lit("g, 당류: "), value("sugar"), F.lit("g, 나트륨: "), value("sodium"), F.lit("mg, 콜레스테롤: "), value("cholesterol"), F.lit("mg)"),
+    )
+    key = F.lit(0) if group is None else group
+    lines = recipes.groupBy(key.alias("menu")).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("at"), line.alias("line")))).alias("lines"))
+    return lines.select("menu", F.array_join(F.transform("lines", lambda x: x["line"]), "\n").alias("text"))

@@ -78,3 +78,25 @@ def c10(spark, d):
     confidence = F.when(size % 3 == 2, F.lit('"high"')).otherwise((size / 100.0).cast("string"))
     answer = F.concat(F.lit('x {"tags":[{"tagType":"style","tagCode":"spicy","confidence":'), confidence, F.lit('},{"tagType":"COOKING_TYPE","tagCode":"SOUP"},{"tagType":"STYLE","tagCode":"odd"}]} y'))
     return classify.recipe_tags(table(spark, d, "part").select("p_partkey", title.alias("title"), answer.alias("answer")), "p_partkey", "title", "answer")
+
+
+MENU = "'- ' || p_name || ' (칼로리: ' || p_size || 'kcal, 탄수화물: ' || p_size || 'g, 단백질: 0g, 지방: ' || p_size || 'g, 당류: ' || p_size || 'g, 나트륨: ' || p_size || 'mg, 콜레스테롤: ' || p_size || 'mg)'"
+
+
+@query("f19", f"SELECT p_brand AS menu, string_agg({MENU}, chr(10) ORDER BY p_partkey) AS text FROM part GROUP BY p_brand")
+def f19(spark, d):
+    part = table(spark, d, "part")
+    recipes = part.select("p_partkey", "p_name", "p_brand", *[F.col("p_size").alias(n) for n in nutrition.DEFAULTS if n != "protein"], F.lit(None).cast("int").alias("protein"))
+    return nutrition.menu_lines(recipes, "p_name", "p_partkey", F.col("p_brand"))
+
+
+@query("f15", "SELECT event_id, CAST(ts AS DATE) >= DATE '2024-01-01' AS month, CAST(ts AS DATE) >= DATE '2024-01-24' AS week FROM events")
+def f15(spark, d):
+    day = F.to_date("ts")
+    return table(spark, d, "events").select("event_id", *[(day >= F.date_sub(F.lit("2024-01-31").cast("date"), n)).alias(name) for name, n in (("month", 30), ("week", 7))])
+
+
+@query("f34", "SELECT p_partkey, p_size % 3 = 0 AS optional FROM part")
+def f34(spark, d):
+    name = F.when(F.col("p_size") % 3 == 0, F.concat("p_name", F.lit("쪽파"))).otherwise(F.col("p_name"))
+    return table(spark, d, "part").select("p_partkey", classify.is_optional(name).alias("optional"))

@@ -71,3 +71,29 @@ def label_json(df: DataFrame, key: str, fields: list[str]) -> DataFrame:
     """One row, the JSON object of a label table of bounded size (one entry for each class), keys in order."""
     entry = F.struct(F.col(key).alias("key"), F.struct(*fields).alias("value"))
     return df.agg(F.to_json(F.map_from_entries(F.sort_array(F.collect_list(entry)))).alias("value"))
+
+
+def reference_names(spark: SparkSession, path: str, field: str = "names") -> DataFrame:
+    """The array of names of a JSON file as rows, in order."""
+    parsed = spark.read.text(path, wholetext=True).select(F.from_json("value", f"struct<{field}:array<string>>")[field].alias("names"))
+    return parsed.select(F.posexplode("names").alias("place", "name")).filter("name is not null")
+
+
+def remap_entries(spark: SparkSession, path: str, field: str = "remap") -> DataFrame:
+    """Old and new class key of each entry of a JSON map whose target is a class key; both spellings of old keys stand for themselves."""
+    from larder.functions.text import class_key, label
+
+    parsed = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", f"struct<{field}:map<string,string>>")[field]).alias("old", "new"))
+    rows = parsed.withColumn("new", class_key(F.trim("new"))).filter(F.col("new").rlike(r"^ing_\d{5,}$"))
+    return rows.select(F.explode(F.array_distinct(F.array(label("old"), class_key("old")))).alias("old"), "new")
+
+
+def grouped_maps(spark: SparkSession, path: str, groups: list[str]) -> DataFrame:
+    """Group, folder and name of the maps of a JSON object of maps (also exact and prefix maps)."""
+    kind = "struct<" + ",".join(f"{g}:map<string,string>" for g in groups) + ">"
+    parsed = spark.read.text(path, wholetext=True).select(F.from_json("value", kind).alias("v"))
+    rows = [parsed.select(F.lit(g).alias("group"), F.explode(F.col("v")[g]).alias("folder", "name")) for g in groups]
+    out = rows[0]
+    for more in rows[1:]:
+        out = out.unionByName(more)
+    return out.filter(F.trim("name") != "")
