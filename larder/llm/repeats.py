@@ -5,7 +5,8 @@ ones meet: each belongs to the bucket of the smallest hash among its ``gram``-by
 follow one another in a bucket form one segment of bounded size. Buckets that get one segment hold nothing repeated, so
 only segments of the others move; equal texts count once and are known to repeat.
 
-In a bucket the suffix order of all segments is built by columns: each round puts one more symbol before every segment
+In a bucket, starts whose string has a hash of its own are cut away, and parts of segments that are equal as wholes repeat. In
+buckets where other parts are left, the suffix order of all parts is built by columns: each round puts one more symbol before every segment
 and inserts the new suffixes into the collection's Burrows-Wheeler transform, at the places that its last-to-first
 mapping gives; the common prefixes of new neighbours are one more than the least between the old ones. Afterwards a string
 repeats if the suffix that starts with it shares ``length`` symbols with a neighbour. Collections are bounded blocks of whole
@@ -33,7 +34,7 @@ from larder.llm.common import documents, or_empty, small_batches, written
 
 LENGTH, GRAM = 400, 32
 LARGEST_BUCKET = 500
-BLOCK_BYTES = 64_000
+BLOCK_BYTES, COLUMN_BYTES = 2_000_000, 48_000
 _FACTOR = 0x9E3779B97F4A7C15
 _TABLE = np.random.default_rng(5).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -77,29 +78,39 @@ def sliding_least(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(right[:n], left[width - 1 : width - 1 + n])
 
 
-def segments(data: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Bucket, first start and number of starts of each segment of a text, and whether one string could stand in it twice."""
-    if len(data) < length:
-        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, bool)
+def segments(texts: list[bytes], length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Text, bucket, first start and number of starts of each segment, and whether one string could stand in it twice."""
+    sizes = np.array([len(t) for t in texts], np.int64)
+    ends = np.cumsum(sizes)
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    if not (sizes >= length).any():
+        return (*[np.empty(0, np.int64)] * 4, np.empty(0, bool))
     width = length - gram + 1
     hashes = rolling(data, gram)
     least = sliding_least(hashes, width)
-    cut = np.flatnonzero(least[1:] != least[:-1]) + 1
-    begin = np.concatenate([[0], cut])
-    count = np.diff(np.concatenate([begin, [len(least)]]))
-    if (count > width).any():  # one bucket all along, as in periodic texts
-        parts = -(-count // width)
-        within = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
-        begin, count = np.repeat(begin, parts) + within * width, np.minimum(np.repeat(count, parts) - within * width, width)
+    # Starts whose string stays inside its text; runs of one bucket break where that ends and where the bucket changes.
+    inside = np.zeros(len(least) + 1, np.int64)
+    long = sizes >= length
+    np.add.at(inside, (ends - sizes)[long], 1)
+    np.add.at(inside, np.minimum((ends - length + 1)[long], len(least)), -1)
+    inside = np.cumsum(inside)[:-1] > 0
+    new = np.ones(len(least), bool)
+    new[1:] = (least[1:] != least[:-1]) | ~inside[:-1]
+    new[np.minimum((ends - sizes)[long], len(least) - 1)] = True
+    begin = np.flatnonzero(new & inside)
+    stop = np.flatnonzero(np.concatenate([new | ~inside, [True]]))
+    count = stop[np.searchsorted(stop, begin, "right")] - begin
+    parts = -(-count // width)  # several where one bucket goes on, as in periodic texts
+    within = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
+    begin, count = np.repeat(begin, parts) + within * width, np.minimum(np.repeat(count, parts) - within * width, width)
     bucket = least[begin]
-    values = np.unique(bucket)
-    places = np.flatnonzero(np.isin(hashes, values))
-    twice = np.zeros(len(begin), bool)
-    if len(places) > len(values):
-        for i, (v, b, c) in enumerate(zip(bucket, begin, count, strict=True)):
-            near = places[np.searchsorted(places, b) : np.searchsorted(places, b + c + width - 1)]
-            twice[i] = np.count_nonzero(hashes[near] == v) > 1
-    return bucket.view(np.int64), begin, count, twice
+    reach = count + width - 1
+    first = np.cumsum(reach) - reach
+    at = np.repeat(begin - first, reach) + np.arange(reach.sum())
+    same = hashes[at] == np.repeat(bucket, reach)
+    twice = np.add.reduceat(same.astype(np.int64), first) > 1 if len(begin) else np.empty(0, bool)
+    text = np.searchsorted(ends, begin, "right")
+    return text, bucket.view(np.int64), begin - (ends - sizes)[text], count, twice
 
 
 def repeated_starts(texts: list[bytes], length: int) -> list[np.ndarray]:
@@ -170,11 +181,51 @@ def _runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return edge[::2], edge[1::2]
 
 
+def repeated_runs(rows: list[tuple[int, bytes]], length: int, block: int = COLUMN_BYTES) -> list[tuple[int, int, int]]:
+    """(row, first, end) of repeated starts in rows of (bucket, segment), sorted by bucket.
+
+    Starts whose string has a hash of its own can't repeat and are cut away; of what is left, equal parts repeat as wholes.
+    Suffix order decides in the buckets where other parts are left too.
+    """
+    distinct: dict[bytes, list[int]] = {}
+    for i, (_, data) in enumerate(rows):
+        distinct.setdefault(data, []).append(i)
+    texts, places = list(distinct), list(distinct.values())
+    sizes = np.array([len(t) for t in texts])
+    begins = np.cumsum(sizes) - sizes
+    hashes = rolling(np.frombuffer(b"".join(texts), np.uint8), length)
+    counts = sizes - length + 1
+    first = np.cumsum(counts) - counts
+    owner = np.repeat(np.arange(len(texts)), counts)
+    hashes = hashes[begins[owner] + np.arange(counts.sum()) - first[owner]]
+    _, inverse = np.unique(hashes, return_inverse=True)
+    again = np.bincount(inverse, np.array([len(p) for p in places])[owner])[inverse] > 1
+    parts: dict[bytes, list[tuple[int, int, int]]] = {}  # part of a segment: rows and starts that have it
+    for t in np.unique(owner[again]):
+        for a, b in zip(*_runs(again[first[t] : first[t] + counts[t]]), strict=True):
+            parts.setdefault(texts[t][a : b + length - 1], []).extend((i, int(a), int(b)) for i in places[t])
+    out = [x for found in parts.values() if len(found) > 1 for x in found]
+    lonely = {rows[found[0][0]][0] for found in parts.values() if len(found) == 1}
+    asked = sorted((rows[found[0][0]][0], part) for part, found in parts.items() if rows[found[0][0]][0] in lonely)
+    held: list[bytes] = []
+    for k, (bucket, part) in enumerate(asked):
+        held.append(part)
+        last = k + 1 == len(asked)
+        if last or (sum(map(len, held)) >= block and asked[k + 1][0] != bucket):
+            for text, flags in zip(held, repeated_starts(held, length), strict=True):
+                if len(parts[text]) == 1:
+                    i, a, _ = parts[text][0]
+                    out += [(i, a + int(x), a + int(y)) for x, y in zip(*_runs(flags), strict=True)]
+            held = []
+    return out
+
+
 def _texts_with_segments(rows: DataFrame, length: int, gram: int) -> DataFrame:
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [segments(np.frombuffer(t.encode("utf-8", "surrogatepass"), np.uint8), length, gram) for t in batch.column(2).to_pylist()]
-            lists = [pa.array([f[k] for f in found], pa.list_(kind)) for k, kind in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.bool_()))]
+            text, *columns = segments([t.encode("utf-8", "surrogatepass") for t in batch.column(2).to_pylist()], length, gram)
+            offsets = pa.array(np.searchsorted(text, np.arange(batch.num_rows + 1)).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in columns]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *lists], ["h1", "h2", "buckets", "starts", "counts", "twice"])
 
     return rows.select("h1", "h2", "text").mapInArrow(find, "h1 long, h2 long, buckets array<long>, starts array<long>, counts array<long>, twice array<boolean>")
@@ -203,16 +254,7 @@ def _by_columns(rows: DataFrame, length: int, block_bytes: int) -> DataFrame:
     """Runs (h1, h2, first, end) of repeated starts, from whole buckets in blocks of bounded size."""
 
     def solve(held: list[dict]) -> pa.RecordBatch | None:
-        index: dict[bytes, int] = {}
-        copies: list[int] = []
-        for row in held:
-            i = index.setdefault(row["bytes"], len(index))
-            if i == len(copies):
-                copies.append(0)
-            copies[i] += 1
-        flags = repeated_starts(list(index), length)
-        runs = [_runs(f if c == 1 else np.ones(len(f), bool)) for f, c in zip(flags, copies, strict=True)]
-        out = [(row["h1"], row["h2"], row["start"] + a, row["start"] + b) for row in held for a, b in zip(*runs[index[row["bytes"]]], strict=True)]
+        out = [(held[i]["h1"], held[i]["h2"], held[i]["start"] + a, held[i]["start"] + b) for i, a, b in repeated_runs([(r["bucket"], r["bytes"]) for r in held], length)]
         if not out:
             return None
         return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], ["h1", "h2", "first", "end"])
@@ -250,7 +292,10 @@ def _by_hashes(rows: DataFrame, length: int) -> DataFrame:
 
 
 def _cleaned(texts: DataFrame, length: int) -> DataFrame:
-    """h1, h2, n_removed, n_spans, the bytes that are left and their SHA-256 from texts with runs of repeated starts."""
+    """h1, h2, n_removed, n_spans, the text that is left and the SHA-256 of its bytes from texts with runs of repeated starts.
+
+    Where a removed string begins or ends inside a character, the text leaves out what is left of that character.
+    """
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -265,11 +310,11 @@ def _cleaned(texts: DataFrame, length: int) -> DataFrame:
                 rest = b"".join(data[x:y] for x, y in zip([0, *b.tolist()], [*a.tolist(), len(data)], strict=True))
                 removed.append(int((b - a).sum()))
                 spans.append(len(a))
-                kept.append(rest)
+                kept.append(rest.decode(errors="ignore"))
                 digest.append(hashlib.sha256(rest).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(kept, pa.binary()), pa.array(digest, pa.string())], ["h1", "h2", "n_removed", "n_spans", "kept", "kept_sha256"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(kept, pa.string()), pa.array(digest, pa.string())], ["h1", "h2", "n_removed", "n_spans", "kept", "kept_sha256"])
 
-    return texts.select("h1", "h2", "text", "runs").mapInArrow(clean, "h1 long, h2 long, n_removed long, n_spans long, kept binary, kept_sha256 string")
+    return texts.select("h1", "h2", "text", "runs").mapInArrow(clean, "h1 long, h2 long, n_removed long, n_spans long, kept string, kept_sha256 string")
 
 
 def keyed(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -278,7 +323,7 @@ def keyed(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def repeated_strings(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM, text: str = "text", doc_id: str = "doc_id", largest: int = LARGEST_BUCKET, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """For each text that loses bytes, by key: n_removed, n_spans, kept (bytes) and kept_sha256."""
+    """For each text that loses bytes, by key: n_removed, n_spans, kept (text) and kept_sha256."""
     small_batches(docs.sparkSession)
     rows = keyed(docs.select(F.col(doc_id).alias("id"), or_empty(text).alias("text")))
     long = rows.filter(F.octet_length("text") >= length)
@@ -298,7 +343,7 @@ def repeated_strings(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM,
     runs = runs.groupBy("h1", "h2").agg(F.collect_list(F.struct("first", "end")).alias("runs"))
     partly = _cleaned(texts.join(runs, ["h1", "h2"]).join(copies.filter("n = 1").select("h1", "h2"), ["h1", "h2"], "left_semi"), length)
     whole = copies.filter("n > 1").join(marks.select("h1", "h2"), ["h1", "h2"], "left_semi")
-    whole = whole.select("h1", "h2", F.lit(None).cast("long").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.lit(b"").alias("kept"), F.sha2(F.lit(""), 256).alias("kept_sha256"))
+    whole = whole.select("h1", "h2", F.lit(None).cast("long").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.lit("").alias("kept"), F.sha2(F.lit(""), 256).alias("kept_sha256"))
     return written(partly.unionByName(whole), "repeats-found")
 
 
