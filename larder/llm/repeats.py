@@ -13,8 +13,8 @@ repeats if the suffix that starts with it shares ``length`` symbols with a neigh
 buckets in a task's memory rather than files of all documents: the rounds are then as many as a segment has bytes, not as many
 as the longest document has.
 
-A bucket above ``largest`` segments isn't gathered: its strings are counted by a 128-bit hash in a grouped sum, which is exact
-but for hash collisions.
+A bucket above ``largest`` segments isn't gathered: its blocks exchange distinct 64-bit hashes of their strings by ranges, which is
+exact but for collisions inside one bucket.
 
 Defined cases: null texts are empty texts and lose nothing, nor do texts shorter than ``length``; equal texts of that length or
 more lose everything; repeated rows are equal texts; an empty table gives an empty result; matches never cross documents.
@@ -127,6 +127,7 @@ def repeated_starts(texts: list[bytes], length: int) -> list[np.ndarray]:
     columns = np.ascontiguousarray(padded.T)[::-1]  # columns[j]: the symbol before the suffix of j symbols
     bwt, lcp = columns[0].copy(), np.zeros(m + 1, np.int16)
     at, who = np.arange(m), np.arange(m)
+    ended = np.searchsorted(np.sort(sizes), np.arange(int(sizes.max()) + 2))  # texts with fewer symbols than j
     for j in range(1, int(sizes.max()) + 1):
         going = sizes[who] >= j
         at, who = at[going], who[going]
@@ -138,7 +139,7 @@ def repeated_starts(texts: list[bytes], length: int) -> list[np.ndarray]:
         padded_order = np.append(order, 0)
         before, after = order[k - 1], padded_order[k + 1]
         has_before, has_after = (k > 0) & (bwt[before] == symbol), (k + 1 < n) & (bwt[np.minimum(after, n - 1)] == symbol)
-        new = m + k - np.count_nonzero(bwt == 0)
+        new = m + k - ended[j]
         own = np.zeros(len(at), np.int16)
         if has_before.any():
             own[has_before] = _least_between(lcp, before[has_before] + 1, at[has_before] + 1)
@@ -232,7 +233,7 @@ def _texts_with_segments(rows: DataFrame, length: int, gram: int) -> DataFrame:
 
 
 def _cut_segments(texts: DataFrame, length: int) -> DataFrame:
-    """A row for each wanted segment: its bucket, whether that is large, its text, start and bytes."""
+    """A row for each wanted segment: its bucket and the size of that, its text, start and bytes."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -241,13 +242,13 @@ def _cut_segments(texts: DataFrame, length: int) -> DataFrame:
                 w = row["wanted"]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array([x["bucket"] for x in w], pa.int64()), pa.array([x["large"] for x in w], pa.bool_()), pa.array([row["h1"]] * len(w), pa.int64()), pa.array([row["h2"]] * len(w), pa.int64()),
+                        pa.array([x["bucket"] for x in w], pa.int64()), pa.array([x["size"] for x in w], pa.int64()), pa.array([row["h1"]] * len(w), pa.int64()), pa.array([row["h2"]] * len(w), pa.int64()),
                         pa.array([x["start"] for x in w], pa.int64()), pa.array([data[x["start"] : x["start"] + x["n"] + length - 1] for x in w], pa.binary()),
                     ],
-                    ["bucket", "large", "h1", "h2", "start", "bytes"],
+                    ["bucket", "size", "h1", "h2", "start", "bytes"],
                 )
 
-    return texts.mapInArrow(cut, "bucket long, large boolean, h1 long, h2 long, start long, bytes binary")
+    return texts.mapInArrow(cut, "bucket long, size long, h1 long, h2 long, start long, bytes binary")
 
 
 def _by_columns(rows: DataFrame, length: int, block_bytes: int) -> DataFrame:
@@ -276,19 +277,69 @@ def _by_columns(rows: DataFrame, length: int, block_bytes: int) -> DataFrame:
     return rows.select("bucket", "h1", "h2", "start", "bytes").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(find, "h1 long, h2 long, first long, end long")
 
 
-def _by_hashes(rows: DataFrame, length: int) -> DataFrame:
-    """The same for segments of large buckets: strings counted by hash, partial sums first."""
+def _whole_groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[dict]]:
+    """Runs of rows with equal first columns; the input is sorted by them."""
+    held: list[dict] = []
+    for batch in batches:
+        names = batch.schema.names[:keys]
+        for row in batch.to_pylist():
+            if held and any(held[0][n] != row[n] for n in names):
+                yield held
+                held = []
+            held.append(row)
+    if held:
+        yield held
 
-    def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for h1, h2, start, data in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
-                x = np.frombuffer(data, np.uint8)
-                a, b = rolling(x, length).view(np.int64), rolling(x ^ np.uint8(0xA5), length).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(a), h1)), pa.array(np.full(len(a), h2)), pa.array(start + np.arange(len(a))), pa.array(a), pa.array(b)], ["h1", "h2", "start", "a", "b"])
 
-    each = rows.select("h1", "h2", "start", "bytes").mapInArrow(strings, "h1 long, h2 long, start long, a long, b long")
-    twice = each.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("a", "b")
-    return each.join(twice, ["a", "b"]).select("h1", "h2", F.col("start").alias("first"), (F.col("start") + 1).alias("end"))
+def _by_hashes(rows: DataFrame, length: int, largest: int) -> DataFrame:
+    """The same for segments of large buckets, which have their bucket's size.
+
+    A bucket's segments fall into blocks of bounded size. Each block sends the distinct hashes of its strings, in as many ranges as
+    there are blocks; a task for a range of a bucket finds hashes of several blocks, or of several places in one, and each block
+    hears which of its own these are. Rows are as many as pairs of blocks, not as strings.
+    """
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in _whole_groups(batches, 2):
+            hashes, counts = np.unique(np.concatenate([rolling(np.frombuffer(r["bytes"], np.uint8), length) for r in group]), return_counts=True)
+            blocks = group[0]["blocks"]
+            part = (hashes % np.uint64(blocks)).astype(np.int64)
+            chosen = [part == r for r in range(blocks)]
+            columns = [pa.array([group[0]["bucket"]] * blocks, pa.int64()), pa.array(range(blocks), pa.int64()), pa.array([group[0]["block"]] * blocks, pa.int64())]
+            packed = [pa.array([x[c].tobytes() for c in chosen], pa.binary()) for x in (hashes, counts > 1)]
+            yield pa.RecordBatch.from_arrays([*columns, *packed], ["bucket", "range", "block", "hashes", "again"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in _whole_groups(batches, 2):
+            own = [np.frombuffer(r["hashes"], np.uint64) for r in group]
+            hashes, inverse = np.unique(np.concatenate(own), return_inverse=True)
+            again = np.bincount(inverse, minlength=len(hashes)) > 1
+            again[inverse[np.concatenate([np.frombuffer(r["again"], bool) for r in group])]] = True
+            ends = np.cumsum([len(o) for o in own])
+            told = [o[again[inverse[e - len(o) : e]]].tobytes() for o, e in zip(own, ends, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array([r["bucket"] for r in group], pa.int64()), pa.array([r["block"] for r in group], pa.int64()), pa.array(told, pa.binary())], ["bucket", "block", "told"])
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in _whole_groups(batches, 2):
+            told = np.sort(np.concatenate([np.frombuffer(r["told"] or b"", np.uint64) for r in group]))
+            out = []
+            for r in group:
+                if r["bytes"] is not None and len(told):
+                    mine = rolling(np.frombuffer(r["bytes"], np.uint8), length)
+                    flags = told[np.minimum(np.searchsorted(told, mine), len(told) - 1)] == mine
+                    out += [(r["h1"], r["h2"], r["start"] + int(a), r["start"] + int(b)) for a, b in zip(*_runs(flags), strict=True)]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], ["h1", "h2", "first", "end"])
+
+    blocks = F.ceil(F.col("size") / largest)
+    placed = rows.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("h1", "h2", "start"), F.col("blocks")))
+    placed = written(placed.select("bucket", "block", "blocks", "h1", "h2", "start", "bytes"), "repeats-blocks")
+    in_blocks = placed.select("bucket", "block", "blocks", "bytes").repartition("bucket", "block").sortWithinPartitions("bucket", "block")
+    sent = in_blocks.mapInArrow(send, "bucket long, range long, block long, hashes binary, again binary")
+    told = sent.repartition("bucket", "range").sortWithinPartitions("bucket", "range").mapInArrow(compare, "bucket long, block long, told binary")
+    both = placed.drop("blocks").withColumn("told", F.lit(None).cast("binary")).unionByName(told, allowMissingColumns=True)
+    dealt = both.select("bucket", "block", "h1", "h2", "start", "bytes", "told").repartition("bucket", "block").sortWithinPartitions("bucket", "block")
+    return dealt.mapInArrow(mark, "h1 long, h2 long, first long, end long")
 
 
 def _cleaned(texts: DataFrame, length: int) -> DataFrame:
@@ -332,14 +383,14 @@ def repeated_strings(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM,
     marks = written(found.dropDuplicates(["h1", "h2"]), "repeats-marks")
     each = marks.select("h1", "h2", F.explode(F.arrays_zip("buckets", "starts", "counts", "twice")).alias("s"))
     each = each.select("h1", "h2", F.col("s.buckets").alias("bucket"), F.col("s.starts").alias("start"), F.col("s.counts").alias("n"), F.col("s.twice").alias("twice"))
-    shared = each.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.max("twice").alias("twice")).filter("size > 1 or twice").drop("twice").withColumn("large", F.col("size") > largest).drop("size")
-    wanted = each.join(shared, "bucket").groupBy("h1", "h2").agg(F.collect_list(F.struct("bucket", "large", "start", "n")).alias("wanted"))
+    shared = each.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.max("twice").alias("twice")).filter("size > 1 or twice").drop("twice")
+    wanted = each.join(shared, "bucket").groupBy("h1", "h2").agg(F.collect_list(F.struct("bucket", "size", "start", "n")).alias("wanted"))
     one = copies.select("h1", "h2", F.col("id").alias("one"))
     wanted = wanted.join(one, ["h1", "h2"])
     texts = rows.join(wanted, ["h1", "h2"]).filter(F.col("id").eqNullSafe(F.col("one"))).select("h1", "h2", "text", "wanted").dropDuplicates(["h1", "h2"])
     texts = written(texts, "repeats-texts")
     cut = written(_cut_segments(texts, length), "repeats-segments")
-    runs = _by_columns(cut.filter("not large"), length, block_bytes).unionByName(_by_hashes(cut.filter("large"), length))
+    runs = _by_columns(cut.filter(F.col("size") <= largest), length, block_bytes).unionByName(_by_hashes(cut.filter(F.col("size") > largest), length, largest))
     runs = runs.groupBy("h1", "h2").agg(F.collect_list(F.struct("first", "end")).alias("runs"))
     partly = _cleaned(texts.join(runs, ["h1", "h2"]).join(copies.filter("n = 1").select("h1", "h2"), ["h1", "h2"], "left_semi"), length)
     whole = copies.filter("n > 1").join(marks.select("h1", "h2"), ["h1", "h2"], "left_semi")
