@@ -34,7 +34,6 @@ from larder.llm.components import components
 
 BITS = 1024
 BLOCK = 1024
-CHECK_BLOCK = 256
 FIRST_HASHES = 3
 LEAF, FAN = 8, 4
 #: Buckets left for the second round are joined by broadcast up to this number (20 bytes each), by a shuffle beyond.
@@ -69,6 +68,11 @@ def prefix_length(n: int, num: int, den: int) -> int:
     return n - -(-num * n // den) + 1 if n else 0
 
 
+def index_length(n, num: int, den: int):
+    """How many of its smallest hashes the smaller of two similar sets needs to share with the prefix of the larger."""
+    return n - F.ceil(2 * num * n / (num + den)) + 1
+
+
 def _bitmap(hashes: np.ndarray) -> bytes:
     bits = np.zeros(BITS, np.uint8)
     bits[(hashes % np.uint64(BITS)).astype(np.int64)] = 1
@@ -101,10 +105,10 @@ def with_sets(docs: DataFrame, k: int, num: int, den: int, *, text: str, doc_id:
 class SignatureTree:
     """Rows in order of component and size, and levels of nodes above them: OR bitmaps, size ranges, component ranges."""
 
-    def __init__(self, cls: np.ndarray, size: np.ndarray, comp: np.ndarray, bits: np.ndarray):
+    def __init__(self, cls: np.ndarray, size: np.ndarray, comp: np.ndarray, bits: np.ndarray, index: np.ndarray):
         order = np.lexsort((cls, size, comp))
         self.cls = cls[order]
-        rows = {"bits": bits[order], "low": size[order], "high": size[order], "first": comp[order], "last": comp[order]}
+        rows = {"bits": bits[order], "index": index[order], "low": size[order], "high": size[order], "first": comp[order], "last": comp[order]}
         rows["slack"] = rows["low"] - np.bitwise_count(rows["bits"]).sum(1).astype(np.int64)  # tokens that share a bit
         self.levels = [rows]
         for fan in (LEAF, *[FAN] * 12):
@@ -114,13 +118,14 @@ class SignatureTree:
             at = np.arange(0, len(below["low"]), fan)
             self.levels.append({
                 "bits": np.bitwise_or.reduceat(below["bits"], at), "low": np.minimum.reduceat(below["low"], at), "high": np.maximum.reduceat(below["high"], at),
-                "first": np.minimum.reduceat(below["first"], at), "last": np.maximum.reduceat(below["last"], at), "slack": np.maximum.reduceat(below["slack"], at), "fan": fan,
+                "first": np.minimum.reduceat(below["first"], at), "last": np.maximum.reduceat(below["last"], at), "slack": np.maximum.reduceat(below["slack"], at), "index": np.maximum.reduceat(below["index"], at), "fan": fan,
             })
 
 
 def _possible(a: dict, i: np.ndarray, b: dict, j: np.ndarray, num: int, den: int) -> np.ndarray:
     """Whether node i of a and node j of b can hold a pair in different components that reaches the threshold."""
     keep = (a["first"][i] != a["last"][i]) | (b["first"][j] != b["last"][j]) | (a["first"][i] != b["first"][j])
+    keep &= (a["index"][i] | b["index"][j]) > 0
     keep &= (den * a["high"][i] >= num * b["low"][j]) & (den * b["high"][j] >= num * a["low"][i])
     i, j, where = i[keep], j[keep], np.flatnonzero(keep)
     common = np.bitwise_count(a["bits"][i] & b["bits"][j]).sum(1).astype(np.int64)
@@ -174,14 +179,18 @@ def _spanning(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
     return keep
 
 
-def _cell(cls: np.ndarray, size: np.ndarray, comp: np.ndarray, side: np.ndarray, bits: np.ndarray, spanning: bool, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+def _cell(cls: np.ndarray, size: np.ndarray, comp: np.ndarray, side: np.ndarray, bits: np.ndarray, index: np.ndarray, spanning: bool, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
     """Candidate pairs of one cell: side 0 against itself, or sides 0 and 1 against each other."""
-    if (comp[0] == comp).all():
+    if (comp[0] == comp).all() or not index.any():
         return cls[:0], cls[:0]
-    one = SignatureTree(cls[side == 0], size[side == 0], comp[side == 0], bits[side == 0])
-    two = SignatureTree(cls[side == 1], size[side == 1], comp[side == 1], bits[side == 1]) if side.any() else one
+    one = SignatureTree(cls[side == 0], size[side == 0], comp[side == 0], bits[side == 0], index[side == 0])
+    two = SignatureTree(cls[side == 1], size[side == 1], comp[side == 1], bits[side == 1], index[side == 1]) if side.any() else one
     i, j = dual_traversal(one, two, two is one, num, den)
     x, y = one.cls[i], two.cls[j]
+    a, b = one.levels[0], two.levels[0]
+    smaller = (a["low"][i] < b["low"][j]) | ((a["low"][i] == b["low"][j]) & (x < y))
+    keep = np.where(smaller, a["index"][i], b["index"][j]) > 0
+    x, y = x[keep], y[keep]
     if spanning and len(x):
         names, places = np.unique(np.concatenate([x, y]), return_inverse=True)
         order = np.lexsort((np.maximum(x, y), np.minimum(x, y)))
@@ -192,19 +201,21 @@ def _cell(cls: np.ndarray, size: np.ndarray, comp: np.ndarray, side: np.ndarray,
 
 
 def candidates(cells: DataFrame, *, spanning: bool, num: int, den: int) -> DataFrame:
-    """Distinct pairs (a, b) of classes from rows (bucket, x, y, side, cls, n, comp, bitmap); a cell is (bucket, x, y)."""
+    """Distinct pairs (a, b) of classes, each with the first of its cells, from rows (bucket, x, y, side, cls, n, comp, bitmap, index); a cell is (bucket, x, y)."""
 
     def flush(parts: list[pa.Table]) -> pa.RecordBatch | None:
         rows = pa.concat_tables(parts).combine_chunks()
         bucket, x, y, side, cls, n, comp = (rows.column(k).to_numpy() for k in range(7))
         bits = np.frombuffer(b"".join(rows.column(7).to_pylist()), np.uint64).reshape(len(cls), BITS // 64)
+        index = rows.column(8).to_numpy()
         new = np.flatnonzero((np.diff(bucket) != 0) | (np.diff(x) != 0) | (np.diff(y) != 0)) + 1
-        found = [_cell(cls[s:e], n[s:e], comp[s:e], side[s:e], bits[s:e], spanning, num, den) for s, e in zip([0, *new], [*new, len(cls)], strict=True) if e - s > 1]
-        found = [f for f in found if len(f[0])]
-        if not found:
+        runs = [(s, e) for s, e in zip([0, *new], [*new, len(cls)], strict=True) if e - s > 1]
+        found = [_cell(cls[s:e], n[s:e], comp[s:e], side[s:e], bits[s:e], index[s:e], spanning, num, den) for s, e in runs]
+        if not sum(len(f[0]) for f in found):
             return None
-        pairs = np.unique(np.stack([np.concatenate(f) for f in zip(*found, strict=True)]), axis=1)
-        return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
+        at = np.repeat([s for s, _ in runs], [len(f[0]) for f in found])
+        a, b = (np.concatenate(f) for f in zip(*found, strict=True))
+        return pa.RecordBatch.from_arrays([pa.array(v) for v in (a, b, bucket[at].astype(np.int64), x[at], y[at])], ["a", "b", "bucket", "x", "y"])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.Table] = []
@@ -231,15 +242,16 @@ def candidates(cells: DataFrame, *, spanning: bool, num: int, den: int) -> DataF
         if held and (out := flush(held)) is not None:
             yield out
 
-    dealt = cells.select("bucket", "x", "y", "side", "cls", "n", "comp", "bitmap").repartition("bucket", "x", "y").sortWithinPartitions("bucket", "x", "y")
-    return dealt.mapInArrow(rows, "a long, b long").distinct()
+    dealt = cells.select("bucket", "x", "y", "side", "cls", "n", "comp", "bitmap", "index").repartition("bucket", "x", "y").sortWithinPartitions("bucket", "x", "y")
+    pairs = dealt.mapInArrow(rows, "a long, b long, bucket long, x long, y long")
+    return pairs.groupBy("a", "b").agg(F.min(F.struct("bucket", "x", "y")).alias("cell")).select("a", "b", "cell.*")
 
 
 def linked(pairs: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """The pairs (a, b) whose texts reach the threshold, checked exactly; texts has a text for each class.
 
-    Pairs are dealt out by the connected group of candidates that they are in and by blocks of its classes, so that a text
-    travels once for each pair of blocks and not for each pair of texts.
+    Pairs (a, b, bucket, x, y) are dealt out by the first of the cells that found them, which groups of similar texts share, so
+    that a text travels once for each cell and not for each pair.
     """
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -260,23 +272,18 @@ def linked(pairs: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> Da
                 keep.append(den * common >= num * (len(u) + len(v) - common))
             yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
 
-    groups = written(components(pairs), "jaccard-groups")
-    sizes = groups.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / CHECK_BLOCK).alias("blocks"))
-    placed = groups.join(sizes, "root").select("node", "root", F.pmod(F.xxhash64("node"), F.col("blocks")).alias("block"))
-    cells = pairs.join(placed.select(F.col("node").alias("a"), "root", F.col("block").alias("p")), "a").join(placed.select(F.col("node").alias("b"), F.col("block").alias("q")), "b")
-    cells = written(cells.select("root", F.least("p", "q").alias("x"), F.greatest("p", "q").alias("y"), "a", "b"), "jaccard-cells")
-    members = cells.select("root", "x", "y", F.explode(F.array("a", "b")).alias("cls")).distinct().join(texts, "cls")
-    both = members.select("root", "x", "y", F.col("cls").alias("a"), F.lit(None).cast("long").alias("b"), "text").unionByName(cells.withColumn("text", F.lit(None).cast("string")))
-    return both.repartition("root", "x", "y").sortWithinPartitions("root", "x", "y", F.asc_nulls_first("b")).mapInArrow(rows, "a long, b long")
+    members = pairs.select("bucket", "x", "y", F.explode(F.array("a", "b")).alias("cls")).distinct().join(texts, "cls")
+    both = members.select("bucket", "x", "y", F.col("cls").alias("a"), F.lit(None).cast("long").alias("b"), "text").unionByName(pairs.withColumn("text", F.lit(None).cast("string")))
+    dealt = both.select("bucket", "x", "y", "a", "b", "text").repartition("bucket", "x", "y")
+    return dealt.sortWithinPartitions("bucket", "x", "y", F.asc_nulls_first("b")).mapInArrow(rows, "a long, b long")
 
 
-def cells_of(rows: DataFrame, buckets: DataFrame, few: bool) -> DataFrame:
-    """Deals rows (bucket, cls, n, comp, comp_size, bitmap) of the given buckets out to cells of pairs of blocks.
+def cells_of(rows: DataFrame) -> DataFrame:
+    """Deals rows (bucket, cls, n, comp, comp_size, bitmap, index) with their bucket's plan out to cells of pairs of blocks.
 
     Blocks (c, s) hold part s of a component c above BLOCK classes, or with c = -1 part s of all the others. Blocks of the same
     large component aren't paired.
     """
-    rows = rows.join(F.broadcast(buckets) if few else buckets, "bucket")
     large = F.col("comp_size") > BLOCK
     parts = F.ceil(F.col("comp_size") / BLOCK).cast("int")
     own = F.struct(F.when(large, F.col("comp")).otherwise(F.lit(-1)).alias("c"), F.when(large, F.pmod(F.xxhash64("cls"), parts)).otherwise(F.pmod(F.xxhash64("cls"), F.col("rest_parts"))).cast("int").alias("s"))
@@ -284,7 +291,7 @@ def cells_of(rows: DataFrame, buckets: DataFrame, few: bool) -> DataFrame:
     others = F.concat(numbered(F.lit(-1).cast("long"), F.col("rest_parts")), F.flatten(F.transform("large", lambda b: numbered(b["comp"], b["parts"]))))
     rows = rows.withColumn("own", own).withColumn("other", F.explode(others))
     rows = rows.filter((F.col("own.c") == -1) | (F.col("own.c") != F.col("other.c")))
-    return rows.select("bucket", "cls", "n", "comp", "bitmap", F.xxhash64(F.least("own", "other")).alias("x"), F.xxhash64(F.greatest("own", "other")).alias("y"), (F.col("own") > F.col("other")).cast("int").alias("side"))
+    return rows.select("bucket", "cls", "n", "comp", "bitmap", "index", F.xxhash64(F.least("own", "other")).alias("x"), F.xxhash64(F.greatest("own", "other")).alias("y"), (F.col("own") > F.col("other")).cast("int").alias("side"))
 
 
 def bucket_plan(rows: DataFrame, *, mixed_only: bool) -> DataFrame:
@@ -292,15 +299,18 @@ def bucket_plan(rows: DataFrame, *, mixed_only: bool) -> DataFrame:
     large = F.col("comp_size") > BLOCK
     part = F.struct("comp", F.ceil(F.col("comp_size") / BLOCK).cast("int").alias("parts"))
     plan = rows.groupBy("bucket").agg(
-        F.count(F.lit(1)).alias("rows"), F.min("comp").alias("first"), F.max("comp").alias("last"),
+        F.count(F.lit(1)).alias("rows"), F.max("index").alias("index"), F.min("comp").alias("first"), F.max("comp").alias("last"),
         F.sum(F.when(large, 0).otherwise(1)).alias("rest"), F.array_sort(F.collect_set(F.when(large, part))).alias("large"),
     )
-    plan = plan.filter("first <> last" if mixed_only else "rows > 1")
+    plan = plan.filter("first <> last" if mixed_only else "rows > 1").filter("index = 1")
     return plan.select("bucket", F.greatest(F.lit(1), F.ceil(F.col("rest") / BLOCK)).cast("int").alias("rest_parts"), "large")
 
 
 def jaccard_components(docs: DataFrame, *, k: int = 5, num: int = 4, den: int = 5, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """doc_id, text_hash, n_shingles and component_id of each row; texts link when the Jaccard index is num / den or more."""
+    """doc_id, text_hash, n_shingles, component_id and representative of each row; texts link at a Jaccard index of num / den or more.
+
+    representative: whether the row's id and text are the first of its component (all rows without words are).
+    """
     small_batches(docs.sparkSession)
     sets = written(with_sets(docs, k, num, den, text=text, doc_id=doc_id), "jaccard-sets")
     one = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("one")
@@ -320,30 +330,32 @@ def jaccard_components(docs: DataFrame, *, k: int = 5, num: int = 4, den: int =
         pairs = written(candidates(cells, spanning=spanning, num=num, den=den), "jaccard-pairs")
         return written(linked(pairs, texts_for(pairs), k, num, den), "jaccard-links")
 
-    alone = classes.select("cls", "n", "bitmap", F.col("cls").alias("comp"), F.lit(1).cast("long").alias("comp_size"), "prefix")
-    first = alone.withColumn("bucket", F.explode(F.slice("prefix", 1, FIRST_HASHES))).drop("prefix")
-    plan = written(bucket_plan(first.select("bucket", "comp", "comp_size"), mixed_only=False), "jaccard-buckets")
-    links = exact(cells_of(first, plan, plan.count() <= BROADCAST_BUCKETS), spanning=True)
+    def in_buckets(rows: DataFrame, mixed_only: bool) -> DataFrame:
+        """A row for each class and hash of prefix whose bucket may hold links, with the bucket's plan."""
+        each = rows.select("cls", "n", "comp", "comp_size", F.posexplode("prefix").alias("at", "bucket"))
+        each = each.withColumn("index", (F.col("at") < index_length(F.col("n"), num, den)).cast("int")).drop("at")
+        plan = written(bucket_plan(each, mixed_only=mixed_only), "jaccard-buckets")
+        few = plan.count() <= BROADCAST_BUCKETS
+        return each.join(F.broadcast(plan) if few else plan, "bucket").join(classes.select("cls", "bitmap"), "cls")
+
+    alone = classes.select("cls", "n", F.col("cls").alias("comp"), F.lit(1).cast("long").alias("comp_size"), F.slice("prefix", 1, FIRST_HASHES).alias("prefix"))
+    links = exact(cells_of(in_buckets(alone, False)), spanning=True)
 
-    joined = written(components(links), "jaccard-components")
+    joined = written(components(links), "jaccard-components")  # stars
     sizes = joined.groupBy("root").agg(F.count(F.lit(1)).alias("comp_size"))
     known = joined.join(sizes, "root").select(F.col("node").alias("cls"), F.col("root").alias("comp"), "comp_size")
     placed = classes.select("cls", "n", "prefix").join(known, "cls", "left").withColumn("comp", F.coalesce("comp", "cls")).withColumn("comp_size", F.coalesce("comp_size", F.lit(1).cast("long")))
-    placed = written(placed, "jaccard-placed")
-    every = placed.withColumn("bucket", F.explode("prefix")).drop("prefix")
-    plan = written(bucket_plan(every.select("bucket", "comp", "comp_size"), mixed_only=True), "jaccard-buckets")
-    few = plan.count() <= BROADCAST_BUCKETS
-    left = every.join(F.broadcast(plan.select("bucket")) if few else plan.select("bucket"), "bucket", "left_semi")
-    cells = cells_of(left.join(classes.select("cls", "bitmap"), "cls"), plan, few)
-    more = exact(cells, spanning=False)
-
-    final = components(links.unionByName(more)).select(F.col("node").alias("cls"), "root")
-    ids = classes.join(final, "cls", "left").select("low", "high", "doc_id", F.coalesce("root", "cls").alias("root"))
+    more = exact(cells_of(in_buckets(written(placed, "jaccard-placed"), True)), spanning=False)
+
+    final = components(joined.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more)).select(F.col("node").alias("cls"), "root")
+    ids = classes.join(final, "cls", "left").select("low", "high", "doc_id", "text_hash", F.coalesce("root", "cls").alias("root"))
     ids = written(ids, "jaccard-ids")
-    smallest = ids.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    ids = ids.join(smallest, "root").select("low", "high", "component_id")
-    rows = sets.filter("n_shingles > 0").select("doc_id", "text_hash", "n_shingles", "low", "high").join(ids, ["low", "high"]).drop("low", "high")
-    empty = sets.filter("n_shingles = 0").select("doc_id", "text_hash", "n_shingles", F.col("doc_id").alias("component_id"))
+    smallest = ids.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("one"))
+    ids = ids.join(smallest, "root").select("low", "high", "component_id", "one")
+    rows = sets.filter("n_shingles > 0").select("doc_id", "text_hash", "n_shingles", "low", "high").join(ids, ["low", "high"])
+    first = F.col("doc_id").eqNullSafe(F.col("one.doc_id")) & (F.col("text_hash") == F.col("one.text_hash"))
+    rows = rows.withColumn("representative", first).drop("low", "high", "one")
+    empty = sets.filter("n_shingles = 0").select("doc_id", "text_hash", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(True).alias("representative"))
     return rows.unionByName(empty)
 
 
