@@ -73,18 +73,32 @@ def index_length(n, num: int, den: int):
     return n - F.ceil(2 * num * n / (num + den)) + 1
 
 
-def _bitmap(hashes: np.ndarray) -> bytes:
-    bits = np.zeros(BITS, np.uint8)
-    bits[(hashes % np.uint64(BITS)).astype(np.int64)] = 1
-    return np.packbits(bits).tobytes()
+def _bitmap(hashes: np.ndarray, width: int = BITS) -> bytes:
+    bits = np.zeros(width, np.uint8)
+    bits[(hashes % np.uint64(width)).astype(np.int64)] = 1
+    return np.packbits(bits, bitorder="little").tobytes()
+
+
+def _wide(n: int) -> int:
+    """Bits of a set's own bitmap: a power of two, at least twice the size of the set."""
+    return max(512, 1 << (2 * n - 1).bit_length()) if n else 512
+
+
+def _common_bits(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int]:
+    """Bits in both of two bitmaps, in the first and in the second, in the narrower width: the wider one is folded."""
+    while len(a) > len(b):
+        a = a[: len(a) // 2] | a[len(a) // 2 :]
+    while len(b) > len(a):
+        b = b[: len(b) // 2] | b[len(b) // 2 :]
+    return tuple(int(np.bitwise_count(x).sum()) for x in (a & b, a, b))
 
 
 def with_sets(docs: DataFrame, k: int, num: int, den: int, *, text: str, doc_id: str) -> DataFrame:
-    """doc_id, a hash of the text, n_shingles, a 128-bit key of the set, its prefix hashes (32 bits) and bitmap."""
+    """doc_id, a hash of the text, n_shingles, a 128-bit key of the set, its prefix hashes (32 bits), and bitmaps of fixed and own width."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, low, high, prefix, bitmap = [], [], [], [], []
+            n, low, high, prefix, bitmap, wide = [], [], [], [], [], []
             for t in batch.column(2).to_pylist():
                 s = shingle_set(t, k)
                 n.append(len(s))
@@ -92,14 +106,15 @@ def with_sets(docs: DataFrame, k: int, num: int, den: int, *, text: str, doc_id:
                 high.append(_mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64).astype(np.int64))
                 prefix.append((s[: prefix_length(len(s), num, den)] >> np.uint64(24)).astype(np.uint32).view(np.int32))
                 bitmap.append(_bitmap(s))
+                wide.append(_bitmap(s, _wide(len(s))))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(low, pa.int64()), pa.array(high, pa.int64()), pa.array(prefix, pa.list_(pa.int32())), pa.array(bitmap, pa.binary())],
-                ["doc_id", "text_hash", "n_shingles", "low", "high", "prefix", "bitmap"],
+                [batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(low, pa.int64()), pa.array(high, pa.int64()), pa.array(prefix, pa.list_(pa.int32())), pa.array(bitmap, pa.binary()), pa.array(wide, pa.binary())],
+                ["doc_id", "text_hash", "n_shingles", "low", "high", "prefix", "bitmap", "wide"],
             )
 
     rows_in = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(or_empty(text)).alias("text_hash"), or_empty(text).alias("text"))
     kind = rows_in.schema["doc_id"].dataType.simpleString()
-    return rows_in.mapInArrow(rows, f"doc_id {kind}, text_hash long, n_shingles long, low long, high long, prefix array<int>, bitmap binary")
+    return rows_in.mapInArrow(rows, f"doc_id {kind}, text_hash long, n_shingles long, low long, high long, prefix array<int>, bitmap binary, wide binary")
 
 
 class SignatureTree:
@@ -247,35 +262,53 @@ def candidates(cells: DataFrame, *, spanning: bool, num: int, den: int) -> DataF
     return pairs.groupBy("a", "b").agg(F.min(F.struct("bucket", "x", "y")).alias("cell")).select("a", "b", "cell.*")
 
 
-def linked(pairs: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) whose texts reach the threshold, checked exactly; texts has a text for each class.
+def _in_cells(pairs: DataFrame, values: DataFrame, read, decide) -> DataFrame:
+    """The pairs (a, b, bucket, x, y) for which decide(value of a, value of b) holds; values has cls, n and value.
 
-    Pairs (a, b, bucket, x, y) are dealt out by the first of the cells that found them, which groups of similar texts share, so
-    that a text travels once for each cell and not for each pair.
+    Pairs are dealt out by the first of the cells that found them, which groups of similar texts share, so that a value travels
+    once for each cell and not for each pair.
     """
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cell, sets = None, {}
+        cell, known = None, {}
         for batch in batches:
-            keys = zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True)
             keep = []
-            for key, a, b, text in zip(keys, batch.column(3).to_pylist(), batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True):
-                if key != cell:
-                    cell, sets = key, {}
-                if b is None:
-                    sets[a] = shingle_set(text, k)
-                    keep.append(False)
-                    continue
-                u, v = sorted((sets[a], sets[b]), key=len)
-                at = np.minimum(np.searchsorted(v, u), len(v) - 1)
-                common = int(np.count_nonzero(v[at] == u))
-                keep.append(den * common >= num * (len(u) + len(v) - common))
-            yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
-
-    members = pairs.select("bucket", "x", "y", F.explode(F.array("a", "b")).alias("cls")).distinct().join(texts, "cls")
-    both = members.select("bucket", "x", "y", F.col("cls").alias("a"), F.lit(None).cast("long").alias("b"), "text").unionByName(pairs.withColumn("text", F.lit(None).cast("string")))
-    dealt = both.select("bucket", "x", "y", "a", "b", "text").repartition("bucket", "x", "y")
-    return dealt.sortWithinPartitions("bucket", "x", "y", F.asc_nulls_first("b")).mapInArrow(rows, "a long, b long")
+            for row in batch.to_pylist():
+                if (key := (row["bucket"], row["x"], row["y"])) != cell:
+                    cell, known = key, {}
+                if row["b"] is None:
+                    known[row["a"]] = read(row["n"], row["value"])
+                keep.append(row["b"] is not None and decide(known[row["a"]], known[row["b"]]))
+            yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b", "bucket", "x", "y"])
+
+    members = pairs.select("bucket", "x", "y", F.explode(F.array("a", "b")).alias("cls")).distinct().join(values, "cls")
+    both = members.withColumnRenamed("cls", "a").withColumn("b", F.lit(None).cast("long")).unionByName(pairs, allowMissingColumns=True)
+    dealt = both.select("bucket", "x", "y", "a", "b", "n", "value").repartition("bucket", "x", "y")
+    return dealt.sortWithinPartitions("bucket", "x", "y", F.asc_nulls_first("b")).mapInArrow(rows, "a long, b long, bucket long, x long, y long")
+
+
+def possible(pairs: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs that may reach the threshold by the bitmaps of their own width: each bit of one that the other lacks is a hash less."""
+
+    def decide(a: tuple[int, np.ndarray], b: tuple[int, np.ndarray]) -> bool:
+        common, first, second = _common_bits(a[1], b[1])
+        most = min(a[0] - first + common, b[0] - second + common)
+        return (num + den) * most >= num * (a[0] + b[0])
+
+    values = classes.select("cls", "n", F.col("wide").alias("value"))
+    return _in_cells(pairs, values, lambda n, value: (n, np.frombuffer(value, np.uint64)), decide)
+
+
+def linked(pairs: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """The pairs whose texts reach the threshold, checked exactly; texts has cls, n and value, a text of each class."""
+
+    def decide(a: np.ndarray, b: np.ndarray) -> bool:
+        u, v = sorted((a, b), key=len)
+        at = np.minimum(np.searchsorted(v, u), len(v) - 1)
+        common = int(np.count_nonzero(v[at] == u))
+        return den * common >= num * (len(u) + len(v) - common)
+
+    return _in_cells(pairs, texts, lambda _, text: shingle_set(text, k), decide).select("a", "b")
 
 
 def cells_of(rows: DataFrame) -> DataFrame:
@@ -314,8 +347,8 @@ def jaccard_components(docs: DataFrame, *, k: int = 5, num: int = 4, den: int =
     small_batches(docs.sparkSession)
     sets = written(with_sets(docs, k, num, den, text=text, doc_id=doc_id), "jaccard-sets")
     one = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("one")
-    grouped = sets.filter("n_shingles > 0").groupBy("low", "high").agg(one, F.first("n_shingles").alias("n"), F.first("prefix").alias("prefix"), F.first("bitmap").alias("bitmap"))
-    classes = written(grouped.select(F.monotonically_increasing_id().alias("cls"), "low", "high", "one.doc_id", "one.text_hash", "n", "prefix", "bitmap"), "jaccard-classes")
+    grouped = sets.filter("n_shingles > 0").groupBy("low", "high").agg(one, F.first("n_shingles").alias("n"), F.first("prefix").alias("prefix"), F.first("bitmap").alias("bitmap"), F.first("wide").alias("wide"))
+    classes = written(grouped.select(F.monotonically_increasing_id().alias("cls"), "low", "high", "one.doc_id", "one.text_hash", "n", "prefix", "bitmap", "wide"), "jaccard-classes")
 
     def texts_for(pairs: DataFrame) -> DataFrame:
         wanted = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
@@ -324,10 +357,12 @@ def jaccard_components(docs: DataFrame, *, k: int = 5, num: int = 4, den: int =
         # 24 bytes for each class that is in question; beyond that many the texts are dealt out.
         wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_BUCKETS else wanted
         found = rows.join(wanted, (F.col("text_hash2") == F.col("text_hash")) & F.col("id").eqNullSafe(F.col("id2")))
-        return written(found.select("cls", "text").dropDuplicates(["cls"]), "jaccard-texts")
+        texts = found.select("cls", F.lit(None).cast("long").alias("n"), F.col("text").alias("value"))
+        return written(texts.dropDuplicates(["cls"]), "jaccard-texts")
 
     def exact(cells: DataFrame, spanning: bool) -> DataFrame:
         pairs = written(candidates(cells, spanning=spanning, num=num, den=den), "jaccard-pairs")
+        pairs = written(possible(pairs, classes, num, den), "jaccard-possible")
         return written(linked(pairs, texts_for(pairs), k, num, den), "jaccard-links")
 
     def in_buckets(rows: DataFrame, mixed_only: bool) -> DataFrame:
