@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from larder.llm.common import documents, or_empty, posix_path, shared_dir, small_batches
 
-REMEMBERED = 400_000
+REMEMBERED = 600_000
 LONGEST_REMEMBERED = 64
 UNIT = re.compile(r"(?<=\S) (?=\S)")
 LETTERS_AND_SIGNS = re.compile(r"([A-Za-zÀ-ÖØ-öø-ɏ]+)([.,!?;:*%$&#]+)")
@@ -98,7 +98,6 @@ class UnitEncoder:
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
         lines = [None if not t or self.added and self.added.search(t) else [line.split(" ") for line in t.split("\n")] for t in texts]
-        odd = False
         for known, used, by in (
             (self.firsts, {p[0] for line in lines if line for p in line}, "\n"),
             (self.units, set().union(*[p[1:] for line in lines if line for p in line]), " "),
@@ -106,16 +105,16 @@ class UnitEncoder:
             new = known.missing(used)
             # A unit with white space at an end, or none at all, isn't apart from its neighbours.
             apart = [u for u in new if u and not u[0].isspace() and not u[-1].isspace()]
-            odd |= len(apart) < len(new)
             self._learn(known, sorted(apart), by)
         units, firsts, newline = self.units.now, self.firsts.now, np.array([self.newline], self.type).tobytes()
         out = []
         for text, parts in zip(texts, lines, strict=True):
-            if parts and (not odd or all(p[0] in firsts and all(u in units for u in p[1:]) for p in parts)):
-                out.append(newline.join([firsts[p[0]] + b"".join(map(units.__getitem__, p[1:])) for p in parts]))
-            elif parts:
-                first, *rest = UNIT.split(text)
-                out.append(self.whole(first) + b"".join([units.get(u) or self.whole(" " + u) for u in rest]))
+            if parts:
+                try:
+                    out.append(newline.join([firsts[p[0]] + b"".join(map(units.__getitem__, p[1:])) for p in parts]))
+                except KeyError:  # white space that isn't a single space or line end between other characters
+                    first, *rest = UNIT.split(text)
+                    out.append(self.whole(first) + b"".join([units.get(u) or self.whole(" " + u) for u in rest]))
             else:
                 out.append(self.whole(text) if text else b"")
         self.units.forget()
