@@ -1,7 +1,7 @@
 """A training corpus from raw documents: five operators of larder.llm, one after another.
 
 Each stage takes (spark, docs, sf_dir) and gives a DataFrame, which is written as Parquet and read again as the docs of the next.
-All but the last give the columns of documents; the last gives the token ids of each document of the mix.
+All but the last give the columns of documents; the last gives the token ids of each document of the mix and the text they decode to.
 """
 
 from __future__ import annotations
@@ -48,7 +48,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens and ids of each document of the mix, by operator 6."""
+    """doc_id, n_tokens, ids, decoded and restored of each document of the mix, by operator 6."""
     import public_tokenizers
 
     return sentence_pieces.encode_decode(docs, public_tokenizers.path("piece_bpe_32k.model"), outputs="ids")

@@ -168,7 +168,7 @@ def table(model: str) -> PrefixTable:
 
 
 def encode_decode(docs: DataFrame, model: str, *, text: str = "text", doc_id: str = "doc_id", outputs: str = "digests") -> DataFrame:
-    """Encodes and decodes each row. outputs "digests": n_tokens and SHA-256 values; "ids": n_tokens and the ids."""
+    """Encodes and decodes each row. outputs "digests": n_tokens and SHA-256 values; "ids": n_tokens, the ids, the text decoded from them and whether it is the text that was encoded."""
     small_batches(docs.sparkSession)
 
     def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,16 +186,21 @@ def encode_decode(docs: DataFrame, model: str, *, text: str = "text", doc_id: st
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = table(model)
         for batch in batches:
-            ids = [b"".join([row[3] for row in tool.rows(t)]) for t in batch.column(1).to_pylist()]
+            ids, back, same = [], [], []
+            for t in batch.column(1).to_pylist():
+                rows = tool.rows(t)
+                ids.append(b"".join([r[3] for r in rows]))
+                back.append("".join([r[1] for r in rows]).removeprefix(" "))
+                same.append(back[-1] == t)
             sizes = np.array([len(x) // 4 for x in ids], np.int64)
             offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
             lists = pa.ListArray.from_arrays(offsets, pa.array(np.frombuffer(b"".join(ids), np.int32)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes), lists], ["doc_id", "n_tokens", "ids"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes), lists, pa.array(back, pa.string()), pa.array(same, pa.bool_())], ["doc_id", "n_tokens", "ids", "decoded", "restored"])
 
     rows = docs.select(F.col(doc_id).alias("doc_id"), or_empty(text).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
     if outputs == "ids":
-        return rows.mapInArrow(whole, f"doc_id {kind}, n_tokens long, ids array<int>")
+        return rows.mapInArrow(whole, f"doc_id {kind}, n_tokens long, ids array<int>, decoded string, restored boolean")
     return rows.mapInArrow(digests, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
