@@ -6,7 +6,7 @@ All but the last give the columns of documents; the last gives the token ids of
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larder.llm import mixing, ngram_join, repeats, sentence_pieces, toxicity
@@ -16,35 +16,46 @@ from larder.llm.common import documents, written
 SHINGLE, SIMILAR = 5, (4, 5)
 
 
+def apart(docs: DataFrame, *used: str) -> tuple[DataFrame, list[Column]]:
+    """docs with all columns but the used ones under names that no operator gives, and the columns that give docs back."""
+    names = {c: c if c in used else f"_column_{k}" for k, c in enumerate(docs.columns)}
+    quoted = lambda c: F.col(f"`{c.replace('`', '``')}`")
+    return docs.select([quoted(c).alias(n) for c, n in names.items()]), [F.col(n).alias(c) for c, n in names.items()]
+
+
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the grammar of operator 1 predicts to be toxic go."""
     lexicon = toxicity.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxicity.score(docs, lexicon).filter("predicted = 0").select(docs.columns)
+    rows, own = apart(docs, "doc_id", "text")
+    return toxicity.score(rows, lexicon).filter("predicted = 0").select(own)
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays: the one with the smallest id. Texts without words stay."""
     found = ngram_join.jaccard_components(docs, k=SHINGLE, num=SIMILAR[0], den=SIMILAR[1])
     stay = found.filter("representative").select(F.col("doc_id").alias("stay_id"), F.col("text_hash").alias("stay_hash"), "n_shingles").distinct()
-    rows = docs.withColumn("_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
+    rows, own = apart(docs, "doc_id", "text")
+    rows = rows.withColumn("_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
     kept = rows.join(stay, (F.col("_hash") == F.col("stay_hash")) & F.col("doc_id").eqNullSafe(F.col("stay_id")))
     repeated = kept.filter("n_shingles > 0").dropDuplicates(["stay_id", "stay_hash"])
-    return repeated.unionByName(kept.filter("n_shingles = 0")).select(docs.columns)
+    return repeated.unionByName(kept.filter("n_shingles = 0")).select(own)
 
 
 def remove_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts lose the passages that operator 5 finds to repeat; n_chars follows. All documents stay."""
     found = repeats.repeated_strings(docs).select("h1", "h2", "kept")
-    rows = repeats.keyed(docs).join(found, ["h1", "h2"], "left").withColumn("text", F.coalesce("kept", "text"))
-    return rows.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+    rows, own = apart(docs, "doc_id", "text", "n_chars")
+    rows = repeats.keyed(rows).join(found, ["h1", "h2"], "left").withColumn("text", F.coalesce("kept", "text"))
+    return rows.withColumn("n_chars", F.length("text").cast("long")).select(own)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document stands as often in the result as the mix of operator 3 takes it."""
-    rows = mixing.sized(docs)
+    rows, own = apart(docs, "doc_id", "text", "source")
+    rows = mixing.sized(rows)
     sizes = written(rows.select("size", *mixing.OWN), "mix-sizes")
     mixed = mixing.mix(rows, sizes=sizes)
-    return mixed.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int")))).select(docs.columns)
+    return mixed.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int")))).select(own)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -62,7 +73,7 @@ STAGES = [
     ("sentencepiece", encode),
 ]
 
-#: Suffix order, grammars and token ids have no SQL; tests hold the stages against brute force.
+#: Suffix order, grammars and token ids have no SQL; tests/llm/test_pipeline.py holds the stages against brute force.
 ORACLE_SQL = None
 
 
