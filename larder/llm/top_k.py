@@ -8,8 +8,10 @@ rests' lengths. Candidates whose partial score plus that bound can't reach the k
 dropped, and the survivors are compacted before the next block. The best k of all cells are merged by query.
 
 Defined cases: vectors that are null or hold null or non-finite components take no part, and neither do null ids;
-shorter vectors count as padded with zeros; components beyond 2^20 in size are cut to it; ties go to the smaller id,
-then among rows with one id each counts; a query's own row (its id) is no candidate; empty tables give no rows.
+shorter vectors count as padded with zeros; ties go to the smaller id, then among rows with one id each counts; a query's
+own row (its id) is no candidate; empty tables give no rows. Where sums can pass 2^53, floating point with its error bound
+only rules candidates out, and whole numbers of any size score the rest; a score among the best k that no long holds,
+or a component whose 64-fold no double holds, is an error.
 """
 
 from __future__ import annotations
@@ -25,19 +27,21 @@ from larder.llm.common import written
 
 CANDIDATE_BLOCK, QUERY_BLOCK = 4096, 512
 DIMENSIONS = 8
-LARGEST = 2**20
+#: Sums of whole numbers below this are exact in floating point.
+EXACT = 2.0**53
 
 
 def _usable(vectors: DataFrame, vec_id: str, embedding: str) -> DataFrame:
     finite = F.forall(embedding, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
     rows = vectors.filter(F.col(vec_id).isNotNull() & F.col(embedding).isNotNull()).filter(finite)
-    within = lambda v: F.greatest(F.lit(-LARGEST / 64.0), F.least(F.lit(LARGEST / 64.0), v.cast("double")))
-    cut = F.transform(embedding, lambda v: F.floor(F.lit(64.0) * within(v)).cast("int"))
+    large = lambda v: F.lit(64.0) * v.cast("double")
+    # Doubles from 2^53 are whole, and floor() gives a long.
+    cut = F.transform(embedding, lambda v: F.when(F.abs(large(v)) < EXACT, F.floor(large(v)).cast("double")).otherwise(large(v)))
     return rows.select(F.col(vec_id).cast("long").alias("vec_id"), cut.alias("v"))
 
 
 def _pack(rows: DataFrame, n_blocks: int, dimensions: int) -> DataFrame:
-    """One row for each block: block, vec_ids and int32 columns as bytes, dimension after dimension."""
+    """One row for each block: block, vec_ids and columns as bytes, dimension after dimension; int32 where that holds them, else doubles."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
@@ -45,6 +49,9 @@ def _pack(rows: DataFrame, n_blocks: int, dimensions: int) -> DataFrame:
         def out(block: int) -> pa.RecordBatch:
             parts = held.pop(block)
             ids, v = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+            if np.isinf(v).any():
+                raise OverflowError("a component is too large: its 64-fold is no double")
+            v = v.astype(np.int32) if np.abs(v).max(initial=0) < 2**31 else v
             return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([ids.tobytes()], pa.binary()), pa.array([np.ascontiguousarray(v.T).tobytes()], pa.binary())], ["block", "ids", "columns"])
 
         for batch in batches:
@@ -52,7 +59,7 @@ def _pack(rows: DataFrame, n_blocks: int, dimensions: int) -> DataFrame:
             lists = batch.column(2)
             at = lists.offsets.to_numpy()
             flat, sizes = lists.values.to_numpy(), np.diff(at)
-            v = np.zeros((len(ids), dimensions), np.int32)
+            v = np.zeros((len(ids), dimensions))
             if len(ids) and (sizes == dimensions).all():
                 v[:] = flat[at[0] : at[-1]].reshape(-1, dimensions)
             else:
@@ -69,15 +76,38 @@ def _pack(rows: DataFrame, n_blocks: int, dimensions: int) -> DataFrame:
     return dealt.repartition("block").sortWithinPartitions("block").mapInArrow(pack, "block long, ids binary, columns binary")
 
 
+def _columns(data: bytes, dimensions: int, n: int) -> np.ndarray:
+    return np.frombuffer(data, np.int32 if len(data) == 4 * dimensions * n else np.float64).reshape(dimensions, n)
+
+
+def _exact_top(query: np.ndarray, ids: np.ndarray, columns: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Candidate ids and scores of the best k, in whole numbers of any size."""
+    whole = [int(x) for x in query.tolist()]
+    scored = sorted((-sum(a * int(b) for a, b in zip(whole, v, strict=True) if a), i) for i, v in zip(ids.tolist(), columns.T.tolist(), strict=True))[:k]
+    if any(not -(2**63) <= -s < 2**63 for s, _ in scored):
+        raise OverflowError("a score among the best is too large for a long")
+    return np.array([i for _, i in scored], np.int64), np.array([-s for s, _ in scored], np.int64)
+
+
 def search_cell(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, columns: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(query id, candidate ids, scores) of the best k of each query; columns has a row for each dimension."""
     dimensions, n = columns.shape
-    exact = columns.astype(np.float64)  # sums stay below 2^53
-    lengths = np.einsum("ij,ij->j", exact, exact)
+    exact = columns.astype(np.float64)
+    largest = np.abs(exact).max(initial=0.0)
+    wide = largest * largest * dimensions >= EXACT if largest < 2.0**400 else True
+    lengths = np.einsum("ij,ij->j", exact, exact) if largest < 2.0**400 else None
     for query_id, query in zip(query_ids.tolist(), queries.astype(np.float64), strict=True):
         order = np.argsort(-np.abs(query), kind="stable")
         alive = np.flatnonzero(ids != query_id)
-        score, rest = np.zeros(len(alive)), lengths[alive]
+        most = np.abs(query).max(initial=0.0)
+        if lengths is None or most >= 2.0**400:  # squares could be no doubles
+            yield query_id, *_exact_top(query, ids[alive], exact[:, alive], k)
+            continue
+        rounded = wide or max(most, largest) * most * dimensions >= EXACT
+        # Rounding errors: of a score, at most this; of a squared length, at most slack times the whole.
+        slack = (dimensions + 16) * 2.0**-51 if rounded else 0.0
+        error = slack * np.sqrt(query @ query) * np.sqrt(lengths[alive])
+        score, rest = np.zeros(len(alive)), lengths[alive] * (1 + slack)
         for at in range(0, dimensions, DIMENSIONS):
             block = order[at : at + DIMENSIONS]
             part = exact[block] if len(alive) == n else exact[block[:, None], alive]
@@ -87,12 +117,17 @@ def search_cell(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, col
                 continue
             later = order[at + DIMENSIONS :]
             length = np.sqrt(query[later] @ query[later])
-            bound = length * np.sqrt(np.maximum(rest, 0.0)) + 1e-6
+            bound = length * np.sqrt(np.maximum(rest, 0.0)) * (1 + 1e-9) + 1e-6
             # Full scores of the most promising candidates give the score to beat.
             best = np.argpartition(score, len(score) - k)[-k:]
-            beat = (score[best] + query[later] @ exact[later[:, None], alive[best]]).min()
-            keep = score + bound >= beat
-            alive, score, rest = alive[keep], score[keep], rest[keep]
+            beat = (score[best] + query[later] @ exact[later[:, None], alive[best]] - error[best]).min()
+            keep = score + bound + error >= beat
+            alive, score, rest, error = alive[keep], score[keep], rest[keep], error[keep]
+        if rounded:
+            if len(alive) > k:
+                alive = alive[score + error >= np.partition(score - error, len(score) - k)[-k]]
+            yield query_id, *_exact_top(query, ids[alive], exact[:, alive], k)
+            continue
         top = np.lexsort((ids[alive], -score))[:k]
         yield query_id, ids[alive[top]], score[top].astype(np.int64)
 
@@ -111,8 +146,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, *, k: int = 20, vec_id: str =
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for cell in (row for batch in batches for row in batch.to_pylist()):
             ids, query_ids = np.frombuffer(cell["ids"], np.int64), np.frombuffer(cell["query_ids"], np.int64)
-            columns = np.frombuffer(cell["columns"], np.int32).reshape(dimensions, len(ids))
-            asked_rows = np.frombuffer(cell["queries"], np.int32).reshape(dimensions, len(query_ids)).T
+            columns, asked_rows = _columns(cell["columns"], dimensions, len(ids)), _columns(cell["queries"], dimensions, len(query_ids)).T
             found = [(np.full(len(c), q), c, s) for q, c, s in search_cell(query_ids, asked_rows, ids, columns, k)]
             if found:
                 q, c, s = (np.concatenate(x) for x in zip(*found, strict=True))
