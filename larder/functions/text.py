@@ -115,10 +115,16 @@ def word_prefixes(c: str | Column) -> Column:
 
 def fenced_json(c: str | Column) -> Column:
     """text without the code fence around it."""
-    opened = F.regexp_replace(F.trim(col(c)), r"^```(json)?\s*", "")
-    return F.trim(F.regexp_replace(opened, r"\s*```$", ""))
+    bare = lambda x: F.regexp_replace(x, r"^\s+|\s+\z", "")
+    opened = F.regexp_replace(bare(col(c)), r"^```(json)?\s*", "")
+    return bare(F.regexp_replace(opened, r"\s*```\z", ""))
 
 
 def braced_json(c: str | Column) -> Column:
     """from the first { to the last }, else null."""
     return F.nullif(F.regexp_extract(col(c), r"(?s)\{.*\}", 0), F.lit(""))
+
+
+def rounded(c: str | Column) -> Column:
+    """four places, halves away from zero."""
+    return F.round(col(c), 4)

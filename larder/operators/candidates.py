@@ -141,7 +141,7 @@ def packaged_proposal(labels: DataFrame, extra: DataFrame, borderline: DataFrame
 def image_statistics(images: DataFrame) -> DataFrame:
     """Variance of the 4-neighbour Laplacian inside a border of one pixel, and mean luminance, of the images of Spark's image source.
 
-    A file that can't be read (height -1) gives nulls.
+    A file that can't be read (height -1) gives nulls; image_report puts a default row there.
     """
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -161,6 +161,17 @@ def image_statistics(images: DataFrame) -> DataFrame:
     return images.select("image.origin", "image.height", "image.width", "image.nChannels", "image.data").mapInPandas(measure, "origin string, variance double, luminance double")
 
 
+def image_report(images: DataFrame) -> DataFrame:
+    """Scores and signals of each image; one that can't be read has fixed scores and a signal of its own."""
+    from larder.operators.recognition import image_scores
+
+    scored = image_statistics(images).withColumn("s", image_scores("variance", "luminance"))
+    unread = F.col("variance").isNull()
+    value = lambda name, default: F.when(unread, F.lit(default)).otherwise(F.col(f"s.{name}")).alias(name)
+    signals = F.when(unread, F.array(F.lit("IMAGE_DECODE_FAILED"))).otherwise(F.col("s.signals"))
+    return scored.select("origin", value("blur", 0.0), value("exposure", 0.5), value("combined", 0.25), signals.alias("signals"))
+
+
 def class_reference(rows: DataFrame) -> DataFrame:
     """A reference table with damaged header names: names and values trimmed, keys in normal form, of equal keys the last row (line_no)."""
     names = {c: c.replace("﻿", "").strip() for c in rows.columns}

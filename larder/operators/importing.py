@@ -105,16 +105,19 @@ def import_recipes(raw: DataFrame, recipes: DataFrame, master: DataFrame, *, sit
     """New recipes, ingredients and children of raw rows (path, line_no, fields).
 
     recipes: recipe_id, source_site, source_recipe_key, title; master: ingredient_id, canonical_name. Rows without a known recipe share one
-    new recipe for each title: its attributes come from the first such row. Children come from the last row of a recipe; new
-    ingredients and the statistics from all accepted rows.
+    new recipe for each title: its attributes come from the first such row, and new ids follow these rows in order of file, then line.
+    Children come from the last row of a recipe; new ingredients and the statistics from all accepted rows. Rows without fields, which
+    couldn't be read, count as failed and skipped.
     """
-    rows = parsed_rows(raw).withColumn("skip_reason", skip_reason("title", "ingredients", "steps", require_steps))
+    rows = parsed_rows(raw.withColumn("_unread", F.col("fields").isNull())).withColumn("skip_reason", F.when(F.col("_unread"), "failed").otherwise(skip_reason("title", "ingredients", "steps", require_steps)))
     accepted = rows.filter("skip_reason is null").withColumn("site", F.lit(site))
     known = recipes.select("recipe_id", F.col("source_site").alias("_s"), F.col("source_recipe_key").alias("_k"), F.col("title").alias("_t"))
     matched = match_existing(accepted, known.withColumnsRenamed({"_s": "site", "_k": "key", "_t": "title"}), "site", "key", "title", "recipe_id")
     first = first_by(matched.filter("matched_id is null"), ["title"], [F.asc("path"), F.asc("line_no")])
     top = F.lit(recipes.agg(F.coalesce(F.max("recipe_id"), F.lit(0))).first()[0])
-    numbered = ordinals(first, ["line_no", "path"], "_n")
+    # The smallest path has rank 0: ids follow files in order, then lines. There is one row for each file.
+    files = first.groupBy("path").agg(F.lit(1).alias("_one")).select("path", (F.row_number().over(Window.orderBy("path")) - 1).cast("long").alias("_file"))
+    numbered = ordinals(first.join(files, "path"), ["_file", "line_no"], "_n")
     new = numbered.select((top + F.col("_n")).alias("recipe_id"), F.col("site").alias("source_site"), F.col("key").alias("source_recipe_key"), "title", F.col("image").alias("thumbnail_url"), F.col("difficulty").alias("difficulty_level"), F.col("servings").alias("servings_text"), F.col("cook_time").alias("cook_time_text"), F.col("url").alias("source_url"), F.lit(True).alias("is_active"))
     every = matched.join(new.select("title", F.col("recipe_id").alias("new_id")), "title", "left").withColumn("recipe_id", F.coalesce("matched_id", "new_id"))
     last = first_by(every, ["recipe_id"], [F.desc("path"), F.desc("line_no")])
@@ -132,21 +135,24 @@ def import_recipes(raw: DataFrame, recipes: DataFrame, master: DataFrame, *, sit
     steps = steps.select("recipe_id", (F.col("at") + 1).alias("step_no"), F.col("s.text").alias("instruction_text"), F.col("s.image").alias("step_image_url"))
     count = lambda test: F.count(F.when(test, F.lit(1)))
     stats = rows.agg(
-        F.countDistinct("path").alias("files"), F.count(F.lit(1)).alias("rows"), count(F.col("skip_reason").isNull()).alias("imported"), count(F.col("skip_reason").isNotNull()).alias("skipped"),
+        F.countDistinct("path").alias("files"), F.count(F.lit(1)).alias("rows"), count(F.col("skip_reason").isNull()).alias("imported"), count(F.col("skip_reason").isNotNull()).alias("skipped"), count(F.col("_unread")).alias("failed"),
         F.coalesce(F.sum(F.when(F.col("skip_reason").isNull(), F.size("ingredients"))), F.lit(0)).alias("ingredients"), F.coalesce(F.sum(F.when(F.col("skip_reason").isNull(), F.size("steps"))), F.lit(0)).alias("steps"),
     )
-    return {"recipes": recipes.unionByName(new, allowMissingColumns=True), "recipe_ingredient": lines, "recipe_step": steps, "ingredient_master": master.unionByName(fresh, allowMissingColumns=True), "rejects": rows.filter("skip_reason is not null"), "statistics": stats}
+    return {"recipes": recipes.unionByName(new, allowMissingColumns=True), "recipe_ingredient": lines, "recipe_step": steps, "ingredient_master": master.unionByName(fresh, allowMissingColumns=True), "rejects": rows.filter("skip_reason is not null").drop("_unread"), "statistics": stats}
 
 
-def ordinal_map(accepted: DataFrame, recipes: DataFrame, site: str) -> DataFrame:
-    """Ordinal (file order, then line order) and the recipe's id by key, then title; null where there is none."""
+def ordinal_map(accepted: DataFrame, recipes: DataFrame, site: str, *, required: bool = False) -> DataFrame:
+    """Ordinal (file order, then line order) and the recipe's id by key, then title. Without one the id is null, or, if
+    ids are required, the job fails."""
     # Few files: their accepted rows are counted, and each file begins after the rows of the files before it.
     sizes = accepted.groupBy("path").agg(F.count(F.lit(1)).alias("_n"))
     before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("path").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
     rows = accepted.withColumn("site", F.lit(site)).join(before, "path")
     rows = rows.withColumn("ordinal", F.col("_before") + F.row_number().over(Window.partitionBy("path").orderBy("line_no")))
     known = recipes.select("recipe_id", F.col("source_site").alias("site"), F.col("source_recipe_key").alias("key"), "title")
-    return match_existing(rows, known, "site", "key", "title", "recipe_id").select("ordinal", F.col("matched_id").alias("recipe_id"))
+    found = match_existing(rows, known, "site", "key", "title", "recipe_id")
+    absent = F.raise_error(F.concat(F.lit("no recipe for ordinal "), F.col("ordinal").cast("string"), F.lit(", title "), F.col("title")))
+    return found.select("ordinal", (F.coalesce("matched_id", absent) if required else F.col("matched_id")).alias("recipe_id"))
 
 
 def recipe_gaps(spark: SparkSession, recipes: DataFrame, mapping: DataFrame, start: int, end: int) -> DataFrame:

@@ -87,9 +87,14 @@ def alias_template(labels: DataFrame, counts: DataFrame, seed: DataFrame, *, inc
     return rows.join(search_terms(rows, "label", "phrases", seed), "label", "left").withColumn("terms", F.coalesce("terms", F.array().cast("array<string>"))).orderBy("id").select("label", "id", "name", "phrases", "terms")
 
 
-def collection_plan(aliases: DataFrame, counts: DataFrame, packaged: DataFrame, suffixes: Sequence[str], *, target: int, cap: int, seed: int) -> DataFrame:
-    """How many images each class (label, terms) still needs, and its queries in a seeded order. Packaged classes are left out."""
-    rows = aliases.join(packaged.select("label"), "label", "left_anti").join(counts, "label", "left").withColumn("have", F.coalesce("n", F.lit(0)))
+def collection_plan(aliases: DataFrame, counts: DataFrame, packaged: DataFrame, suffixes: Sequence[str], *, target: int, cap: int, seed: int, requested: DataFrame | None = None, enough: int | None = None) -> DataFrame:
+    """How many images each class (label, terms) still needs, and its queries in a seeded order.
+
+    Packaged classes are left out, but for those that are requested (label); with requests, only these classes count. Classes with enough
+    images (the cap, if not told) need none.
+    """
+    wanted = aliases.join(packaged.select("label"), "label", "left_anti") if requested is None else aliases.join(requested.select("label"), "label", "left_semi")
+    rows = wanted.join(counts, "label", "left").withColumn("have", F.coalesce("n", F.lit(0))).filter(F.col("have") < min(cap, enough or cap))
     rows = rows.withColumn("need", F.least(F.lit(target), F.lit(cap) - F.col("have"))).filter("need > 0")
     wide = F.array_distinct(F.flatten(F.transform(text.short_first("terms"), lambda t: text.queries_for(t, suffixes))))
     shuffled = F.transform(F.array_sort(F.transform(wide, lambda q: F.struct(F.xxhash64(F.lit(seed), F.col("label"), q).alias("h"), q.alias("q")))), lambda x: x["q"])

@@ -26,6 +26,29 @@ def is_noise(c: str | Column) -> Column:
     return col(c).rlike("(?i)" + "|".join(NOISE))
 
 
+LAYOUT = "struct<rec_texts:array<string>,rec_scores:array<string>,rec_boxes:array<string>,rec_polys:array<string>,rec_text:string,rec_score:string,rec_box:string,rec_poly:string>"
+
+
+def flattened(results: DataFrame, image: str, answer: str) -> DataFrame:
+    """image, line_no, text, confidence and box of each line of a JSON answer.
+
+    The answer holds parallel lists of texts, scores and boxes, or a single text, either at the top or below "res". Empty texts go;
+    a score that is absent or no number is 0; a box of four numbers is one array, a polygon an array of points.
+    """
+    top, below = F.from_json(answer, LAYOUT), F.from_json(answer, f"struct<res:{LAYOUT}>")["res"]
+    rows = results.withColumn("_r", F.when(F.get_json_object(answer, "$.res").isNotNull(), below).otherwise(top))
+    none = F.array().cast("array<string>")
+    boxes = F.when(F.size("_r.rec_boxes") > 0, F.col("_r.rec_boxes")).when(F.size("_r.rec_polys") > 0, F.col("_r.rec_polys"))
+    entry = lambda text, score, box: F.struct(collapsed(text).alias("text"), F.coalesce(score.try_cast("double"), F.lit(0.0)).alias("confidence"), box.alias("box"))
+    many = F.transform(F.coalesce("_r.rec_texts", none), lambda t, i: entry(t, F.get("_r.rec_scores", i), F.get(F.col("_boxes"), i)))
+    one = entry(F.col("_r.rec_text"), F.col("_r.rec_score"), F.coalesce("_r.rec_box", "_r.rec_poly"))
+    rows = rows.withColumn("_boxes", F.coalesce(boxes, none)).withColumn("_lines", F.filter(F.concat(many, F.array(one)), lambda x: x["text"] != ""))
+    lines = rows.select(image, F.posexplode("_lines").alias("line_no", "l")).select(image, "line_no", "l.text", "l.confidence", F.col("l.box").alias("_box"))
+    flat = F.array(F.from_json("_box", "array<double>"))
+    points = F.from_json("_box", "array<array<double>>")
+    return lines.withColumn("box", F.when(F.col("_box").rlike(r"^\s*\[\s*\["), points).when(F.col("_box").isNotNull(), flat)).drop("_box")
+
+
 def has_product_word(c: str | Column) -> Column:
     """F45."""
     return F.exists(F.array(*map(F.lit, PRODUCTS)), lambda k: F.contains(col(c), k))
@@ -39,7 +62,8 @@ def box_edges(box: str | Column) -> Column:
     points = col(box)
     flat = F.get(points, F.lit(0))
     is_box = (F.size(points) == 1) & (F.size(flat) == 4)
-    xs, ys = (F.transform(F.filter(points, lambda p: F.size(p) >= 2), lambda p, k=k: F.get(p, F.lit(k))) for k in (0, 1))
+    corners = F.filter(points, lambda p: F.size(p) >= 2)
+    xs, ys = F.transform(corners, lambda p: F.get(p, F.lit(0))), F.transform(corners, lambda p: F.get(p, F.lit(1)))
     edge = lambda a, b, c, d: F.struct(a.alias("x1"), b.alias("y1"), c.alias("x2"), d.alias("y2"))
     polygon = edge(F.array_min(xs), F.array_min(ys), F.array_max(xs), F.array_max(ys))
     return F.when(is_box, edge(*[F.get(flat, F.lit(k)) for k in range(4)])).when(F.size(points) >= 4, polygon)

@@ -10,13 +10,13 @@ from pyspark.sql import functions as F
 
 def ordinals(df: DataFrame, order: Sequence[str], name: str = "ordinal", buckets: int = 64) -> DataFrame:
     """Numbers from 1 in a total order. Rows fall into ranges of the first key; each range is numbered by itself and begins after
-    the rows of the ranges before it, which are summed over one row for each range."""
+    the rows of the ranges before it, which are summed over one row for each range. df is read twice and must give the same rows."""
     first = order[0]
     moment = dict(df.dtypes)[first].startswith(("timestamp", "date"))
     value = F.unix_micros(F.col(first).cast("timestamp")) if moment else F.col(first)
     cuts = df.select(F.percentile_approx(value, [k / buckets for k in range(1, buckets)])).first()[0] or []  # 63 numbers
     ranged = df.withColumn("_range", F.size(F.filter(F.array(*map(F.lit, sorted(set(cuts)))), lambda c: c < value)) if cuts else F.lit(0))
-    sizes = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
-    before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
-    inside = ranged.withColumn("_k", F.row_number().over(Window.partitionBy("_range").orderBy(*order)))
-    return inside.join(F.broadcast(before), "_range").withColumn(name, F.col("_before") + F.col("_k")).drop("_range", "_k", "_before")
+    sizes = {r["_range"]: r["n"] for r in ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row for each range
+    base = F.element_at(F.array(*[F.lit(sum(n for k, n in sizes.items() if k < r)).cast("long") for r in range(max(sizes, default=0) + 1)]), F.col("_range") + 1)
+    inside = ranged.withColumn("_in_range", F.row_number().over(Window.partitionBy("_range").orderBy(*order)))
+    return inside.withColumn(name, base + F.col("_in_range")).drop("_range", "_in_range")

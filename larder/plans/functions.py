@@ -9,9 +9,9 @@ from larder.operators import similarity
 from larder.plans.base import query, table
 
 
-@query("f01", "SELECT page_id, substr(sha1(coalesce(substr(html, 1, 40), '') || '|' || coalesce(url, '') || '|'), 1, 32) AS source_key FROM pages")
+@query("f01", "SELECT page_id, substr(sha1(coalesce(html, '') || '|' || coalesce(url, '') || '|'), 1, 32) AS source_key FROM pages")
 def f01(spark, d):
-    return table(spark, d, "pages").select("page_id", text.source_key(F.substring("html", 1, 40), "url", F.lit(None).cast("string")).alias("source_key"))
+    return table(spark, d, "pages").select("page_id", text.source_key("html", "url", F.lit(None).cast("string")).alias("source_key"))
 
 
 @query("f02", "SELECT p_partkey, translate(lower(trim(p_type)), '- ', '__') AS label FROM part")
@@ -99,18 +99,24 @@ def p01(spark, d):
     return table(spark, d, "part").select("p_partkey", text.first_filled([blank, "p_type"], "none").alias("name"))
 
 
-@query("t08", "SELECT p_partkey, CASE WHEN length(p_name) <= length(p_brand || ' ' || p_brand) OR length(string_split(p_name, ' ')) < 2 THEN p_name ELSE p_brand || ' ' || p_brand END AS first FROM part WHERE length(string_split(p_name, ' ')) <= 2")
+@query("t08", """
+SELECT p_partkey, CASE WHEN w < 2 OR (w = 2 AND length(p_name) <= length(b)) THEN p_name ELSE b END AS first
+FROM (SELECT p_partkey, p_name, p_brand || ' ' || p_brand AS b, length(string_split(p_name, ' ')) AS w FROM part)""")
 def t08(spark, d):
-    part = table(spark, d, "part").filter(F.size(F.split("p_name", " ")) <= 2)
-    return part.select("p_partkey", text.short_first(F.array("p_name", F.concat_ws(" ", "p_brand", "p_brand")))[0].alias("first"))
+    return table(spark, d, "part").select("p_partkey", text.short_first(F.array("p_name", F.concat_ws(" ", "p_brand", "p_brand")))[0].alias("first"))
 
 
-@query("f08", "SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN '후춧가루' WHEN 1 THEN '소금' WHEN 2 THEN '초고추장' ELSE p_name END AS name FROM part")
+#: Every spelling with its name, and names that stay; F07 gives a name for each.
+SPELLINGS = [*[(other, name) for name, *others in ingredients.ALIASES for other in others], ("소금", "소금"), ("초고추장", "초고추장")]
+
+
+@query("f08", f"""
+WITH alias AS (SELECT * FROM (VALUES {", ".join(f"({k}, '{name}')" for k, (_, name) in enumerate(SPELLINGS))}) AS t(k, name))
+SELECT p_partkey, name FROM part JOIN alias ON p_partkey % {len(SPELLINGS)} = k""")
 def f08(spark, d):
-    k = F.col("p_partkey") % 4
-    raw = F.when(k == 0, F.lit(" 후추가루\n국산")).when(k == 1, F.lit("굵은 소금")).when(k == 2, F.lit("초고추장")).otherwise(F.lit(None))
-    part = table(spark, d, "part").withColumn("raw", raw)
-    return ingredients.normalized(part, "raw", "name").select("p_partkey", F.coalesce("name", "p_name").alias("name"))
+    spellings = spark.createDataFrame([(k, f" {other}\n{name}") for k, (other, name) in enumerate(SPELLINGS)], "k int, raw string")
+    part = table(spark, d, "part").withColumn("k", (F.col("p_partkey") % len(SPELLINGS)).cast("int")).join(F.broadcast(spellings), "k")
+    return ingredients.normalized(part, "raw", "name").select("p_partkey", "name")
 
 
 @query("j07", """
@@ -121,6 +127,17 @@ def j07(spark, d):
     return pairs.select("left_id", "right_id", F.round("similarity", 4).alias("similarity"))
 
 
+@query("j07_lsh", """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings UNION ALL SELECT vec_id + 1000000, list_transform(embedding, lambda x: 2 * CAST(x AS DOUBLE) + 0.01) FROM embeddings),
+p AS (SELECT a.vec_id AS left_id, b.vec_id AS right_id, list_cosine_similarity(a.v, b.v) AS c FROM v a JOIN v b ON a.vec_id < b.vec_id)
+SELECT left_id, right_id, round(c, 4) AS similarity FROM p WHERE c >= 0.95""")
+def j07_lsh(spark, d):
+    # Beside each vector stands a longer one of nearly its direction, so that near pairs occur.
+    e = table(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
+    turned = e.select((F.col("vec_id") + 1000000).alias("vec_id"), F.transform("v", lambda x: 2 * x + 0.01).alias("v"))
+    return similarity.lsh_pairs(e.unionByName(turned), "vec_id", "v", 0.95).withColumn("similarity", F.round("similarity", 4))
+
+
 @query("c04", """
 SELECT a.vec_id AS left_id, 'label' || a.label AS left_name, b.vec_id AS right_id, 'label' || b.label AS right_name,
        round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 4) AS similarity, '' AS suggested_name, '' AS approved, '' AS memo

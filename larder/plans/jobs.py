@@ -14,9 +14,9 @@ EVENT_MEANS = SQL["a06"]
 @query("c03", """
 WITH s AS (SELECT p_partkey AS id, 'merged ' || p_brand AS name FROM part WHERE p_partkey % 10 = 0 UNION SELECT p_partkey + 1, 'merged ' || p_brand FROM part WHERE p_partkey % 10 = 0),
 m AS (SELECT p_partkey, coalesce(s.name, p_name) AS name FROM part LEFT JOIN s ON id = p_partkey), k AS (SELECT p_partkey AS old_id, name, min(p_partkey) OVER (PARTITION BY name) AS keep_id FROM m WHERE name <> '')
-SELECT 'master' AS part, count(*) AS n, CAST(sum(old_id) AS BIGINT) AS keys FROM k WHERE old_id = keep_id
-UNION ALL SELECT 'lines', count(*), CAST(sum(coalesce(keep_id, l_partkey)) AS BIGINT) FROM lineitem LEFT JOIN k ON old_id = l_partkey
-UNION ALL SELECT 'edges', count(*), CAST(sum(b) AS BIGINT) FROM (SELECT DISTINCT coalesce(x.keep_id, l_partkey) AS b, coalesce(y.keep_id, l_suppkey) AS s FROM lineitem LEFT JOIN k x ON x.old_id = l_partkey LEFT JOIN k y ON y.old_id = l_suppkey)""")
+SELECT 'master' AS part, old_id AS a, NULL AS b, name AS value FROM k WHERE old_id = keep_id
+UNION ALL SELECT 'lines', coalesce(keep_id, l_partkey), l_orderkey, CAST(l_linenumber AS VARCHAR) FROM lineitem LEFT JOIN k ON old_id = l_partkey
+UNION ALL SELECT DISTINCT 'edges', coalesce(x.keep_id, l_partkey), coalesce(y.keep_id, l_suppkey), '' FROM lineitem LEFT JOIN k x ON x.old_id = l_partkey LEFT JOIN k y ON y.old_id = l_suppkey""")
 def c03(spark, d):
     part, lines = table(spark, d, "part"), table(spark, d, "lineitem")
     key = F.col("p_partkey")
@@ -24,8 +24,9 @@ def c03(spark, d):
     master = part.select(key.alias("ingredient_id"), F.col("p_name").alias("normalized_name"))
     edges = lines.select(F.col("l_partkey").alias("base_ingredient_id"), F.col("l_suppkey").alias("sub_ingredient_id"))
     out = jobs.apply_approved_pairs(pairs, master, {"lines": (lines, "l_partkey")}, edges)
-    total = lambda name, column: out[name].agg(F.count(F.lit(1)).alias("n"), F.sum(column).alias("keys")).select(F.lit(name).alias("part"), "n", "keys")
-    return total("master", "ingredient_id").unionByName(total("lines", "l_partkey")).unionByName(total("edges", "base_ingredient_id"))
+    rows = lambda name, a, b, value: out[name].select(F.lit(name).alias("part"), F.col(a).alias("a"), b.cast("long").alias("b"), value.cast("string").alias("value"))
+    lines_out, edges_out = rows("lines", "l_partkey", F.col("l_orderkey"), F.col("l_linenumber")), rows("edges", "base_ingredient_id", F.col("sub_ingredient_id"), F.lit(""))
+    return rows("master", "ingredient_id", F.lit(None), F.col("normalized_name")).unionByName(lines_out).unionByName(edges_out)
 
 
 @query("c08", f"""
@@ -40,14 +41,27 @@ def c08(spark, d):
     return found.select("user_id", "month_v", "week_v", *[F.array_join(F.col("meals")[m], ",").alias(m) for m in ("breakfast", "dinner")])
 
 
-@query("c14", """
-WITH a AS (SELECT p_name, min(p_partkey) AS new_id FROM part WHERE p_size > 20 GROUP BY p_name), m AS (SELECT l_partkey, new_id FROM lineitem LEFT JOIN part ON p_partkey = l_partkey LEFT JOIN a USING (p_name))
-SELECT count(*) FILTER (WHERE new_id <> l_partkey) AS moved, count(*) FILTER (WHERE new_id = l_partkey) AS same, count(*) FILTER (WHERE new_id IS NULL) AS orphan,
-  count(DISTINCT CASE WHEN new_id <> l_partkey THEN new_id END) AS merged_folders FROM m""")
-def c14(spark, d):
+MIGRATED = """
+SELECT l_orderkey AS path, l_linenumber AS line, l_partkey AS class_id, new_id, CASE WHEN new_id IS NULL THEN 'orphan' WHEN new_id = l_partkey THEN 'same' ELSE 'moved' END AS state
+FROM lineitem LEFT JOIN part ON p_partkey = l_partkey LEFT JOIN (SELECT p_name, min(p_partkey) AS new_id FROM part WHERE p_size > 45 GROUP BY p_name) USING (p_name)"""
+
+
+def _migrated(spark, d):
     part = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), "p_size")
-    files = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("path"), F.col("l_partkey").alias("class_id"))
-    return jobs.migrate_classes(part.drop("p_size"), part.filter("p_size > 20").drop("p_size"), files)["statistics"]
+    files = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("path"), F.col("l_linenumber").alias("line"), F.col("l_partkey").alias("class_id"))
+    return jobs.migrate_classes(part.drop("p_size"), part.filter("p_size > 45").drop("p_size"), files)
+
+
+@query("c14", MIGRATED)
+def c14(spark, d):
+    return _migrated(spark, d)["files"]
+
+
+@query("a14", f"""
+SELECT count(*) FILTER (WHERE state = 'moved') AS moved, count(*) FILTER (WHERE state = 'same') AS same, count(*) FILTER (WHERE state = 'orphan') AS orphan,
+  count(DISTINCT CASE WHEN state = 'moved' THEN new_id END) AS merged_folders FROM ({MIGRATED})""")
+def a14(spark, d):
+    return _migrated(spark, d)["statistics"]
 
 
 @query("c15", """

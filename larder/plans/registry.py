@@ -1,8 +1,8 @@
 """All queries over the given tables."""
 
-from larder.plans import curation, functions, jobs, relational, rules
+from larder.plans import curation, functions, imports, jobs, recognition, relational, rules, sources
 from larder.plans.base import QUERIES, SQL
 
 flagship = relational.recipes_per_ingredient
 
-__all__ = ["QUERIES", "SQL", "curation", "flagship", "functions", "jobs", "relational", "rules"]
+__all__ = ["QUERIES", "SQL", "curation", "flagship", "functions", "imports", "jobs", "recognition", "relational", "rules", "sources"]

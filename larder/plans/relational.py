@@ -5,10 +5,10 @@ part stands for the ingredient master, lineitem for recipe lines and substitutio
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larder.operators import recipes, resolve
+from larder.operators import recipes, resolve, tables
 from larder.plans.base import query, table
 
 MERGE = "SELECT p_partkey AS old_id, min(p_partkey) OVER (PARTITION BY p_name) AS keep_id, p_name FROM part WHERE p_name IS NOT NULL AND p_name <> ''"
@@ -64,15 +64,16 @@ def w07(spark, d):
     return resolve.first_by(docs, ["_key"], [F.asc("doc_id")]).select("doc_id", "text")
 
 
-@query("p02", "SELECT p_partkey, coalesce(nullif(p_name, ''), p_type) AS name FROM part")
+@query("p02", "SELECT p_partkey, CASE WHEN p_size > 25 THEN p_type ELSE coalesce(nullif(p_name, ''), p_type) END AS name FROM part")
 def p02(spark, d):
-    return table(spark, d, "part").select("p_partkey", F.coalesce(F.nullif("p_name", F.lit("")), "p_type").alias("name"))
+    name = F.when(F.col("p_size") > 25, F.lit("")).otherwise(F.col("p_name"))
+    return table(spark, d, "part").select("p_partkey", tables.or_else(name, "p_type").alias("name"))
 
 
-@query("p03", "SELECT p_partkey, p_name, lower(trim(p_name)) AS new_name FROM part WHERE p_name IS DISTINCT FROM lower(trim(p_name))")
+@query("p03", "SELECT p_partkey, p_name, CASE WHEN p_size > 25 THEN upper(p_name) ELSE p_name END AS new_name FROM part WHERE p_size > 25 AND p_name IS DISTINCT FROM upper(p_name)")
 def p03(spark, d):
-    part = table(spark, d, "part").select("p_partkey", "p_name", F.lower(F.trim("p_name")).alias("new_name"))
-    return part.filter(~F.col("p_name").eqNullSafe(F.col("new_name")))
+    new = F.when(F.col("p_size") > 25, F.upper("p_name")).otherwise(F.col("p_name"))
+    return tables.changed(table(spark, d, "part").select("p_partkey", "p_name", new.alias("new_name")), "p_name", "new_name")
 
 
 @query("p09", """
@@ -80,14 +81,13 @@ WITH wanted AS (SELECT s_suppkey * 7 % 1000 AS id, s_suppkey AS pos FROM supplie
 SELECT p_partkey, p_name, pos FROM part JOIN first ON p_partkey = id""")
 def p09(spark, d):
     wanted = table(spark, d, "supplier").select((F.col("s_suppkey") * 7 % 1000).alias("p_partkey"), F.col("s_suppkey").alias("pos"))
-    first = wanted.groupBy("p_partkey").agg(F.min("pos").alias("pos"))
-    return table(spark, d, "part").join(first, "p_partkey").select("p_partkey", "p_name", "pos").orderBy("pos")
+    return tables.in_listed_order(table(spark, d, "part").select("p_partkey", "p_name"), "p_partkey", wanted, "pos")
 
 
 @query("p10", "SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_quantity >= 45)")
 def p10(spark, d):
-    wanted = table(spark, d, "lineitem").filter("l_quantity >= 45").select(F.col("l_orderkey").alias("o_orderkey"))
-    return table(spark, d, "orders").join(wanted, "o_orderkey", "left_semi").select("o_orderkey", "o_orderstatus")
+    orders = table(spark, d, "orders").select("o_orderkey", "o_orderstatus")
+    return tables.members(orders, "o_orderkey", table(spark, d, "lineitem").filter("l_quantity >= 45"), "l_orderkey")
 
 
 @query("p11", "SELECT p_partkey, p_name FROM part WHERE p_name IS NOT NULL AND p_name <> ''")
@@ -95,16 +95,16 @@ def p11(spark, d):
     return resolve.named(table(spark, d, "part"), "p_name").select("p_partkey", "p_name")
 
 
-@query("j01", "SELECT o_orderkey, o_orderpriority, l_partkey, l_quantity FROM lineitem JOIN orders ON l_orderkey = o_orderkey")
+@query("j01", "SELECT l_orderkey, o_orderpriority, l_partkey, l_quantity FROM lineitem JOIN orders ON l_orderkey = o_orderkey")
 def j01(spark, d):
-    lines, orders = table(spark, d, "lineitem"), table(spark, d, "orders")
-    return lines.join(orders, lines.l_orderkey == orders.o_orderkey).select("o_orderkey", "o_orderpriority", "l_partkey", "l_quantity")
+    lines = table(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_quantity")
+    return tables.enriched(lines, "l_orderkey", table(spark, d, "orders"), "o_orderkey", ["o_orderpriority"])
 
 
 @query("j02", "SELECT c_custkey, coalesce(n_name, '') AS n_name FROM customer LEFT JOIN (SELECT * FROM nation WHERE n_regionkey <> 2) ON c_nationkey = n_nationkey")
 def j02(spark, d):
-    customer, nation = table(spark, d, "customer"), table(spark, d, "nation").filter("n_regionkey <> 2")
-    return customer.join(nation, customer.c_nationkey == nation.n_nationkey, "left").select("c_custkey", F.coalesce("n_name", F.lit("")).alias("n_name"))
+    nation = table(spark, d, "nation").filter("n_regionkey <> 2")
+    return tables.with_default(table(spark, d, "customer"), "c_nationkey", nation, "n_nationkey", {"n_name": ""}).select("c_custkey", "n_name")
 
 
 @query("j03", "SELECT p_partkey, CASE WHEN p_size > 25 AND p_name IS DISTINCT FROM lower(p_type) THEN lower(p_type) ELSE p_name END AS p_name FROM part")
@@ -133,8 +133,8 @@ def j08(spark, d):
 
 @query("j09", "SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F')")
 def j09(spark, d):
-    gone = table(spark, d, "orders").filter("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("l_orderkey"))
-    return table(spark, d, "lineitem").join(gone, "l_orderkey", "left_anti").select("l_orderkey", "l_linenumber", "l_partkey")
+    lines = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
+    return tables.without_children_of(lines, "l_orderkey", table(spark, d, "orders").filter("o_orderstatus = 'F'"), "o_orderkey")
 
 
 @query("j10", "SELECT id AS o_orderkey FROM (SELECT unnest(range(0, (SELECT max(o_orderkey) + 1000 FROM orders) + 1)) AS id) WHERE id NOT IN (SELECT o_orderkey FROM orders)")
@@ -144,23 +144,21 @@ def j10(spark, d):
 
 
 @query("j11", """
-WITH l AS (SELECT p_partkey AS id, p_name AS name FROM part WHERE p_partkey % 10 <> 3),
-r AS (SELECT p_partkey AS id, CASE WHEN p_size = 7 THEN p_type ELSE p_name END AS name FROM part WHERE p_partkey % 10 <> 4)
+WITH l AS (SELECT p_partkey AS id, p_name AS name FROM part WHERE p_size <> 3),
+r AS (SELECT p_partkey AS id, CASE WHEN p_size = 7 THEN p_type ELSE p_name END AS name FROM part WHERE p_size <> 4)
 SELECT coalesce(l.id, r.id) AS id, CASE WHEN r.id IS NULL THEN 'missing' WHEN l.id IS NULL THEN 'extra' ELSE 'name' END AS issue
 FROM l FULL JOIN r ON l.id = r.id WHERE l.id IS NULL OR r.id IS NULL OR l.name IS DISTINCT FROM r.name""")
 def j11(spark, d):
     part = table(spark, d, "part")
-    left = part.filter("p_partkey % 10 <> 3").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("left_name"))
-    right = part.filter("p_partkey % 10 <> 4").select(F.col("p_partkey").alias("id"), F.when(F.col("p_size") == 7, F.col("p_type")).otherwise(F.col("p_name")).alias("right_name"))
-    both = left.withColumn("l", F.lit(1)).join(right.withColumn("r", F.lit(1)), "id", "full_outer")
-    issue = F.when(F.col("r").isNull(), "missing").when(F.col("l").isNull(), "extra").when(~F.col("left_name").eqNullSafe(F.col("right_name")), "name")
-    return both.select("id", issue.alias("issue")).filter("issue is not null")
+    left = part.filter("p_size <> 3").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"))
+    right = part.filter("p_size <> 4").select(F.col("p_partkey").alias("id"), F.when(F.col("p_size") == 7, F.col("p_type")).otherwise(F.col("p_name")).alias("name"))
+    return tables.audited(left, right, "id", "name")
 
 
-@query("j18", "SELECT p_partkey, p_name FROM part WHERE p_name NOT IN (SELECT DISTINCT p_name FROM part WHERE p_size <= 10)")
+@query("j18", "SELECT p_partkey, p_name FROM part WHERE p_name NOT IN (SELECT DISTINCT p_name FROM part WHERE p_size = 1)")
 def j18(spark, d):
     part = table(spark, d, "part")
-    return part.join(part.filter("p_size <= 10").select("p_name").distinct(), "p_name", "left_anti").select("p_partkey", "p_name")
+    return tables.outside_vocabulary(part.select("p_partkey", "p_name"), "p_name", part.filter("p_size = 1"), "p_name")
 
 
 @query("j19", "SELECT p_partkey AS old_id, new_id FROM part LEFT JOIN (SELECT p_name, min(p_partkey) AS new_id FROM part WHERE p_size > 45 GROUP BY p_name) USING (p_name)")
@@ -171,7 +169,7 @@ def j19(spark, d):
 
 @query("a01", "SELECT count(*) AS n_rows, count(DISTINCT CASE WHEN p_name <> '' THEN p_name END) AS n_names FROM part")
 def a01(spark, d):
-    return table(spark, d, "part").agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct(F.when(F.col("p_name") != "", F.col("p_name"))).alias("n_names"))
+    return tables.row_counts(table(spark, d, "part"), "p_name")
 
 
 GROUPS = "SELECT p_name, count(*) AS row_count, string_agg(CAST(p_partkey AS VARCHAR), ',' ORDER BY p_partkey) AS ids FROM part WHERE p_name <> '' GROUP BY p_name HAVING count(*) > 1"
@@ -201,7 +199,7 @@ def a04(spark, d):
 
 @query("a05", "SELECT p_name, count(*) AS n FROM part GROUP BY p_name")
 def a05(spark, d):
-    return table(spark, d, "part").groupBy("p_name").agg(F.count(F.lit(1)).alias("n")).orderBy("p_name")
+    return tables.vocabulary_counts(table(spark, d, "part"), "p_name")
 
 
 @query("a10", "SELECT min(doc_id) AS doc_id FROM documents GROUP BY text")
@@ -220,21 +218,19 @@ def c05(spark, d):
     return recipes.dedup_recipes(docs, {}, keys=["text"], recipe_id="doc_id")["deleted"]
 
 
-@query("t02", "SELECT p_partkey, p_name, lower(p_name) AS new_name FROM part WHERE p_name IS DISTINCT FROM upper(p_name) ORDER BY p_partkey LIMIT 50")
+@query("t02", "SELECT p_partkey, p_name, CASE WHEN p_size > 25 THEN upper(p_name) ELSE p_name END AS new_p_name FROM part WHERE p_size > 25 AND p_name IS DISTINCT FROM upper(p_name) ORDER BY p_partkey LIMIT 50")
 def t02(spark, d):
-    part = table(spark, d, "part").filter(~F.col("p_name").eqNullSafe(F.upper("p_name")))
-    return part.select("p_partkey", "p_name", F.lower("p_name").alias("new_name")).orderBy("p_partkey").limit(50)
+    return tables.preview(table(spark, d, "part"), "p_partkey", "p_name", F.when(F.col("p_size") > 25, F.upper("p_name")).otherwise(F.col("p_name")))
 
 
 @query("t03", "SELECT o_orderkey, o_orderpriority FROM orders ORDER BY o_orderkey LIMIT 50")
 def t03(spark, d):
-    return table(spark, d, "orders").select("o_orderkey", "o_orderpriority").orderBy("o_orderkey").limit(50)
+    return tables.sample(table(spark, d, "orders"), "o_orderkey", ["o_orderpriority"])
 
 
 @query("t07", "SELECT p_partkey, p_name, CASE WHEN p_size < 5 THEN 0 ELSE 1 END AS need FROM part ORDER BY need, p_partkey LIMIT 500")
 def t07(spark, d):
-    need = F.when(F.col("p_size") < 5, 0).otherwise(1).alias("need")
-    return table(spark, d, "part").select("p_partkey", "p_name", need).orderBy("need", F.coalesce("p_partkey", F.lit(999999))).limit(500)
+    return tables.needy_first(table(spark, d, "part"), "p_partkey", F.col("p_size") < 5).select("p_partkey", "p_name", "need").limit(500)
 
 
 @query("u02", f"""
@@ -242,16 +238,12 @@ SELECT 'rows' AS metric, count(*) AS n FROM part UNION ALL SELECT 'names', count
 UNION ALL SELECT 'merged', count(*) FROM ({MERGE}) WHERE old_id <> keep_id UNION ALL SELECT 'lines', count(*) FROM lineitem""")
 def u02(spark, d):
     part, lines = table(spark, d, "part"), table(spark, d, "lineitem")
-    report = part.agg(F.count(F.lit(1)).alias("n")).select(F.lit("rows").alias("metric"), "n")
-    report = report.unionByName(part.agg(F.countDistinct("p_name").alias("n")).select(F.lit("names").alias("metric"), "n"))
-    report = report.unionByName(_map(spark, d).filter("old_id <> keep_id").agg(F.count(F.lit(1)).alias("n")).select(F.lit("merged").alias("metric"), "n"))
-    return report.unionByName(lines.agg(F.count(F.lit(1)).alias("n")).select(F.lit("lines").alias("metric"), "n"))
+    return tables.report({"rows": part, "names": (part, "p_name"), "merged": _map(spark, d).filter("old_id <> keep_id"), "lines": lines})
 
 
 @query("u01", "SELECT DISTINCT l_partkey AS id, l_returnflag AS name FROM lineitem UNION SELECT DISTINCT l_suppkey, l_returnflag FROM lineitem")
 def u01(spark, d):
-    lines = table(spark, d, "lineitem")
-    return lines.selectExpr("stack(2, l_partkey, l_returnflag, l_suppkey, l_returnflag) AS (id, name)").distinct()
+    return tables.unpivoted(table(spark, d, "lineitem"), ["l_partkey", "l_suppkey"], "l_returnflag")
 
 
 @query("u03", """
@@ -260,13 +252,12 @@ UNION ALL SELECT p_partkey, 'right' FROM part WHERE p_size >= 20 AND p_partkey N
 def u03(spark, d):
     part = table(spark, d, "part")
     left, right = (part.filter(x).select(F.col("p_partkey").alias("id")) for x in ("p_size <= 30", "p_size >= 20"))
-    one = left.join(right, "id", "left_anti").withColumn("side", F.lit("left"))
-    return one.unionByName(right.join(left, "id", "left_anti").withColumn("side", F.lit("right")))
+    return tables.id_difference(left, right, "id")
 
 
 @query("u04", "SELECT DISTINCT p_name FROM part WHERE p_name <> ''")
 def u04(spark, d):
-    return resolve.named(table(spark, d, "part"), "p_name").select("p_name").distinct().orderBy("p_name")
+    return tables.distinct_names(table(spark, d, "part"), "p_name")
 
 
 @query("u05", """
@@ -279,18 +270,19 @@ def u05(spark, d):
 
 @query("s16", "SELECT p_name AS value FROM part WHERE p_name IS NOT NULL AND p_name <> ''")
 def s16(spark, d):
-    return resolve.named(table(spark, d, "part"), "p_name").select(F.col("p_name").alias("value"))
+    return tables.name_lines(table(spark, d, "part"), "p_name")
 
 
 @query("c02", f"""
-SELECT 'lines' AS part, count(*) AS n, CAST(sum(l_partkey) AS BIGINT) AS keys FROM ({DEDUP})
-UNION ALL SELECT 'edges', count(*), CAST(sum(base) AS BIGINT) FROM ({EDGES}) WHERE base <> sub
-UNION ALL SELECT 'master', count(DISTINCT keep_id), CAST(sum(DISTINCT keep_id) AS BIGINT) FROM ({MERGE})""")
+SELECT 'lines' AS part, l_orderkey AS a, l_partkey AS b, CAST(l_quantity AS VARCHAR) AS value FROM ({DEDUP})
+UNION ALL SELECT 'edges', base, sub, context FROM ({EDGES}) WHERE base <> sub
+UNION ALL SELECT DISTINCT 'master', keep_id, NULL, p_name FROM ({MERGE})""")
 def c02(spark, d):
     part, lines = table(spark, d, "part"), table(spark, d, "lineitem")
     out = resolve.normalize_and_merge(part, {"lines": (lines, "l_orderkey", "l_partkey")}, {}, _edges(spark, d), key="p_partkey", name="p_name", base="base", sub="sub", context="context")
-    total = lambda name, key: out[name].agg(F.count(F.lit(1)).alias("n"), F.sum(key).alias("keys")).select(F.lit(name).alias("part"), "n", "keys")
-    return total("lines", "l_partkey").unionByName(total("edges", "base")).unionByName(total("master", "p_partkey"))
+    rows = lambda name, a, b, value: out[name].select(F.lit(name).alias("part"), F.col(a).alias("a"), b.cast("long").alias("b"), F.col(value).cast("string").alias("value"))
+    lines_out, edges_out = rows("lines", "l_orderkey", F.col("l_partkey"), "l_quantity"), rows("edges", "base", F.col("sub"), "context")
+    return lines_out.unionByName(edges_out).unionByName(rows("master", "p_partkey", F.lit(None), "p_name"))
 
 
 @query("flagship", f"SELECT keep_id, p_name, count(DISTINCT l_orderkey) AS n_recipes FROM lineitem JOIN ({MERGE}) ON l_partkey = old_id GROUP BY keep_id, p_name")
@@ -322,5 +314,3 @@ def w05(spark, d):
 
     return ordinals(table(spark, d, "orders").filter("o_orderstatus <> 'P'"), ["o_orderdate", "o_orderkey"]).select("o_orderkey", "ordinal")
 
-
-__all__ = ["Window", "recipes_per_ingredient"]

@@ -10,8 +10,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Extensions of images, fixed values.
+# Extensions of images of training sets, of uploads that are merged into them, and columns of a review file.
 IMAGES = ["jpg", "jpeg", "png", "webp", "bmp"]
+UPLOADS = [*IMAGES, "gif"]
+REVIEW = ["left_id", "left_canonical_name", "left_normalized_name", "right_id", "right_canonical_name", "right_normalized_name", "similarity", "suggested_name", "approved", "memo"]
 
 
 def recipe_csv(spark: SparkSession, path: str) -> DataFrame:
@@ -31,14 +33,15 @@ def recipe_csv(spark: SparkSession, path: str) -> DataFrame:
 
 def dump_rows(spark: SparkSession, path: str, table: str, n_fields: int = 12) -> DataFrame:
     """Fields of the rows between a table's COPY header and its end mark; rows with another number of fields are flagged."""
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\r?\n")).alias("line_no", "line"), F.col("value").alias("_file"))
+    lines = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.posexplode(F.split("value", "\r?\n")).alias("line_no", "line"))
     head = F.min(F.when(F.col("line").startswith("COPY ") & F.contains("line", F.lit("FROM stdin")) & F.contains("line", F.lit(table)), F.col("line_no")))
-    marks = lines.groupBy(F.xxhash64("_file").alias("_key")).agg(head.alias("_head"), F.sort_array(F.collect_list(F.when(F.trim("line") == "\\.", F.col("line_no")))).alias("_ends"))
-    rows = lines.withColumn("_key", F.xxhash64("_file")).join(marks, "_key")
-    end = F.coalesce(F.get(F.filter("_ends", lambda e: e > F.col("_head")), F.lit(0)), F.lit(2**31 - 1))
+    heads = lines.groupBy("path").agg(head.alias("_head")).filter("_head is not null")
+    ends = lines.filter(F.trim("line") == "\\.").join(heads, "path").filter(F.col("line_no") > F.col("_head")).groupBy("path").agg(F.min("line_no").alias("_end"))
+    rows = lines.join(heads, "path").join(ends, "path", "left")
+    end = F.coalesce("_end", F.lit(2**31 - 1))
     inside = rows.filter((F.col("line_no") > F.col("_head")) & (F.col("line_no") < end) & (F.trim("line") != "") & ~F.trim("line").startswith("--"))
     fields = F.split("line", "\t")
-    return inside.select("line_no", fields.alias("fields"), (F.size(fields) == n_fields).alias("valid"))
+    return inside.select("path", "line_no", fields.alias("fields"), (F.size(fields) == n_fields).alias("valid"))
 
 
 def insert_ids(lines: DataFrame, line: str, table: str) -> DataFrame:
@@ -49,22 +52,55 @@ def insert_ids(lines: DataFrame, line: str, table: str) -> DataFrame:
 
 
 def label_map(spark: SparkSession, path: str) -> DataFrame:
-    """Rows of an object of objects below "labels"; ids that are no numbers become null."""
-    kind = "struct<labels:map<string,struct<displayName:string,normalizedName:string,categorySuggestion:string,ingredientId:string>>>"
-    parsed = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", kind)["labels"]).alias("label", "m"))
-    return parsed.select("label", F.col("m.displayName").alias("display_name"), F.col("m.normalizedName").alias("normalized_name"), F.col("m.categorySuggestion").alias("category"), F.col("m.ingredientId").try_cast("bigint").alias("ingredient_id"))
+    """Rows of an object of objects below "labels", in the file's order (place); ids that are no numbers become null."""
+    return label_entries(spark.read.text(path, wholetext=True), "value")
 
 
-def image_files(spark: SparkSession, path: str) -> DataFrame:
+def label_entries(texts: DataFrame, column: str) -> DataFrame:
+    """S03 of JSON texts. Fields have two spellings, of which the first counts; a name that is absent is the label itself."""
+    fields = ["displayName", "display_name", "normalizedName", "normalized_name", "categorySuggestion", "category_suggestion", "ingredientId", "ingredient_id"]
+    kind = f"struct<labels:map<string,struct<{','.join(f'{f}:string' for f in fields)}>>>"
+    parsed = texts.select(F.posexplode(F.map_entries(F.from_json(column, kind)["labels"])).alias("place", "e")).select("place", F.col("e.key").alias("label"), F.col("e.value").alias("m"))
+    either = lambda a, b: F.coalesce(F.col(f"m.{a}"), F.col(f"m.{b}"))
+    return parsed.filter("m is not null").select(
+        "place", "label", F.coalesce(either("displayName", "display_name"), "label").alias("display_name"), F.coalesce(either("normalizedName", "normalized_name"), "label").alias("normalized_name"),
+        either("categorySuggestion", "category_suggestion").alias("category"), either("ingredientId", "ingredient_id").try_cast("bigint").alias("ingredient_id"),
+    )
+
+
+def label_of_names(labels: DataFrame) -> DataFrame:
+    """S03, inverse view: normalized_name and its label; of labels with one name the last in the file's order."""
+    return labels.filter("normalized_name <> ''").groupBy("normalized_name").agg(F.max_by("label", "place").alias("label"))
+
+
+def review_pairs(spark: SparkSession, path: str) -> DataFrame:
+    """Pairs for review from CSV with a header, all columns as text."""
+    kind = ", ".join(f"{c} string" for c in REVIEW)
+    rows = spark.read.csv(path, schema=kind, header=True, enforceSchema=True, escape='"', multiLine=True)
+    return rows.select(*REVIEW)
+
+
+def image_files(spark: SparkSession, path: str, extensions: list[str] = IMAGES) -> DataFrame:
     """Path, split and class (the two folders above) of image files; contents aren't read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length")
-    parts = F.split("path", "/")
-    return files.filter(F.lower("path").rlike(rf"\.({'|'.join(IMAGES)})$")).select("path", "length", F.element_at(parts, -3).alias("split"), F.element_at(parts, -2).alias("class"))
+    return inventory(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length"), "path", extensions)
+
+
+def inventory(files: DataFrame, path: str, extensions: list[str] = IMAGES) -> DataFrame:
+    """S07 of a table of paths: those of images, in any case of the extension, with split and class."""
+    parts = F.split(path, "/")
+    return files.filter(F.lower(path).rlike(rf"\.({'|'.join(extensions)})$")).withColumns({"split": F.try_element_at(parts, F.lit(-3)), "class": F.try_element_at(parts, F.lit(-2))})
+
+
+def write_csv(df: DataFrame, path: str, *, mark: bool = False) -> None:
+    """With a header; each file can begin with a byte order mark, for spreadsheets."""
+    first = df.columns[0]
+    (df.withColumnRenamed(first, "\ufeff" + first) if mark else df).write.csv(path, header=True, escape='"', emptyValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
 
 
-def write_csv(df: DataFrame, path: str) -> None:
-    """With a header; files carry no byte order mark."""
-    df.write.csv(path, header=True, escape='"')
+def vocabulary_json(df: DataFrame, name: str) -> DataFrame:
+    """One row, the JSON of a vocabulary of bounded size: its names in order, how many there are, and rows."""
+    whole = df.agg(F.count(F.lit(1)).alias("rowCount"), F.countDistinct(name).alias("distinctNormalizedNames"), F.sort_array(F.collect_set(name)).alias("names"))
+    return whole.select(F.to_json(F.struct("rowCount", "distinctNormalizedNames", "names")).alias("value"))
 
 
 def label_json(df: DataFrame, key: str, fields: list[str]) -> DataFrame:
