@@ -10,9 +10,9 @@ The pair test undoes merges instead of running them: it takes back the later of
 until single characters are left, and fails when, at a point in time, the two parts that touch would have merged
 before the merge that was just taken back.
 
-No piece holds a space after another character, so text is tabled in units of one word with the spaces before it,
-and units are remembered, up to a fixed number in each worker. Characters that the vocabulary lacks stand alone
-and become bytes.
+No piece holds a space after another character, so text is tabled in units of one word with the spaces before it, and these in
+parts where a letter meets a sign that no piece joins with letters, such as a comma. Words and parts are remembered, up to a fixed
+number in each worker, those not met for long going first. Characters that the vocabulary lacks stand alone and become bytes.
 
 Defined cases: null texts are empty texts and give no ids; repeated rows get equal results; the replacement
 character stands for ids whose bytes are no UTF-8; an empty table gives an empty result.
@@ -31,19 +31,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larder.llm.common import documents, or_empty, small_batches
+from larder.llm.token_files import Remembered
 
 SPACE = "▁"
-REMEMBERED = 400_000
-LONGEST_REMEMBERED = 64
+REMEMBERED = 300_000
+LETTERS, SIGNS = "A-Za-zÀ-ɏ", ".,!?;:\n\"()"
 
 
 class PrefixTable:
     """Encoder and decoder of a SentencePiece BPE model without normalisation, with byte fallback."""
 
-    def __init__(self, model: str):
+    def __init__(self, model: str, as_bytes: bool = False):
         import ahocorasick
         import sentencepiece
 
+        self.as_bytes = as_bytes
         library = sentencepiece.SentencePieceProcessor(model_file=model)
         n = library.get_piece_size()
         self.text = [library.id_to_piece(i) for i in range(n)]
@@ -59,7 +61,10 @@ class PrefixTable:
             self.rank[i] = k
         self.parts: dict[int, tuple[int, int]] = {}
         self.known: dict[int, bool] = {}
-        self.units: dict[str, tuple[str, str, int, bytes]] = {}
+        # Words as they stand after a space, and parts of words: ids (as text or as bytes), and the decoded text.
+        self.words, self.parts_of_words = Remembered(REMEMBERED), Remembered(REMEMBERED)
+        signs = re.escape("".join(c for c in SIGNS if not any(re.search(f"[{LETTERS}]{re.escape(c)}|{re.escape(c)}[{LETTERS}]", p) for p in self.id)))
+        self.apart = re.compile(f"(?<=[{LETTERS}])(?=[{signs}])|(?<=[{signs}])(?=[{LETTERS}])") if signs else re.compile("(?!)")
         usable = [p for p in self.id if len(p) == 1 or self._merges_to(p)]
         self.automaton = ahocorasick.Automaton()
         for p in usable:
@@ -110,21 +115,14 @@ class PrefixTable:
 
     def encode_unit(self, unit: str) -> list[int]:
         """Fills the table of last tokens for one unit and reads the ids from its end."""
-        last: list[int] = [-1] * (len(unit) + 1)  # last[k]: last token of the first k characters; -2: a character outside the vocabulary
-        ends: list[list[tuple[int, int]]] = [[] for _ in unit]
-        for end, found in self.automaton.iter(unit):
-            ends[end].append(found)
-        known, compatible = self.known, self.compatible
-        for k, tokens in enumerate(ends, 1):
-            last[k] = -2
-            for length, token in sorted(tokens, reverse=True) if len(tokens) > 1 else tokens:
-                if k == length:
-                    last[k] = token
-                    break
-                prior = last[k - length]
-                if prior == -2 or (known[key] if (key := prior << 20 | token) in known else compatible(prior, token)):
-                    last[k] = token
-                    break
+        last: list[int] = [-2] * (len(unit) + 1)  # last[k]: last token of the first k characters; -2: a character outside the vocabulary
+        known, compatible, filled = self.known, self.compatible, -1
+        for end, (length, token) in self.automaton.iter(unit):  # for each end the longest token first
+            if end == filled:
+                continue
+            begin = end + 1 - length
+            if not begin or (prior := last[begin]) == -2 or (known[key] if (key := prior << 20 | token) in known else compatible(prior, token)):
+                last[end + 1], filled = token, end
         out, k = [], len(unit)
         while k:
             if (token := last[k]) == -2:
@@ -135,14 +133,20 @@ class PrefixTable:
                 k -= len(self.text[token])
         return out[::-1]
 
-    def _unit(self, unit: str) -> tuple[str, str, int, bytes]:
-        ids = self.encode_unit(unit)
-        row = (",".join(map(str, ids)), b"".join([self.decoded[i] for i in ids]).decode(errors="replace"), len(ids), np.array(ids, np.int32).tobytes())
-        if len(unit) <= LONGEST_REMEMBERED:
-            if len(self.units) >= REMEMBERED:
-                self.units.clear()
-            self.units[unit] = row
-        return row
+    def _row(self, ids: list[int]) -> tuple[str | bytes, str]:
+        held = np.array(ids, np.int32).tobytes() if self.as_bytes else ",".join(map(str, ids))
+        return held, b"".join([self.decoded[i] for i in ids]).decode(errors="replace")
+
+    def _word(self, word: str) -> tuple[str | bytes, str]:
+        """A word after a space, from its parts."""
+        known, rows = self.parts_of_words.now, []
+        for part in self.apart.split(SPACE + word):
+            if (row := known.get(part)) is None:
+                row = known[part] = self.parts_of_words.older.get(part) or self._row(self.encode_unit(part))
+            rows.append(row)
+        if len(rows) == 1:
+            return rows[0]
+        return (b"" if self.as_bytes else ",").join([r[0] for r in rows]), "".join([r[1] for r in rows])
 
     def split(self, text: str) -> list[str]:
         """Units of a text, the first with the space that encoding puts before it."""
@@ -151,20 +155,29 @@ class PrefixTable:
         marked = SPACE + text.replace(" ", SPACE)
         return re.findall(f"{SPACE}*[^{SPACE}]+|{SPACE}+", marked)
 
-    def rows(self, text: str) -> list[tuple[str, str, int, bytes]]:
-        units = self.units
-        return [units.get(u) or self._unit(u) for u in self.split(text)]
+    def rows(self, texts: list[str]) -> Iterator[tuple[list, list]]:
+        """Ids and decoded text of the units of each text."""
+        # Words between single spaces; texts with other spaces, or with the mark of a space as a character, go unit by unit.
+        split = [None if not t or SPACE in t or "  " in t or t[0] == " " or t[-1] == " " else t.split(" ") for t in texts]
+        known = self.words
+        for word in known.missing(set().union(*[w for w in split if w])):
+            known.now[word] = self._word(word)
+        for text, words in zip(texts, split, strict=True):
+            found = list(map(known.now.__getitem__, words)) if words else [self._row(self.encode_unit(u)) for u in self.split(text)]
+            yield [r[0] for r in found], [r[1] for r in found]
+        known.forget()
+        self.parts_of_words.forget()
 
     def encode(self, text: str) -> list[int]:
-        return np.frombuffer(b"".join([row[3] for row in self.rows(text)]), np.int32).tolist()
+        return [i for u in self.split(text) for i in self.encode_unit(u)]
 
     def decode(self, ids: list[int]) -> str:
         return b"".join([self.decoded[i] for i in ids]).decode(errors="replace").removeprefix(" ")
 
 
 @lru_cache(maxsize=2)
-def table(model: str) -> PrefixTable:
-    return PrefixTable(model)
+def table(model: str, as_bytes: bool) -> PrefixTable:
+    return PrefixTable(model, as_bytes)
 
 
 def encode_decode(docs: DataFrame, model: str, *, text: str = "text", doc_id: str = "doc_id", outputs: str = "digests") -> DataFrame:
@@ -172,25 +185,25 @@ def encode_decode(docs: DataFrame, model: str, *, text: str = "text", doc_id: st
     small_batches(docs.sparkSession)
 
     def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tool = table(model)
+        tool = table(model, False)
         hexed: Callable[[str], str] = lambda s: hashlib.sha256(s.encode()).hexdigest()
         for batch in batches:
             n, ids, back = [], [], []
-            for t in batch.column(1).to_pylist():
-                rows = tool.rows(t)
-                n.append(sum([r[2] for r in rows]))
-                ids.append(hexed(",".join([r[0] for r in rows])))
-                back.append(hexed("".join([r[1] for r in rows]).removeprefix(" ")))
+            for held, decoded in tool.rows(batch.column(1).to_pylist()):
+                line = ",".join(held)
+                n.append(line.count(",") + 1 if line else 0)
+                ids.append(hexed(line))
+                back.append(hexed("".join(decoded).removeprefix(" ")))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(back, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tool = table(model)
+        tool = table(model, True)
         for batch in batches:
             ids, back, same = [], [], []
-            for t in batch.column(1).to_pylist():
-                rows = tool.rows(t)
-                ids.append(b"".join([r[3] for r in rows]))
-                back.append("".join([r[1] for r in rows]).removeprefix(" "))
+            texts = batch.column(1).to_pylist()
+            for t, (held, decoded) in zip(texts, tool.rows(texts), strict=True):
+                ids.append(b"".join(held))
+                back.append("".join(decoded).removeprefix(" "))
                 same.append(back[-1] == t)
             sizes = np.array([len(x) // 4 for x in ids], np.int64)
             offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))

@@ -125,9 +125,10 @@ class UnitEncoder:
 class Remembered:
     """Units and their ids: a younger and an older half; what is met again moves to the younger."""
 
-    def __init__(self):
-        self.now: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+    def __init__(self, most: int = REMEMBERED):
+        self.most = most
+        self.now: dict = {}
+        self.older: dict = {}
 
     def missing(self, used: set[str]) -> set[str]:
         new = used - self.now.keys()
@@ -139,7 +140,7 @@ class Remembered:
 
     def forget(self) -> None:
         """Bounds what is held, between batches."""
-        if len(self.now) > REMEMBERED:
+        if len(self.now) > self.most:
             self.now, self.older = {}, {u: ids for u, ids in self.now.items() if len(u) <= LONGEST_REMEMBERED}
 
 
