@@ -1,20 +1,23 @@
 """Operator 5: removal of repeated byte strings, by column-wise construction of suffix order for many documents.
 
 A byte goes if it is covered by a string of ``length`` bytes that starts elsewhere too. Strings are dealt out so that equal
-ones meet: each belongs to the bucket of the smallest hash among its ``gram``-byte parts, and the strings of a text that
-follow one another in a bucket form one segment of bounded size. Buckets that get one segment hold nothing repeated, so
+ones meet: each belongs to the bucket of the smallest hash among its ``gram``-byte parts, its anchor, and the strings of a text
+that follow one another in a bucket form one segment of bounded size. Buckets that get one segment hold nothing repeated, so
 only segments of the others move; equal texts count once and are known to repeat.
 
-In a bucket, starts whose string has a hash of its own are cut away, and parts of segments that are equal as wholes repeat. In
-buckets where other parts are left, the suffix order of all parts is built by columns: each round puts one more symbol before every segment
-and inserts the new suffixes into the collection's Burrows-Wheeler transform, at the places that its last-to-first
-mapping gives; the common prefixes of new neighbours are one more than the least between the old ones. Afterwards a string
-repeats if the suffix that starts with it shares ``length`` symbols with a neighbour. Collections are bounded blocks of whole
-buckets in a task's memory rather than files of all documents: the rounds are then as many as a segment has bytes, not as many
-as the longest document has.
+In a bucket, equal strings have their anchor at one place, so segments are laid out in columns around it. From the last column to
+the first, each round puts one more symbol before the suffix of every segment: the symbols in suffix order are that column of the
+collection's Burrows-Wheeler transform, a stable sort by them gives the next order, and the common prefix of new
+neighbours is one more than the least between their old places. As suffixes of different columns can't be equal, the
+transform needs one column at a time, so a round costs a step for each segment and not one for each symbol so far. A string repeats if the suffix
+that starts with it shares ``length`` symbols with a neighbour. Segments that are equal as wholes are one row of the columns.
+Blocks of whole buckets stand in a task's memory; the files between the steps are Parquet tables and shuffles.
 
-A bucket above ``largest`` segments isn't gathered: its blocks exchange distinct 64-bit hashes of their strings by ranges, which is
-exact but for collisions inside one bucket.
+A bucket above ``largest`` segments isn't gathered: its blocks exchange distinct 128-bit fingerprints of their strings by ranges, as
+rows that hold many, so that no task sees the whole bucket. That, and the 128-bit keys of whole texts, is exact but for collisions.
+
+Shorter passages can be asked for beside: with ``passage``, runs of strings of that many bytes come first, and strings of
+``length`` bytes are sought inside those runs only, where alone they can be.
 
 Defined cases: null texts are empty texts and lose nothing, nor do texts shorter than ``length``; equal texts of that length or
 more lose everything; repeated rows are equal texts; an empty table gives an empty result; matches never cross documents.
@@ -30,66 +33,79 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larder.llm.common import documents, or_empty, small_batches, written
+from larder.llm.common import bucketed, documents, or_empty, removed, small_batches, written
 
 LENGTH, GRAM = 400, 32
-LARGEST_BUCKET = 500
-BLOCK_BYTES, COLUMN_BYTES = 2_000_000, 48_000
-_FACTOR = 0x9E3779B97F4A7C15
-_TABLE = np.random.default_rng(5).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: About 50 words: of runs of 51 words in the given tables, over 99 of 100 have more bytes.
+PASSAGE = 250
+LARGEST_BUCKET = 2_000
+BLOCK_BYTES, CHUNK_BYTES, ROWS = 2_000_000, 1_000_000, 4_000
+#: No byte of UTF-8; stands outside of segments and equals nothing.
+OUTSIDE = 255
+_FACTORS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+_TABLES = [np.random.default_rng(seed).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1) for seed in (5, 6)]
 
 
 class _Powers:
     """Powers of an odd number and of its inverse, for hashes of all substrings by differences of sums."""
 
-    def __init__(self):
+    def __init__(self, factor: int):
+        self.factor = factor
         self.up = self.down = np.ones(1, np.uint64)
 
     def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(self.up) < n:
             size = max(n, 65_536)
-            self.up = np.concatenate([[np.uint64(1)], np.cumprod(np.full(size, _FACTOR, np.uint64))])
-            self.down = np.concatenate([[np.uint64(1)], np.cumprod(np.full(size, pow(_FACTOR, -1, 2**64), np.uint64))])
+            self.up = np.concatenate([[np.uint64(1)], np.cumprod(np.full(size, self.factor, np.uint64))])
+            self.down = np.concatenate([[np.uint64(1)], np.cumprod(np.full(size, pow(self.factor, -1, 2**64), np.uint64))])
         return self.up[:n], self.down[:n]
 
 
-_POWERS = _Powers()
+_POWERS = [_Powers(f) for f in _FACTORS]
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    return h ^ (h >> np.uint64(29))
+    h ^= h >> np.uint64(32)
+    h *= np.uint64(0xD6E8FEB86659FD93)
+    h ^= h >> np.uint64(29)
+    return h
 
 
-def rolling(data: np.ndarray, width: int) -> np.ndarray:
-    """64-bit hashes of all substrings of this width."""
+def rolling(data: np.ndarray, width: int, which: int = 0) -> np.ndarray:
+    """64-bit hashes of all substrings of this width, of one of two independent families."""
     n = len(data)
-    up, down = _POWERS.upto(n + 1)
-    sums = np.concatenate([[np.uint64(0)], np.cumsum(_TABLE[data] * up[:n], dtype=np.uint64)])
-    return _mix((sums[width:] - sums[:-width]) * down[: n - width + 1])
-
-
-def sliding_least(x: np.ndarray, width: int) -> np.ndarray:
-    """The least of each run of width values."""
+    up, down = _POWERS[which].upto(n + 1)
+    sums = np.zeros(n + 1, np.uint64)
+    terms = _TABLES[which][data]
+    terms *= up[:n]
+    np.cumsum(terms, out=sums[1:])
+    out = sums[width:] - sums[:-width]
+    out *= down[: n - width + 1]
+    return _mix(out)
+
+
+def _sliding(x: np.ndarray, width: int, best: np.ufunc, filler: int) -> np.ndarray:
+    """The least (or greatest) of each run of width values."""
     n = len(x) - width + 1
-    padded = np.concatenate([x, np.full(-len(x) % width, np.iinfo(np.uint64).max, np.uint64)]).reshape(-1, width)
-    left = np.minimum.accumulate(padded, 1).ravel()
-    right = np.minimum.accumulate(padded[:, ::-1], 1)[:, ::-1].ravel()
-    return np.minimum(right[:n], left[width - 1 : width - 1 + n])
+    padded = np.concatenate([x, np.full(-len(x) % width, filler, np.uint64)]).reshape(-1, width)
+    left = best.accumulate(padded, 1).ravel()
+    right = best.accumulate(padded[:, ::-1], 1)[:, ::-1].ravel()
+    return best(right[:n], left[width - 1 : width - 1 + n])
+
 
+def segments(data: np.ndarray, sizes: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
+    """Text, bucket, first start, number of starts and anchor of each segment of texts that stand one after another.
 
-def segments(texts: list[bytes], length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Text, bucket, first start and number of starts of each segment, and whether one string could stand in it twice."""
-    sizes = np.array([len(t) for t in texts], np.int64)
+    The anchor is the place of the bucket's hash in the segment, or -1 if it stands there more than once.
+    """
     ends = np.cumsum(sizes)
-    data = np.frombuffer(b"".join(texts), np.uint8)
     if not (sizes >= length).any():
-        return (*[np.empty(0, np.int64)] * 4, np.empty(0, bool))
+        return tuple([np.empty(0, np.int64)] * 5)
     width = length - gram + 1
     hashes = rolling(data, gram)
-    least = sliding_least(hashes, width)
+    least = _sliding(hashes, width, np.minimum, 2**64 - 1)
     # Starts whose string stays inside its text; runs of one bucket break where that ends and where the bucket changes.
-    inside = np.zeros(len(least) + 1, np.int64)
+    inside = np.zeros(len(least) + 1, np.int32)
     long = sizes >= length
     np.add.at(inside, (ends - sizes)[long], 1)
     np.add.at(inside, np.minimum((ends - length + 1)[long], len(least)), -1)
@@ -101,80 +117,52 @@ def segments(texts: list[bytes], length: int, gram: int) -> tuple[np.ndarray, np
     stop = np.flatnonzero(np.concatenate([new | ~inside, [True]]))
     count = stop[np.searchsorted(stop, begin, "right")] - begin
     parts = -(-count // width)  # several where one bucket goes on, as in periodic texts
-    within = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
-    begin, count = np.repeat(begin, parts) + within * width, np.minimum(np.repeat(count, parts) - within * width, width)
+    if len(parts) != parts.sum():
+        within = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
+        begin, count = np.repeat(begin, parts) + within * width, np.minimum(np.repeat(count, parts) - within * width, width)
     bucket = least[begin]
-    reach = count + width - 1
-    first = np.cumsum(reach) - reach
-    at = np.repeat(begin - first, reach) + np.arange(reach.sum())
-    same = hashes[at] == np.repeat(bucket, reach)
-    twice = np.add.reduceat(same.astype(np.int64), first) > 1 if len(begin) else np.empty(0, bool)
+    # A hash is the least of some run if the greatest of the least values of the runs that hold it is the hash itself.
+    around = np.concatenate([np.zeros(width - 1, np.uint64), least, np.zeros(width - 1, np.uint64)])
+    places = np.flatnonzero(_sliding(around, width, np.maximum, 0) == hashes)
+    low, high = np.searchsorted(places, begin), np.searchsorted(places, begin + count + width - 1)
+    held = high - low
+    first = np.cumsum(held) - held
+    at = places[np.repeat(low - first, held) + np.arange(held.sum())]
+    same = hashes[at] == np.repeat(bucket, held)
+    times = np.add.reduceat(same.astype(np.int64), first)
+    where = np.add.reduceat(np.where(same, at, 0), first)
     text = np.searchsorted(ends, begin, "right")
-    return text, bucket.view(np.int64), begin - (ends - sizes)[text], count, twice
+    return text, bucket.view(np.int64), begin - (ends - sizes)[text], count, np.where(times == 1, where - begin, -1)
 
 
-def repeated_starts(texts: list[bytes], length: int) -> list[np.ndarray]:
-    """For each text, whether the string of this length at each start repeats in the collection.
+def repeated_starts(columns: np.ndarray, group: np.ndarray, length: int, starts: int) -> np.ndarray:
+    """Whether the string of this length at each of the first columns (rows of the result) repeats in its group.
 
-    Rounds from the last symbol to the first; ``bwt`` has, in suffix order, the symbol before each suffix (0: none), and
-    ``lcp`` the common prefix with the suffix before, up to length.
+    columns: the symbols of all segments (one each) column after column; group: of each segment, in ascending order. Each round
+    inserts one symbol of each segment. ``order`` is the suffix order in each group, ``common`` the common prefix with the suffix before.
     """
-    m = len(texts)
-    sizes = np.array([len(t) for t in texts])
-    padded = np.zeros((m, int(sizes.max()) + 1), np.uint8)  # right-aligned, symbols 1 to 255
-    for i, t in enumerate(texts):
-        padded[i, padded.shape[1] - len(t) :] = np.frombuffer(t, np.uint8) + 1
-    columns = np.ascontiguousarray(padded.T)[::-1]  # columns[j]: the symbol before the suffix of j symbols
-    bwt, lcp = columns[0].copy(), np.zeros(m + 1, np.int16)
-    at, who = np.arange(m), np.arange(m)
-    ended = np.searchsorted(np.sort(sizes), np.arange(int(sizes.max()) + 2))  # texts with fewer symbols than j
-    for j in range(1, int(sizes.max()) + 1):
-        going = sizes[who] >= j
-        at, who = at[going], who[going]
-        order = np.argsort(bwt, kind="stable")
-        place = np.empty(len(bwt), np.int32)
-        place[order] = np.arange(len(bwt), dtype=np.int32)
-        k, symbol = place[at], bwt[at]
-        n = len(bwt)
-        padded_order = np.append(order, 0)
-        before, after = order[k - 1], padded_order[k + 1]
-        has_before, has_after = (k > 0) & (bwt[before] == symbol), (k + 1 < n) & (bwt[np.minimum(after, n - 1)] == symbol)
-        new = m + k - ended[j]
-        own = np.zeros(len(at), np.int16)
-        if has_before.any():
-            own[has_before] = _least_between(lcp, before[has_before] + 1, at[has_before] + 1)
-        follow = _least_between(lcp, at[has_after] + 1, after[has_after] + 1) if has_after.any() else own[:0]
-        sorted_ = np.argsort(new)
-        bwt2, lcp2 = np.empty(n + len(at), np.uint8), np.zeros(n + len(at) + 1, np.int16)
-        old = np.ones(n + len(at), bool)
-        old[new] = False
-        bwt2[old], lcp2[:-1][old] = bwt, lcp[:-1]
-        bwt2[new] = columns[j][who]
-        lcp2[new[has_after] + 1] = np.minimum(follow + 1, length)
-        lcp2[new] = np.where(has_before, np.minimum(own + 1, length), 0)
-        bwt, lcp = bwt2, lcp2
-        at, who = new[sorted_], who[sorted_]
-    # Walk all texts from their ends once more to learn the place of each suffix.
-    order = np.argsort(bwt, kind="stable")
-    place = np.empty(len(bwt), np.int32)
-    place[order] = np.arange(len(bwt), dtype=np.int32)
-    place += m - np.count_nonzero(bwt == 0)
-    joined = (lcp[:-1] >= length) | (lcp[1:] >= length)
-    out = [np.zeros(max(0, s - length + 1), bool) for s in sizes]
-    at = np.arange(m)
-    flags = np.zeros((int(sizes.max()) + 1, m), bool)
-    for j in range(1, int(sizes.max()) + 1):
-        going = sizes >= j
-        at[going] = place[at[going]]
-        flags[j, going] = joined[at[going]]
-    for i, s in enumerate(sizes):
-        if s >= length:
-            out[i] = flags[length : s + 1, i][::-1]
-    return out
-
-
-def _least_between(x: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-    return np.minimum.reduceat(x, np.stack([begin, end], 1).ravel())[::2]
+    m = columns.shape[1]
+    group = group.astype(np.uint16) if group[-1] < 2**16 else group
+    near = group[1:] == group[:-1]
+    order, common = np.arange(m), np.zeros(m + 1, np.int32)
+    flags = np.zeros((starts, m), bool)
+    for c in range(columns.shape[0] - 1, -1, -1):
+        symbol = columns[c][order]  # this column of the transform
+        place = np.argsort(symbol, kind="stable")
+        place = place[np.argsort(group[place], kind="stable")]
+        symbol = symbol[place]
+        k = np.flatnonzero((symbol[1:] == symbol[:-1]) & near & (symbol[1:] != OUTSIDE))
+        ends = np.empty(2 * len(k), np.int64)
+        ends[::2], ends[1::2] = place[k], place[k + 1]
+        ends += 1
+        longer = np.zeros(m + 1, np.int32)
+        if len(k):
+            longer[k + 1] = np.minimum(np.minimum.reduceat(common, ends)[::2] + 1, length)
+        order, common = order[place], longer
+        if c < starts:
+            full = common >= length
+            flags[c, order] = full[:-1] | full[1:]
+    return flags
 
 
 def _runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -182,190 +170,328 @@ def _runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return edge[::2], edge[1::2]
 
 
-def repeated_runs(rows: list[tuple[int, bytes]], length: int, block: int = COLUMN_BYTES) -> list[tuple[int, int, int]]:
-    """(row, first, end) of repeated starts in rows of (bucket, segment), sorted by bucket.
-
-    Starts whose string has a hash of its own can't repeat and are cut away; of what is left, equal parts repeat as wholes.
-    Suffix order decides in the buckets where other parts are left too.
+def bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a binary column one after another, and where each value begins and the last ends."""
+    ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    data = column.buffers()[2]
+    return (np.frombuffer(data, np.uint8)[ends[0] : ends[-1]] if data is not None else np.empty(0, np.uint8)), ends - ends[0]
+
+
+def repeated_runs(bucket: np.ndarray, anchor: np.ndarray, column: pa.Array, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, first, end) of runs of repeated starts in segments, which are sorted by bucket."""
+    code = np.asarray(column.dictionary_encode().indices)
+    n = len(code)
+    times = np.bincount(code)
+    one = np.full(len(times), n)
+    np.minimum.at(one, code, np.arange(n))
+    data, ends = bytes_of(column)
+    count = np.diff(ends) - length + 1
+    whole = np.flatnonzero(times[code] > 1)
+    found = [(whole, np.zeros(len(whole), np.int64), count[whole])]
+    # A row of the columns for each anchor of each distinct segment: the strings whose first anchor it is.
+    plain = one[anchor[one] >= 0]
+    rows, place, begin, end = plain, anchor[plain], np.zeros(len(plain), np.int64), count[plain]
+    times_of = times[code[plain]]
+    several = _by_anchor([(i, np.flatnonzero(rolling(data[ends[i] : ends[i + 1]], gram).view(np.int64) == bucket[i])) for i in one[anchor[one] < 0].tolist()], data, ends, count, times[code], length)
+    if several:
+        settled = [(i, a, b) for n, uses in several if n > 1 for i, _, a, b in uses]
+        if settled:
+            found.append(tuple(np.array(x, np.int64) for x in zip(*settled, strict=True)))
+        more = np.array([uses[0] for _, uses in several], np.int64)
+        rows, place, begin, end = (np.concatenate([x, y]) for x, y in zip((rows, place, begin, end), more.T, strict=True))
+        times_of = np.concatenate([times_of, [n for n, _ in several]])
+    by_bucket = np.argsort(rows, kind="stable")
+    rows, place, begin, end, times_of = (x[by_bucket] for x in (rows, place, begin, end, times_of))
+    # Buckets with several such rows, one of which is open.
+    group = np.unique(np.cumsum(np.concatenate([[0], np.diff(bucket) != 0]))[rows], return_inverse=True)[1]
+    asked = np.bincount(group, times_of == 1) > 0
+    keep = (asked & (np.bincount(group) > 1))[group]
+    rows, place, begin, end, times_of, group = (x[keep] for x in (rows, place, begin, end, times_of, group))
+    starts = length - gram + 1
+    # Whole buckets, ROWS rows at a time.
+    cuts = np.unique(np.concatenate([[0], np.searchsorted(group, group[ROWS::ROWS]), [len(rows)]])) if len(rows) else [0]
+    for low, high in zip(cuts, cuts[1:], strict=False):
+        part = slice(low, high)
+        first = starts - 1 - place[part]  # the column of a segment's first byte
+        table = np.full((high - low, starts - 1 + length), OUTSIDE, np.uint8)
+        for k, (i, c, a, b) in enumerate(zip(rows[part].tolist(), first.tolist(), begin[part].tolist(), end[part].tolist(), strict=True)):
+            table[k, c + a : c + b + length - 1] = data[ends[i] + a : ends[i] + b + length - 1]
+        flags = repeated_starts(np.ascontiguousarray(table.T), np.unique(group[part], return_inverse=True)[1], length, starts).T
+        open_ = times_of[part] == 1
+        edge = np.diff(flags[open_].view(np.int8), axis=1, prepend=np.int8(0), append=np.int8(0))
+        k, c = np.nonzero(edge)
+        k, c = k[::2], c.reshape(-1, 2)
+        found.append((rows[part][open_][k], c[:, 0] - first[open_][k], c[:, 1] - first[open_][k]))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
+def _by_anchor(segments: list[tuple[int, np.ndarray]], data: np.ndarray, ends: np.ndarray, count: np.ndarray, times: np.ndarray, length: int) -> list[tuple[int, list[tuple[int, int, int, int]]]]:
+    """How often each distinct part occurs, and its uses (segment, anchor, first start, end), of segments with several anchors.
+
+    A part holds the strings whose first anchor is one; periodic texts give equal parts.
     """
-    distinct: dict[bytes, list[int]] = {}
-    for i, (_, data) in enumerate(rows):
-        distinct.setdefault(data, []).append(i)
-    texts, places = list(distinct), list(distinct.values())
-    sizes = np.array([len(t) for t in texts])
-    begins = np.cumsum(sizes) - sizes
-    hashes = rolling(np.frombuffer(b"".join(texts), np.uint8), length)
-    counts = sizes - length + 1
-    first = np.cumsum(counts) - counts
-    owner = np.repeat(np.arange(len(texts)), counts)
-    hashes = hashes[begins[owner] + np.arange(counts.sum()) - first[owner]]
-    _, inverse = np.unique(hashes, return_inverse=True)
-    again = np.bincount(inverse, np.array([len(p) for p in places])[owner])[inverse] > 1
-    parts: dict[bytes, list[tuple[int, int, int]]] = {}  # part of a segment: rows and starts that have it
-    for t in np.unique(owner[again]):
-        for a, b in zip(*_runs(again[first[t] : first[t] + counts[t]]), strict=True):
-            parts.setdefault(texts[t][a : b + length - 1], []).extend((i, int(a), int(b)) for i in places[t])
-    out = [x for found in parts.values() if len(found) > 1 for x in found]
-    lonely = {rows[found[0][0]][0] for found in parts.values() if len(found) == 1}
-    asked = sorted((rows[found[0][0]][0], part) for part, found in parts.items() if rows[found[0][0]][0] in lonely)
-    held: list[bytes] = []
-    for k, (bucket, part) in enumerate(asked):
-        held.append(part)
-        last = k + 1 == len(asked)
-        if last or (sum(map(len, held)) >= block and asked[k + 1][0] != bucket):
-            for text, flags in zip(held, repeated_starts(held, length), strict=True):
-                if len(parts[text]) == 1:
-                    i, a, _ = parts[text][0]
-                    out += [(i, a + int(x), a + int(y)) for x, y in zip(*_runs(flags), strict=True)]
-            held = []
-    return out
-
-
-def _texts_with_segments(rows: DataFrame, length: int, gram: int) -> DataFrame:
+    parts: dict[tuple[int, bytes], list] = {}
+    for i, places in segments:
+        begin = 0
+        for place in places.tolist():
+            end = min(place + 1, int(count[i]))
+            if begin < end:
+                key = (place - begin, data[ends[i] + begin : ends[i] + end + length - 1].tobytes())
+                held = parts.setdefault(key, [0, []])
+                held[0] += int(times[i])
+                held[1].append((i, place, begin, end))
+            begin = place + 1
+    return [(n, uses) for n, uses in parts.values()]
+
+
+def _whole_blocks(batches: Iterator[pa.RecordBatch], limit: int, keys: int = 1) -> Iterator[pa.Table]:
+    """Tables of about limit bytes from batches sorted by their first columns; rows with equal ones stay together."""
+    held: list[pa.Table] = []
+    size, last = 0, None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key = np.stack([batch.column(k).to_numpy() for k in range(keys)])
+        table = pa.Table.from_batches([batch])
+        if size >= limit and last != tuple(key[:, 0]):
+            yield pa.concat_tables(held)
+            held, size = [], 0
+        last = tuple(key[:, -1])
+        cut = int(np.flatnonzero((key != key[:, -1:]).any(0))[-1]) + 1 if (key != key[:, -1:]).any() else 0
+        if size + batch.nbytes >= limit and cut:
+            yield pa.concat_tables([*held, table.slice(0, cut)])
+            held, size, table = [], 0, table.slice(cut)
+        held.append(table)
+        size += table.nbytes
+    if held:
+        yield pa.concat_tables(held)
+
+
+def _column(table: pa.Table, k: int) -> np.ndarray:
+    return table.column(k).to_numpy()
+
+
+def _with_segments(rows: DataFrame, length: int, gram: int) -> DataFrame:
+    """The segments of each row (h1, h2, data) as lists."""
+
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            text, *columns = segments([t.encode("utf-8", "surrogatepass") for t in batch.column(2).to_pylist()], length, gram)
-            offsets = pa.array(np.searchsorted(text, np.arange(batch.num_rows + 1)).astype(np.int32))
-            lists = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in columns]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *lists], ["h1", "h2", "buckets", "starts", "counts", "twice"])
+            # Parts of bounded size: the working arrays take many bytes for each byte of text.
+            ends = bytes_of(batch.column(2))[1]
+            cuts = [0, *(np.flatnonzero(np.diff(ends[1:] // CHUNK_BYTES)) + 1).tolist(), batch.num_rows]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                if b > a:
+                    yield listed(batch.slice(a, b - a))
+
+    def listed(batch: pa.RecordBatch) -> pa.RecordBatch:
+        data, ends = bytes_of(batch.column(2))
+        text, *columns = segments(data, np.diff(ends), length, gram)
+        offsets = pa.array(np.searchsorted(text, np.arange(batch.num_rows + 1)).astype(np.int32))
+        kinds = [np.int64, np.int32, np.int16, np.int16]
+        lists = [pa.ListArray.from_arrays(offsets, pa.array(x.astype(t))) for x, t in zip(columns, kinds, strict=True)]
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *lists], ["h1", "h2", "buckets", "starts", "counts", "anchors"])
 
-    return rows.select("h1", "h2", "text").mapInArrow(find, "h1 long, h2 long, buckets array<long>, starts array<long>, counts array<long>, twice array<boolean>")
+    return rows.select("h1", "h2", "data").mapInArrow(find, "h1 long, h2 long, buckets array<long>, starts array<int>, counts array<short>, anchors array<short>")
 
 
 def _cut_segments(texts: DataFrame, length: int) -> DataFrame:
-    """A row for each wanted segment: its bucket and the size of that, its text, start and bytes."""
+    """A row for each wanted segment: its bucket and the size of that, its text, start, anchor and bytes."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                data = row["text"].encode("utf-8", "surrogatepass")
-                w = row["wanted"]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([x["bucket"] for x in w], pa.int64()), pa.array([x["size"] for x in w], pa.int64()), pa.array([row["h1"]] * len(w), pa.int64()), pa.array([row["h2"]] * len(w), pa.int64()),
-                        pa.array([x["start"] for x in w], pa.int64()), pa.array([data[x["start"] : x["start"] + x["n"] + length - 1] for x in w], pa.binary()),
-                    ],
-                    ["bucket", "size", "h1", "h2", "start", "bytes"],
-                )
+            data, ends = bytes_of(batch.column(2))
+            lists = batch.column(3)
+            at = lists.offsets.to_numpy()
+            bucket, size, start, count, anchor = (x.to_numpy() for x in lists.flatten().flatten())
+            row = np.repeat(np.arange(len(lists)), np.diff(at))
+            begin, n = ends[:-1][row] + start, count.astype(np.int64) + length - 1
+            offsets = np.concatenate([[0], np.cumsum(n)])
+            held = memoryview(data)
+            joined = b"".join([held[a : a + k] for a, k in zip(begin.tolist(), n.tolist(), strict=True)])
+            parts = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(joined)])
+            h1, h2 = (batch.column(k).to_numpy()[row] for k in (0, 1))
+            yield pa.RecordBatch.from_arrays([*map(pa.array, (bucket, size, h1, h2, start, anchor)), parts], ["bucket", "size", "h1", "h2", "start", "anchor", "bytes"])
+
+    return texts.select("h1", "h2", "data", "wanted").mapInArrow(cut, "bucket long, size long, h1 long, h2 long, start int, anchor short, bytes binary")
+
+
+def _by_columns(rows: DataFrame, length: int, gram: int, block_bytes: int) -> DataFrame:
+    """Runs (h1, h2, first, end) of repeated starts, from whole buckets in blocks of bounded size."""
 
-    return texts.mapInArrow(cut, "bucket long, size long, h1 long, h2 long, start long, bytes binary")
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in _whole_blocks(batches, block_bytes):
+            row, first, end = repeated_runs(_column(block, 0), _column(block, 4).astype(np.int64), block.column(5).combine_chunks(), length, gram)
+            if len(row):
+                start = _column(block, 3).astype(np.int64)[row]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (_column(block, 1)[row], _column(block, 2)[row], start + first, start + end)], ["h1", "h2", "first", "end"])
 
+    dealt = rows.select("bucket", "h1", "h2", "start", "anchor", "bytes").repartition("bucket").sortWithinPartitions("bucket")
+    return dealt.mapInArrow(find, "h1 long, h2 long, first long, end long")
 
-def _by_columns(rows: DataFrame, length: int, block_bytes: int) -> DataFrame:
-    """Runs (h1, h2, first, end) of repeated starts, from whole buckets in blocks of bounded size."""
 
-    def solve(held: list[dict]) -> pa.RecordBatch | None:
-        out = [(held[i]["h1"], held[i]["h2"], held[i]["start"] + a, held[i]["start"] + b) for i, a, b in repeated_runs([(r["bucket"], r["bytes"]) for r in held], length)]
-        if not out:
-            return None
-        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], ["h1", "h2", "first", "end"])
+_PRINT = np.dtype([("a", "<u8"), ("b", "<u8")])
 
-    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[dict] = []
-        size = 0
-        for batch in batches:
-            for row in batch.to_pylist():
-                if size >= block_bytes and row["bucket"] != held[-1]["bucket"]:
-                    if (out := solve(held)) is not None:
-                        yield out
-                    held, size = [], 0
-                held.append(row)
-                size += len(row["bytes"])
-        if held and (out := solve(held)) is not None:
-            yield out
-
-    return rows.select("bucket", "h1", "h2", "start", "bytes").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(find, "h1 long, h2 long, first long, end long")
-
-
-def _whole_groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[dict]]:
-    """Runs of rows with equal first columns; the input is sorted by them."""
-    held: list[dict] = []
-    for batch in batches:
-        names = batch.schema.names[:keys]
-        for row in batch.to_pylist():
-            if held and any(held[0][n] != row[n] for n in names):
-                yield held
-                held = []
-            held.append(row)
-    if held:
-        yield held
+
+def _prints(column: pa.Array, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """128-bit fingerprints of all strings of all values, and how many each value has."""
+    data, ends = bytes_of(column)
+    count = np.diff(ends) - length + 1
+    first = np.cumsum(count) - count
+    at = np.arange(count.sum()) + np.repeat(ends[:-1] - first, count)
+    out = np.empty(len(at), _PRINT)
+    for which, name in enumerate("ab"):
+        out[name] = rolling(data, length, which)[at]
+    return out, count
+
+
+def _alike(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order by fingerprint, and the number of each one's group in that order."""
+    order = np.lexsort((prints["b"], prints["a"]))
+    s = prints[order]
+    return order, np.cumsum(np.concatenate([[0], s[1:] != s[:-1]])) if len(s) else np.empty(0, np.int64)
 
 
-def _by_hashes(rows: DataFrame, length: int, largest: int) -> DataFrame:
+def _by_prints(rows: DataFrame, length: int, largest: int, block_bytes: int) -> DataFrame:
     """The same for segments of large buckets, which have their bucket's size.
 
-    A bucket's segments fall into blocks of bounded size. Each block sends the distinct hashes of its strings, in as many ranges as
-    there are blocks; a task for a range of a bucket finds hashes of several blocks, or of several places in one, and each block
-    hears which of its own these are. Rows are as many as pairs of blocks, not as strings.
+    A bucket's segments fall into blocks of bounded size. Each block sends the distinct fingerprints of its strings in ranges, a row
+    for each range that it has any of; the task of a range finds those of several blocks, or of several places in one,
+    and each block hears which of its own these are.
     """
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in _whole_groups(batches, 2):
-            hashes, counts = np.unique(np.concatenate([rolling(np.frombuffer(r["bytes"], np.uint8), length) for r in group]), return_counts=True)
-            blocks = group[0]["blocks"]
-            part = (hashes % np.uint64(blocks)).astype(np.int64)
-            chosen = [part == r for r in range(blocks)]
-            columns = [pa.array([group[0]["bucket"]] * blocks, pa.int64()), pa.array(range(blocks), pa.int64()), pa.array([group[0]["block"]] * blocks, pa.int64())]
-            packed = [pa.array([x[c].tobytes() for c in chosen], pa.binary()) for x in (hashes, counts > 1)]
-            yield pa.RecordBatch.from_arrays([*columns, *packed], ["bucket", "range", "block", "hashes", "again"])
+        for block in _whole_blocks(batches, 1, 2):
+            prints, _ = _prints(block.column(3).combine_chunks(), length)
+            order, group = _alike(prints)
+            first = np.concatenate([[0], np.flatnonzero(np.diff(group)) + 1])
+            own, again = prints[order][first], np.diff(np.concatenate([first, [len(group)]])) > 1
+            ranges = own["a"] % np.uint64(_column(block, 2)[0])
+            for r in np.unique(ranges).tolist():
+                chosen = ranges == r
+                yield pa.RecordBatch.from_pydict({"bucket": [_column(block, 0)[0]], "range": [r], "block": [_column(block, 1)[0]], "prints": [own[chosen].tobytes()], "again": [again[chosen].tobytes()]}, schema)
+
+    schema = pa.schema([("bucket", pa.int64()), ("range", pa.int64()), ("block", pa.int64()), ("prints", pa.binary()), ("again", pa.binary())])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in _whole_groups(batches, 2):
-            own = [np.frombuffer(r["hashes"], np.uint64) for r in group]
-            hashes, inverse = np.unique(np.concatenate(own), return_inverse=True)
-            again = np.bincount(inverse, minlength=len(hashes)) > 1
-            again[inverse[np.concatenate([np.frombuffer(r["again"], bool) for r in group])]] = True
-            ends = np.cumsum([len(o) for o in own])
-            told = [o[again[inverse[e - len(o) : e]]].tobytes() for o, e in zip(own, ends, strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array([r["bucket"] for r in group], pa.int64()), pa.array([r["block"] for r in group], pa.int64()), pa.array(told, pa.binary())], ["bucket", "block", "told"])
+        for group in _whole_blocks(batches, 1, 2):
+            data, ends = bytes_of(group.column(3).combine_chunks())
+            prints, again = np.frombuffer(data.tobytes(), _PRINT), bytes_of(group.column(4).combine_chunks())[0].view(bool)
+            order, number = _alike(prints)
+            several = np.bincount(number) > 1
+            several[number[again[order]]] = True
+            told = np.zeros(len(prints), bool)
+            told[order] = several[number]
+            mine = [prints[a:b][told[a:b]].tobytes() for a, b in zip(ends[:-1] // 16, ends[1:] // 16, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(_column(group, 0)), pa.array(_column(group, 2)), pa.array(mine, pa.binary())], ["bucket", "block", "told"])
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in _whole_groups(batches, 2):
-            told = np.sort(np.concatenate([np.frombuffer(r["told"] or b"", np.uint64) for r in group]))
-            out = []
-            for r in group:
-                if r["bytes"] is not None and len(told):
-                    mine = rolling(np.frombuffer(r["bytes"], np.uint8), length)
-                    flags = told[np.minimum(np.searchsorted(told, mine), len(told) - 1)] == mine
-                    out += [(r["h1"], r["h2"], r["start"] + int(a), r["start"] + int(b)) for a, b in zip(*_runs(flags), strict=True)]
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], ["h1", "h2", "first", "end"])
+        for group in _whole_blocks(batches, 1, 2):
+            said = group.column(6).drop_null()
+            told = np.frombuffer(b"".join(said.to_pylist()), _PRINT)
+            group = group.filter(group.column(5).is_valid())
+            if not len(told) or not group.num_rows:
+                continue
+            prints, count = _prints(group.column(5).combine_chunks(), length)
+            order, number = _alike(np.concatenate([told, prints]))
+            known = np.zeros(len(order), bool)
+            hit = np.zeros(number[-1] + 1, bool)
+            hit[number[order < len(told)]] = True
+            known[order] = hit[number]
+            known = known[len(told) :]
+            # A run ends where its segment does.
+            ends = np.cumsum(count)
+            apart = np.insert(known, ends, False)
+            a, b = _runs(apart)
+            row = np.searchsorted(ends + np.arange(1, len(ends) + 1), a, "right")
+            base = _column(group, 4).astype(np.int64)[row] - (ends - count)[row] - row
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (_column(group, 2)[row], _column(group, 3)[row], a + base, b + base)], ["h1", "h2", "first", "end"])
 
     blocks = F.ceil(F.col("size") / largest)
-    placed = rows.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("h1", "h2", "start"), F.col("blocks")))
-    placed = written(placed.select("bucket", "block", "blocks", "h1", "h2", "start", "bytes"), "repeats-blocks")
-    in_blocks = placed.select("bucket", "block", "blocks", "bytes").repartition("bucket", "block").sortWithinPartitions("bucket", "block")
-    sent = in_blocks.mapInArrow(send, "bucket long, range long, block long, hashes binary, again binary")
+    placed = rows.withColumn("ranges", blocks).withColumn("block", F.pmod(F.xxhash64("h1", "h2", "start"), blocks))
+    placed = written(placed.select("bucket", "block", "ranges", "h1", "h2", "start", "bytes"), "repeats-blocks")
+    in_blocks = placed.select("bucket", "block", "ranges", "bytes").repartition("bucket", "block").sortWithinPartitions("bucket", "block")
+    sent = in_blocks.mapInArrow(send, "bucket long, range long, block long, prints binary, again binary")
     told = sent.repartition("bucket", "range").sortWithinPartitions("bucket", "range").mapInArrow(compare, "bucket long, block long, told binary")
-    both = placed.drop("blocks").withColumn("told", F.lit(None).cast("binary")).unionByName(told, allowMissingColumns=True)
+    both = placed.drop("ranges").withColumn("told", F.lit(None).cast("binary")).unionByName(told, allowMissingColumns=True)
     dealt = both.select("bucket", "block", "h1", "h2", "start", "bytes", "told").repartition("bucket", "block").sortWithinPartitions("bucket", "block")
     return dealt.mapInArrow(mark, "h1 long, h2 long, first long, end long")
 
 
-def _cleaned(texts: DataFrame, length: int) -> DataFrame:
-    """h1, h2, n_removed, n_spans, the text that is left and the SHA-256 of its bytes from texts with runs of repeated starts.
+def _shared_runs(texts: DataFrame, length: int, gram: int, largest: int, block_bytes: int, tag: str) -> DataFrame:
+    """h1, h2 and runs of repeated starts, from distinct texts (h1, h2, data)."""
+    marks = written(_with_segments(texts, length, gram), f"{tag}-marks")
+    each = marks.select("h1", "h2", F.explode(F.arrays_zip("buckets", "starts", "counts", "anchors")).alias("s")).select("h1", "h2", "s.*")
+    shared = each.groupBy("buckets").agg(F.count(F.lit(1)).alias("size"), F.min("anchors").alias("least")).filter("size > 1 or least < 0")
+    shared = written(shared.select("buckets", "size"), f"{tag}-shared")
+    wanted = each.join(shared, "buckets").groupBy("h1", "h2").agg(F.collect_list(F.struct("buckets", "size", "starts", "counts", "anchors")).alias("wanted"))
+    cut = written(_cut_segments(texts.join(wanted, ["h1", "h2"]), length), f"{tag}-segments")
+    found = _by_columns(cut.filter(F.col("size") <= largest), length, gram, block_bytes)
+    found = found.unionByName(_by_prints(cut.filter(F.col("size") > largest), length, largest, block_bytes))
+    found = written(found.groupBy("h1", "h2").agg(F.collect_list(F.struct("first", "end")).alias("runs")), f"{tag}-runs")
+    removed(marks, shared, cut)
+    return found
+
+
+def _pieces(texts: DataFrame, least: int, reach: int) -> DataFrame:
+    """The parts of texts (h1, h2, n, data, runs) that runs of at least so many starts cover, with the reach of the last start."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, ends = bytes_of(batch.column(3))
+            row, start, parts = [], [], []
+            for k, runs in enumerate(batch.column(4).to_pylist()):
+                for first, end in joined_runs(runs):
+                    if end - first >= least:
+                        row.append(k)
+                        start.append(first)
+                        parts.append(data[ends[k] + first : ends[k] + end + reach - 1].tobytes())
+            own = [pa.array(batch.column(k).to_numpy()[row]) for k in range(3)]
+            yield pa.RecordBatch.from_arrays([*own, pa.array(start, pa.int64()), pa.array(parts, pa.binary())], ["t1", "t2", "n", "start", "data"])
+
+    return texts.select("h1", "h2", "n", "data", "runs").mapInArrow(cut, "t1 long, t2 long, n long, start long, data binary")
+
+
+def joined_runs(runs: list[dict]) -> list[tuple[int, int]]:
+    """Runs of starts in order; those that touch or overlap are one."""
+    out: list[list[int]] = []
+    for first, end in sorted((r["first"], r["end"]) for r in runs):
+        if out and first <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], end)
+        else:
+            out.append([first, end])
+    return [(a, b) for a, b in out]
+
+
+def _cleaned(texts: DataFrame, length: int, text: bool) -> DataFrame:
+    """h1, h2, n_removed, n_spans, n_passages, kept_sha256 and (if asked for) kept, the text that is left, from texts with runs of
+    repeated starts and runs of repeated shorter strings (held).
 
     Where a removed string begins or ends inside a character, the text leaves out what is left of that character.
     """
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            removed, spans, kept, digest = [], [], [], []
-            for text, runs in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                data = text.encode("utf-8", "surrogatepass")
-                edges = np.zeros(len(data) + 1, np.int64)
-                first, end = np.array([r["first"] for r in runs]), np.array([r["end"] for r in runs])
-                np.add.at(edges, first, 1)
-                np.add.at(edges, end + length - 1, -1)
-                a, b = _runs(np.cumsum(edges)[:-1] > 0)
-                rest = b"".join(data[x:y] for x, y in zip([0, *b.tolist()], [*a.tolist(), len(data)], strict=True))
-                removed.append(int((b - a).sum()))
-                spans.append(len(a))
-                kept.append(rest.decode(errors="ignore"))
+            gone, spans, passages, kept, digest = [], [], [], [], []
+            for data, runs, held in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4)), strict=True):
+                cut: list[list[int]] = []
+                for first, end in joined_runs(runs or []):
+                    if cut and first <= cut[-1][1]:
+                        cut[-1][1] = end + length - 1
+                    else:
+                        cut.append([first, end + length - 1])
+                rest = b"".join(data[x:y] for x, y in zip([0, *(b for _, b in cut)], [*(a for a, _ in cut), len(data)], strict=True))
+                gone.append(sum(b - a for a, b in cut))
+                spans.append(len(cut))
+                passages.append(len(joined_runs(held)))
                 digest.append(hashlib.sha256(rest).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(kept, pa.string()), pa.array(digest, pa.string())], ["h1", "h2", "n_removed", "n_spans", "kept", "kept_sha256"])
+                if text:
+                    kept.append(rest.decode(errors="ignore"))
+            columns = [*(pa.array(x, pa.int64()) for x in (gone, spans, passages)), *(pa.array(x, pa.string()) for x in ((digest, kept) if text else (digest,)))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names)
 
-    return texts.select("h1", "h2", "text", "runs").mapInArrow(clean, "h1 long, h2 long, n_removed long, n_spans long, kept string, kept_sha256 string")
+    names = ["h1", "h2", "n_removed", "n_spans", "n_passages", "kept_sha256", *(["kept"] if text else [])]
+    kinds = ["long"] * 5 + ["string"] * (len(names) - 5)
+    return texts.select("h1", "h2", "data", "runs", "held").mapInArrow(clean, ", ".join(map(" ".join, zip(names, kinds, strict=True))))
 
 
 def keyed(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -373,35 +499,47 @@ def keyed(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.withColumns({"h1": F.xxhash64(or_empty(text)), "h2": F.xxhash64(F.lit(1), or_empty(text))})
 
 
-def repeated_strings(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM, text: str = "text", doc_id: str = "doc_id", largest: int = LARGEST_BUCKET, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """For each text that loses bytes, by key: n_removed, n_spans, kept (text) and kept_sha256."""
+def repeated_strings(docs: DataFrame, *, length: int = LENGTH, passage: int | None = None, gram: int = GRAM, text: str = "text", largest: int = LARGEST_BUCKET, block_bytes: int = BLOCK_BYTES, keep_text: bool = True) -> DataFrame:
+    """For each text that holds a repeated string, by key: n_removed, n_spans, n_passages, kept_sha256 and kept (text, if asked for).
+
+    passage, a number of bytes below length: n_passages counts runs of repeated strings of that many bytes, else of length;
+    bytes go by length in any case.
+    """
     small_batches(docs.sparkSession)
-    rows = keyed(docs.select(F.col(doc_id).alias("id"), or_empty(text).alias("text")))
-    long = rows.filter(F.octet_length("text") >= length)
-    found = _texts_with_segments(long, length, gram)
-    copies = written(long.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("id")), "repeats-copies")
-    marks = written(found.dropDuplicates(["h1", "h2"]), "repeats-marks")
-    each = marks.select("h1", "h2", F.explode(F.arrays_zip("buckets", "starts", "counts", "twice")).alias("s"))
-    each = each.select("h1", "h2", F.col("s.buckets").alias("bucket"), F.col("s.starts").alias("start"), F.col("s.counts").alias("n"), F.col("s.twice").alias("twice"))
-    shared = each.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.max("twice").alias("twice")).filter("size > 1 or twice").drop("twice")
-    wanted = each.join(shared, "bucket").groupBy("h1", "h2").agg(F.collect_list(F.struct("bucket", "size", "start", "n")).alias("wanted"))
-    one = copies.select("h1", "h2", F.col("id").alias("one"))
-    wanted = wanted.join(one, ["h1", "h2"])
-    texts = rows.join(wanted, ["h1", "h2"]).filter(F.col("id").eqNullSafe(F.col("one"))).select("h1", "h2", "text", "wanted").dropDuplicates(["h1", "h2"])
-    texts = written(texts, "repeats-texts")
-    cut = written(_cut_segments(texts, length), "repeats-segments")
-    runs = _by_columns(cut.filter(F.col("size") <= largest), length, block_bytes).unionByName(_by_hashes(cut.filter(F.col("size") > largest), length, largest))
-    runs = runs.groupBy("h1", "h2").agg(F.collect_list(F.struct("first", "end")).alias("runs"))
-    partly = _cleaned(texts.join(runs, ["h1", "h2"]).join(copies.filter("n = 1").select("h1", "h2"), ["h1", "h2"], "left_semi"), length)
-    whole = copies.filter("n > 1").join(marks.select("h1", "h2"), ["h1", "h2"], "left_semi")
-    whole = whole.select("h1", "h2", F.lit(None).cast("long").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.lit("").alias("kept"), F.sha2(F.lit(""), 256).alias("kept_sha256"))
-    return written(partly.unionByName(whole), "repeats-found")
+    shortest = passage or length
+    rows = keyed(docs.select(or_empty(text).alias("text"))).select("h1", "h2", F.col("text").cast("binary").alias("data"))
+    one_each = rows.filter(F.octet_length("data") >= shortest).groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.first("data").alias("data"))
+    texts = bucketed(one_each, "repeats-texts", "h1", "h2")
+
+    def with_runs(texts: DataFrame, found: DataFrame, length: int) -> DataFrame:
+        """Texts of several rows repeat as wholes; others have the runs that were found, or go."""
+        whole = F.array(F.struct(F.lit(0).cast("long").alias("first"), (F.octet_length("data") - length + 1).cast("long").alias("end")))
+        both = texts.join(found, ["h1", "h2"], "left").withColumn("runs", F.when(F.col("n") > 1, whole).otherwise(F.col("runs")))
+        return both.filter("runs is not null")
+
+    outer = _shared_runs(texts, shortest, gram, largest, block_bytes, "repeats")
+    found = with_runs(texts, outer, shortest)
+    if passage is None:
+        done = written(_cleaned(found.withColumn("held", F.col("runs")), length, keep_text), "repeats-found")
+        removed(texts, outer)
+        return done
+    pieces = _pieces(found, length - passage + 1, passage).withColumns({"h1": F.xxhash64("data"), "h2": F.xxhash64(F.lit(1), "data")})
+    pieces = written(pieces, "repeats-pieces")
+    distinct = bucketed(pieces.groupBy("h1", "h2").agg(F.sum("n").alias("n"), F.first("data").alias("data")), "repeats-distinct", "h1", "h2")
+    inner = _shared_runs(distinct, length, gram, largest, block_bytes, "repeats-inner")
+    moved = pieces.select("t1", "t2", "start", "h1", "h2").join(with_runs(distinct, inner, length).select("h1", "h2", "runs"), ["h1", "h2"])
+    moved = moved.select(F.col("t1").alias("h1"), F.col("t2").alias("h2"), F.transform("runs", lambda r: F.struct((r["first"] + F.col("start")).alias("first"), (r["end"] + F.col("start")).alias("end"))).alias("part"))
+    moved = written(moved.groupBy("h1", "h2").agg(F.flatten(F.collect_list("part")).alias("runs")), "repeats-moved")
+    removed(pieces, distinct, inner)
+    done = written(_cleaned(found.withColumnRenamed("runs", "held").join(moved, ["h1", "h2"], "left"), length, keep_text), "repeats-found")
+    removed(texts, outer, moved)
+    return done
 
 
 def op5_column_suffix_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
-    found = repeated_strings(docs).drop("kept")
+    found = repeated_strings(docs, passage=PASSAGE, keep_text=False)
     rows = keyed(docs).select("doc_id", "h1", "h2", F.octet_length(or_empty("text")).cast("long").alias("n_bytes"), F.sha2(or_empty("text"), 256).alias("whole"))
     rows = rows.join(found, ["h1", "h2"], "left")
-    gone = F.when(F.col("n_spans").isNull(), 0).otherwise(F.coalesce("n_removed", "n_bytes")).cast("long")
-    return rows.select("doc_id", "n_bytes", gone.alias("n_removed"), F.coalesce("n_spans", F.lit(0)).cast("long").alias("n_spans"), F.coalesce("kept_sha256", "whole").alias("kept_sha256"))
+    count = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
+    return rows.select("doc_id", "n_bytes", count("n_removed"), count("n_spans"), F.coalesce("kept_sha256", "whole").alias("kept_sha256"), count("n_passages"))
