@@ -210,27 +210,36 @@ def brute_repeats(texts, length):
     return bag(out)
 
 
-@pytest.mark.parametrize("largest", [1000, 2])
-def test_repeats(docs, empty, largest):
-    found = {(r.h1, r.h2): r for r in repeats.repeated_strings(docs, length=120, gram=16, largest=largest).collect()}
-    out = []
+@pytest.mark.parametrize("largest,passage", [(1000, None), (2, None), (1000, 70), (2, 70)])
+def test_repeats(docs, empty, largest, passage):
+    found = {(r.h1, r.h2): r for r in repeats.repeated_strings(docs, length=120, passage=passage, gram=16, largest=largest, block_bytes=3000).collect()}
+    out, held = [], []
     for r in repeats.keyed(docs).select("doc_id", "text", "h1", "h2").collect():
         f, data = found.get((r.h1, r.h2)), (r.text or "").encode()
-        out.append((r.doc_id, 0, 0, hashlib.sha256(data).hexdigest()) if f is None else (r.doc_id, len(data) if f.n_removed is None else f.n_removed, f.n_spans, f.kept_sha256))
+        out.append((r.doc_id, 0, 0, hashlib.sha256(data).hexdigest()) if f is None else (r.doc_id, f.n_removed, f.n_spans, f.kept_sha256))
+        held.append((r.doc_id, f is not None and passage is not None and f.n_passages > 0))
     assert bag(out) == brute_repeats(TEXTS, 120)
-    assert repeats.repeated_strings(empty).count() == 0
+    if passage:
+        assert bag(held) == bag((r[0], r[1] > 0) for r in brute_repeats(TEXTS, passage))
+    assert repeats.repeated_strings(empty, passage=passage and 250).count() == 0
 
 
 def test_suffix_order():
-    for k in range(200):
-        length = RANDOM.randint(1, 6)
-        texts = [bytes(RANDOM.choice(b"ab" if k % 2 else b"abc\x00\xf4") for _ in range(RANDOM.randint(length, 20))) for _ in range(RANDOM.randint(1, 8))]
+    import pyarrow as pa
+
+    for k in range(300):
+        gram = RANDOM.randint(1, 4)
+        length = gram + RANDOM.randint(0, 5)
+        texts = [bytes(RANDOM.choice(b"ab" if k % 2 else b"abc\x00\xf4") for _ in range(RANDOM.randint(length, 30))) for _ in range(RANDOM.randint(1, 8))]
         counts = Counter(t[i : i + length] for t in texts for i in range(len(t) - length + 1))
         wanted = [[counts[t[i : i + length]] > 1 for i in range(len(t) - length + 1)] for t in texts]
-        assert [x.tolist() for x in repeats.repeated_starts(texts, length)] == wanted
+        text, bucket, start, count, anchor = repeats.segments(np.frombuffer(b"".join(texts), np.uint8), np.array([len(t) for t in texts]), length, gram)
+        order = np.argsort(bucket, kind="stable")
+        text, bucket, start, count, anchor = (x[order] for x in (text, bucket, start, count, anchor))
+        parts = pa.array([texts[t][s : s + n + length - 1] for t, s, n in zip(text, start, count, strict=True)], pa.binary())
         found = [np.zeros(len(w), bool) for w in wanted]
-        for i, a, b in repeats.repeated_runs([(0, t) for t in texts], length):
-            found[i][a:b] = True
+        for i, a, b in zip(*repeats.repeated_runs(bucket, anchor, parts, length, gram), strict=True):
+            found[text[i]][start[i] + a : start[i] + b] = True
         assert [x.tolist() for x in found] == wanted
 
 
@@ -296,4 +305,43 @@ def test_grammar():
     tool = toxicity.Scorer(toxicity.Lexicon({"idiot": 4.0, "kill": 4.0}))
     plain, aimed, negated, told = (tool.evidence(t) for t in ("what an idiot", "you idiot", "not an idiot", 'he wrote "an idiot"'))
     assert aimed > plain > told > 0 and plain > negated > 0
-    assert tool.evidence("idiotic zidiot") == 0 and tool.evidence("") == 0 and tool.evidence("Idiot. fine") == plain
+    assert tool.evidence("idiotic zidiot") == 0 and tool.evidence("") == 0
+    alone, after, heaped, threat, aimless = (tool.evidence(t) for t in ("Idiot. fine", "idiot, you", "idiot, utter idiot", "kill him", "kill time"))
+    assert plain == 4.0 and alone == 1.0 and after == aimed == 6.0 and heaped == 2 * plain and threat == 6 * aimless
+
+
+def brute_factors(clause):
+    """The grammar by its definition, from places alone; a clause is a list of kinds of words."""
+    out = []
+    quotes = [sum(x == "quote" for x in clause[:k]) % 2 == 1 for k in range(len(clause))]
+
+    def behind(k, kind, length):
+        # A trigger renews its reach; it stands at most length places before.
+        return any(clause[j] == kind for j in range(max(0, k - length), k))
+
+    def ahead(k, kind, length):
+        return any(clause[j] == kind for j in range(k + 1, min(len(clause), k + length + 1)))
+
+    for k, kind in enumerate(clause):
+        if kind not in ("insult", "threat"):
+            out.append(0.0)
+            continue
+        aimed = behind(k, "target", 4) or ahead(k, "target", 4)
+        # Quotation marks aren't words that lie between.
+        told = quotes[k] or any(clause[j] == "report" and sum(x != "quote" for x in clause[j + 1 : k + 1]) <= 8 for j in range(k))
+        named, heaped = behind(k, "determiner", 2), behind(k, "insult", 3) or ahead(k, "insult", 3)
+        value = 1.0 if aimed or (kind == "insult" and (named or heaped)) else 0.25
+        value *= (1.5 if aimed else 1.0) * (0.4 if behind(k, "negation", 3) else 1.0) * (0.5 if told else 1.0)
+        out.append(value)
+    return out
+
+
+def test_grammar_equals_its_definition():
+    import itertools
+
+    kinds = ["insult", "threat", "target", "negation", "report", "determiner", "quote", "other"]
+    machines = toxicity.grammar()
+    clauses = [list(c) for n in range(5) for c in itertools.product(kinds, repeat=n)] + [[RANDOM.choice(kinds + ["other"] * 6) for _ in range(RANDOM.randint(5, 25))] for _ in range(3000)]
+    for clause in clauses:
+        found = toxicity.factors(machines, [frozenset({k} if k != "other" else set()) for k in clause])
+        assert found == pytest.approx(brute_factors(clause)), clause
