@@ -2,9 +2,10 @@
 
 Each source gets a target number of words. A document is taken ``floor(rate)`` times for certain, with
 ``rate = target / source size``; the rest of the target is filled by a Pareto sample: documents are ranked
-by their random odds ``u / (1 - u)`` divided by their inclusion odds ``p / (1 - p)``, where ``p`` is the
-fractional part of their source's rate, and the smallest ranks are taken until the words that are left are
-filled, to the nearest document. Random numbers are MD5 values of seed, id and text, so reruns agree.
+by their random odds ``u / (1 - u)`` divided by their inclusion odds, and the smallest ranks are taken until the words that are left are
+filled, to the nearest document. The inclusion odds are those of the fractional part ``p`` of their source's rate, ``p / (1 - p)``, times the
+root of the document's size by its source's mean size: between equal chances and chances by size, so that longer documents are likelier.
+Random numbers are MD5 values of seed, id and text, so reruns agree.
 
 No source is ever sorted as a whole: ranks fall into fixed bins, word sums by (source, bin) find the one
 bin in which a source's sample ends, and only the rows of that bin are ordered.
@@ -52,7 +53,7 @@ def targets(sizes: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, total: floa
     The targets share ``total`` times all words by weight; none is above ``cap`` times its source's size. With the
     sources in order of cap / weight, the first k are at their caps, for the smallest k whose common level fits.
     """
-    by_source = sizes.groupBy("_key").agg(F.sum("size").alias("source_size"))
+    by_source = sizes.groupBy("_key").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("_n"))
     in_order = Window.orderBy(F.col("_key") == "0", "_key")
     cycle = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.pmod(F.row_number().over(in_order) - 1, F.lit(len(weights))) + 1).cast("int"))
     ratio = Window.orderBy("_ratio", "_key")
@@ -75,7 +76,8 @@ def targets(sizes: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, total: floa
         .withColumn("_whole", F.floor(rate))
         .withColumn("_p", rate - F.col("_whole"))
         .withColumn("_left", F.col("target") - F.col("_whole") * F.col("source_size"))
-        .select("_key", "source_size", "target", "_whole", "_p", "_left")
+        .withColumn("_mean", F.col("source_size") / F.col("_n"))
+        .select("_key", "source_size", "target", "_whole", "_p", "_left", "_mean")
     )
 
 
@@ -86,7 +88,8 @@ def _with_plan(rows: DataFrame, plan: DataFrame, n: int) -> DataFrame:
 def _ranked(rows: DataFrame) -> DataFrame:
     """Adds the Pareto rank q as q / (1 + q), and its bin; sources without a sample get the last place."""
     odds = F.col("_u") / (1 - F.col("_u"))
-    q = F.when(F.col("_p") > 0, odds * (1 - F.col("_p")) / F.col("_p"))
+    favour = F.sqrt(F.greatest(F.col("size"), F.lit(1)) / F.col("_mean"))
+    q = F.when((F.col("_p") > 0) & (F.col("_mean") > 0), odds * (1 - F.col("_p")) / F.col("_p") / favour)
     place = F.coalesce(q / (1 + q), F.lit(1.0))
     return rows.withColumn("_place", place).withColumn("_bin", F.least(F.floor(F.col("_place") * BINS), F.lit(BINS - 1)))
 
@@ -122,7 +125,7 @@ def mix(docs: DataFrame, *, sizes: DataFrame | None = None, weights: tuple[int,
     return (
         inside.unionByName(edge)
         .withColumn("copies", F.col("_whole") + F.col("_taken").cast("long"))
-        .drop("_whole", "_p", "_left", "_end", "_place", "_bin", "_taken", *OWN)
+        .drop("_whole", "_p", "_left", "_mean", "_end", "_place", "_bin", "_taken", *OWN)
     )
 
 
@@ -141,7 +144,7 @@ WITH sized AS (
            / 281474976710656.0 AS u
   FROM documents),
 by_source AS (
-  SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size, count(*) AS n,
          (CASE (row_number() OVER (ORDER BY source IS NULL, source COLLATE "C") - 1) % 3 WHEN 0 THEN 3.0 WHEN 1 THEN 1.0 ELSE 2.0 END)::DOUBLE AS w
   FROM sized GROUP BY source),
 levels AS (
@@ -150,13 +153,13 @@ levels AS (
          sum(w) OVER (ORDER BY source_size * 2.0::DOUBLE / w, source IS NULL DESC, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS weight_left
   FROM by_source),
 common AS (SELECT min_by((everything - capped) / weight_left, cap / w) AS level FROM levels WHERE (everything - capped) / weight_left <= cap / w),
-targets AS (SELECT l.source, l.source_size, l.w, least(l.cap, coalesce(c.level * l.w, l.cap)) AS target FROM levels l, common c),
+targets AS (SELECT l.source, l.source_size, l.source_size / l.n AS mean, l.w, least(l.cap, coalesce(c.level * l.w, l.cap)) AS target FROM levels l, common c),
 rates AS (SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0 END AS rate FROM targets),
 ranked AS (
-  SELECT d.*, r.source_size, r.target, floor(r.rate) AS whole, r.rate - floor(r.rate) AS p, r.target - floor(r.rate) * r.source_size AS rest
+  SELECT d.*, r.source_size, r.target, r.mean, floor(r.rate) AS whole, r.rate - floor(r.rate) AS p, r.target - floor(r.rate) * r.source_size AS rest
   FROM sized d JOIN rates r ON d.source IS NOT DISTINCT FROM r.source),
 placed AS (
-  SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY CASE WHEN p > 0 THEN u / (1 - u) * (1 - p) / p END, doc_id, tie
+  SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY CASE WHEN p > 0 AND mean > 0 THEN u / (1 - u) * (1 - p) / p / sqrt(greatest(size, 1) / mean) END, doc_id, tie
          ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS prior
   FROM ranked)
 SELECT doc_id, source, size, source_size, target,
