@@ -158,7 +158,8 @@ def repair_roles(turns: DataFrame, *, conversation: str = "conv_id", turn: str =
             yield pa.RecordBatch.from_arrays([*batch.columns, position], [*batch.schema.names, "position"])
 
     # Positions grow with the order over all partitions; a chunk is a run of a conversation within one of them.
-    ranges = rows.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *order).sortWithinPartitions(*order)
+    n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))  # told outright: rows are small, their work isn't
+    ranges = rows.repartitionByRange(n_parts, *order).sortWithinPartitions(*order)
     placed = written(ranges.mapInArrow(numbered, f"conv_id {conv}, turn {at}, role string, text string, position long"), "chat-turns")
     placed = placed.withColumn("chunk", F.floor(F.col("position") / chunk))
     clean = F.lower(F.trim(F.coalesce("role", F.lit(""))))
@@ -189,13 +190,13 @@ def repair_roles(turns: DataFrame, *, conversation: str = "conv_id", turn: str =
 
     batch_type, turn_type = (to_arrow_type(rows.schema[c].dataType) for c in ("conv_id", "turn"))
     sort = [F.asc_nulls_last("conv_id"), F.col("chunk"), F.col("position")]
-    roles = placed.select("conv_id", "chunk", "position", clean.alias("clean")).repartition("conv_id", "chunk").sortWithinPartitions(*sort).drop("position")
+    roles = placed.select("conv_id", "chunk", "position", clean.alias("clean")).repartition(n_parts, "conv_id", "chunk").sortWithinPartitions(*sort).drop("position")
     costs = roles.mapInArrow(matrices, f"conv_id {conv}, chunk long, costs array<double>")
-    ends = costs.repartition("conv_id").sortWithinPartitions(F.asc_nulls_last("conv_id"), "chunk").mapInArrow(states, f"conv_id {conv}, chunk long, begin long, end long, last boolean")
+    ends = costs.repartition(n_parts, "conv_id").sortWithinPartitions(F.asc_nulls_last("conv_id"), "chunk").mapInArrow(states, f"conv_id {conv}, chunk long, begin long, end long, last boolean")
     ends = written(ends.withColumnsRenamed({"conv_id": "conv", "chunk": "part"}), "chat-ends")
     both = placed.withColumn("clean", clean).join(ends, F.col("conv_id").eqNullSafe(F.col("conv")) & (F.col("chunk") == F.col("part")))
     both = both.select("conv_id", "chunk", "position", "turn", "role", "clean", "text", "begin", "end", "last")
-    return both.repartition("conv_id", "chunk").sortWithinPartitions(*sort).mapInArrow(
+    return both.repartition(n_parts, "conv_id", "chunk").sortWithinPartitions(*sort).mapInArrow(
         repaired, f"conv_id {conv}, turn {at}, position long, role string, new_role string, action string, n_inserted long, cost double, rendered string"
     )
 

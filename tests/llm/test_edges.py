@@ -260,16 +260,51 @@ def test_top_k(spark):
     assert top_k.top_k(vectors.limit(0), vectors.limit(0)).count() == 0
 
 
+#: What repairs cost, told once more: a turn merged into one of its own role or another, a new role, an empty turn, one at the end.
+MERGED, MERGED_OTHER, RELABELLED, INSERTED, CLOSED = 1.0, 2.5, 2.0, 3.0, 1.0
+BEGUN, LEGAL = re.compile("s?(ua)*u?"), re.compile("s?(ua)+")
+LETTERS = {"system": "s", "user": "u", "assistant": "a"}
+
+
 def brute_cost(roles):
-    best = {chat_roles.START: 0.0}
+    """The least cost of all ways to make a conversation legal, over the letters of the turns so far."""
+    best = {"": 0.0}
     for role in roles:
-        step, now = chat_roles.choices(role), {}
-        for a, c in best.items():
-            for b in range(4):
-                if step[a][b][0] < chat_roles.NEVER:
-                    now[b] = min(now.get(b, chat_roles.NEVER), c + step[a][b][0])
+        now = {}
+        for done, cost in best.items():
+            ways = [(done, MERGED if done[-1] == LETTERS.get(role) else MERGED_OTHER)] if done else []
+            for inserted in ["", *"sua", *(a + b for a in "sua" for b in "sua")]:
+                ways += [(done + inserted + letter, INSERTED * len(inserted) + (0 if letter == LETTERS.get(role) else RELABELLED)) for letter in "sua"]
+            for turns, more in ways:
+                if BEGUN.fullmatch(turns):
+                    # Whether there is a system turn, and which turn came last, decide what is legal later.
+                    short = ("s" if turns[0] == "s" else "") + (turns[-1] if turns != "s" else "")
+                    short = {"a": "ua", "sa": "sua"}.get(short, short)
+                    now[short] = min(now.get(short, float("inf")), cost + more)
         best = now
-    return min(c + chat_roles._closing(s)[0] for s, c in best.items())
+    closed = {"u": CLOSED, "s": INSERTED + CLOSED, "a": 0.0}
+    return min(cost + closed[turns[-1]] for turns, cost in best.items())
+
+
+def check_repair(rows):
+    """The actions of a conversation's rows lead to legal turns and cost what they say."""
+    turns, cost = "", 0.0
+    for r in rows:
+        role, new = (r.role or "").strip().lower(), LETTERS[r.new_role]
+        if r.action == "merge":
+            assert turns and turns[-1] == new and r.n_inserted in (0, 1, 2)
+            cost += MERGED if role == r.new_role else MERGED_OTHER
+        else:
+            assert (r.action == "keep") == (role == r.new_role) and r.action in ("keep", "relabel")
+            opened = [LETTERS[x] for x in re.findall(r"<\|(system|user|assistant)\|>", r.rendered)]
+            at = opened.index(new) if r is rows[-1] else len(opened) - 1
+            at = next(k for k in range(len(opened)) if opened[k] == new and BEGUN.fullmatch(turns + "".join(opened[: k + 1])) and (r is rows[-1] or k == at))
+            turns += "".join(opened[: at + 1])
+            cost += INSERTED * at + (0.0 if r.action == "keep" else RELABELLED)
+    if turns[-1] != "a":
+        cost += CLOSED if turns[-1] == "u" else INSERTED + CLOSED
+        turns += "a" if turns[-1] == "u" else "ua"
+    assert LEGAL.fullmatch(turns) and cost == sum(r.cost for r in rows)
 
 
 def test_roles(spark):
@@ -282,6 +317,7 @@ def test_roles(spark):
         for conversation in {r[0] for r in rows}:
             mine = [r for r in found if r.conv_id == conversation]
             assert sum(r.cost for r in mine) == brute_cost([(r.role or "").strip().lower() for r in mine])
+            check_repair(mine)
             text = "".join(r.rendered for r in mine)
             roles = re.findall(r"<\|(system|user|assistant)\|>", text)
             turns_only = roles[1:] if roles[0] == "system" else roles
