@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from larder.operators.ordinals import ordinals
+from larder.operators.ordinals import ordinals, placed
 
 
 def collision_safe(df: DataFrame, stem: str, suffix: str, order: Sequence[str]) -> DataFrame:
@@ -18,7 +18,7 @@ def collision_safe(df: DataFrame, stem: str, suffix: str, order: Sequence[str])
 
 def over_cap(df: DataFrame, keys: Sequence[str], order: Sequence[str], cap: int) -> DataFrame:
     """Rows beyond the first cap of each key, in order."""
-    return df.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter(F.col("place") > cap)
+    return placed(df, keys, order, "place").filter(F.col("place") > cap)
 
 
 def coverage(df: DataFrame, cls: str, split: str, splits: Sequence[str]) -> DataFrame:
@@ -41,12 +41,11 @@ def fill_capacity(items: DataFrame, existing: DataFrame, cls: str, order: Sequen
     existing has cls and a count n_<split> for each split.
     """
     room = [F.greatest(F.lit(0), F.lit(cap) - F.coalesce(F.col(f"n_{s}"), F.lit(0))) for s in splits]
-    place = F.row_number().over(Window.partitionBy(cls).orderBy(*order))
     target, upto = F.when(F.lit(False), F.lit("")), F.lit(0)
     for s, r in zip(splits, room, strict=True):
         upto = upto + r
         target = target.when(F.col("place") <= upto, s)
-    rows = items.join(existing, cls, "left").withColumn("place", place)
+    rows = placed(items.join(existing, cls, "left"), [cls], order, "place")
     return rows.withColumn("target", target.otherwise("overflow")).drop(*[f"n_{s}" for s in splits], "place")
 
 
@@ -59,8 +58,8 @@ def group_split(df: DataFrame, group: str, shares: Mapping[str, float], rest: st
     for name, share in shares.items():
         upto += int(n * share)
         split = split.when(F.col("_k") <= upto, name)
-    placed = ordinals(groups, ["_h", group], "_k").select(group, split.otherwise(rest).alias("split"))
-    return df.join(placed, group)
+    chosen = ordinals(groups, ["_h", group], "_k").select(group, split.otherwise(rest).alias("split"))
+    return df.join(chosen, group)
 
 
 def longest_prefix(df: DataFrame, key: str, name: str, exact: DataFrame, prefixes: DataFrame) -> DataFrame:
@@ -83,9 +82,9 @@ def cap_and_merge(existing: DataFrame, uploads: DataFrame, splits: Sequence[str]
     kept = existing.join(victims.select("path"), "path", "left_anti")
     have = coverage(kept, "class", "split", splits).drop("total")
     rank = F.array_position(F.array(*map(F.lit, splits)), F.col("split"))
-    placed = fill_capacity(uploads.withColumn("_rank", rank), have, "class", ["_rank", F.lower("name"), "path"], splits, cap)
+    chosen = fill_capacity(uploads.withColumn("_rank", rank), have, "class", ["_rank", F.lower("name"), "path"], splits, cap)
     stem, suffix = F.regexp_replace("name", r"\.[^.]*$", ""), F.regexp_extract("name", r"(\.[^.]*)$", 1)
-    named = placed.withColumns({"_base": F.concat(F.lit("team__"), stem), "_suffix": suffix})
+    named = chosen.withColumns({"_base": F.concat(F.lit("team__"), stem), "_suffix": suffix})
     there = kept.select("class", F.col("split").alias("target"), F.col("name").alias("_file"))
     taken = named.select("class", "target", "_base", "_suffix").distinct().join(there, ["class", "target"]).withColumn("_n", F.when(F.col("_file") == F.concat("_base", "_suffix"), 0).otherwise(F.regexp_extract(F.col("_file"), r"_(\d+)(\.[^.]*)?$", 1).try_cast("int")))
     taken = taken.filter(F.col("_file") == F.concat("_base", F.when(F.col("_n") > 0, F.concat(F.lit("_"), F.col("_n").cast("string"))).otherwise(F.lit("")), "_suffix"))

@@ -27,6 +27,13 @@ def apply_approved_pairs(pairs: DataFrame, master: DataFrame, children: dict[str
     return out | {"edges": resolve.dedup_edges(rewritten, "base_ingredient_id", "sub_ingredient_id", context)}
 
 
+def normalize_ingredients(master: DataFrame, children: dict[str, tuple[DataFrame, str, str]], plain: dict[str, tuple[DataFrame, str]], edges: DataFrame, *, key: str, canonical: str, name: str, base: str, sub: str, context: str | None) -> dict[str, DataFrame]:
+    """Names are normalised (F07), written where they changed (P03, J03), and ingredients of one name merged in all tables."""
+    fresh = ingredients.normalized(master.select(key, canonical, name), canonical, "_new")
+    renamed = resolve.patch(master, key, name, fresh.filter(~F.col(name).eqNullSafe(F.col("_new"))), "_new")
+    return resolve.normalize_and_merge(renamed, children, plain, edges, key=key, name=name, base=base, sub=sub, context=context)
+
+
 def recommend_meals(history: DataFrame, recipes: DataFrame, targets: DataFrame, *, user: str, date: str, values: Sequence[str], recipe_id: str, as_of: str, k: int = 3) -> DataFrame:
     """Each user's means of 30 and 7 days with the k nearest recipes of each meal; targets (meal and nutrients) hold for all users."""
     means = nutrition.window_means(history, user, date, values, as_of)

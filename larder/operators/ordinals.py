@@ -3,11 +3,29 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def placed(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], name: str, buckets: int = 64) -> DataFrame:
+    """Numbers from 1 in each group. Where the first order column is a number, groups of any size are numbered by ranges of it, each
+    after the rows of the ranges before; else a group is numbered in one task."""
+    first = order[0]
+    if not isinstance(first, str) or not dict(df.dtypes)[first].startswith(("int", "bigint", "double", "float", "smallint", "decimal")):
+        return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+    cuts = df.select(F.percentile_approx(first, [k / buckets for k in range(1, buckets)])).first()[0] or []  # 63 numbers
+    ranged = df.withColumn("_range", F.size(F.filter(F.array(*map(F.lit, sorted(set(cuts)))), lambda c: c < F.col(first))) if cuts else F.lit(0))
+    sizes = ranged.groupBy(*keys, "_range").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # at most 64 rows a group
+    short = sizes.select(*[F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)], F.col("_range").alias("_of"), before.alias("_before"))
+    same = [F.col(k).eqNullSafe(F.col(f"_key{i}")) for i, k in enumerate(keys)]
+    inside = ranged.withColumn("_in_range", F.row_number().over(Window.partitionBy(*keys, "_range").orderBy(*order)))
+    joined = inside.join(short, reduce(Column.__and__, same, F.col("_range") == F.col("_of")))
+    return joined.withColumn(name, (F.col("_before") + F.col("_in_range")).cast("int")).drop("_range", "_in_range", "_of", "_before", *[f"_key{i}" for i in range(len(keys))])
+
+
 def ordinals(df: DataFrame, order: Sequence[str], name: str = "ordinal", buckets: int = 64) -> DataFrame:
     """Numbers from 1 in a total order. Rows fall into ranges of the first key; each range is numbered by itself and begins after
     the rows of the ranges before it, which are summed over one row for each range. df is read twice and must give the same rows."""

@@ -7,13 +7,17 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larder.operators.resolve import first_by
+from larder.operators.resolve import text_key
 
 
 def ranked_duplicates(recipes: DataFrame, keys: Sequence[str], recipe_id: str, time: str | None = None) -> DataFrame:
-    """A10: the row that stays of each group of equal keys (null is a key): earliest time, nulls last, then smallest id."""
-    order = [*([F.asc_nulls_last(time)] if time else []), F.asc(recipe_id)]
-    return first_by(recipes, keys, order)
+    """A10: the row that stays of each group of equal keys (null is a key): earliest time, nulls last, then smallest id.
+
+    Keys can be whole texts: they travel as SHA-256 values, with the ids alone, which must be unique.
+    """
+    order = [*([F.col(time).isNull(), F.col(time)] if time else []), F.col(recipe_id)]
+    stay = recipes.groupBy(text_key(keys).alias("_key")).agg(F.min(F.struct(*[c.alias(f"_{k}") for k, c in enumerate(order)])).alias("_first"))
+    return recipes.join(stay.select(F.col(f"_first._{len(order) - 1}").alias(recipe_id)), recipe_id, "left_semi")
 
 
 def dedup_recipes(recipes: DataFrame, children: dict[str, tuple[DataFrame, str]], *, keys: Sequence[str], recipe_id: str, time: str | None = None) -> dict[str, DataFrame]:
@@ -26,7 +30,7 @@ def dedup_recipes(recipes: DataFrame, children: dict[str, tuple[DataFrame, str]]
 
 def duplicate_summary(recipes: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Groups with duplicates, their members, and rows to delete."""
-    groups = recipes.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    groups = recipes.groupBy(text_key(keys)).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     return groups.agg(F.count(F.lit(1)).alias("groups"), F.coalesce(F.sum("n"), F.lit(0)).alias("members"), F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("deletions"))
 
 

@@ -41,6 +41,17 @@ def first_by(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> Dat
     return df.withColumn("_rank", F.row_number().over(window)).filter("_rank = 1").drop("_rank")
 
 
+def text_key(keys: Sequence[str | Column]) -> Column:
+    """One short value for columns that may be long texts; nulls differ from empty texts."""
+    return F.sha2(F.to_json(F.struct(*[(F.col(k) if isinstance(k, str) else k).alias(f"k{i}") for i, k in enumerate(keys)])), 256)
+
+
+def first_occurrence(df: DataFrame, key: Column, order: str) -> DataFrame:
+    """The first row, by a unique column, of each value of a key that can be a long text; only its hash and the order travel."""
+    first = df.groupBy(text_key([key]).alias("_key")).agg(F.min(order).alias(order))
+    return df.join(first.select(order), order, "left_semi")
+
+
 def dedup_children(df: DataFrame, parent: str, child: str, mapping: DataFrame) -> DataFrame:
     """One row for each parent and kept id; the row that already has the kept id wins, then all columns decide.
 

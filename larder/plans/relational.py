@@ -60,8 +60,7 @@ def w08(spark, d):
 
 @query("w07", "SELECT doc_id, text FROM (SELECT *, row_number() OVER (PARTITION BY lower(trim(text)) ORDER BY doc_id) AS k FROM documents) WHERE k = 1")
 def w07(spark, d):
-    docs = table(spark, d, "documents").withColumn("_key", F.lower(F.trim("text")))
-    return resolve.first_by(docs, ["_key"], [F.asc("doc_id")]).select("doc_id", "text")
+    return resolve.first_occurrence(table(spark, d, "documents").select("doc_id", "text"), F.lower(F.trim("text")), "doc_id")
 
 
 @query("p02", "SELECT p_partkey, CASE WHEN p_size > 25 THEN p_type ELSE coalesce(nullif(p_name, ''), p_type) END AS name FROM part")
@@ -285,6 +284,22 @@ def c02(spark, d):
     return lines_out.unionByName(edges_out).unionByName(rows("master", "p_partkey", F.lit(None), "p_name"))
 
 
+@query("c02_raw", """
+WITH m AS (SELECT p_partkey, replace(p_name, ' ', '') AS name, min(p_partkey) OVER (PARTITION BY replace(p_name, ' ', '')) AS keep_id FROM part)
+SELECT 'lines' AS part, l_orderkey AS a, keep_id AS b FROM (SELECT DISTINCT l_orderkey, keep_id FROM lineitem JOIN m ON l_partkey = p_partkey)
+UNION ALL SELECT DISTINCT 'master', keep_id, NULL FROM m""")
+def c02_raw(spark, d):
+    from larder.operators.jobs import normalize_ingredients
+
+    raw = F.concat(F.when(F.col("p_size") % 2 == 0, F.lit("다진 것 ")).otherwise(F.lit(" 굵은")), F.col("p_name"), F.lit("\n"), F.col("p_type"))
+    master = table(spark, d, "part").select("p_partkey", raw.alias("canonical_name"), F.lit(None).cast("string").alias("normalized_name"))
+    lines = table(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber")
+    edges = lines.select(F.col("l_partkey").alias("base"), F.col("l_orderkey").alias("sub")).limit(0)
+    out = normalize_ingredients(master, {"lines": (lines, "l_orderkey", "l_partkey")}, {}, edges, key="p_partkey", canonical="canonical_name", name="normalized_name", base="base", sub="sub", context=None)
+    rows = out["lines"].select(F.lit("lines").alias("part"), F.col("l_orderkey").alias("a"), F.col("l_partkey").alias("b"))
+    return rows.unionByName(out["master"].select(F.lit("master").alias("part"), F.col("p_partkey").alias("a"), F.lit(None).cast("long").alias("b")))
+
+
 @query("flagship", f"SELECT keep_id, p_name, count(DISTINCT l_orderkey) AS n_recipes FROM lineitem JOIN ({MERGE}) ON l_partkey = old_id GROUP BY keep_id, p_name")
 def recipes_per_ingredient(spark, d):
     """Merge ingredients by name, rewrite and deduplicate recipe lines, count recipes."""
