@@ -1,8 +1,9 @@
 """Operator 8: exact top-k search by columnar branch-and-bound.
 
 Vectors become integers, floor(64 x). Candidates are packed into blocks in vertical layout, one contiguous column
-for each dimension; queries into blocks of rows. Every pair of a query block and a candidate block is a cell of
-bounded size. In a cell, a query visits the dimensions in blocks, those with its largest components first: partial
+for each dimension, by length: the first block holds the longest vectors; queries are packed into blocks of rows. The first block alone gives
+each query a score to beat, its k-th best there, which travels with the query. Every pair of a query block and a candidate block is a
+cell of bounded size; a query passes over blocks whose longest vector can't reach its score. In a cell, a query visits the dimensions in blocks, those with its largest components first: partial
 inner products are summed block by block, and by Cauchy and Schwarz what is left is at most the product of the
 rests' lengths. Candidates whose partial score plus that bound can't reach the k-th best score known so far are
 dropped, and the survivors are compacted before the next block. The best k of all cells are merged by query.
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 
 from larder.llm.common import written
 
-CANDIDATE_BLOCK, QUERY_BLOCK = 4096, 512
+CANDIDATE_BLOCK, QUERY_BLOCK = 4096, 2048
 DIMENSIONS = 8
 #: Sums of whole numbers below this are exact in floating point.
 EXACT = 2.0**53
@@ -41,22 +42,14 @@ def _usable(vectors: DataFrame, vec_id: str, embedding: str) -> DataFrame:
 
 
 def _pack(rows: DataFrame, n_blocks: int, dimensions: int) -> DataFrame:
-    """One row for each block: block, vec_ids and columns as bytes, dimension after dimension; int32 where that holds them, else doubles."""
+    """One row for each block, the longest vectors first: block, vec_ids and columns as bytes, dimension after dimension; int32 where that holds them, else doubles."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
-
-        def out(block: int) -> pa.RecordBatch:
-            parts = held.pop(block)
-            ids, v = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-            if np.isinf(v).any():
-                raise OverflowError("a component is too large: its 64-fold is no double")
-            v = v.astype(np.int32) if np.abs(v).max(initial=0) < 2**31 else v
-            return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([ids.tobytes()], pa.binary()), pa.array([np.ascontiguousarray(v.T).tobytes()], pa.binary())], ["block", "ids", "columns"])
+        from pyspark import TaskContext
 
+        held: list[tuple[np.ndarray, np.ndarray]] = []
         for batch in batches:
-            blocks, ids = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            lists = batch.column(2)
+            ids, lists = batch.column(0).to_numpy(), batch.column(1)
             at = lists.offsets.to_numpy()
             flat, sizes = lists.values.to_numpy(), np.diff(at)
             v = np.zeros((len(ids), dimensions))
@@ -65,15 +58,19 @@ def _pack(rows: DataFrame, n_blocks: int, dimensions: int) -> DataFrame:
             else:
                 for k, size in enumerate(sizes):
                     v[k, :size] = flat[at[k] : at[k] + size]
-            for block in np.unique(blocks):
-                for done in [b for b in held if b < block]:
-                    yield out(done)
-                held.setdefault(int(block), []).append((ids[blocks == block], v[blocks == block]))
-        for block in list(held):
-            yield out(block)
+            held.append((ids, v))
+        if not sum(len(ids) for ids, _ in held):
+            return
+        ids, v = (np.concatenate(x) for x in zip(*held, strict=True))
+        if np.isinf(v).any():
+            raise OverflowError("a component is too large: its 64-fold is no double")
+        v = v.astype(np.int32) if np.abs(v).max(initial=0) < 2**31 else v
+        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([ids.tobytes()], pa.binary()), pa.array([np.ascontiguousarray(v.T).tobytes()], pa.binary())], ["block", "ids", "columns"])
 
-    dealt = rows.withColumn("block", F.pmod(F.xxhash64("vec_id", "v"), F.lit(n_blocks))).select("block", "vec_id", "v")
-    return dealt.repartition("block").sortWithinPartitions("block").mapInArrow(pack, "block long, ids binary, columns binary")
+    length = F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)
+    dealt = rows.withColumn("_length", length).repartitionByRange(n_blocks, F.desc("_length"), "vec_id", F.xxhash64("v")).select("vec_id", "v")
+    # Written, so that each block keeps its rows.
+    return written(dealt.mapInArrow(pack, "block long, ids binary, columns binary"), "top-k-blocks")
 
 
 def _columns(data: bytes, dimensions: int, n: int) -> np.ndarray:
@@ -89,14 +86,18 @@ def _exact_top(query: np.ndarray, ids: np.ndarray, columns: np.ndarray, k: int)
     return np.array([i for _, i in scored], np.int64), np.array([-s for s, _ in scored], np.int64)
 
 
-def search_cell(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, columns: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(query id, candidate ids, scores) of the best k of each query; columns has a row for each dimension."""
+def search_cell(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, columns: np.ndarray, k: int, known: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(query id, candidate ids, scores) of the best k of each query; columns has a row for each dimension.
+
+    known: for each query a score that k candidates are known to reach; lower ones may be left out, and queries without candidates are.
+    """
     dimensions, n = columns.shape
     exact = columns.astype(np.float64)
     largest = np.abs(exact).max(initial=0.0)
     wide = largest * largest * dimensions >= EXACT if largest < 2.0**400 else True
     lengths = np.einsum("ij,ij->j", exact, exact) if largest < 2.0**400 else None
-    for query_id, query in zip(query_ids.tolist(), queries.astype(np.float64), strict=True):
+    longest = np.sqrt(lengths.max(initial=0.0)) if lengths is not None else float("inf")
+    for query_id, query, least in zip(query_ids.tolist(), queries.astype(np.float64), np.full(len(queries), -np.inf) if known is None else known, strict=True):
         order = np.argsort(-np.abs(query), kind="stable")
         alive = np.flatnonzero(ids != query_id)
         most = np.abs(query).max(initial=0.0)
@@ -104,6 +105,8 @@ def search_cell(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, col
             yield query_id, *_exact_top(query, ids[alive], exact[:, alive], k)
             continue
         rounded = wide or max(most, largest) * most * dimensions >= EXACT
+        if not rounded and np.sqrt(query @ query) * longest * (1 + 1e-9) + 1e-6 < least:
+            continue
         # Rounding errors: of a score, at most this; of a squared length, at most slack times the whole.
         slack = (dimensions + 16) * 2.0**-51 if rounded else 0.0
         error = slack * np.sqrt(query @ query) * np.sqrt(lengths[alive])
@@ -121,7 +124,7 @@ def search_cell(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, col
             # Full scores of the most promising candidates give the score to beat.
             best = np.argpartition(score, len(score) - k)[-k:]
             beat = (score[best] + query[later] @ exact[later[:, None], alive[best]] - error[best]).min()
-            keep = score + bound + error >= beat
+            keep = score + bound + error >= (beat if rounded else max(beat, least))
             alive, score, rest, error = alive[keep], score[keep], rest[keep], error[keep]
         if rounded:
             if len(alive) > k:
@@ -129,7 +132,9 @@ def search_cell(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, col
             yield query_id, *_exact_top(query, ids[alive], exact[:, alive], k)
             continue
         top = np.lexsort((ids[alive], -score))[:k]
-        yield query_id, ids[alive[top]], score[top].astype(np.int64)
+        top = top[score[top] >= least]
+        if len(top):
+            yield query_id, ids[alive[top]], score[top].astype(np.int64)
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, *, k: int = 20, vec_id: str = "vec_id", embedding: str = "embedding", candidate_block: int = CANDIDATE_BLOCK, query_block: int = QUERY_BLOCK) -> DataFrame:
@@ -139,15 +144,34 @@ def top_k(vectors: DataFrame, queries: DataFrame, *, k: int = 20, vec_id: str =
     asked_size = asked.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("d")).first()
     dimensions = max(1, size.d or 0, asked_size.d or 0)
     n_candidates, n_queries = -(-size.n // candidate_block) or 1, -(-asked_size.n // query_block) or 1
-    one = _pack(rows, n_candidates, dimensions).select(F.col("block").alias("c"), "ids", "columns").withColumn("q", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_queries - 1).cast("long"))))
+    blocks = _pack(rows, n_candidates, dimensions).select(F.col("block").alias("c"), "ids", "columns")
     two = _pack(asked, n_queries, dimensions).select(F.col("block").alias("q"), F.col("ids").alias("query_ids"), F.col("columns").alias("queries"))
-    cells = one.join(two, "q").select("ids", "columns", "query_ids", "queries")
+
+    def seed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for cell in (row for batch in batches for row in batch.to_pylist()):
+            ids, query_ids = np.frombuffer(cell["ids"], np.int64), np.frombuffer(cell["query_ids"], np.int64)
+            known = np.full(len(query_ids), -np.inf)
+            place = dict(zip(query_ids.tolist(), range(len(query_ids)), strict=True))
+            # Ids that stand twice may be other vectors: their queries take no score along.
+            twice = len(place) < len(query_ids)
+            found = () if twice else search_cell(query_ids, _columns(cell["queries"], dimensions, len(query_ids)).T, ids, _columns(cell["columns"], dimensions, len(ids)), k)
+            for query_id, _, scores in found:
+                if len(scores) == k:
+                    known[place[query_id]] = scores[-1]
+            yield pa.RecordBatch.from_pydict({"q": [cell["q"]], "query_ids": [cell["query_ids"]], "queries": [cell["queries"]], "known": [known.tobytes()]}, pa.schema([("q", pa.int64()), ("query_ids", pa.binary()), ("queries", pa.binary()), ("known", pa.binary())]))
+
+    first = blocks.agg(F.min("c")).first()[0]
+    longest = blocks.filter(F.col("c") == (0 if first is None else first))
+    seeds = two.withColumn("c", F.lit(0 if first is None else first).cast("long")).join(longest, "c").select("q", "query_ids", "queries", "ids", "columns").repartition(n_queries)
+    two = written(seeds.mapInArrow(seed, "q long, query_ids binary, queries binary, known binary"), "top-k-seeds")
+    one = blocks.withColumn("q", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_queries - 1).cast("long"))))
+    cells = one.join(two, "q").select("ids", "columns", "query_ids", "queries", "known")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for cell in (row for batch in batches for row in batch.to_pylist()):
             ids, query_ids = np.frombuffer(cell["ids"], np.int64), np.frombuffer(cell["query_ids"], np.int64)
             columns, asked_rows = _columns(cell["columns"], dimensions, len(ids)), _columns(cell["queries"], dimensions, len(query_ids)).T
-            found = [(np.full(len(c), q), c, s) for q, c, s in search_cell(query_ids, asked_rows, ids, columns, k)]
+            found = [(np.full(len(c), q), c, s) for q, c, s in search_cell(query_ids, asked_rows, ids, columns, k, np.frombuffer(cell["known"]))]
             if found:
                 q, c, s = (np.concatenate(x) for x in zip(*found, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(c, pa.int64()), pa.array(s, pa.int64())], ["query_id", "vec_id", "score"])

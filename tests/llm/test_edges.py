@@ -246,7 +246,8 @@ def test_suffix_order():
 def test_top_k(spark):
     rng = np.random.default_rng(3)
     rows = [(k, [float(x) for x in rng.normal(size=6)]) for k in range(300)] + [(300, None), (301, [1.0, None]), (302, [float("nan")] * 6), (303, [float("inf")] * 6), (304, [1.0, 2.0]), (305, []), (5, [0.5] * 6), (None, [1.0] * 6)]
-    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>, score string" if False else "vec_id long, embedding array<float>")
+    # Columns named like those that the operator makes.
+    vectors = spark.createDataFrame([(*r, "clash", 1, 2) for r in rows], "vec_id long, embedding array<float>, score string, block int, v int")
     usable = [(i, [int(np.floor(64.0 * float(np.float32(x)))) for x in v] + [0] * (6 - len(v))) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
     wanted = []
     for q, v in usable:
