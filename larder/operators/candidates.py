@@ -193,6 +193,27 @@ def route_classes(files: DataFrame, path: str, mapping: DataFrame) -> DataFrame:
     return source_class(files, path, mapping.withColumn("folder", label("folder"))).withColumnRenamed("value", "route_class").filter("route_class is not null")
 
 
+def classified(images: DataFrame, classes: DataFrame, labels: DataFrame, remap: DataFrame, vocabulary: DataFrame, *, k: int = 3, policy: str = "passthrough", similarity: DataFrame | None = None) -> DataFrame:
+    """C11 up to the candidates: image and candidates from class probabilities of two passes.
+
+    images: image, p, flipped (arrays; an empty second pass leaves the first); classes: class (its place in the arrays) and label. The passes are averaged (A12),
+    the k likeliest classes (T04) get names (F40), all are uncertain if the prediction is (W06). similarity (image, similarity: map by display name)
+    reorders the candidates (F39).
+    """
+    from larder.operators.recognition import averaged, margin, reranked, top_classes
+
+    rows = images.select("image", averaged("p", "flipped").alias("_p"))
+    rows = rows.select("image", margin("_p")["uncertain"].alias("uncertain"), F.posexplode(top_classes("_p", k)).alias("place", "_c"))
+    top = rows.select("image", "place", F.col("_c.class").alias("class"), F.col("_c.probability").alias("p")).join(classes, "class").select("image", "place", "label", "p")
+    named = resolved_labels(top, labels, remap, vocabulary, policy=policy).join(rows.select("image", "uncertain").distinct(), "image")
+    one = F.struct("place", F.col("display_name").alias("name"), "display_name", "normalized_name", "category", F.col("p").alias("confidence"), "ingredient_id", "uncertain")
+    found = named.groupBy("image").agg(F.array_sort(F.collect_list(one)).alias("candidates"))  # k of each image
+    if similarity is not None:
+        found = found.join(similarity, "image", "left").withColumn("candidates", reranked("candidates", F.coalesce("similarity", F.create_map().cast("map<string,double>"))))
+    kept = ("display_name", "normalized_name", "category", "confidence", "ingredient_id", "uncertain")
+    return found.select("image", F.transform("candidates", lambda c: F.struct(*[c[n].alias(n) for n in kept])).alias("candidates"))
+
+
 def recognize(routes: DataFrame, direct: DataFrame, raw: DataFrame, ocr: DataFrame, *, k: int = 3) -> DataFrame:
     """C11: one row for each image with its stage, final route, candidates by confidence, review flag and anomaly.
 

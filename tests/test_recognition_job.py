@@ -31,3 +31,16 @@ def test_menu(spark):
     df = spark.createDataFrame([(2, "b", *[1] * 7), (1, "a", None, *[2] * 6)], "id long, title string, " + ", ".join(f"{n} int" for n in names))
     lines = nutrition.menu_lines(df, "title", "id").first().text.split("\n")
     assert lines[0].startswith("- a (칼로리: 0kcal, 탄수화물: 2g") and lines[1].endswith("콜레스테롤: 1mg)")
+
+
+def test_candidates_from_probabilities(spark):
+    images = spark.createDataFrame([("a", [0.2, 0.5, 0.3], [0.4, 0.3, 0.3]), ("b", [0.05, 0.05, 0.9], [])], "image string, p array<double>, flipped array<double>")
+    classes = spark.createDataFrame([(0, "ing_1"), (1, "ing_2"), (2, "leek")], "class int, label string")
+    labels = spark.createDataFrame([("ing_00001", "Onion", "onion", "VEG", 1)], "key string, display_name string, normalized_name string, category string, ingredient_id long")
+    remap = spark.createDataFrame([("ing_00002", "ing_00001")], "old string, new string")
+    vocabulary = spark.createDataFrame([("leek",)], "name string")
+    rows = lambda **more: {r.image: [(c.display_name, round(c.confidence, 6), c.ingredient_id, c.uncertain) for c in r.candidates] for r in candidates.classified(images, classes, labels, remap, vocabulary, k=2, **more).collect()}
+    # The mean of a's passes is 0.3, 0.4, 0.3; the second class now has the first one's name.
+    assert rows() == {"a": [("Onion", 0.4, 1, True), ("Onion", 0.3, 1, True)], "b": [("leek", 0.9, None, False), ("Onion", 0.05, 1, False)]}
+    near = spark.createDataFrame([("b", {"Onion": 1.0, "leek": 0.1})], "image string, similarity map<string,double>")
+    assert [c[0] for c in rows(similarity=near)["b"]] == ["Onion", "leek"]
