@@ -2,13 +2,15 @@
 
 1. Each text becomes the sorted set of hashes of its word shingles. Texts with equal sets are one class; only
    classes are joined, so copies cost nothing more.
-2. Sets that are similar enough share a hash among the smallest ``n - ceil(t n) + 1`` of both (prefix filter), so
-   each class is dealt out by these hashes. Within such a bucket a signature tree is built: nodes hold the OR of
+2. Sets that are similar enough share a hash among the first ``n - ceil(t n) + 1`` of both in any order that is the same
+   for all (prefix filter). The order is rare first: shingles that are frequent in any part of the corpus come last, so that
+   texts which only share a common passage don't meet. Each class is dealt out by its first hashes. Within such a bucket a signature tree is built: nodes hold the OR of
    the token bitmaps below them, a range of set sizes, and the components they belong to. A dual traversal
    descends only into node pairs whose largest possible overlap can reach the threshold; pairs of leaves that
-   are left are candidates, which are checked exactly on their texts.
-3. The first round takes the few smallest hashes of each class and gives only enough candidates to connect what
-   may be linked, which joins nearly all groups. The second takes all prefix hashes, but only buckets that still
+   are left are candidates, which are checked on the whole sets of their texts. Shingles are 64-bit hashes and equal sets meet by
+   128-bit sums of these, so results are exact but for collisions.
+3. The first round takes the few smallest hashes of each class, parts large buckets at random, and gives only enough candidates to
+   connect what may be linked inside a part, which joins nearly all groups. The second takes all prefix hashes, but only buckets that still
    hold several components, and gives every candidate whose ends lie in different ones. So no link between
    components is lost, and dense groups don't give all their pairs.
 
@@ -29,15 +31,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larder.llm.common import documents, or_empty, small_batches, written
+from larder.llm.common import documents, or_empty, removed, small_batches, written
 from larder.llm.components import components
 
 BITS = 1024
 BLOCK = 1024
 FIRST_HASHES = 3
 LEAF, FAN = 8, 4
-#: Buckets left for the second round are joined by broadcast up to this number (20 bytes each), by a shuffle beyond.
-BROADCAST_BUCKETS = 500_000
+#: Classes whose texts are asked for are broadcast up to this size, joined by a shuffle beyond.
+BROADCAST_BYTES = 8_000_000
+#: A shingle is frequent if it is in so many of the texts that hold COUNTED shingles; the order tells this many apart.
+OFTEN, COUNTED, FREQUENT = 8, 2_000_000, 65_536
+#: Pairs of one cell that are checked in one place; more are dealt out.
+CELL_PAIRS = 2048
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
 
 
@@ -64,6 +70,48 @@ def shingle_set(text: str, k: int) -> np.ndarray:
     return np.unique(_mix(total))
 
 
+def frequent_shingles(docs: DataFrame, k: int, *, text: str) -> np.ndarray:
+    """The most frequent shingle hashes of the corpus, at most FREQUENT of them, the rarest first.
+
+    Each task counts all its texts, COUNTED shingles at a time, and tells those that are in OFTEN of them or more.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        size = 0
+
+        def told() -> pa.RecordBatch:
+            ordered = np.sort(np.concatenate(held))
+            first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+            n = np.diff(np.append(first, len(ordered)))
+            return pa.RecordBatch.from_arrays([pa.array(ordered[first][n >= OFTEN].view(np.int64)), pa.array(n[n >= OFTEN])], ["hash", "n"])
+
+        for batch in batches:
+            for t in batch.column(0).to_pylist():
+                held.append(shingle_set(t, k))
+                size += len(held[-1])
+                if size >= COUNTED:
+                    yield told()
+                    held, size = [], 0
+        if size:
+            yield told()
+
+    found = docs.select(or_empty(text).alias("text")).mapInArrow(count, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n"))
+    rows = found.orderBy(F.desc("n"), "hash").limit(FREQUENT).collect()  # a bounded number of hashes
+    return np.array([r.hash for r in reversed(rows)], np.int64).view(np.uint64)
+
+
+def rare_first(hashes: np.ndarray, frequent: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """A set's sorted hashes with the frequent ones last; frequent is sorted, and places has the rank of each."""
+    if not len(frequent) or not len(hashes):
+        return hashes
+    at = np.minimum(np.searchsorted(frequent, hashes), len(frequent) - 1)
+    common = frequent[at] == hashes
+    if not common.any():
+        return hashes
+    return np.concatenate([hashes[~common], hashes[common][np.argsort(places[at[common]])]])
+
+
 def prefix_length(n: int, num: int, den: int) -> int:
     return n - -(-num * n // den) + 1 if n else 0
 
@@ -94,27 +142,33 @@ def _common_bits(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int]:
 
 
 def with_sets(docs: DataFrame, k: int, num: int, den: int, *, text: str, doc_id: str) -> DataFrame:
-    """doc_id, a hash of the text, n_shingles, a 128-bit key of the set, its prefix hashes (32 bits), and bitmaps of fixed and own width."""
+    """doc_id, a hash of the text, n_shingles, a 128-bit key of the set, its smallest and its prefix hashes (32 bits), and bitmaps of fixed and own width."""
+    ranked = frequent_shingles(docs, k, text=text)
+    order = np.argsort(ranked)
+    shared = docs.sparkSession.sparkContext.broadcast((ranked[order], order))  # at most FREQUENT hashes and their ranks
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frequent, places = shared.value
+        short = lambda s: (s >> np.uint64(24)).astype(np.uint32).view(np.int32)
         for batch in batches:
-            n, low, high, prefix, bitmap, wide = [], [], [], [], [], []
+            n, low, high, least, prefix, bitmap, wide = [], [], [], [], [], [], []
             for t in batch.column(2).to_pylist():
                 s = shingle_set(t, k)
                 n.append(len(s))
                 low.append(s.sum(dtype=np.uint64).astype(np.int64))
                 high.append(_mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64).astype(np.int64))
-                prefix.append((s[: prefix_length(len(s), num, den)] >> np.uint64(24)).astype(np.uint32).view(np.int32))
+                least.append(short(s[: min(FIRST_HASHES, prefix_length(len(s), num, den))]))
+                prefix.append(short(rare_first(s, frequent, places)[: prefix_length(len(s), num, den)]))
                 bitmap.append(_bitmap(s))
                 wide.append(_bitmap(s, _wide(len(s))))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(low, pa.int64()), pa.array(high, pa.int64()), pa.array(prefix, pa.list_(pa.int32())), pa.array(bitmap, pa.binary()), pa.array(wide, pa.binary())],
-                ["doc_id", "text_hash", "n_shingles", "low", "high", "prefix", "bitmap", "wide"],
+                [batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(low, pa.int64()), pa.array(high, pa.int64()), pa.array(least, pa.list_(pa.int32())), pa.array(prefix, pa.list_(pa.int32())), pa.array(bitmap, pa.binary()), pa.array(wide, pa.binary())],
+                ["doc_id", "text_hash", "n_shingles", "low", "high", "least", "prefix", "bitmap", "wide"],
             )
 
     rows_in = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(or_empty(text)).alias("text_hash"), or_empty(text).alias("text"))
     kind = rows_in.schema["doc_id"].dataType.simpleString()
-    return rows_in.mapInArrow(rows, f"doc_id {kind}, text_hash long, n_shingles long, low long, high long, prefix array<int>, bitmap binary, wide binary")
+    return rows_in.mapInArrow(rows, f"doc_id {kind}, text_hash long, n_shingles long, low long, high long, least array<int>, prefix array<int>, bitmap binary, wide binary")
 
 
 class SignatureTree:
@@ -208,7 +262,10 @@ def _cell(cls: np.ndarray, size: np.ndarray, comp: np.ndarray, side: np.ndarray,
     x, y = x[keep], y[keep]
     if spanning and len(x):
         names, places = np.unique(np.concatenate([x, y]), return_inverse=True)
-        order = np.lexsort((np.maximum(x, y), np.minimum(x, y)))
+        # The likeliest pairs first, so that what is chosen are links.
+        i, j = i[keep], j[keep]
+        common = np.bitwise_count(a["bits"][i] & b["bits"][j]).sum(1) + (a["slack"][i] + b["slack"][j]) / 2
+        order = np.lexsort((np.maximum(x, y), np.minimum(x, y), -common / (a["low"][i] + b["low"][j])))
         x, y = x[order], y[order]
         keep = _spanning(places[: len(x)][order], places[len(x) :][order], len(names))
         x, y = x[keep], y[keep]
@@ -266,7 +323,7 @@ def _in_cells(pairs: DataFrame, values: DataFrame, read, decide) -> DataFrame:
     """The pairs (a, b, bucket, x, y) for which decide(value of a, value of b) holds; values has cls, n and value.
 
     Pairs are dealt out by the first of the cells that found them, which groups of similar texts share, so that a value travels
-    once for each cell and not for each pair.
+    once for each cell and not for each pair; cells of many pairs are dealt out further by the first text of the pair.
     """
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -274,17 +331,19 @@ def _in_cells(pairs: DataFrame, values: DataFrame, read, decide) -> DataFrame:
         for batch in batches:
             keep = []
             for row in batch.to_pylist():
-                if (key := (row["bucket"], row["x"], row["y"])) != cell:
+                if (key := (row["bucket"], row["x"], row["y"], row["part"])) != cell:
                     cell, known = key, {}
                 if row["b"] is None:
                     known[row["a"]] = read(row["n"], row["value"])
                 keep.append(row["b"] is not None and decide(known[row["a"]], known[row["b"]]))
             yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b", "bucket", "x", "y"])
 
-    members = pairs.select("bucket", "x", "y", F.explode(F.array("a", "b")).alias("cls")).distinct().join(values, "cls")
+    parts = pairs.groupBy("bucket", "x", "y").agg(F.ceil(F.count(F.lit(1)) / CELL_PAIRS).alias("parts")).filter("parts > 1")
+    pairs = pairs.join(parts, ["bucket", "x", "y"], "left").withColumn("part", F.pmod(F.xxhash64("a"), F.coalesce("parts", F.lit(1))).cast("long")).drop("parts")
+    members = pairs.select("bucket", "x", "y", "part", F.explode(F.array("a", "b")).alias("cls")).distinct().join(values, "cls")
     both = members.withColumnRenamed("cls", "a").withColumn("b", F.lit(None).cast("long")).unionByName(pairs, allowMissingColumns=True)
-    dealt = both.select("bucket", "x", "y", "a", "b", "n", "value").repartition("bucket", "x", "y")
-    return dealt.sortWithinPartitions("bucket", "x", "y", F.asc_nulls_first("b")).mapInArrow(rows, "a long, b long, bucket long, x long, y long")
+    dealt = both.select("bucket", "x", "y", "part", "a", "b", "n", "value").repartition("bucket", "x", "y", "part")
+    return dealt.sortWithinPartitions("bucket", "x", "y", "part", F.asc_nulls_first("b")).mapInArrow(rows, "a long, b long, bucket long, x long, y long")
 
 
 def possible(pairs: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
@@ -327,6 +386,12 @@ def cells_of(rows: DataFrame) -> DataFrame:
     return rows.select("bucket", "cls", "n", "comp", "bitmap", "index", F.xxhash64(F.least("own", "other")).alias("x"), F.xxhash64(F.greatest("own", "other")).alias("y"), (F.col("own") > F.col("other")).cast("int").alias("side"))
 
 
+def parts_of(rows: DataFrame) -> DataFrame:
+    """Deals rows of buckets out to cells of one block each, by a hash of bucket and class: blocks of different buckets overlap."""
+    block = F.xxhash64(F.pmod(F.xxhash64("bucket", "cls"), F.col("rest_parts")))
+    return rows.select("bucket", "cls", "n", "comp", "bitmap", "index", block.alias("x"), block.alias("y"), F.lit(0).alias("side"))
+
+
 def bucket_plan(rows: DataFrame, *, mixed_only: bool) -> DataFrame:
     """Buckets with several classes (and, if so asked, several components), with the blocks that they need."""
     large = F.col("comp_size") > BLOCK
@@ -345,46 +410,55 @@ def jaccard_components(docs: DataFrame, *, k: int = 5, num: int = 4, den: int =
     representative: whether the row's id and text are the first of its component (all rows without words are).
     """
     small_batches(docs.sparkSession)
+    done: list[DataFrame] = []  # tables that nothing reads any more once ids are written
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        done.append(written(df, name))
+        return done[-1]
+
     sets = written(with_sets(docs, k, num, den, text=text, doc_id=doc_id), "jaccard-sets")
     one = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("one")
-    grouped = sets.filter("n_shingles > 0").groupBy("low", "high").agg(one, F.first("n_shingles").alias("n"), F.first("prefix").alias("prefix"), F.first("bitmap").alias("bitmap"), F.first("wide").alias("wide"))
-    classes = written(grouped.select(F.monotonically_increasing_id().alias("cls"), "low", "high", "one.doc_id", "one.text_hash", "n", "prefix", "bitmap", "wide"), "jaccard-classes")
+    grouped = sets.filter("n_shingles > 0").groupBy("low", "high").agg(one, F.first("n_shingles").alias("n"), F.first("least").alias("least"), F.first("prefix").alias("prefix"), F.first("bitmap").alias("bitmap"), F.first("wide").alias("wide"))
+    classes = kept(grouped.select(F.monotonically_increasing_id().alias("cls"), "low", "high", "one.doc_id", "one.text_hash", "n", "least", "prefix", "bitmap", "wide"), "jaccard-classes")
 
     def texts_for(pairs: DataFrame) -> DataFrame:
         wanted = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
-        wanted = written(classes.select("cls", F.col("doc_id").alias("id"), "text_hash").join(wanted, "cls", "left_semi"), "jaccard-wanted")
+        wanted = kept(classes.select("cls", F.col("doc_id").alias("id"), "text_hash").join(wanted, "cls", "left_semi"), "jaccard-wanted")
         rows = docs.select(F.col(doc_id).alias("id2"), or_empty(text).alias("text")).withColumn("text_hash2", F.xxhash64("text"))
         # 24 bytes for each class that is in question; beyond that many the texts are dealt out.
-        wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_BUCKETS else wanted
+        wanted = F.broadcast(wanted) if 24 * wanted.count() <= BROADCAST_BYTES else wanted
         found = rows.join(wanted, (F.col("text_hash2") == F.col("text_hash")) & F.col("id").eqNullSafe(F.col("id2")))
         texts = found.select("cls", F.lit(None).cast("long").alias("n"), F.col("text").alias("value"))
-        return written(texts.dropDuplicates(["cls"]), "jaccard-texts")
+        return kept(texts.dropDuplicates(["cls"]), "jaccard-texts")
 
     def exact(cells: DataFrame, spanning: bool) -> DataFrame:
-        pairs = written(candidates(cells, spanning=spanning, num=num, den=den), "jaccard-pairs")
-        pairs = written(possible(pairs, classes, num, den), "jaccard-possible")
-        return written(linked(pairs, texts_for(pairs), k, num, den), "jaccard-links")
+        pairs = kept(candidates(cells, spanning=spanning, num=num, den=den), "jaccard-pairs")
+        pairs = kept(possible(pairs, classes, num, den), "jaccard-possible")
+        return kept(linked(pairs, texts_for(pairs), k, num, den), "jaccard-links")
 
     def in_buckets(rows: DataFrame, mixed_only: bool) -> DataFrame:
         """A row for each class and hash of prefix whose bucket may hold links, with the bucket's plan."""
         each = rows.select("cls", "n", "comp", "comp_size", F.posexplode("prefix").alias("at", "bucket"))
-        each = each.withColumn("index", (F.col("at") < index_length(F.col("n"), num, den)).cast("int")).drop("at")
-        plan = written(bucket_plan(each, mixed_only=mixed_only), "jaccard-buckets")
-        few = plan.count() <= BROADCAST_BUCKETS
-        return each.join(F.broadcast(plan) if few else plan, "bucket").join(classes.select("cls", "bitmap"), "cls")
+        indexed = F.lit(1) if not mixed_only else (F.col("at") < index_length(F.col("n"), num, den)).cast("int")
+        each = each.withColumn("index", indexed).drop("at")
+        plan = kept(bucket_plan(each, mixed_only=mixed_only), "jaccard-buckets")
+        # Buckets grow with the corpus, so the join is by a shuffle at every size; skewed ones are split by adaptive execution.
+        hits = each.select("bucket", "cls", "index").hint("merge").join(plan, "bucket")
+        return hits.join(rows.select("cls", "n", "comp", "comp_size").join(classes.select("cls", "bitmap"), "cls"), "cls")
 
-    alone = classes.select("cls", "n", F.col("cls").alias("comp"), F.lit(1).cast("long").alias("comp_size"), F.slice("prefix", 1, FIRST_HASHES).alias("prefix"))
-    links = exact(cells_of(in_buckets(alone, False)), spanning=True)
+    alone = classes.select("cls", "n", F.col("cls").alias("comp"), F.lit(1).cast("long").alias("comp_size"), F.col("least").alias("prefix"))
+    links = exact(parts_of(in_buckets(alone, False)), spanning=True)
 
-    joined = written(components(links), "jaccard-components")  # stars
+    joined = kept(components(links), "jaccard-components")  # stars
     sizes = joined.groupBy("root").agg(F.count(F.lit(1)).alias("comp_size"))
     known = joined.join(sizes, "root").select(F.col("node").alias("cls"), F.col("root").alias("comp"), "comp_size")
     placed = classes.select("cls", "n", "prefix").join(known, "cls", "left").withColumn("comp", F.coalesce("comp", "cls")).withColumn("comp_size", F.coalesce("comp_size", F.lit(1).cast("long")))
-    more = exact(cells_of(in_buckets(written(placed, "jaccard-placed"), True)), spanning=False)
+    more = exact(cells_of(in_buckets(kept(placed, "jaccard-placed"), True)), spanning=False)
 
     final = components(joined.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more)).select(F.col("node").alias("cls"), "root")
     ids = classes.join(final, "cls", "left").select("low", "high", "doc_id", "text_hash", F.coalesce("root", "cls").alias("root"))
     ids = written(ids, "jaccard-ids")
+    removed(*done)
     smallest = ids.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("one"))
     ids = ids.join(smallest, "root").select("low", "high", "component_id", "one")
     rows = sets.filter("n_shingles > 0").select("doc_id", "text_hash", "n_shingles", "low", "high").join(ids, ["low", "high"])
@@ -397,3 +471,18 @@ def jaccard_components(docs: DataFrame, *, k: int = 5, num: int = 4, den: int =
 def op4_signature_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     return jaccard_components(docs, k=4, num=85, den=100).select("doc_id", "n_shingles", "component_id")
+
+
+OP4_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+         ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))) END AS s FROM words),
+sizes AS (SELECT doc_id, len(s) AS n FROM sets),
+each AS (SELECT doc_id, unnest(s) AS shingle FROM sets),
+common AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM each a JOIN each b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY ALL),
+links AS (SELECT x, y FROM common JOIN sizes p ON p.doc_id = x JOIN sizes q ON q.doc_id = y WHERE 100 * c >= 85 * (p.n + q.n - c)),
+reached AS (SELECT doc_id AS node, doc_id AS root FROM sizes UNION SELECT y, root FROM reached JOIN links ON node = x)
+SELECT doc_id, CAST(n AS BIGINT) AS n_shingles, component_id FROM sizes JOIN (SELECT node, min(root) AS component_id FROM reached GROUP BY node) ON node = doc_id
+"""
