@@ -16,5 +16,7 @@ QUERIES = {
 }
 SQL = {
     "op3_pareto_mix": mixing.OP3_SQL,
+    "op4_signature_tree": ngram_join.OP4_SQL,
+    "op5_column_suffix_order": repeats.OP5_SQL,
     "op8_branch_and_bound": top_k.OP8_SQL,
 }

@@ -543,3 +543,25 @@ def op5_column_suffix_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = rows.join(found, ["h1", "h2"], "left")
     count = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
     return rows.select("doc_id", "n_bytes", count("n_removed"), count("n_spans"), F.coalesce("kept_sha256", "whole").alias("kept_sha256"), count("n_passages"))
+
+
+OP5_SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+pieces AS (SELECT doc_id, n, c, substr(h, 2 * c + 1, 1312) AS p FROM (SELECT doc_id, n, h, unnest(range(0, n, 256)) AS c FROM d)),
+k AS (SELECT doc_id, c, p, greatest(0, least(256, n - 399 - c)) AS long, greatest(0, least(256, n - 249 - c)) AS short FROM pieces),
+long AS (SELECT doc_id, c + unnest(range(0, long)) AS s, unnest(list_transform(range(0, long), lambda i: hash(substr(p, 2 * i + 1, 800)))) AS key FROM k),
+short AS (SELECT doc_id, c + unnest(range(0, short)) AS s, unnest(list_transform(range(0, short), lambda i: hash(substr(p, 2 * i + 1, 500)))) AS key FROM k),
+again AS (SELECT doc_id, s FROM long WHERE key IN (SELECT key FROM long GROUP BY key HAVING count(*) > 1)),
+held AS (SELECT doc_id, s FROM short WHERE key IN (SELECT key FROM short GROUP BY key HAVING count(*) > 1)),
+marked AS (SELECT doc_id, s, CASE WHEN s > lag(s) OVER w + 400 THEN 1 ELSE 0 END AS new FROM again WINDOW w AS (PARTITION BY doc_id ORDER BY s)),
+numbered AS (SELECT doc_id, s, sum(new) OVER (PARTITION BY doc_id ORDER BY s) AS span FROM marked),
+spans AS (SELECT doc_id, min(s) AS b, max(s) + 400 AS e FROM numbered GROUP BY doc_id, span),
+gaps AS (SELECT doc_id, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY b), 0) AS a, b FROM spans UNION ALL SELECT doc_id, max(e), NULL FROM spans GROUP BY doc_id),
+kept AS (SELECT doc_id, string_agg(substr(h, 2 * a + 1, 2 * (coalesce(b, n) - a)), '' ORDER BY a) AS h FROM gaps JOIN d USING (doc_id) GROUP BY doc_id),
+gone AS (SELECT doc_id, sum(e - b) AS n_removed, count(*) AS n_spans FROM spans GROUP BY doc_id)
+SELECT d.doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+       sha256(unhex(coalesce(kept.h, d.h))) AS kept_sha256, CAST(coalesce(n_passages, 0) AS BIGINT) AS n_passages
+FROM d LEFT JOIN gone USING (doc_id) LEFT JOIN kept USING (doc_id)
+LEFT JOIN (
+  SELECT doc_id, count(DISTINCT run) AS n_passages FROM (SELECT doc_id, s - row_number() OVER (PARTITION BY doc_id ORDER BY s) AS run FROM held) GROUP BY doc_id) USING (doc_id)
+"""
