@@ -176,7 +176,7 @@ class PrefixTable:
 
 
 @lru_cache(maxsize=2)
-def table(model: str, as_bytes: bool) -> PrefixTable:
+def table(model: str, as_bytes: bool = False) -> PrefixTable:
     return PrefixTable(model, as_bytes)
 
 
