@@ -41,6 +41,8 @@ LONGEST_REMEMBERED = 64
 UNIT = re.compile(r"(?<=\S) (?=\S)")
 LETTERS_AND_SIGNS = re.compile(r"([A-Za-zÀ-ÖØ-öø-ɏ]+)([.,!?;:*%$&#]+)")
 READ_ROWS = 8192
+#: Texts are encoded together up to these bounds, so that words which recur are looked up once.
+GATHER_ROWS, GATHER_BYTES = 2048, 8_000_000
 
 
 class UnitEncoder:
@@ -149,6 +151,17 @@ def id_type(largest: int) -> np.dtype:
     return np.dtype("<u2" if largest < 2**16 else "<u4")
 
 
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.num_rows for b in held) >= GATHER_ROWS or sum(b.nbytes for b in held) >= GATHER_BYTES:
+            yield pa.Table.from_batches(held)
+            held = []
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 @lru_cache(maxsize=2)
 def encoder(model: str) -> UnitEncoder:
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs one task for each core
@@ -172,9 +185,9 @@ def write_token_files(docs: DataFrame, model: str, folder: str, *, end_id: int =
         offset = n_docs = n_null = 0
         with open(f"{name}.ids", "wb") as ids, open(f"{name}.offsets", "wb") as offsets, open(f"{name}.keys", "wb") as keys:
             offsets.write(np.array([0], "<u8").tobytes())
-            for batch in batches:
+            for batch in _gathered(batches):
                 n_null += batch.column(0).null_count
-                keys.write(batch.column(0).fill_null(0).to_numpy(zero_copy_only=False).astype("<i8").tobytes())
+                keys.write(batch.column(0).fill_null(0).to_numpy().astype("<i8").tobytes())
                 sizes = []
                 for x in tool.encode_all(batch.column(1).to_pylist()):
                     ids.write(x)
