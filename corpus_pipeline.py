@@ -14,6 +14,8 @@ from larder.llm.common import documents, written
 
 #: Near copies: five-word shingles, Jaccard similarity of 4/5 or more.
 SHINGLE, SIMILAR = 5, (4, 5)
+#: Bytes of a passage that goes when it repeats: in `check_s`, 98.8 of 100 runs of 51 words have so many.
+PASSAGE = 250
 
 
 def apart(docs: DataFrame, *used: str) -> tuple[DataFrame, list[Column]]:
@@ -31,19 +33,22 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: the one with the smallest id. Texts without words stay."""
+    """One document of each group of near copies stays: the one with the smallest id, of several rows with that id and text one by a
+    hash of all columns. Texts without words stay; null ids come last."""
     found = ngram_join.jaccard_components(docs, k=SHINGLE, num=SIMILAR[0], den=SIMILAR[1])
     stay = found.filter("representative").select(F.col("doc_id").alias("stay_id"), F.col("text_hash").alias("stay_hash"), "n_shingles").distinct()
     rows, own = apart(docs, "doc_id", "text")
     rows = rows.withColumn("_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
     kept = rows.join(stay, (F.col("_hash") == F.col("stay_hash")) & F.col("doc_id").eqNullSafe(F.col("stay_id")))
-    repeated = kept.filter("n_shingles > 0").dropDuplicates(["stay_id", "stay_hash"])
-    return repeated.unionByName(kept.filter("n_shingles = 0")).select(own)
+    columns = [c for c, kind in rows.dtypes if not kind.startswith("map")]
+    one = F.min_by(F.struct(*rows.columns), F.xxhash64(*columns)).alias("one")
+    repeated = kept.filter("n_shingles > 0").groupBy("stay_id", "stay_hash").agg(one).select("one.*")
+    return repeated.unionByName(kept.filter("n_shingles = 0").select(repeated.columns)).select(own)
 
 
 def remove_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts lose the passages that operator 5 finds to repeat; n_chars follows. All documents stay."""
-    found = repeats.repeated_strings(docs).select("h1", "h2", "kept")
+    """Texts lose the passages of PASSAGE bytes or more that operator 5 finds to repeat; n_chars follows. All documents stay."""
+    found = repeats.repeated_strings(docs.select("text"), length=PASSAGE).select("h1", "h2", "kept")
     rows, own = apart(docs, "doc_id", "text", "n_chars")
     rows = repeats.keyed(rows).join(found, ["h1", "h2"], "left").withColumn("text", F.coalesce("kept", "text"))
     return rows.withColumn("n_chars", F.length("text").cast("long")).select(own)
