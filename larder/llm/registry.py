@@ -1,6 +1,6 @@
 """The queries of this subpackage and the SQL of those that SQL can express."""
 
-from larder.llm import chat_roles, mixing, ngram_join, quality, repeats, sentence_pieces, token_counts, token_files, top_k, toxicity
+from larder.llm import chat_roles, mixing, negatives, ngram_join, quality, repeats, sentence_pieces, token_counts, token_files, top_k, toxicity, whitening
 
 QUERIES = {
     "op1_toxicity_grammar": toxicity.op1_toxicity_grammar,
@@ -13,10 +13,13 @@ QUERIES = {
     "op8_branch_and_bound": top_k.op8_branch_and_bound,
     "op9_role_repair": chat_roles.op9_role_repair,
     "op10_decision_list": quality.op10_decision_list,
+    "op11_block_whitening": whitening.op11_block_whitening,
+    "op13_packed_tree_negatives": negatives.op13_packed_tree_negatives,
 }
 SQL = {
     "op3_pareto_mix": mixing.OP3_SQL,
     "op4_signature_tree": ngram_join.OP4_SQL,
     "op5_column_suffix_order": repeats.OP5_SQL,
     "op8_branch_and_bound": top_k.OP8_SQL,
+    "op13_packed_tree_negatives": negatives.OP13_SQL,
 }
