@@ -1,6 +1,6 @@
 """The queries of this subpackage and the SQL of those that SQL can express."""
 
-from larder.llm import chat_roles, mixing, negatives, ngram_join, quality, repeats, sentence_pieces, token_counts, token_files, top_k, toxicity, whitening
+from larder.llm import chat_roles, factor_machine, mixing, negatives, ngram_join, quality, repeats, sentence_pieces, token_counts, token_files, top_k, toxicity, whitening
 
 QUERIES = {
     "op1_toxicity_grammar": toxicity.op1_toxicity_grammar,
@@ -14,6 +14,7 @@ QUERIES = {
     "op9_role_repair": chat_roles.op9_role_repair,
     "op10_decision_list": quality.op10_decision_list,
     "op11_block_whitening": whitening.op11_block_whitening,
+    "op12_factor_machine": factor_machine.op12_factor_machine,
     "op13_packed_tree_negatives": negatives.op13_packed_tree_negatives,
 }
 SQL = {
