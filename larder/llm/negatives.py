@@ -36,7 +36,7 @@ POSITIVES, NEGATIVES = 5, 10
 #: A negative's score in hundredths of its positive's.
 WINDOW = (30, 90)
 EXACT = 2.0**53
-ANY = (-(2**63), 2**63 - 1)
+ANY = (float("-inf"), float("inf"))
 
 
 def whole_rows(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", label: str = "label") -> DataFrame:
@@ -155,7 +155,7 @@ class Search:
         anchor = [int(x) for x in self.anchors[slot].tolist()]
         return np.array([sum(int(x) * y for x, y in zip(row, anchor, strict=True)) for row in self.tree.vectors[a:b].tolist()], object)
 
-    def run(self, slot: int, k: int, windows: list[tuple[int, int, int]], same: bool) -> list[list[tuple[int, int]]]:
+    def run(self, slot: int, k: int, windows: list[tuple[float, float, float]], same: bool) -> list[list[tuple[int, int]]]:
         """For each window (low, high, score to reach) the best k of (-score, id) in its bounds; labels equal the anchor's, or differ."""
         tree, label, own = self.tree, int(self.labels[slot]), int(self.ids[slot])
         best: list[list[tuple[int, int]]] = [[] for _ in windows]
