@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-import csv
-import io
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from larder.sources import splits
+
 # Extensions of images of training sets, of uploads that are merged into them, and columns of a review file.
 IMAGES = ["jpg", "jpeg", "png", "webp", "bmp"]
 UPLOADS = [*IMAGES, "gif"]
@@ -17,31 +14,14 @@ REVIEW = ["left_id", "left_canonical_name", "left_normalized_name", "right_id",
 
 
 def recipe_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Path, line_no from 0, and the fields of each row as a map. Each file is read as a whole, so quoted line ends are safe
-    and the order within a file is exact; files are read in parallel."""
-
-    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                rows = [{k: v for k, v in row.items() if k is not None} for row in csv.DictReader(io.StringIO(content.decode("utf-8-sig")))]
-                fields = pa.array([list(r.items()) for r in rows], pa.map_(pa.string(), pa.string()))
-                yield pa.RecordBatch.from_arrays([pa.array([name] * len(rows), pa.string()), pa.array(range(len(rows)), pa.int64()), fields], ["path", "line_no", "fields"])
-
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").load(path).select("path", "content")
-    return files.mapInArrow(parse, "path string, line_no long, fields map<string,string>")
+    """Path, line_no from 0, and the fields of each row as a map. Quoted line ends are safe and the order within a file is exact; files are
+    read in splits, so one of any size is read in parallel."""
+    return splits.csv_rows(spark, path)
 
 
 def dump_rows(spark: SparkSession, path: str, table: str, n_fields: int = 12) -> DataFrame:
-    """Fields of the rows between a table's COPY header and its end mark; rows with another number of fields are flagged."""
-    lines = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.posexplode(F.split("value", "\r?\n")).alias("line_no", "line"))
-    head = F.min(F.when(F.col("line").startswith("COPY ") & F.contains("line", F.lit("FROM stdin")) & F.contains("line", F.lit(table)), F.col("line_no")))
-    heads = lines.groupBy("path").agg(head.alias("_head")).filter("_head is not null")
-    ends = lines.filter(F.trim("line") == "\\.").join(heads, "path").filter(F.col("line_no") > F.col("_head")).groupBy("path").agg(F.min("line_no").alias("_end"))
-    rows = lines.join(heads, "path").join(ends, "path", "left")
-    end = F.coalesce("_end", F.lit(2**31 - 1))
-    inside = rows.filter((F.col("line_no") > F.col("_head")) & (F.col("line_no") < end) & (F.trim("line") != "") & ~F.trim("line").startswith("--"))
-    fields = F.split("line", "\t")
-    return inside.select("path", "line_no", fields.alias("fields"), (F.size(fields) == n_fields).alias("valid"))
+    """Fields of the rows between a table's COPY header and its end mark, read in splits; rows with another number of fields are flagged."""
+    return splits.dump_rows(spark, path, table, n_fields)
 
 
 def insert_ids(lines: DataFrame, line: str, table: str) -> DataFrame:
