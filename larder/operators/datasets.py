@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larder.operators.ordinals import ordinals, placed
@@ -12,8 +12,9 @@ from larder.operators.ordinals import ordinals, placed
 
 def collision_safe(df: DataFrame, stem: str, suffix: str, order: Sequence[str]) -> DataFrame:
     """file is stem and suffix; the n-th row of a stem after the first gets _n before the suffix."""
-    n = F.row_number().over(Window.partitionBy(stem).orderBy(*order)) - 1
-    return df.withColumn("file", F.concat(F.col(stem), F.when(n > 0, F.concat(F.lit("_"), n.cast("string"))).otherwise(F.lit("")), F.lit(suffix)))
+    n = F.col("_place") - 1
+    file = F.concat(F.col(stem), F.when(n > 0, F.concat(F.lit("_"), n.cast("string"))).otherwise(F.lit("")), F.lit(suffix))
+    return placed(df, [stem], order, "_place").withColumn("file", file).drop("_place")
 
 
 def over_cap(df: DataFrame, keys: Sequence[str], order: Sequence[str], cap: int) -> DataFrame:
@@ -53,10 +54,10 @@ def group_split(df: DataFrame, group: str, shares: Mapping[str, float], rest: st
     """Whole groups go to one split: int(n * share) groups to each named one in hash order, others to the rest."""
     digits = F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(group).cast("string"))), 1, 15)
     groups = df.select(group).distinct().withColumn("_h", F.conv(digits, 16, 10).cast("long"))
-    n = groups.count()
-    split, upto = F.when(F.lit(False), F.lit("")), 0
+    n = groups.agg(F.count(F.lit(1))).scalar()
+    split, upto = F.when(F.lit(False), F.lit("")), F.lit(0).cast("long")
     for name, share in shares.items():
-        upto += int(n * share)
+        upto = upto + F.floor(n * F.lit(share))
         split = split.when(F.col("_k") <= upto, name)
     chosen = ordinals(groups, ["_h", group], "_k").select(group, split.otherwise(rest).alias("split"))
     return df.join(chosen, group)
@@ -89,8 +90,7 @@ def cap_and_merge(existing: DataFrame, uploads: DataFrame, splits: Sequence[str]
     taken = named.select("class", "target", "_base", "_suffix").distinct().join(there, ["class", "target"]).withColumn("_n", F.when(F.col("_file") == F.concat("_base", "_suffix"), 0).otherwise(F.regexp_extract(F.col("_file"), r"_(\d+)(\.[^.]*)?$", 1).try_cast("int")))
     taken = taken.filter(F.col("_file") == F.concat("_base", F.when(F.col("_n") > 0, F.concat(F.lit("_"), F.col("_n").cast("string"))).otherwise(F.lit("")), "_suffix"))
     used = taken.groupBy("class", "target", "_base", "_suffix").agg(F.array_sort(F.collect_set("_n")).alias("_used"))
-    place = F.row_number().over(Window.partitionBy("class", "target", "_base", "_suffix").orderBy("_rank", "path"))
-    rows = named.join(used, ["class", "target", "_base", "_suffix"], "left").withColumn("_k", place)
+    rows = placed(named, ["class", "target", "_base", "_suffix"], ["_rank", "path"], "_k").join(used, ["class", "target", "_base", "_suffix"], "left")
     # The k-th number from 0 on that isn't used.
     number = F.aggregate(F.coalesce("_used", F.array().cast("array<int>")), F.col("_k") - 1, lambda n, u: F.when(u <= n, n + 1).otherwise(n))
     file = F.concat("_base", F.when(number > 0, F.concat(F.lit("_"), number.cast("string"))).otherwise(F.lit("")), "_suffix")

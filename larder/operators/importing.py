@@ -7,13 +7,14 @@ from collections.abc import Iterator
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larder.functions.text import first_filled, source_key
 from larder.operators.ordinals import ordinals
 from larder.operators.recipes import match_existing, missing_ids
 from larder.operators.resolve import first_by
+from larder.operators.snapshots import snapshot
 
 INGREDIENTS = "array<struct<name:string,quantity:string,unit:string,is_optional:boolean>>"
 STEPS = "array<struct<text:string,image:string>>"
@@ -107,48 +108,50 @@ def import_recipes(raw: DataFrame, recipes: DataFrame, master: DataFrame, *, sit
     recipes: recipe_id, source_site, source_recipe_key, title; master: ingredient_id, canonical_name. Rows without a known recipe share one
     new recipe for each title: its attributes come from the first such row, and new ids follow these rows in order of file, then line.
     Children come from the last row of a recipe; new ingredients and the statistics from all accepted rows. Rows without fields, which
-    couldn't be read, count as failed and skipped.
+    couldn't be read, count as failed and skipped. File and line tell a row.
+
+    Cells are parsed once, into a snapshot that all outputs read. Which row stands for which recipe is a second one, of ids and places alone; attributes and
+    children are the rows that it names.
     """
-    rows = parsed_rows(raw.withColumn("_unread", F.col("fields").isNull())).withColumn("skip_reason", F.when(F.col("_unread"), "failed").otherwise(skip_reason("title", "ingredients", "steps", require_steps)))
-    accepted = rows.filter("skip_reason is null").withColumn("site", F.lit(site))
-    known = recipes.select("recipe_id", F.col("source_site").alias("_s"), F.col("source_recipe_key").alias("_k"), F.col("title").alias("_t"))
-    matched = match_existing(accepted, known.withColumnsRenamed({"_s": "site", "_k": "key", "_t": "title"}), "site", "key", "title", "recipe_id")
-    first = first_by(matched.filter("matched_id is null"), ["title"], [F.asc("path"), F.asc("line_no")])
-    top = F.lit(recipes.agg(F.coalesce(F.max("recipe_id"), F.lit(0))).first()[0])
-    # The smallest path has rank 0: ids follow files in order, then lines. There is one row for each file.
-    files = first.groupBy("path").agg(F.lit(1).alias("_one")).select("path", (F.row_number().over(Window.orderBy("path")) - 1).cast("long").alias("_file"))
-    numbered = ordinals(first.join(files, "path"), ["_file", "line_no"], "_n")
-    new = numbered.select((top + F.col("_n")).alias("recipe_id"), F.col("site").alias("source_site"), F.col("key").alias("source_recipe_key"), "title", F.col("image").alias("thumbnail_url"), F.col("difficulty").alias("difficulty_level"), F.col("servings").alias("servings_text"), F.col("cook_time").alias("cook_time_text"), F.col("url").alias("source_url"), F.lit(True).alias("is_active"))
-    every = matched.join(new.select("title", F.col("recipe_id").alias("new_id")), "title", "left").withColumn("recipe_id", F.coalesce("matched_id", "new_id"))
-    last = first_by(every, ["recipe_id"], [F.desc("path"), F.desc("line_no")])
-    item = every.select("recipe_id", F.explode("ingredients").alias("i")).filter("i.name <> ''").select(F.col("i.name").alias("canonical_name")).distinct()
+    parsed = parsed_rows(raw.withColumn("_unread", F.col("fields").isNull()))
+    reason = F.when(F.col("_unread"), "failed").otherwise(skip_reason("title", "ingredients", "steps", require_steps))
+    rows = snapshot(parsed.withColumns({"skip_reason": reason, "_n_ingredients": F.size("ingredients"), "_n_steps": F.size("steps")}), "import-rows")
+    accepted = rows.filter("skip_reason is null")
+    known = recipes.select("recipe_id", F.col("source_site").alias("site"), F.col("source_recipe_key").alias("key"), "title")
+    matched = match_existing(accepted.select("path", "line_no", "title", "key", F.lit(site).alias("site")), known, "site", "key", "title", "recipe_id")
+    place = F.struct("path", "line_no")
+    first = matched.filter("matched_id is null").groupBy("title").agg(F.min(place).alias("p")).select("title", "p.*")
+    top = recipes.agg(F.coalesce(F.max("recipe_id"), F.lit(0))).scalar()
+    ids = ordinals(first, ["path", "line_no"], "_n").select("title", "path", "line_no", (top + F.col("_n")).alias("new_id"))
+    every = matched.join(ids.select("title", "new_id"), "title", "left")
+    last = every.groupBy(F.coalesce("matched_id", "new_id").alias("recipe_id")).agg(F.max(place).alias("p")).select("recipe_id", "p.*")
+    children = accepted.select("path", "line_no", "ingredients", "steps").join(snapshot(last, "import-last"), ["path", "line_no"])
+    new = accepted.drop("title").join(ids, ["path", "line_no"]).select(F.col("new_id").alias("recipe_id"), F.lit(site).alias("source_site"), F.col("key").alias("source_recipe_key"), "title", F.col("image").alias("thumbnail_url"), F.col("difficulty").alias("difficulty_level"), F.col("servings").alias("servings_text"), F.col("cook_time").alias("cook_time_text"), F.col("url").alias("source_url"), F.lit(True).alias("is_active"))
+    item = accepted.select(F.explode("ingredients.name").alias("canonical_name")).filter("canonical_name <> ''").distinct()
     fresh = item.join(master.select("canonical_name"), "canonical_name", "left_anti")
-    base = F.lit(master.agg(F.coalesce(F.max("ingredient_id"), F.lit(0))).first()[0])
+    base = master.agg(F.coalesce(F.max("ingredient_id"), F.lit(0))).scalar()
     fresh = ordinals(fresh.withColumn("_h", F.xxhash64("canonical_name")), ["_h", "canonical_name"], "_n")
     fresh = fresh.select((base + F.col("_n")).alias("ingredient_id"), "canonical_name", F.col("canonical_name").alias("normalized_name"), F.lit(NEW_CATEGORY[0]).alias("category_code"), F.lit("g").alias("standard_unit"), F.lit(True).alias("is_active"))
-    ids = master.select("ingredient_id", "canonical_name").unionByName(fresh.select("ingredient_id", "canonical_name")).groupBy("canonical_name").agg(F.min("ingredient_id").alias("ingredient_master_id"))
-    lines = last.select("recipe_id", F.posexplode("ingredients").alias("at", "i"))
+    names = master.select("ingredient_id", "canonical_name").unionByName(fresh.select("ingredient_id", "canonical_name")).groupBy("canonical_name").agg(F.min("ingredient_id").alias("ingredient_master_id"))
+    lines = children.select("recipe_id", F.posexplode("ingredients").alias("at", "i"))
     raw_text = F.when(F.col("i.quantity").isNull(), F.col("i.name")).otherwise(F.concat_ws(" ", "i.name", "i.quantity"))
     lines = lines.select("recipe_id", (F.col("at") + 1).alias("sort_order"), raw_text.alias("raw_text"), F.col("i.name").alias("normalized_name_snapshot"), F.col("i.quantity").alias("amount_text"), "i.unit", "i.is_optional").filter("raw_text <> ''")
-    lines = lines.join(ids, F.col("normalized_name_snapshot") == F.col("canonical_name"), "left").drop("canonical_name")
-    steps = last.select("recipe_id", F.posexplode("steps").alias("at", "s")).filter("s.text <> ''")
+    lines = lines.join(names, F.col("normalized_name_snapshot") == F.col("canonical_name"), "left").drop("canonical_name")
+    steps = children.select("recipe_id", F.posexplode("steps").alias("at", "s")).filter("s.text <> ''")
     steps = steps.select("recipe_id", (F.col("at") + 1).alias("step_no"), F.col("s.text").alias("instruction_text"), F.col("s.image").alias("step_image_url"))
     count = lambda test: F.count(F.when(test, F.lit(1)))
     stats = rows.agg(
         F.countDistinct("path").alias("files"), F.count(F.lit(1)).alias("rows"), count(F.col("skip_reason").isNull()).alias("imported"), count(F.col("skip_reason").isNotNull()).alias("skipped"), count(F.col("_unread")).alias("failed"),
-        F.coalesce(F.sum(F.when(F.col("skip_reason").isNull(), F.size("ingredients"))), F.lit(0)).alias("ingredients"), F.coalesce(F.sum(F.when(F.col("skip_reason").isNull(), F.size("steps"))), F.lit(0)).alias("steps"),
+        F.coalesce(F.sum(F.when(F.col("skip_reason").isNull(), F.col("_n_ingredients"))), F.lit(0)).alias("ingredients"), F.coalesce(F.sum(F.when(F.col("skip_reason").isNull(), F.col("_n_steps"))), F.lit(0)).alias("steps"),
     )
-    return {"recipes": recipes.unionByName(new, allowMissingColumns=True), "recipe_ingredient": lines, "recipe_step": steps, "ingredient_master": master.unionByName(fresh, allowMissingColumns=True), "rejects": rows.filter("skip_reason is not null").drop("_unread"), "statistics": stats}
+    rejects = rows.filter("skip_reason is not null").drop("_unread", "_n_ingredients", "_n_steps")
+    return {"recipes": recipes.unionByName(new, allowMissingColumns=True), "recipe_ingredient": lines, "recipe_step": steps, "ingredient_master": master.unionByName(fresh, allowMissingColumns=True), "rejects": rejects, "statistics": stats}
 
 
 def ordinal_map(accepted: DataFrame, recipes: DataFrame, site: str, *, required: bool = False) -> DataFrame:
     """Ordinal (file order, then line order) and the recipe's id by key, then title. Without one the id is null, or, if
     ids are required, the job fails."""
-    # Few files: their accepted rows are counted, and each file begins after the rows of the files before it.
-    sizes = accepted.groupBy("path").agg(F.count(F.lit(1)).alias("_n"))
-    before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("path").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
-    rows = accepted.withColumn("site", F.lit(site)).join(before, "path")
-    rows = rows.withColumn("ordinal", F.col("_before") + F.row_number().over(Window.partitionBy("path").orderBy("line_no")))
+    rows = ordinals(accepted.select("path", "line_no", "key", "title"), ["path", "line_no"]).withColumn("site", F.lit(site))
     known = recipes.select("recipe_id", F.col("source_site").alias("site"), F.col("source_recipe_key").alias("key"), "title")
     found = match_existing(rows, known, "site", "key", "title", "recipe_id")
     absent = F.raise_error(F.concat(F.lit("no recipe for ordinal "), F.col("ordinal").cast("string"), F.lit(", title "), F.col("title")))

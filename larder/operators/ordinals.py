@@ -1,4 +1,9 @@
-"""Running numbers over a whole table without a single task that holds it."""
+"""Running numbers over tables and groups of any size, by orders of any type.
+
+Rows are sorted in ranges whose bounds Spark samples, so numbers, texts and several columns serve alike, and a group that holds most rows lies in
+many ranges. The sorted rows are written once with their range and place; sizes of ranges, added up, turn places into numbers. Both
+steps read the written rows, so they can't differ.
+"""
 
 from __future__ import annotations
 
@@ -8,33 +13,34 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from larder.operators.snapshots import snapshot
+
+
+def _ranged(df: DataFrame, order: Sequence[str | Column], name: str) -> DataFrame:
+    """df, written, with _range and _at, the place in it: ranges follow each other in the order, and so do places."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id())
+    ranges = {"_range": F.shiftright("_id", 33).cast("int"), "_at": F.col("_id").bitwiseAND((1 << 33) - 1)}
+    return snapshot(dealt.withColumns(ranges).drop("_id"), name)
 
-def placed(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], name: str, buckets: int = 64) -> DataFrame:
-    """Numbers from 1 in each group. Where the first order column is a number, groups of any size are numbered by ranges of it, each
-    after the rows of the ranges before; else a group is numbered in one task."""
-    first = order[0]
-    if not isinstance(first, str) or not dict(df.dtypes)[first].startswith(("int", "bigint", "double", "float", "smallint", "decimal")):
-        return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
-    cuts = df.select(F.percentile_approx(first, [k / buckets for k in range(1, buckets)])).first()[0] or []  # 63 numbers
-    ranged = df.withColumn("_range", F.size(F.filter(F.array(*map(F.lit, sorted(set(cuts)))), lambda c: c < F.col(first))) if cuts else F.lit(0))
-    sizes = ranged.groupBy(*keys, "_range").agg(F.count(F.lit(1)).alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # at most 64 rows a group
-    short = sizes.select(*[F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)], F.col("_range").alias("_of"), before.alias("_before"))
+
+def placed(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], name: str) -> DataFrame:
+    """Numbers from 1 in each group, nulls being a group: a row's place among those of its group and range, after the group's rows in earlier ranges."""
+    ranged = _ranged(df, [*keys, *order], "places")
+    parts = ranged.groupBy(*keys, "_range").agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_least"))
+    # A group has one row for each range it lies in.
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    told = parts.select(*[F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)], F.col("_range").alias("_of"), "_least", before.alias("_before"))
     same = [F.col(k).eqNullSafe(F.col(f"_key{i}")) for i, k in enumerate(keys)]
-    inside = ranged.withColumn("_in_range", F.row_number().over(Window.partitionBy(*keys, "_range").orderBy(*order)))
-    joined = inside.join(short, reduce(Column.__and__, same, F.col("_range") == F.col("_of")))
-    return joined.withColumn(name, (F.col("_before") + F.col("_in_range")).cast("int")).drop("_range", "_in_range", "_of", "_before", *[f"_key{i}" for i in range(len(keys))])
-
-
-def ordinals(df: DataFrame, order: Sequence[str], name: str = "ordinal", buckets: int = 64) -> DataFrame:
-    """Numbers from 1 in a total order. Rows fall into ranges of the first key; each range is numbered by itself and begins after
-    the rows of the ranges before it, which are summed over one row for each range. df is read twice and must give the same rows."""
-    first = order[0]
-    moment = dict(df.dtypes)[first].startswith(("timestamp", "date"))
-    value = F.unix_micros(F.col(first).cast("timestamp")) if moment else F.col(first)
-    cuts = df.select(F.percentile_approx(value, [k / buckets for k in range(1, buckets)])).first()[0] or []  # 63 numbers
-    ranged = df.withColumn("_range", F.size(F.filter(F.array(*map(F.lit, sorted(set(cuts)))), lambda c: c < value)) if cuts else F.lit(0))
-    sizes = {r["_range"]: r["n"] for r in ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row for each range
-    base = F.element_at(F.array(*[F.lit(sum(n for k, n in sizes.items() if k < r)).cast("long") for r in range(max(sizes, default=0) + 1)]), F.col("_range") + 1)
-    inside = ranged.withColumn("_in_range", F.row_number().over(Window.partitionBy("_range").orderBy(*order)))
-    return inside.withColumn(name, base + F.col("_in_range")).drop("_range", "_in_range")
+    joined = ranged.join(told, reduce(Column.__and__, same, F.col("_range") == F.col("_of")))
+    return joined.withColumn(name, (F.col("_before") + F.col("_at") - F.col("_least") + 1).cast("int")).select(*df.columns, name)
+
+
+def ordinals(df: DataFrame, order: Sequence[str | Column], name: str = "ordinal") -> DataFrame:
+    """Numbers from 1 in a total order over the whole table."""
+    ranged = _ranged(df, order, "ordinals")
+    # One row for each range.
+    sizes = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    joined = ranged.join(F.broadcast(sizes.select("_range", before.alias("_before"))), "_range")
+    return joined.withColumn(name, F.col("_before") + F.col("_at") + 1).select(*df.columns, name)

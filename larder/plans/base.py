@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from larder.operators.snapshots import shared_folder
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
@@ -25,13 +25,8 @@ def query(name: str, sql: str | None = None):
 
 
 def derived(spark: SparkSession, name: str) -> str:
-    """A new folder for files that a query derives from tables: below spark.checkpoint.dir, or of this machine where the master is local."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        base = tempfile.mkdtemp(prefix="larder-")
-    return f"{base.rstrip('/')}/larder/{name}-{uuid.uuid4().hex}"
+    """A new folder for files that a query derives from tables."""
+    return shared_folder(spark, name)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

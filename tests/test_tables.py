@@ -101,3 +101,35 @@ def test_lsh_finds_near_pairs(spark):
     assert pairs(similarity.lsh_pairs(vectors, "id", "v", 0.95)) == pairs(similarity.similar_pairs(vectors, "id", "v", 0.95)) and len(pairs(similarity.lsh_pairs(vectors, "id", "v", 0.95))) >= 60
     with pytest.raises(ValueError, match="method"):
         similarity.suggest_merges(vectors, "id", "id", vectors, "v", method="x")
+
+
+def test_numbers_by_texts_in_many_tasks(spark):
+    # One group holds most rows; the order is of text, then of a number, and nulls come first.
+    rows = spark.range(4000).select(F.when(F.col("id") % 50 > 0, "hot").otherwise(F.concat(F.lit("k"), (F.col("id") % 7).cast("string"))).alias("cls"), F.when(F.col("id") % 97 > 0, F.concat(F.lit("root/train/"), F.md5(F.col("id").cast("string")))).alias("path"), (F.col("id") * 31 % 4001).alias("id"))
+    found = ordinals.placed(rows, ["cls"], ["path", "id"], "n").collect()
+    wanted = rows.withColumn("n", F.row_number().over(Window.partitionBy("cls").orderBy("path", "id"))).collect()
+    assert sorted(map(str, found)) == sorted(map(str, wanted))
+    spread = ordinals._ranged(rows, ["cls", "path", "id"], "test").filter("cls = 'hot'").groupBy("_range").count().collect()
+    assert len(spread) == 4 and max(r["count"] for r in spread) < 2000
+    numbered = ordinals.ordinals(rows, [F.desc("path"), "id"], "n").collect()
+    assert [r.n for r in sorted(numbered, key=lambda r: (r.path is None, [-ord(c) for c in r.path or ""], r.id))] == list(range(1, 4001))
+    assert ordinals.ordinals(rows.limit(0), ["path"]).collect() == [] == ordinals.placed(rows.limit(0), ["cls"], ["path"], "n").collect()
+
+
+def test_cells_are_parsed_once(spark):
+    parsed = spark.sparkContext.accumulator(0)
+    raw = spark.range(500).selectExpr("concat('f', id % 3, '.csv') AS path", "id AS line_no", "map('title', concat('t', id % 90), 'ingredients', '[\"salt\"]', 'steps', '[\"cook\"]') AS fields")
+
+    @F.udf("string")
+    def counted(value):
+        parsed.add(1)
+        return value
+
+    raw = raw.withColumn("fields", F.transform_values("fields", lambda k, v: v)).withColumn("fields", F.map_concat("fields", F.create_map(F.lit("difficulty"), counted(F.col("fields")["title"]))))
+    recipes = spark.createDataFrame([(7, "s", "x", "t5")], "recipe_id long, source_site string, source_recipe_key string, title string")
+    out = importing.import_recipes(raw, recipes, spark.createDataFrame([], "ingredient_id long, canonical_name string"), site="s")
+    counts = {k: v.count() for k, v in out.items()}
+    assert parsed.value == 500
+    assert counts == {"recipes": 90, "recipe_ingredient": 90, "recipe_step": 90, "ingredient_master": 1, "rejects": 0, "statistics": 1}
+    assert sorted(r.recipe_id for r in out["recipes"].collect()) == list(range(7, 97))
+    assert out["recipe_ingredient"].filter("ingredient_master_id is null").count() == 0
