@@ -5,13 +5,17 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from larder.functions.text import col
+from larder.operators.snapshots import snapshot
 
-BLOCK = 2048
+#: Rows of a block, pivots of a dimension, and blocks whose summaries meet at once.
+BLOCK, PIVOTS, GROUP = 2048, 32, 256
+#: Unrelated rows of a bucket of LSH, and rows of a part of a larger bucket.
+OCCUPANCY, PART = 8, 1024
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -32,58 +36,209 @@ def unit(v: str | Column) -> Column:
     return F.transform(v, lambda x: x.cast("double") / F.when(norm > 0, norm).otherwise(1.0))
 
 
-def similar_pairs(vectors: DataFrame, key: str, vector: str, threshold: float, block: int = BLOCK) -> DataFrame:
-    """left_id < right_id with a cosine of threshold or more. Rows fall into blocks by hash; each pair of blocks is one group of
-    bounded size, multiplied as matrices."""
+def _unit_rows(vectors: DataFrame, key: str, vector: str, threshold: float) -> DataFrame:
+    """id and v, of length 1, of the rows that can be similar to one: vectors of length 0 have the cosine 0, and others hold what is no number."""
+    if not 0 < threshold <= 1:
+        raise ValueError("the threshold is a cosine above 0")
     rows = vectors.select(F.col(key).alias("id"), F.transform(vector, lambda x: x.cast("double")).alias("v")).filter(F.size("v") > 0)
-    n = max(1, -(-rows.count() // block))
-    own = F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
-    cells = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    cells = cells.select("id", "v", "own", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"))
-
-    def multiply(rows: pd.DataFrame) -> pd.DataFrame:
-        p, q = rows["p"].iloc[0], rows["q"].iloc[0]
-        left, right = rows[rows["own"] == p], rows[rows["own"] == q]
-        norm = lambda m: m / np.where((length := np.linalg.norm(m, axis=1, keepdims=True)) > 0, length, 1.0)
-        if left.empty or right.empty:
-            return pd.DataFrame({"left_id": [], "right_id": [], "similarity": []})
-        scores = norm(np.stack(left["v"].to_list())) @ norm(np.stack(right["v"].to_list())).T
-        i, j = np.nonzero(scores >= threshold - 1e-9)
-        a, b, s = left["id"].to_numpy()[i], right["id"].to_numpy()[j], scores[i, j]
-        keep = a < b if p == q else a != b
-        return pd.DataFrame({"left_id": np.minimum(a, b)[keep], "right_id": np.maximum(a, b)[keep], "similarity": s[keep]})
+    return rows.select("id", unit("v").alias("v")).filter(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x).between(0.5, 1.5))
 
-    kind = rows.schema["id"].dataType.simpleString()
-    found = cells.groupBy("p", "q").applyInPandas(multiply, f"left_id {kind}, right_id {kind}, similarity double")
-    return found.filter(F.col("similarity") >= threshold)
+
+def _close(a: np.ndarray, b: np.ndarray, x: np.ndarray, y: np.ndarray, threshold: float, same: bool) -> pa.RecordBatch | None:
+    """Pairs of ids a and b whose unit vectors x and y have a cosine of threshold or more; same: both sides are one block."""
+    scores = x @ y.T
+    i, j = np.nonzero(scores >= threshold)
+    left, right, s = a[i], b[j], scores[i, j]
+    keep = left < right if same else left != right
+    if not keep.any():
+        return None
+    low, high = np.minimum(left, right)[keep], np.maximum(left, right)[keep]
+    return pa.RecordBatch.from_arrays([pa.array(low), pa.array(high), pa.array(s[keep])], ["left_id", "right_id", "similarity"])
+
+
+def _stacked(column: pa.Array) -> np.ndarray:
+    at = column.offsets.to_numpy()
+    return column.values.to_numpy()[at[0] : at[-1]].reshape(len(at) - 1, -1)
 
 
-def lsh_pairs(vectors: DataFrame, key: str, vector: str, threshold: float, *, bands: int = 24, bits: int = 8, seed: int = 7) -> DataFrame:
-    """J07 by locality-sensitive hashing: signs of random projections in bands; pairs that share a band are checked exactly.
+def packed_blocks(rows: DataFrame, block: int = BLOCK, pivots: int = PIVOTS) -> DataFrame:
+    """A written row for each block of unit rows of one dimension: ids and vectors as bytes, and where the block lies: its centre, the largest angle to it,
+    and the range of its angles to each pivot. Rows fall to their nearest pivot, and the order of pivots and angles is cut into blocks.
 
-    A pair at the angle a shares a band of b bits with probability (1 - a / pi) ** b, so near pairs are found almost surely and others may be missed:
-    with the defaults a pair at a cosine of 0.9 is found with probability above 0.99.
+    Pivots are rows of the table, as many as asked for each dimension at most, by hashes of their ids.
     """
-    rows = vectors.select(F.col(key).alias("id"), F.transform(vector, lambda x: x.cast("double")).alias("v")).filter(F.size("v") > 0)
     kind = rows.schema["id"].dataType.simpleString()
+    sizes = rows.groupBy(F.size("v").alias("d")).agg(F.count(F.lit(1)).alias("n")).collect()  # one row for each dimension
+    # The hash decides which rows are pivots; a few for each dimension reach the driver.
+    chosen = rows.withColumn("_h", F.xxhash64("id", F.lit("pivot"))).withColumn("_k", F.row_number().over(Window.partitionBy(F.size("v")).orderBy("_h", "id"))).filter(F.col("_k") <= pivots)
+    held: dict[int, np.ndarray] = {}
+    for r in chosen.select("v").collect():
+        held.setdefault(len(r["v"]), []).append(r["v"])
+    held = {d: np.array(v) for d, v in held.items()}
+
+    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes_ = np.diff(batch.column(1).offsets.to_numpy())
+            for d in np.unique(sizes_):
+                part = batch.filter(pa.array(sizes_ == d))
+                cosines = np.clip(_stacked(part.column(1)) @ held[int(d)].T, -1, 1)
+                best = cosines.argmax(1)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(np.full(len(best), d, np.int32)), pa.array(best.astype(np.int32)), pa.array(np.arccos(cosines[np.arange(len(best)), best]))], ["id", "v", "d", "pivot", "angle"])
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
 
-    def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        parts: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+        for batch in batches:
+            ids, dims, at = batch.column(0), batch.column(2).to_numpy(), 0
+            # Rows come sorted by dimension; a range can hold several.
+            for d, n in zip(*np.unique(dims, return_counts=True), strict=True):
+                part = batch.slice(at, n)
+                parts.setdefault(int(d), []).append((ids.slice(at, n), _stacked(part.column(1))))
+                at += n
+        for k, (d, held_rows) in enumerate(parts.items()):
+            v = np.concatenate([x for _, x in held_rows])
+            ids = pa.concat_arrays([x for x, _ in held_rows])
+            middle = v.sum(0)
+            norm = np.linalg.norm(middle)
+            middle = middle / norm if norm > 1e-9 else v[0]
+            radius = float(np.arccos(np.clip(v @ middle, -1, 1)).max())
+            angles = np.arccos(np.clip(v @ held[d].T, -1, 1))
+            row = [TaskContext.get().partitionId() * 1024 + k, d, len(v), ids.to_pylist(), v.tobytes(), middle.tobytes(), radius, angles.min(0).tobytes(), angles.max(0).tobytes()]
+            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, (pa.int64(), pa.int32(), pa.int32(), pa.list_(ids.type), *[None] * 5), strict=True)], ["block", "d", "n", "ids", "vectors", "centre", "radius", "low", "high"])
+
+    total = sum(r["n"] for r in sizes)
+    told = rows.mapInArrow(nearest, f"id {kind}, v array<double>, d int, pivot int, angle double")
+    dealt = told.repartitionByRange(max(1, -(-total // block)), "d", "pivot", "angle", "id").sortWithinPartitions("d")
+    return snapshot(dealt.mapInArrow(pack, f"block long, d int, n int, ids array<{kind}>, vectors binary, centre binary, radius double, low binary, high binary"), "similar-blocks")
+
+
+def block_pairs(blocks: DataFrame, threshold: float) -> DataFrame:
+    """p, q (p <= q) and near: pairs of blocks of one dimension, and whether they can hold a pair of threshold or more.
+
+    On the sphere angles are distances. Two rows of an angle a at most lie in blocks whose centres are no further apart than both radii and a, and for no pivot do
+    the ranges of their blocks' angles leave a gap above a. Only these summaries meet, GROUP of them at a time.
+    """
+    most = float(np.arccos(min(1.0, threshold))) + 1e-7
+    keys = blocks.select("block", "d", "centre", "radius", "low", "high").withColumn("g", F.pmod(F.xxhash64("block"), F.lit(1 << 30)))
+    n = max(1, -(-blocks.count() // GROUP))  # a row for each block
+    groups = keys.groupBy(F.pmod("g", F.lit(n)).alias("g")).agg(F.collect_list(F.struct("block", "d", "centre", "radius", "low", "high")).alias("of"))
+    meeting = groups.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))))
+    other = groups.select(F.col("g").cast("long").alias("other"), F.col("of").alias("with"))
+    cells = meeting.join(other, "other").filter(F.col("g") <= F.col("other")).select((F.col("g") == F.col("other")).alias("same"), "of", "with").repartition(max(1, n * (n + 1) // 2))
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        arrays = lambda rows, f: np.array([np.frombuffer(r[f]) for r in rows])
+        for row in (r for batch in batches for r in batch.to_pylist()):
+            for d in {x["d"] for x in row["of"]} & {x["d"] for x in row["with"]}:
+                one, two = ([x for x in row[side] if x["d"] == d] for side in ("of", "with"))
+                a, b = (np.array([x["block"] for x in rows]) for rows in (one, two))
+                apart = np.arccos(np.clip(arrays(one, "centre") @ arrays(two, "centre").T, -1, 1))
+                reach = np.array([x["radius"] for x in one])[:, None] + np.array([x["radius"] for x in two]) + most
+                near = apart <= reach
+                low, high = ([arrays(rows, f) for rows in (one, two)] for f in ("low", "high"))
+                for k in range(low[0].shape[1]):
+                    near &= (low[0][:, k, None] - high[1][:, k] <= most) & (low[1][:, k] - high[0][:, k, None] <= most)
+                i, j = np.nonzero(a[:, None] <= b if row["same"] else np.ones_like(near))
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a[i], b[j])), pa.array(np.maximum(a[i], b[j])), pa.array(near[i, j])], ["p", "q", "near"])
+
+    return cells.mapInArrow(compare, "p long, q long, near boolean")
+
+
+def similar_pairs(vectors: DataFrame, key: str, vector: str, threshold: float, block: int = BLOCK, pivots: int = PIVOTS) -> DataFrame:
+    """left_id < right_id with a cosine of threshold or more, exactly. Vectors of other lengths, of norm 0 or without entries are similar to none.
+
+    Vectors are packed once into blocks along pivots; pairs of blocks that the triangle inequality rules out never meet, and each other pair is one product of matrices.
+    """
+    rows = _unit_rows(vectors, key, vector, threshold)
+    kind = rows.schema["id"].dataType.simpleString()
+    blocks = packed_blocks(rows, block, pivots)
+    pairs = block_pairs(blocks, threshold).filter("near").select("p", "q")
+    side = lambda name: blocks.select(F.col("block").alias(name), F.col("d").alias(f"{name}_d"), F.col("ids").alias(f"{name}_ids"), F.col("vectors").alias(f"{name}_vectors"))
+    n = 2 * int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cells = pairs.join(side("p"), "p").repartition(n, "q").join(side("q").repartition(n, "q"), "q")
+
+    def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                cell = batch.slice(k, 1)
+                d, same = cell.column("p_d")[0].as_py(), cell.column("p")[0].as_py() == cell.column("q")[0].as_py()
+                (a, x), (b, y) = ((cell.column(f"{s}_ids").flatten().to_numpy(zero_copy_only=False), np.frombuffer(cell.column(f"{s}_vectors")[0].as_buffer()).reshape(-1, d)) for s in ("p", "q"))
+                if (found := _close(a, b, x, y, threshold, same)) is not None:
+                    yield found
+
+    return cells.mapInArrow(multiply, f"left_id {kind}, right_id {kind}, similarity double")
+
+
+def lsh_shape(n: int, threshold: float, recall: float) -> tuple[int, int]:
+    """Bits of a band and number of bands. Bits grow with the table, so that a bucket of unrelated rows holds about OCCUPANCY of them whatever its size; a pair at
+    the angle a shares a band of b bits with probability (1 - a / pi) ** b, and there are so many bands that one at the threshold shares one with probability recall."""
+    bits = min(62, max(4, int(np.ceil(np.log2(max(1, n) / OCCUPANCY)))))
+    shared = (1 - np.arccos(min(1.0, threshold)) / np.pi) ** bits
+    return bits, 1 if shared >= 1 else max(1, int(np.ceil(np.log(1 - recall) / np.log1p(-shared))))
+
+
+def lsh_cells(rows: DataFrame, bits: int, bands: int, seed: int = 7, part: int | None = None) -> DataFrame:
+    """band, hash, p, q, own and id: rows that share a band meet in cells of bounded size. A bucket of more than part rows, such as of one common vector, is dealt into
+    parts, and each pair of parts is a cell."""
+    kind = rows.schema["id"].dataType.simpleString()
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         planes: dict[int, np.ndarray] = {}
+        weights = 1 << np.arange(bits, dtype=np.int64)
         for batch in batches:
-            found = np.zeros((len(batch), bands), np.int64)
-            lengths = batch["v"].map(len)
-            for d in lengths.unique():
+            sizes = np.diff(batch.column(1).offsets.to_numpy())
+            for d in np.unique(sizes):
+                chosen = batch.filter(pa.array(sizes == d))
                 plane = planes.setdefault(int(d), np.random.default_rng(seed).normal(size=(int(d), bands * bits)))
-                chosen = np.flatnonzero(lengths == d)
-                up = (np.stack(batch["v"].iloc[chosen].to_list()) @ plane > 0).reshape(len(chosen), bands, bits)
-                found[chosen] = (up * (1 << np.arange(bits))).sum(2)
-            yield pd.DataFrame({"id": batch["id"], "hashes": list(found)})
-
-    bucket = rows.mapInPandas(sign, f"id {kind}, hashes array<bigint>").select("id", F.posexplode("hashes").alias("band", "hash"))
-    other = bucket.withColumnRenamed("id", "other")
-    pairs = bucket.join(other, ["band", "hash"]).filter("id < other").select(F.col("id").alias("left_id"), F.col("other").alias("right_id")).distinct()
-    both = pairs.join(rows.select(F.col("id").alias("left_id"), F.col("v").alias("_l")), "left_id").join(rows.select(F.col("id").alias("right_id"), F.col("v").alias("_r")), "right_id")
-    return both.select("left_id", "right_id", cosine("_l", "_r").alias("similarity")).filter(F.col("similarity") >= threshold)
+                up = (_stacked(chosen.column(1)) @ plane > 0).reshape(chosen.num_rows, bands, bits)
+                hashes = (up * weights).sum(2)
+                yield pa.RecordBatch.from_arrays([chosen.column(0), pa.array(np.full(chosen.num_rows, d, np.int32)), pa.ListArray.from_arrays(np.arange(0, hashes.size + 1, bands, dtype=np.int32), hashes.ravel())], ["id", "d", "hashes"])
+
+    signed = rows.mapInArrow(sign, f"id {kind}, d int, hashes array<bigint>").select("id", "d", F.posexplode("hashes").alias("band", "hash"))
+    bucket = ["band", "hash", "d"]
+    sizes = signed.groupBy(*bucket).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").withColumn("parts", F.ceil(F.col("n") / (part or PART)).cast("int")).drop("n")
+    own = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
+    cells = signed.join(sizes, bucket).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    return cells.select(*bucket, F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "id")
+
+
+def lsh_pairs(vectors: DataFrame, key: str, vector: str, threshold: float, *, recall: float = 0.99, seed: int = 7) -> DataFrame:
+    """J07 by locality-sensitive hashing, for tables of any size: signs of random projections in bands (see lsh_shape); rows that share a band are compared
+    exactly, and only pairs of threshold or more leave a task. A pair at the threshold is found with probability recall, a nearer one rather."""
+    rows = snapshot(_unit_rows(vectors, key, vector, threshold), "lsh-rows")
+    kind = rows.schema["id"].dataType.simpleString()
+    bits, bands = lsh_shape(rows.count(), threshold, recall)
+    cell = ["band", "hash", "d", "p", "q"]
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cells = lsh_cells(rows, bits, bands, seed).join(rows, "id").repartition(n, *cell).sortWithinPartitions(*cell)
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, parts = None, []
+
+        def out() -> Iterator[pa.RecordBatch]:
+            own, ids, v = (np.concatenate(x) for x in zip(*parts, strict=True))
+            p, q = own == last[3], own == last[4]
+            if (found := _close(ids[p], ids[q], v[p], v[q], threshold, last[3] == last[4])) is not None:
+                yield found
+
+        for batch in batches:
+            keys = np.stack([batch.column(c).to_numpy() for c in cell], 1)
+            edges = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1).tolist(), len(keys)]
+            for a, b in zip(edges[:-1], edges[1:], strict=True):
+                if a == b:
+                    continue
+                now = tuple(keys[a].tolist())
+                if now != last and parts:
+                    yield from out()
+                    parts = []
+                last, part_rows = now, batch.slice(a, b - a)
+                parts.append((part_rows.column("own").to_numpy(), part_rows.column("id").to_numpy(zero_copy_only=False), _stacked(part_rows.column("v"))))
+        if parts:
+            yield from out()
+
+    found = cells.select(*cell, "own", "id", "v").mapInArrow(compare, f"left_id {kind}, right_id {kind}, similarity double")
+    return found.groupBy("left_id", "right_id").agg(F.max("similarity").alias("similarity"))
 
 
 def suggest_merges(master: DataFrame, key: str, name: str, vectors: DataFrame, vector: str, *, threshold: float = 0.9, method: str = "exact") -> DataFrame:

@@ -145,3 +145,17 @@ FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id AND a.label <> b.labe
 def c04(spark, d):
     e = table(spark, d, "embeddings").withColumn("name", F.concat(F.lit("label"), F.col("label").cast("string")))
     return similarity.suggest_merges(e, "vec_id", "name", e, "embedding", threshold=0.3)
+
+
+LABELLED = """
+WITH v AS (SELECT vec_id, 'label' || label AS name, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings
+  UNION ALL SELECT vec_id + 1000000, 'label' || (label % 2), list_transform(embedding, lambda x: 2 * CAST(x AS DOUBLE) + 0.01) FROM embeddings),
+p AS (SELECT a.vec_id AS left_id, a.name AS left_name, b.vec_id AS right_id, b.name AS right_name, list_cosine_similarity(a.v, b.v) AS c FROM v a JOIN v b ON a.vec_id < b.vec_id AND a.name <> b.name)"""
+
+
+@query("c04_lsh", f"{LABELLED} SELECT left_id, left_name, right_id, right_name, round(c, 4) AS similarity, '' AS suggested_name, '' AS approved, '' AS memo FROM p WHERE c >= 0.95")
+def c04_lsh(spark, d):
+    e = table(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"), "label")
+    turned = e.select((F.col("vec_id") + 1000000).alias("vec_id"), F.transform("v", lambda x: 2 * x + 0.01).alias("v"), (F.col("label") % 2).alias("label"))
+    both = e.unionByName(turned).withColumn("name", F.concat(F.lit("label"), F.col("label").cast("string")))
+    return similarity.suggest_merges(both, "vec_id", "name", both, "v", threshold=0.95, method="lsh")
