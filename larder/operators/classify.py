@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from larder.functions.keywords import first_contained
 from larder.functions.text import braced_json, col
 
 # Categories in order, each with its keywords in order.
@@ -48,8 +49,9 @@ def category(c: str | Column, rules: list[tuple[str, str, list[str]]] = CATEGORI
     """struct of code, name, keyword and confidence: the first keyword that the name holds, else ETC at 0.3."""
     name = F.lower(F.trim(col(c)))
     entry = lambda code, title, word, p: F.struct(F.lit(code).alias("code"), F.lit(title).alias("name"), F.lit(word).cast("string").alias("keyword"), F.lit(p).alias("confidence"))
-    words = F.array(*[entry(code, title, word, 0.9) for code, title, keywords in rules for word in keywords])
-    return F.coalesce(F.get(F.filter(words, lambda k: F.contains(name, k["keyword"])), F.lit(0)), entry(*OTHER, None, 0.3))
+    words = [(code, title, word) for code, title, keywords in rules for word in keywords]
+    known = F.array(*[entry(code, title, word, 0.9) for code, title, word in words])
+    return F.coalesce(F.get(known, first_contained(name, [word for _, _, word in words])), entry(*OTHER, None, 0.3))
 
 
 def shelf_life(df: DataFrame, category_code: str, storage: str, as_of: str) -> DataFrame:

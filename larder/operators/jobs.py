@@ -39,10 +39,8 @@ def recommend_meals(history: DataFrame, recipes: DataFrame, targets: DataFrame,
     means = nutrition.window_means(history, user, date, values, as_of)
     best = nutrition.nearest(recipes, targets, recipe_id, k)
     chosen = best.groupBy("meal").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", recipe_id))), lambda x: x[recipe_id]).alias("recipes"))
-    row = chosen.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("meal", "recipes")))).alias("meals"))  # one row of a few meals
-    meals = row.first()["meals"]
-    column = F.create_map(*[x for meal, ids in sorted(meals.items()) for x in (F.lit(meal), F.array(*map(F.lit, ids)))])
-    return means.withColumn("meals", column)
+    # One row of a few meals.
+    return means.withColumn("meals", chosen.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("meal", "recipes"))))).scalar())
 
 
 def assembly_manifest(files: DataFrame, labels: DataFrame, names: DataFrame, prefixes: DataFrame, source: str) -> DataFrame:
@@ -110,9 +108,9 @@ def collection_plan(aliases: DataFrame, counts: DataFrame, packaged: DataFrame,
 
 def report_context(recipes: DataFrame, fridge: DataFrame, meals: DataFrame, *, n: int = 50) -> DataFrame:
     """C20: each user's ingredients and recent meals with the first n titles; recipes (id, title), fridge (user_id, name), meals (user_id, at, title)."""
-    titles = [r["title"] for r in recipes.orderBy("id").limit(n).collect()]
+    titles = recipes.orderBy("id").limit(n).agg(F.transform(F.array_sort(F.collect_list(F.struct("id", "title"))), lambda x: x["title"])).scalar()
     mine = fridge.groupBy("user_id").agg(F.sort_array(F.collect_set("name")).alias("ingredients"))
     recent = meals.groupBy("user_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "title")), asc=False), lambda x: x["title"]).alias("meals"))
     none = F.array().cast("array<string>")
     rows = mine.join(recent, "user_id", "full_outer").withColumns({"ingredients": F.coalesce("ingredients", none), "meals": F.coalesce("meals", none)})
-    return rows.withColumn("titles", F.array(*map(F.lit, titles)) if titles else none)
+    return rows.withColumn("titles", titles)

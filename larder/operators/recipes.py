@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larder.operators.resolve import text_key
 
+#: Ids of a range that is opened at once.
+CHUNK = 1 << 20
+
 
 def ranked_duplicates(recipes: DataFrame, keys: Sequence[str], recipe_id: str, time: str | None = None) -> DataFrame:
     """A10: the row that stays of each group of equal keys (null is a key): earliest time, nulls last, then smallest id.
@@ -34,9 +37,17 @@ def duplicate_summary(recipes: DataFrame, keys: Sequence[str]) -> DataFrame:
     return groups.agg(F.count(F.lit(1)).alias("groups"), F.coalesce(F.sum("n"), F.lit(0)).alias("members"), F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("deletions"))
 
 
-def missing_ids(spark: SparkSession, df: DataFrame, key: str, start: int, end: int) -> DataFrame:
-    """Ids from start to end that a table lacks."""
-    return spark.range(start, end + 1).withColumnRenamed("id", key).join(df.select(key), key, "left_anti")
+def missing_ids(spark: SparkSession, df: DataFrame, key: str, start: int, end: int | Column) -> DataFrame:
+    """Ids from start to end that a table lacks; end can be a scalar that is found when the query runs."""
+    if isinstance(end, int):
+        every = spark.range(start, end + 1).withColumnRenamed("id", key)
+    else:
+        # Ranges of CHUNK ids are dealt out, then opened.
+        last = F.coalesce(end, F.lit(start - 1)).cast("long")
+        chunks = spark.range(1).select(F.explode(F.when(last >= start, F.sequence(F.lit(0).cast("long"), F.floor((last - start) / CHUNK)))).alias("_chunk"))
+        begin = F.lit(start) + F.col("_chunk") * CHUNK
+        every = chunks.repartition("_chunk").select(F.explode(F.sequence(begin, F.least(begin + (CHUNK - 1), last))).alias(key))
+    return every.join(df.select(key), key, "left_anti")
 
 
 def match_existing(rows: DataFrame, recipes: DataFrame, site: str, key: str, title: str, recipe_id: str) -> DataFrame:

@@ -84,9 +84,13 @@ def patch(df: DataFrame, key: str, column: str, patches: DataFrame, value: str)
 
 
 def duplicate_groups(df: DataFrame, key: str, name: str, limit: int | None = None) -> DataFrame:
-    """Names of several rows, their number and their ids in order; largest first, then by name."""
-    groups = named(df, name).groupBy(name).agg(F.count(F.lit(1)).alias("row_count"), F.array_join(F.sort_array(F.collect_list(key)), ",").alias("ids")).filter("row_count > 1")
-    return groups.orderBy(F.desc("row_count"), name).limit(limit) if limit else groups
+    """Names of several rows, their number and their ids in order; largest first, then by name. With a limit groups are counted first, and only
+    the ids of those that stay are gathered. A group's ids stand in one row: for groups of any size see paging.duplicate_pages."""
+    listed = F.array_join(F.sort_array(F.collect_list(key)), ",").alias("ids")
+    if not limit:
+        return named(df, name).groupBy(name).agg(F.count(F.lit(1)).alias("row_count"), listed).filter("row_count > 1")
+    counts = named(df, name).groupBy(name).agg(F.count(F.lit(1)).alias("row_count")).filter("row_count > 1").orderBy(F.desc("row_count"), name).limit(limit)
+    return df.select(key, name).join(F.broadcast(counts), name).groupBy(name, "row_count").agg(listed).orderBy(F.desc("row_count"), name)
 
 
 def conflicts(df: DataFrame, key: str, name: str) -> DataFrame:

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larder.operators import recipes, resolve, tables
+from larder.operators import paging, recipes, resolve, tables
 from larder.plans.base import query, table
 
 MERGE = "SELECT p_partkey AS old_id, min(p_partkey) OVER (PARTITION BY p_name) AS keep_id, p_name FROM part WHERE p_name IS NOT NULL AND p_name <> ''"
@@ -139,7 +139,7 @@ def j09(spark, d):
 @query("j10", "SELECT id AS o_orderkey FROM (SELECT unnest(range(0, (SELECT max(o_orderkey) + 1000 FROM orders) + 1)) AS id) WHERE id NOT IN (SELECT o_orderkey FROM orders)")
 def j10(spark, d):
     orders = table(spark, d, "orders")
-    return recipes.missing_ids(spark, orders, "o_orderkey", 0, orders.agg(F.max("o_orderkey")).first()[0] + 1000)
+    return recipes.missing_ids(spark, orders, "o_orderkey", 0, orders.agg(F.max("o_orderkey")).scalar() + 1000)
 
 
 @query("j11", """
@@ -184,6 +184,21 @@ def t01(spark, d):
     return resolve.duplicate_groups(table(spark, d, "part"), "p_partkey", "p_name", 50)
 
 
+PAGES = """
+SELECT p_name, row_count, CAST((k - 1) // 4 AS INTEGER) AS page, string_agg(p_partkey, ',' ORDER BY p_partkey) AS ids FROM (
+  SELECT p_partkey, p_name, count(*) OVER (PARTITION BY p_name) AS row_count, row_number() OVER (PARTITION BY p_name ORDER BY p_partkey) AS k FROM part WHERE p_name <> '') WHERE row_count > 1"""
+
+
+@query("a02_pages", f"{PAGES} GROUP BY ALL")
+def a02_pages(spark, d):
+    return paging.duplicate_pages(table(spark, d, "part"), "p_partkey", "p_name", size=4).withColumn("ids", F.array_join("ids", ","))
+
+
+@query("t01_pages", f"{PAGES} AND p_name IN (SELECT p_name FROM part GROUP BY p_name ORDER BY count(*) DESC, p_name LIMIT 50) GROUP BY ALL")
+def t01_pages(spark, d):
+    return paging.duplicate_pages(table(spark, d, "part"), "p_partkey", "p_name", limit=50, size=4).withColumn("ids", F.array_join("ids", ","))
+
+
 @query("a03", """
 SELECT l_orderkey, count(DISTINCT l_returnflag) AS names, string_agg(DISTINCT l_returnflag, ' | ' ORDER BY l_returnflag) AS listed
 FROM lineitem GROUP BY l_orderkey HAVING count(DISTINCT l_returnflag) > 1""")

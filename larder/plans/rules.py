@@ -92,8 +92,34 @@ def f19(spark, d):
 
 @query("f15", "SELECT event_id, CAST(ts AS DATE) >= DATE '2024-01-01' AS month, CAST(ts AS DATE) >= DATE '2024-01-24' AS week FROM events")
 def f15(spark, d):
-    day = F.to_date("ts")
-    return table(spark, d, "events").select("event_id", *[(day >= F.date_sub(F.lit("2024-01-31").cast("date"), n)).alias(name) for name, n in (("month", 30), ("week", 7))])
+    return table(spark, d, "events").select("event_id", *[nutrition.looks_back("ts", "2024-01-31", n).alias(name) for name, n in zip(("month", "week"), nutrition.DAYS_BACK, strict=True)])
+
+
+@query("f19_pages", f"""
+SELECT p_brand AS menu, CAST((k - 1) // 20 AS INTEGER) AS page, string_agg({MENU}, chr(10) ORDER BY p_partkey) AS text
+FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS k FROM part) GROUP BY ALL""")
+def f19_pages(spark, d):
+    part = table(spark, d, "part")
+    recipes = part.select("p_partkey", "p_name", "p_brand", *[F.col("p_size").alias(n) for n in nutrition.DEFAULTS if n != "protein"], F.lit(None).cast("int").alias("protein"))
+    return nutrition.menu_pages(recipes, "p_name", "p_partkey", F.col("p_brand"), 20)
+
+
+#: Every keyword with its place and category.
+KEYWORDS = [(k, code, word) for k, (code, word) in enumerate((code, word) for code, _, words in classify.CATEGORIES for word in words)]
+KEYWORD_ROWS = f"(VALUES {', '.join(str(x) for x in KEYWORDS)}) AS w(k, code, word)"
+
+
+@query("f27_all", f"""
+WITH n AS (SELECT p_partkey, p_partkey % {len(KEYWORDS)} AS k, CASE p_size % 3 WHEN 0 THEN a.word WHEN 1 THEN p_name || a.word ELSE a.word || b.word END AS name
+  FROM part JOIN {KEYWORD_ROWS.replace("AS w", "AS a")} ON a.k = p_partkey % {len(KEYWORDS)} JOIN {KEYWORD_ROWS.replace("AS w", "AS b")} ON b.k = (p_partkey * 7 + p_size) % {len(KEYWORDS)})
+SELECT p_partkey, arg_min(w.code, w.k) AS code, arg_min(w.word, w.k) AS keyword FROM n JOIN {KEYWORD_ROWS} ON contains(n.name, w.word) GROUP BY p_partkey""")
+def f27_all(spark, d):
+    """Each of the keywords, alone, after other text, and before another keyword."""
+    words = F.array(*[F.lit(word) for _, _, word in KEYWORDS])
+    at = lambda k: F.get(words, (k % len(KEYWORDS)).cast("int"))
+    one, two = at(F.col("p_partkey")), at(F.col("p_partkey") * 7 + F.col("p_size"))
+    name = F.when(F.col("p_size") % 3 == 0, one).when(F.col("p_size") % 3 == 1, F.concat("p_name", one)).otherwise(F.concat(one, two))
+    return table(spark, d, "part").select("p_partkey", classify.category(name).alias("c")).select("p_partkey", "c.code", "c.keyword")
 
 
 @query("f34", "SELECT p_partkey, p_size % 3 = 0 AS optional FROM part")
