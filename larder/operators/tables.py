@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
@@ -14,6 +15,8 @@ from larder.operators.resolve import named
 #: Names of a column with the time of a change, the likeliest first; fixed values.
 TIMESTAMPS = ["created_at", "created_date", "creation_date", "updated_at", "updated_date", "last_modified", "timestamp", "date_created", "date_updated"]
 LAST_ID = 999999
+#: Cells that a source counts for each part of a parallel read.
+CELLS = 16
 
 
 def picked(df: DataFrame, candidates: Sequence[str], required: bool = False) -> str | None:
@@ -155,14 +158,64 @@ def name_lines(df: DataFrame, name: str) -> DataFrame:
     return named(df, name).select(F.col(name).alias("value"))
 
 
-def read_table(spark: SparkSession, url: str, name: str, *, split: tuple[str, int, int, int] | None = None, **options: str) -> DataFrame:
-    """A table of a database by JDBC; split (column, least, greatest, parts) reads it in parallel ranges."""
-    reader = spark.read.format("jdbc").options(url=url, dbtable=name, **options)
-    if split:
-        reader = reader.options(partitionColumn=split[0], lowerBound=split[1], upperBound=split[2], numPartitions=split[3])
-    return reader.load()
+def read_table(spark: SparkSession, url: str, name: str, *, split: str | None = None, parts: int = 8, quote: str = '"', **options: str) -> DataFrame:
+    """A table of a database by JDBC, in parallel by ranges of a split column (a number, date or timestamp).
+
+    The source is asked for bounds: it counts its rows in cells of equal width between the least and the greatest value, and cells are put together into parts of about equal
+    size, so that values that crowd don't make one large part. Rows without a value have a part of their own.
+    """
+    reader = lambda query: spark.read.format("jdbc").options(url=url, **options).option("dbtable", query)
+    if split is None:
+        return reader(name).load()
+    column, kind = next((c, kind) for c, kind in reader(name).load().dtypes if c.lower() == split.lower())
+    split = f"{quote}{column}{quote}"
+    ends = reader(f"(SELECT MIN({split}) AS lo, MAX({split}) AS hi FROM {name}) ends").load().first()
+    if ends[0] is None:
+        return reader(name).load()
+    if kind.startswith(("date", "timestamp")):
+        return reader(name).options(partitionColumn=column, lowerBound=str(ends[0]), upperBound=str(ends[1]), numPartitions=parts).load()
+    low = math.floor(ends[0])
+    width = max(1, -(-(math.floor(ends[1]) + 1 - low) // (parts * CELLS)))
+    cell = f"FLOOR(({split} - {low}) / {width})"
+    # parts * CELLS rows at most.
+    counts = reader(f"(SELECT cell, COUNT(*) AS n FROM (SELECT CAST({cell} AS INTEGER) AS cell FROM {name} WHERE {split} IS NOT NULL) c GROUP BY cell) counts").load().collect()
+    cells = sorted((int(r[0]), int(r[1])) for r in counts)
+    cuts, held, share = [], 0, sum(n for _, n in cells) / parts
+    for k, n in cells[:-1]:
+        held += n
+        if held >= share * (len(cuts) + 1) and len(cuts) < parts - 1:
+            cuts.append(low + (k + 1) * width)
+    bounds = [None, *cuts, None]
+    tests = [" AND ".join(x for x in (f"{split} >= {a}" if a is not None else "", f"{split} < {b}" if b is not None else "") if x) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+    return spark.read.jdbc(url, name, predicates=[*(t or f"{split} IS NOT NULL" for t in tests), f"{split} IS NULL"], properties=dict(options))
 
 
 def write_table(df: DataFrame, url: str, name: str, *, mode: str = "append", **options: str) -> None:
     """Rows into a table of a database by JDBC."""
     df.write.format("jdbc").options(url=url, dbtable=name, **options).mode(mode).save()
+
+
+def replace_table(df: DataFrame, url: str, name: str, *, rename: str = "ALTER TABLE {old} RENAME TO {new}", **options: str) -> int:
+    """A table's rows replaced as a whole, and how many there are. Tasks, which can run twice, write into a staging table; it takes the table's name in one
+    transaction once all are there, so readers see the old rows or the new ones. A failed job leaves the old table. rename is the database's statement."""
+    spark, staging = df.sparkSession, f"{name}_staging"
+    df.write.format("jdbc").options(url=url, dbtable=staging, **options).mode("overwrite").save()
+    n = spark.read.format("jdbc").options(url=url, dbtable=staging, **options).load().count()
+    connection = spark.sparkContext._jvm.java.sql.DriverManager.getConnection(url, *[options[k] for k in ("user", "password") if k in options])
+    try:
+        connection.setAutoCommit(False)
+        statement = connection.createStatement()
+        known = connection.getMetaData().getTables(None, None, "%", None)
+        names = []
+        while known.next():
+            names.append(known.getString("TABLE_NAME").lower())
+        if name.lower() in names:
+            statement.executeUpdate(f"DROP TABLE {name}")
+        statement.executeUpdate(rename.format(old=staging, new=name))
+        connection.commit()
+    except Exception:
+        connection.rollback()
+        raise
+    finally:
+        connection.close()
+    return n

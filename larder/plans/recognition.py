@@ -468,3 +468,24 @@ def c19(spark, d):
 @query("c19_victims", f"{MERGED} SELECT CAST(doc_id AS VARCHAR) AS path, k AS place FROM e WHERE k > 12")
 def c19_victims(spark, d):
     return _merge(spark, d)["victims"].select("path", F.col("place").cast("long").alias("place"))
+
+
+@query("c11_classified", """
+WITH e AS (SELECT vec_id, list_transform(embedding[1:6], lambda x: abs(CAST(x AS DOUBLE))) AS p, CASE WHEN vec_id % 3 > 0 THEN list_transform(embedding[7:12], lambda x: abs(CAST(x AS DOUBLE))) END AS q FROM embeddings),
+m AS (SELECT vec_id, CASE WHEN q IS NULL THEN p ELSE list_transform(list_zip(p, q), lambda z: (z[1] + z[2]) * 0.5) END AS a FROM e),
+c AS (SELECT vec_id, i - 1 AS class, a[i] AS p, row_number() OVER (PARTITION BY vec_id ORDER BY a[i] DESC, i) AS k, list_reverse_sort(a) AS s FROM m, unnest(range(1, 7)) AS t(i)),
+n AS (SELECT * FROM (VALUES (0, 'D1', 1), (1, 'D1', 1), (2, 'D3', 3), (3, 'ing_4', NULL), (4, 'D5', 5), (5, 'leek', NULL)) AS t(class, display_name, ingredient_id))
+SELECT vec_id AS image, CAST(k - 1 AS INTEGER) AS place, display_name, CAST(ingredient_id AS BIGINT) AS ingredient_id, round(p, 6) AS confidence, s[1] - s[2] < 0.12 OR s[1] < 0.40 AS needs_review
+FROM c JOIN n USING (class) WHERE k <= 3""")
+def c11_classified(spark, d):
+    """From the class probabilities of two passes to the final candidates: means (A12), the likeliest classes (T04), names (F40), doubt (W06), and recognition."""
+    part = lambda at: F.transform(F.slice("embedding", at, 6), lambda x: F.abs(x.cast("double")))
+    images = table(spark, d, "embeddings").select(F.col("vec_id").alias("image"), part(1).alias("p"), F.when(F.col("vec_id") % 3 > 0, part(7)).otherwise(F.array().cast("array<double>")).alias("flipped"))
+    classes = spark.createDataFrame([(k, f"ing_{k + 1}" if k < 5 else "leek") for k in range(6)], "class int, label string")
+    labels = spark.createDataFrame([(f"ing_0000{k}", f"D{k}", f"n{k}", "VEG", k) for k in (1, 3, 5)], "key string, display_name string, normalized_name string, category string, ingredient_id long")
+    remap, vocabulary = spark.createDataFrame([("ing_00002", "ing_00001")], "old string, new string"), spark.createDataFrame([("leek",)], "name string")
+    raw = candidates.classified(images, classes, labels, remap, vocabulary)
+    routes = images.select("image", F.lit('{"route":"raw_ingredient","confidence":0.9,"needs_user_confirmation":false}').alias("answer"))
+    found = candidates.recognize(routes, raw.limit(0), raw, raw.limit(0))
+    rows = found.select("image", "needs_review", F.posexplode("candidates").alias("place", "c"))
+    return rows.select("image", "place", "c.display_name", "c.ingredient_id", F.round("c.confidence", 6).alias("confidence"), "needs_review")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from larder.functions.text import class_key
@@ -226,3 +228,37 @@ def s13(spark, d):
     part = table(spark, d, "part")
     tables.for_target(part.withColumn("scratch", F.lit(1)), part.select("p_partkey", "p_name", "p_size", "p_brand")).write.parquet(target)
     return spark.read.parquet(target)
+
+
+@query("s13_jdbc", "SELECT p_partkey, p_name, p_size, p_brand FROM part WHERE p_size > 5")
+def s13_jdbc(spark, d):
+    """Through a database inside this process, so on a local master only; a table there is replaced, and read back in parallel by its own counts."""
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("an embedded database is within reach of one process only")
+    url, part = f"jdbc:derby:memory:larder{uuid.uuid4().hex};create=true", table(spark, d, "part").select("p_partkey", "p_name", "p_size", "p_brand")
+    for rows in (part, part.filter("p_size > 5")):
+        tables.replace_table(rows, url, "part", rename="RENAME TABLE {old} TO {new}")
+    return tables.read_table(spark, url, "part", split="p_partkey", parts=4)
+
+
+@query("s04_groups", """
+SELECT CASE WHEN k % 2 = 0 THEN 'Fruit' ELSE 'Vegetables' END AS family, p_name AS folder, kind AS name
+FROM (SELECT p_name, min(p_partkey) AS k, min(p_type) AS kind FROM part GROUP BY p_name) WHERE k % 5 <> 0""")
+def s04_groups(spark, d):
+    names = table(spark, d, "part").groupBy("p_name").agg(F.min("p_partkey").alias("k"), F.min("p_type").alias("kind"))
+    name = F.when(F.col("k") % 5 == 0, F.lit(" ")).otherwise(F.col("kind"))
+    entries = lambda even: F.map_from_entries(F.collect_list(F.when(F.col("k") % 2 == (0 if even else 1), F.struct("p_name", name))))
+    folder = derived(spark, "groups")
+    value = F.to_json(F.struct(entries(True).alias("Fruit"), entries(False).alias("Vegetables"))).alias("value")
+    names.groupBy((F.col("k") % 7).alias("file")).agg(value).write.partitionBy("file").text(folder)
+    return files.grouped_maps(spark, folder, ["Fruit", "Vegetables"]).withColumnRenamed("group", "family")
+
+
+@query("s07_files", "SELECT DISTINCT 'lang=' || lang AS split, 'source=' || source AS class FROM documents")
+def s07_files(spark, d):
+    """Over files that are there: one for each class of a split, beside others that are none of the kind."""
+    folder = derived(spark, "images")
+    rows = table(spark, d, "documents").select("lang", "source").distinct().withColumn("value", F.lit("x")).repartition("lang", "source")
+    rows.write.partitionBy("lang", "source").text(folder)
+    rows.write.mode("append").partitionBy("lang", "source").json(folder)
+    return files.image_files(spark, folder, ["TXT", "txt"]).select("split", "class")

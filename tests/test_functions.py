@@ -58,3 +58,26 @@ def test_merge_keeps_children_of_unknown_ingredients(spark):
     assert sorted((r.recipe, r.id or 0) for r in found) == [(10, 0), (10, 1), (10, 9), (11, 1)]
     again = resolve.dedup_children(spark.createDataFrame(found, child.schema), "recipe", "id", mapping)
     assert again.count() == 4
+
+
+def test_keywords_as_one_tree(spark):
+    import random
+    import re
+
+    from larder.functions import keywords
+    from larder.operators import classify
+
+    pick = random.Random(3)
+    words = [w for _, _, group in classify.CATEGORIES for w in group]
+    letters = sorted(set("".join(words)))
+    texts = ["", *words, *("".join(pick.choice(letters) for _ in range(pick.randrange(9))) for _ in range(400)), *(pick.choice(words) + pick.choice(words) for _ in range(400))]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", keywords.first_contained(F.col("t"), words).alias("k"), keywords.contains_any(F.col("t"), words).alias("any")).collect()
+    for r in rows:
+        want = next((k for k, w in enumerate(words) if w in r.t), None)
+        assert r.k == want and r.any == (want is not None), r
+    # The longest word at a place, marks of patterns being letters.
+    for some in (["a", "ab", "abcd", "b.c", "b|", "(x"], ["aa", "a"], ["x"]):
+        for word in some:
+            assert re.match(keywords.tree_pattern(some), word + "z").group() == word
+    few = spark.createDataFrame([("zb.cz",), ("zabcdz",), ("q",), (None,)], "t string").select(keywords.first_contained(F.col("t"), ["b.c", "bc", "abc", "ab", "cd"]).alias("k")).collect()
+    assert [r.k for r in few] == [0, 1, None, None]

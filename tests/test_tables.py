@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from larder.operators import candidates, datasets, importing, ordinals, similarity, tables
+from larder.operators import candidates, datasets, importing, ordinals, paging, similarity, tables
 from larder.sources import files
 
 
@@ -20,13 +20,79 @@ def test_drifting_schemas(spark):
 def test_jdbc(spark, tmp_path):
     url, driver = f"jdbc:derby:{tmp_path}/db;create=true", "org.apache.derby.iapi.jdbc.AutoloadedDriver"
     df = spark.createDataFrame([(k, f"n{k}") for k in range(20)], "id long, name string")
-    try:
-        tables.write_table(df, url, "t", mode="overwrite", driver=driver)
-    except Exception as error:
-        pytest.skip(f"no database here: {str(error)[:80]}")
+    tables.write_table(df, url, "t", mode="overwrite", driver=driver)
     tables.write_table(df.filter("id < 3").withColumn("id", F.col("id") + 100), url, "t", driver=driver)
-    whole, parts = tables.read_table(spark, url, "t", driver=driver), tables.read_table(spark, url, "t", split=("ID", 0, 20, 4), driver=driver)
-    assert whole.count() == 23 and parts.rdd.getNumPartitions() == 4 and sorted(map(tuple, parts.collect())) == sorted(map(tuple, whole.collect()))
+    whole, parts = tables.read_table(spark, url, "t", driver=driver), tables.read_table(spark, url, "t", split="ID", parts=4, driver=driver)
+    assert whole.count() == 23 and parts.rdd.getNumPartitions() == 5 and sorted(map(tuple, parts.collect())) == sorted(map(tuple, whole.collect()))
+
+
+def test_parallel_reads_follow_the_values(spark, tmp_path):
+    url = f"jdbc:derby:{tmp_path}/db;create=true"
+    # Most values crowd at the low end; some rows have none.
+    df = spark.createDataFrame([(float(k) if k < 900 else 10.0**6 + k, k) for k in range(1000)] + [(None, -1), (None, -2), (-7.5, -3)], "at double, k int")
+    tables.write_table(df, url, "t", mode="overwrite")
+    parts = tables.read_table(spark, url, "t", split="at", parts=6)
+    assert sorted(map(str, parts.collect())) == sorted(map(str, df.collect()))
+    crowded = spark.createDataFrame([(k * k, k) for k in range(2000)], "at long, k int")
+    tables.write_table(crowded, url, "u", mode="overwrite")
+    sizes = tables.read_table(spark, url, "u", split="at", parts=4).rdd.glom().map(len).collect()
+    assert sum(sizes) == 2000 and sizes[-1] == 0 and max(sizes) < 800  # equal widths would give 1000
+    days = spark.sql("SELECT date_add(DATE '2024-01-01', CAST(id AS INT)) AS day, id FROM range(40)")
+    tables.write_table(days, url, "d", mode="overwrite")
+    assert tables.read_table(spark, url, "d", split="day", parts=3).count() == 40
+    tables.write_table(df.limit(0), url, "e", mode="overwrite")
+    assert tables.read_table(spark, url, "e", split="at").count() == 0
+
+
+def test_tables_are_replaced_as_a_whole(spark, tmp_path):
+    url = f"jdbc:derby:{tmp_path}/db;create=true"
+    statement = {"rename": "RENAME TABLE {old} TO {new}"}
+    df = spark.range(30).withColumn("name", F.lit("a"))
+    assert tables.replace_table(df, url, "t", **statement) == 30
+    assert tables.replace_table(df.filter("id < 5"), url, "t", **statement) == 5
+    assert tables.read_table(spark, url, "t").count() == 5
+    failing = df.withColumn("name", F.when(F.col("id") == 29, F.raise_error(F.lit("broken"))).otherwise(F.col("name")))
+    with pytest.raises(Exception, match="broken"):
+        tables.replace_table(failing, url, "t", **statement)
+    assert tables.read_table(spark, url, "t").count() == 5
+
+
+def test_pages(spark):
+    rows = spark.range(2500).select(F.when(F.col("id") % 5 > 0, "hot").otherwise(F.concat(F.lit("k"), (F.col("id") % 50).cast("string"))).alias("name"), (F.col("id") * 7919 % 2503).alias("id"))
+    found = paging.duplicate_pages(rows.unionByName(spark.createDataFrame([("one", 1), (None, 2), ("", 3)], "name string, id long")), "id", "name", size=64).collect()
+    assert max(len(r.ids) for r in found) == 64 and {r.row_count for r in found if r.name == "hot"} == {2000}
+    listed = {}
+    for r in sorted(found, key=lambda r: r.page):
+        listed.setdefault(r.name, []).extend(r.ids)
+    want = {}
+    for r in rows.collect():
+        want.setdefault(r.name, []).append(r.id)
+    assert listed == {k: sorted(v) for k, v in want.items()}
+    top = paging.duplicate_pages(rows, "id", "name", limit=2, size=64).select("name").distinct().collect()
+    assert {r.name for r in top} == {"hot", "k0"}
+
+
+def test_plans_compose_without_a_job(spark):
+    from larder.operators import jobs, nutrition, recipes
+
+    sc = spark.sparkContext
+    values = list(nutrition.DEFAULTS)
+    kind = ", ".join(f"{v} double" for v in values)
+    food = spark.createDataFrame([(k, *[float(k)] * 7) for k in range(9)], f"recipe_id long, {kind}")
+    history = spark.createDataFrame([("u", "2024-01-20", *[1.0] * 7)], f"user string, day string, {kind}").withColumn("day", F.to_date("day"))
+    titles = spark.createDataFrame([(2, "b"), (1, "a"), (3, "c")], "id long, title string")
+    fridge, eaten = spark.createDataFrame([("u", "egg")], "user_id string, name string"), spark.createDataFrame([("u", 1, "x")], "user_id string, at int, title string")
+    sc.setJobGroup("composing", "none may run")
+    meals = jobs.recommend_meals(history, food, nutrition.fixed_targets(spark), user="user", date="day", values=values, recipe_id="recipe_id", as_of="2024-01-31")
+    context = jobs.report_context(titles, fridge, eaten, n=2)
+    gaps = recipes.missing_ids(spark, food, "recipe_id", -2, food.agg(F.max("recipe_id")).scalar() + 3)
+    none = recipes.missing_ids(spark, food.limit(0), "recipe_id", 0, food.limit(0).agg(F.max("recipe_id")).scalar())
+    ran = list(sc.statusTracker().getJobIdsForGroup("composing"))
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    assert ran == []
+    assert {len(v) for v in meals.first().meals.values()} == {3} and context.first().titles == ["a", "b"]
+    assert sorted(r.recipe_id for r in gaps.collect()) == [-2, -1, 9, 10, 11] and none.collect() == []
+    assert jobs.report_context(titles.limit(0), fridge, eaten).first().titles == []
 
 
 def test_label_maps(spark, tmp_path):
