@@ -1,19 +1,19 @@
 """Operator 1: toxicity by a weighted finite-state pattern grammar.
 
-Words become symbols (insult, threat, target, negation, report, determiner, quotation mark, other). Transducers read the symbols of a
-clause and are composed: target, negation, reported speech, determiner and series mark the insults and threats in their reach, target and
+Words become symbols (insult, threat, target, negation, report, emphasis, quotation mark, other). Transducers read the symbols of a
+clause and are composed: target, negation, reported speech, emphasis and series mark the insults and threats in their reach, target and
 series from both sides, so there is a chain that runs forward and one that runs backward over what the first wrote. The insult
-transducer then matches insults that are aimed at somebody, named ("such a ...") or heaped, the threat transducer threats that are aimed;
-the last one turns marks into a factor. A clause scores the sum of word weights times factors. An isolated word matches no pattern and
-counts a quarter. Texts without listed words have evidence 0.
+transducer then matches insults that are aimed at somebody, emphatic ("such a ...") or heaped, the threat transducer threats that are aimed;
+the last one names the pattern: what was matched, how, and how sure the word is, or denied, or told. A clause counts once for each pattern it matches,
+and for isolated words only where it matches none; denied and told clauses count for nothing. A document's score is a logistic curve of its counts.
 
-Weights are learned: log odds of a word, or of a stem of a word, between toxic and clean documents, over a bounded
-sample of labelled rows whose crc32(doc_id) mod 5 is not 0. Near copies count once (by their smallest shingle hash),
+Weights belong to patterns, none below 0, and are learned from labels; a pattern that labels say little of keeps the odds of its prior. Which words are insults, and how sure they are, is learned
+too: log odds of a word, or of a stem of a word, between toxic and clean documents. Both use one bounded
+sample of labelled rows whose crc32(doc_id) mod 5 is not 0. Near copies count once for the words (by their smallest shingle hash),
 so that the words of one copied text don't become insults. Seed words keep a prior weight until rows speak against it.
-Two parameters map evidence to a probability by logistic regression on the same sample.
 
-Defined cases: null and empty texts have evidence 0 and get its score; rows with null label or id are not learned
-from, and a null id is held in; without labels of both kinds the seed weights and a fixed curve are used; repeated
+Defined cases: null and empty texts match nothing and get the score of that; rows with null label or id are not learned
+from, and a null id is held in; without labels of both kinds the seed words and the prior weights are used; repeated
 rows get equal scores; an empty table gives an empty result; columns other than id and text are never inputs.
 """
 
@@ -22,7 +22,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -42,13 +42,24 @@ INSULTS = [
     "trash", "garbage", "filth", "loser", "failure", "clown", "jerk", "coward", "liar", "crook", "swine", "bastard", "dummkopf", "trottel", "abschaum", "imbécile", "crétin", "ordure", "imbécil", "basura", "escoria",
 ]
 THREATS = ["kill", "murder", "destroy", "strangle", "stab", "shoot", "töten", "umbringen", "tuer", "matar"]
-DETERMINERS = ["a", "an", "the", "this", "that", "such", "what", "so", "is", "are", "was", "were", "ein", "eine", "der", "die", "das", "ist", "un", "une", "le", "la", "est", "una", "el", "es"]
+EMPHASES = ["such", "what", "how", "so", "utter", "total", "complete", "fucking", "bloody", "welch", "solch", "quel", "quelle", "qué", "tan", "total", "totaler", "absolu"]
 TARGETS = ["you", "your", "yours", "he", "she", "him", "her", "they", "them", "their", "tu", "vous", "du", "ihr", "usted", "ellos"]
 NEGATIONS = ["not", "no", "never", "neither", "nor", "without", "isn", "aren", "wasn", "don", "nicht", "kein", "keine", "nie", "ne", "pas", "jamais", "nunca", "jamás", "sin"]
 REPORTS = ["said", "says", "wrote", "writes", "quoted", "claimed", "alleged", "according", "reported", "called", "sagte", "schrieb", "dit", "écrit", "dijo", "escribió"]
-PRIOR_WEIGHT, LEAST_WEIGHT = 4.0, 4.0
-FACTORS = {"targeted": 1.5, "negated": 0.4, "reported": 0.5}
-ISOLATED = 0.25
+PRIOR_WEIGHT, LEAST_WEIGHT = 3.0, 4.0
+#: Least weights of a word of each tier: seeds that labels say little of, words that labels tell, and those they are sure of.
+TIERS = (0.0, LEAST_WEIGHT, 6.5)
+#: Patterns: what was matched, how, and the tier of the word. By their prior, one clause alone gives a text these odds (as logarithms), more or less STEP by tier.
+WAYS = {"aimed": 2.0, "heaped": 1.5, "emphatic": 1.0, "isolated": -1.0}
+STEP = 0.5
+PATTERNS = [(kind, way, tier) for kind in ("insult", "threat") for way in WAYS for tier in range(len(TIERS))]
+OFFSET = -3.0
+
+
+def prior(offset: float) -> np.ndarray:
+    """Prior weights of PATTERNS for a curve that begins at offset."""
+    return np.array([max(0.0, (WAYS[way] + STEP * (tier - 1) - offset) / math.log(2)) for _, way, tier in PATTERNS])
+
 
 TOKEN = re.compile(r"[^\W\d_]+|[\"“”«»„]")
 CLAUSE = re.compile(r"[.!?;\n]+")
@@ -122,29 +133,32 @@ def reported(length: int) -> Machine:
     return Machine((False, 0), step)
 
 
-def factor() -> Machine:
-    """Writes the factor of a marked insult or threat; 0 for all else."""
+def pattern() -> Machine:
+    """Writes what a marked insult or threat is: (kind, way), "denied" or "told"; None for all else."""
 
     def step(state, symbol: frozenset):
-        if not symbol & {"insult", "threat"}:
-            return state, 0.0
-        value = 1.0 if "matched" in symbol else ISOLATED
-        for mark, times in FACTORS.items():
-            value *= times if mark in symbol else 1.0
-        return state, value
+        kind = next((k for k in ("insult", "threat") if k in symbol), None)
+        if kind is None:
+            return state, None
+        if "negated" in symbol:
+            return state, "denied"
+        if "reported" in symbol:
+            return state, "told"
+        way = next((w for mark, w in (("targeted", "aimed"), ("heaped", "heaped"), ("named", "emphatic")) if mark in symbol), None)
+        return state, (kind, way if "matched" in symbol else "isolated")
 
     return Machine(None, step)
 
 
 def grammar() -> tuple[Machine, Machine]:
-    """The chain that runs forward over a clause's symbols, and the one that runs backward over what it wrote and gives factors."""
-    forward = reach("target", "targeted", 4).then(reach("negation", "negated", 3)).then(reported(8)).then(reach("determiner", "named", 2)).then(series(3))
+    """The chain that runs forward over a clause's symbols, and the one that runs backward over what it wrote and names patterns."""
+    forward = reach("target", "targeted", 4).then(reach("negation", "negated", 3)).then(reported(8)).then(reach("emphasis", "named", 2)).then(series(3))
     insults, threats = matched("insult", "targeted", "named", "heaped"), matched("threat", "targeted")
-    return forward, reach("target", "targeted", 4).then(series(3)).then(insults).then(threats).then(factor())
+    return forward, reach("target", "targeted", 4).then(series(3)).then(insults).then(threats).then(pattern())
 
 
-def factors(machines: tuple[Machine, Machine], symbols: list[frozenset]) -> list[float]:
-    """The factor of each symbol of a clause."""
+def patterns(machines: tuple[Machine, Machine], symbols: list[frozenset]) -> list:
+    """The pattern of each symbol of a clause."""
     for machine in machines:
         state, out = machine.start, []
         for symbol in symbols:
@@ -156,15 +170,15 @@ def factors(machines: tuple[Machine, Machine], symbols: list[frozenset]) -> list
 
 @dataclass
 class Lexicon:
-    """Weighted words and stems, and the curve from evidence to a probability."""
+    """Words and stems with how sure they are; weights of patterns and the offset of the curve."""
 
     words: dict[str, float]
     stems: dict[str, float] = field(default_factory=dict)
-    slope: float = 2.0
-    offset: float = -3.0
+    weights: np.ndarray = field(default_factory=lambda: prior(OFFSET))
+    offset: float = OFFSET
 
-    def probability(self, evidence: float) -> float:
-        return 1 / (1 + math.exp(-min(50.0, max(-50.0, self.slope * math.log1p(evidence) + self.offset))))
+    def probability(self, counts: Iterable[int]) -> float:
+        return float(1 / (1 + np.exp(-np.clip(np.log1p(np.asarray(counts, float)) @ self.weights + self.offset, -50.0, 50.0))))
 
 
 class Scorer:
@@ -179,7 +193,7 @@ class Scorer:
             self.automaton.add_word(w, len(w))
         if len(self.automaton):
             self.automaton.make_automaton()
-        self.symbols = {w: frozenset({kind}) for kind, words in (("determiner", DETERMINERS), ("target", TARGETS), ("negation", NEGATIONS), ("report", REPORTS)) for w in words}
+        self.symbols = {w: frozenset({kind}) for kind, words in (("emphasis", EMPHASES), ("target", TARGETS), ("negation", NEGATIONS), ("report", REPORTS)) for w in words}
         self.symbols |= dict.fromkeys('"“”«»„', frozenset({"quote"}))
         self.threat, self.insult, self.other = frozenset({"threat"}), frozenset({"insult"}), frozenset()
 
@@ -188,24 +202,29 @@ class Scorer:
             return w
         return max((self.lexicon.stems.get(word[:k], 0.0) for k in STEMS if len(word) >= k), default=0.0)
 
-    def clause(self, clause: str) -> float:
+    def clause(self, clause: str) -> set[tuple[str, str, int]]:
+        """The patterns that a clause matches; isolated words only if there are no others."""
         words = TOKEN.findall(clause)
         weights = [self.weight(word) for word in words]
         kinds = [(self.threat if word in THREATS else self.insult) if weight > 0 else self.symbols.get(word, self.other) for word, weight in zip(words, weights, strict=True)]
-        return sum(w * f for w, f in zip(weights, factors(self.machines, kinds), strict=True) if w)
+        found = {(*p, sum(w >= least for least in TIERS) - 1) for w, p in zip(weights, patterns(self.machines, kinds), strict=True) if isinstance(p, tuple)}
+        return {p for p in found if p[1] != "isolated"} or found
 
-    def evidence(self, text: str) -> float:
+    def counts(self, text: str) -> list[int]:
+        """How many clauses match each of PATTERNS."""
+        total = [0] * len(PATTERNS)
         if not len(self.automaton) or not text:
-            return 0.0
+            return total
         low = text.lower()
         at = [end + 1 - n for end, n in self.automaton.iter(low) if end + 1 == n or not low[end - n].isalpha()]
         if not at:
-            return 0.0
-        total, begin, k = 0.0, 0, 0
+            return total
+        begin, k = 0, 0
         at.sort()
         for end in [*(m.start() for m in CLAUSE.finditer(low)), len(low)]:
             if k < len(at) and at[k] < end:
-                total += self.clause(low[begin:end])
+                for p in self.clause(low[begin:end]):
+                    total[PLACES[p]] += 1
                 while k < len(at) and at[k] < end:
                     k += 1
                 if k == len(at):
@@ -213,6 +232,12 @@ class Scorer:
             begin = end
         return total
 
+    def score(self, text: str) -> float:
+        return self.lexicon.probability(self.counts(text))
+
+
+PLACES = {p: k for k, p in enumerate(PATTERNS)}
+
 
 def _grams(text: str) -> set[str]:
     words = {w for w in TOKEN.findall(text.lower()) if w[0].isalpha()}
@@ -274,8 +299,9 @@ def learn(docs: DataFrame, labels: DataFrame, *, text: str = "text") -> Lexicon:
         # The chance that one of all candidates is this one-sided must be below 1 in 20.
         if (weight := odds(g, p)) >= LEAST_WEIGHT and _surprise(p, neg[g], share) >= sure:
             (lexicon.words if g[0] == "=" else lexicon.stems)[g.removeprefix("=")] = weight
-    evidence = rows.mapInArrow(_evidence(lexicon), "toxic int, evidence double").collect()  # two numbers for each row of the sample
-    _fit_curve(lexicon, np.array([r.toxic for r in evidence]), np.log1p([r.evidence for r in evidence]))
+    # For each label how many rows of the sample match so many clauses of each pattern; most match none.
+    told = rows.mapInArrow(_counts(lexicon), "toxic int, counts array<int>").groupBy("toxic", "counts").count().collect()
+    _fit(lexicon, np.array([r["toxic"] for r in told]), np.log1p(np.array([r["counts"] for r in told], float)), np.array([r["count"] for r in told], float))
     return lexicon
 
 
@@ -285,21 +311,32 @@ def _surprise(p: int, n: int, share: float) -> float:
     return part(p, share) + part(n, 1 - share)
 
 
-def _fit_curve(lexicon: Lexicon, y: np.ndarray, x: np.ndarray, ridge: float = 0.05) -> None:
-    design, beta = np.stack([x, np.ones(len(x))], 1), np.array([1.0, -2.0])
-    for _ in range(25):
-        p = 1 / (1 + np.exp(-np.clip(design @ beta, -30, 30)))
-        step = design.T @ (p - y) + ridge * beta
-        beta = beta - np.linalg.solve((design * (p * (1 - p))[:, None]).T @ design + ridge * np.eye(2), step)
-    if np.all(np.isfinite(beta)) and beta[0] > 0:
-        lexicon.slope, lexicon.offset = float(beta[0]), float(beta[1])
-
-
-def _evidence(lexicon: Lexicon) -> Callable:
+def _fit(lexicon: Lexicon, y: np.ndarray, x: np.ndarray, n: np.ndarray, ridge: float = 0.5, steps: int = 3000) -> None:
+    """Logistic regression of weights that aren't negative, held to their prior by a ridge; by projected steps with momentum."""
+    none = x.sum(1) == 0
+    # Odds of texts that match nothing; prior weights stand on them.
+    offset = math.log((n[none] @ y[none] + 0.5) / (n[none] @ (1 - y[none]) + 0.5)) if none.any() else OFFSET
+    design, first = np.concatenate([x, np.ones((len(x), 1))], 1), np.append(prior(offset), offset)
+    held = np.full(len(first), ridge)
+    # Words that labels don't confirm, by themselves, gain no weight from others.
+    most = np.array([first[k] if p[1] == "isolated" and p[2] == 0 else np.inf for k, p in enumerate(PATTERNS)])
+    rate = 1 / (0.25 * np.linalg.eigvalsh((design * n[:, None]).T @ design)[-1] + ridge)
+    now, ahead, pace = first.copy(), first.copy(), 1.0
+    for _ in range(steps):
+        wrong = n * (1 / (1 + np.exp(-np.clip(design @ ahead, -30, 30))) - y)
+        new = ahead - rate * (design.T @ wrong + held * (ahead - first))
+        new = np.append(np.clip(new[:-1], 0.0, most), offset)
+        faster = (1 + math.sqrt(1 + 4 * pace * pace)) / 2
+        ahead, now, pace = new + (pace - 1) / faster * (new - now), new, faster
+    if np.isfinite(now).all():
+        lexicon.weights, lexicon.offset = now[:-1], float(now[-1])
+
+
+def _counts(lexicon: Lexicon) -> Callable:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = Scorer(lexicon)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([tool.evidence(t) for t in batch.column(1).to_pylist()], pa.float64())], ["toxic", "evidence"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([tool.counts(t) for t in batch.column(1).to_pylist()], pa.list_(pa.int32()))], ["toxic", "counts"])
 
     return rows
 
@@ -311,7 +348,7 @@ def score(docs: DataFrame, lexicon: Lexicon, *, text: str = "text") -> DataFrame
     @F.pandas_udf("double")
     def probability(texts):
         tool = Scorer(lexicon)
-        return texts.map(lambda t: lexicon.probability(tool.evidence(t)))
+        return texts.map(tool.score)
 
     return docs.withColumn("score", probability(or_empty(text))).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 

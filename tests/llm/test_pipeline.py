@@ -13,7 +13,7 @@ import pytest
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
-from test_edges import WORD, brute_components, brute_cost, brute_repeats  # noqa: E402
+from test_edges import WORD, brute_components, brute_cost, brute_repeats, brute_toxicity  # noqa: E402
 
 import corpus_pipeline  # noqa: E402
 from larder.llm import toxicity  # noqa: E402
@@ -119,8 +119,7 @@ def test_last_stage_decodes(spark):
 def predictions(spark, folder, texts):
     docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text")
     lexicon = toxicity.learn(docs, spark.read.parquet(f"{folder}/labels.parquet"))
-    tool = toxicity.Scorer(lexicon)
-    return [lexicon.probability(tool.evidence(t or "")) for _, t in texts]
+    return [brute_toxicity(lexicon, t) for _, t in texts]
 
 
 def sha(text):
