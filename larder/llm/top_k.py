@@ -2,15 +2,16 @@
 
 Vectors become integers, floor(64 x). Candidates are packed into blocks in vertical layout, one contiguous column
 for each dimension, by length: the first block holds the longest vectors; queries are packed into blocks of rows. The first block alone gives
-each query a score to beat, its k-th best there, which travels with the query. Every pair of a query block and a candidate block is a
-cell of bounded size; a query passes over blocks whose longest vector can't reach its score. In a cell, a query visits the dimensions in blocks, those with its largest components first: partial
+each query a score to beat, its k-th best there, which travels with the query. Every other pair of a query block and a candidate block is a
+cell of bounded size, unless the block's longest vector can't reach the score of any query: such pairs are dropped by two numbers, before vectors move. In a cell, a query visits the dimensions in blocks, those with its largest components first: partial
 inner products are summed block by block, and by Cauchy and Schwarz what is left is at most the product of the
 rests' lengths. Candidates whose partial score plus that bound can't reach the k-th best score known so far are
 dropped, and the survivors are compacted before the next block. The best k of all cells are merged by query.
 
 Defined cases: vectors that are null or hold null or non-finite components take no part, and neither do null ids;
-shorter vectors count as padded with zeros; ties go to the smaller id, then among rows with one id each counts; a query's
-own row (its id) is no candidate; empty tables give no rows. Where sums can pass 2^53, floating point with its error bound
+shorter vectors count as padded with zeros; ties go to the smaller id; a query's
+own rows (of its id) are no candidates; there is one search for each query id and vector, so a query row that stands twice has one list, and two vectors of one query
+id have a list each; candidate rows that stand twice both count; empty tables give no rows. Where sums can pass 2^53, floating point with its error bound
 only rules candidates out, and whole numbers of any size score the rest; a score among the best k that no long holds,
 or a component whose 64-fold no double holds, is an error.
 """
@@ -42,7 +43,7 @@ def _usable(vectors: DataFrame, vec_id: str, embedding: str) -> DataFrame:
 
 
 def _pack(rows: DataFrame, n_blocks: int, dimensions: int) -> DataFrame:
-    """One row for each block, the longest vectors first: block, vec_ids and columns as bytes, dimension after dimension; int32 where that holds them, else doubles."""
+    """One row for each block, the longest vectors first: block, the length of its longest, vec_ids and columns as bytes, dimension after dimension; int32 where that holds them, else doubles."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -65,12 +66,15 @@ def _pack(rows: DataFrame, n_blocks: int, dimensions: int) -> DataFrame:
         if np.isinf(v).any():
             raise OverflowError("a component is too large: its 64-fold is no double")
         v = v.astype(np.int32) if np.abs(v).max(initial=0) < 2**31 else v
-        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([ids.tobytes()], pa.binary()), pa.array([np.ascontiguousarray(v.T).tobytes()], pa.binary())], ["block", "ids", "columns"])
+        largest = np.abs(v).max(initial=0).astype(np.float64)
+        # Where a sum could be rounded, a block is never ruled out by its length.
+        longest = float("inf") if largest >= 2.0**400 or largest * largest * dimensions >= EXACT else float(np.sqrt((v.astype(np.float64) ** 2).sum(1).max(initial=0.0)))
+        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([longest]), pa.array([ids.tobytes()], pa.binary()), pa.array([np.ascontiguousarray(v.T).tobytes()], pa.binary())], ["block", "longest", "ids", "columns"])
 
     length = F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)
     dealt = rows.withColumn("_length", length).repartitionByRange(n_blocks, F.desc("_length"), "vec_id", F.xxhash64("v")).select("vec_id", "v")
     # Written, so that each block keeps its rows.
-    return written(dealt.mapInArrow(pack, "block long, ids binary, columns binary"), "top-k-blocks")
+    return written(dealt.mapInArrow(pack, "block long, longest double, ids binary, columns binary"), "top-k-blocks")
 
 
 def _columns(data: bytes, dimensions: int, n: int) -> np.ndarray:
@@ -87,7 +91,7 @@ def _exact_top(query: np.ndarray, ids: np.ndarray, columns: np.ndarray, k: int)
 
 
 def search_cell(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, columns: np.ndarray, k: int, known: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(query id, candidate ids, scores) of the best k of each query; columns has a row for each dimension.
+    """(query's place, candidate ids, scores) of the best k of each query; columns has a row for each dimension.
 
     known: for each query a score that k candidates are known to reach; lower ones may be left out, and queries without candidates are.
     """
@@ -97,12 +101,12 @@ def search_cell(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, col
     wide = largest * largest * dimensions >= EXACT if largest < 2.0**400 else True
     lengths = np.einsum("ij,ij->j", exact, exact) if largest < 2.0**400 else None
     longest = np.sqrt(lengths.max(initial=0.0)) if lengths is not None else float("inf")
-    for query_id, query, least in zip(query_ids.tolist(), queries.astype(np.float64), np.full(len(queries), -np.inf) if known is None else known, strict=True):
+    for slot, (query_id, query, least) in enumerate(zip(query_ids.tolist(), queries.astype(np.float64), np.full(len(queries), -np.inf) if known is None else known, strict=True)):
         order = np.argsort(-np.abs(query), kind="stable")
         alive = np.flatnonzero(ids != query_id)
         most = np.abs(query).max(initial=0.0)
         if lengths is None or most >= 2.0**400:  # squares could be no doubles
-            yield query_id, *_exact_top(query, ids[alive], exact[:, alive], k)
+            yield slot, *_exact_top(query, ids[alive], exact[:, alive], k)
             continue
         rounded = wide or max(most, largest) * most * dimensions >= EXACT
         if not rounded and np.sqrt(query @ query) * longest * (1 + 1e-9) + 1e-6 < least:
@@ -129,55 +133,69 @@ def search_cell(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, col
         if rounded:
             if len(alive) > k:
                 alive = alive[score + error >= np.partition(score - error, len(score) - k)[-k]]
-            yield query_id, *_exact_top(query, ids[alive], exact[:, alive], k)
+            yield slot, *_exact_top(query, ids[alive], exact[:, alive], k)
             continue
         top = np.lexsort((ids[alive], -score))[:k]
         top = top[score[top] >= least]
         if len(top):
-            yield query_id, ids[alive[top]], score[top].astype(np.int64)
+            yield slot, ids[alive[top]], score[top].astype(np.int64)
+
+
+BEST = pa.list_(pa.struct([("slot", pa.int64()), ("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())]))
+FOUND = pa.schema([("q", pa.int64()), ("slot", pa.int64()), ("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
+
+
+def _found(q: int, query_ids: np.ndarray, found: list[tuple[int, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    slots, c, s = (np.concatenate(x) for x in zip(*((np.full(len(c), slot), c, s) for slot, c, s in found), strict=True)) if found else (np.zeros(0, np.int64),) * 3
+    return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (np.full(len(c), q), slots, query_ids[slots], c, s)], schema=FOUND)
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, *, k: int = 20, vec_id: str = "vec_id", embedding: str = "embedding", candidate_block: int = CANDIDATE_BLOCK, query_block: int = QUERY_BLOCK) -> DataFrame:
     """query_id, rank, vec_id, score of the k largest integer inner products of each query with rows of other ids."""
-    rows, asked = written(_usable(vectors, vec_id, embedding), "top-k-vectors"), written(_usable(queries, vec_id, embedding), "top-k-queries")
+    rows, asked = written(_usable(vectors, vec_id, embedding), "top-k-vectors"), written(_usable(queries, vec_id, embedding).dropDuplicates(), "top-k-queries")
     size = rows.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("d")).first()
     asked_size = asked.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("d")).first()
     dimensions = max(1, size.d or 0, asked_size.d or 0)
     n_candidates, n_queries = -(-size.n // candidate_block) or 1, -(-asked_size.n // query_block) or 1
-    blocks = _pack(rows, n_candidates, dimensions).select(F.col("block").alias("c"), "ids", "columns")
+    blocks = _pack(rows, n_candidates, dimensions).withColumnRenamed("block", "c")
     two = _pack(asked, n_queries, dimensions).select(F.col("block").alias("q"), F.col("ids").alias("query_ids"), F.col("columns").alias("queries"))
 
+    def search(cell: dict, known: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, list[tuple[int, np.ndarray, np.ndarray]]]:
+        ids, query_ids = np.frombuffer(cell["ids"], np.int64), np.frombuffer(cell["query_ids"], np.int64)
+        asked_rows = _columns(cell["queries"], dimensions, len(query_ids)).T
+        return query_ids, asked_rows, list(search_cell(query_ids, asked_rows, ids, _columns(cell["columns"], dimensions, len(ids)), k, known))
+
     def seed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """What the first block has for a block of queries: results, scores to beat, and the least length of a vector that could reach one of them."""
         for cell in (row for batch in batches for row in batch.to_pylist()):
-            ids, query_ids = np.frombuffer(cell["ids"], np.int64), np.frombuffer(cell["query_ids"], np.int64)
+            query_ids, asked_rows, found = search(cell, None)
             known = np.full(len(query_ids), -np.inf)
-            place = dict(zip(query_ids.tolist(), range(len(query_ids)), strict=True))
-            # Ids that stand twice may be other vectors: their queries take no score along.
-            twice = len(place) < len(query_ids)
-            found = () if twice else search_cell(query_ids, _columns(cell["queries"], dimensions, len(query_ids)).T, ids, _columns(cell["columns"], dimensions, len(ids)), k)
-            for query_id, _, scores in found:
+            for slot, _, scores in found:
                 if len(scores) == k:
-                    known[place[query_id]] = scores[-1]
-            yield pa.RecordBatch.from_pydict({"q": [cell["q"]], "query_ids": [cell["query_ids"]], "queries": [cell["queries"]], "known": [known.tobytes()]}, pa.schema([("q", pa.int64()), ("query_ids", pa.binary()), ("queries", pa.binary()), ("known", pa.binary())]))
+                    known[slot] = scores[-1]
+            lengths = np.sqrt((asked_rows.astype(np.float64) ** 2).sum(1))
+            # A score of 0 or less is within reach of any length.
+            need = np.where(known > 0, (known - 1e-6) / (1 + 1e-9) / np.maximum(lengths, 1e-300), -np.inf).min(initial=np.inf)
+            held = _found(cell["q"], query_ids, found).select(["slot", "query_id", "vec_id", "score"])
+            yield pa.RecordBatch.from_arrays([pa.array([cell["q"]]), pa.array([cell["query_ids"]]), pa.array([cell["queries"]]), pa.array([known.tobytes()]), pa.array([float(need)]), pa.array([held.to_pylist()], BEST)], ["q", "query_ids", "queries", "known", "need", "best"])
 
     first = blocks.agg(F.min("c")).first()[0]
-    longest = blocks.filter(F.col("c") == (0 if first is None else first))
-    seeds = two.withColumn("c", F.lit(0 if first is None else first).cast("long")).join(longest, "c").select("q", "query_ids", "queries", "ids", "columns").repartition(n_queries)
-    two = written(seeds.mapInArrow(seed, "q long, query_ids binary, queries binary, known binary"), "top-k-seeds")
-    one = blocks.withColumn("q", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_queries - 1).cast("long"))))
-    cells = one.join(two, "q").select("ids", "columns", "query_ids", "queries", "known")
-
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    first = 0 if first is None else first
+    seeds = two.withColumn("c", F.lit(first).cast("long")).join(blocks.filter(F.col("c") == first), "c").select("q", "query_ids", "queries", "ids", "columns").repartition(n_queries)
+    row = "struct<slot:bigint,query_id:bigint,vec_id:bigint,score:bigint>"
+    two = written(seeds.mapInArrow(seed, f"q long, query_ids binary, queries binary, known binary, need double, best array<{row}>"), "top-k-seeds")
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_queries - 1).cast("long")))
+    pairs = blocks.filter(F.col("c") != first).select("c", "longest", every.alias("q")).join(two.select("q", "need"), "q").filter(F.col("longest") >= F.col("need")).select("c", "q")
+    cells = pairs.join(two.drop("need", "best"), "q").join(blocks.drop("longest"), "c").select("q", "ids", "columns", "query_ids", "queries", "known")
+
+    def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for cell in (row for batch in batches for row in batch.to_pylist()):
-            ids, query_ids = np.frombuffer(cell["ids"], np.int64), np.frombuffer(cell["query_ids"], np.int64)
-            columns, asked_rows = _columns(cell["columns"], dimensions, len(ids)), _columns(cell["queries"], dimensions, len(query_ids)).T
-            found = [(np.full(len(c), q), c, s) for q, c, s in search_cell(query_ids, asked_rows, ids, columns, k, np.frombuffer(cell["known"]))]
-            if found:
-                q, c, s = (np.concatenate(x) for x in zip(*found, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(c, pa.int64()), pa.array(s, pa.int64())], ["query_id", "vec_id", "score"])
-
-    best = cells.repartition(n_candidates * n_queries).mapInArrow(search, "query_id long, vec_id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+            query_ids, _, found = search(cell, np.frombuffer(cell["known"]))
+            yield _found(cell["q"], query_ids, found)
+
+    kind = "q long, slot long, query_id long, vec_id long, score long"
+    best = two.select("q", F.explode("best").alias("b")).select("q", "b.*").unionByName(cells.repartition(n_candidates * n_queries).mapInArrow(others, kind))
+    order = Window.partitionBy("q", "slot").orderBy(F.desc("score"), "vec_id")
     return best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
@@ -193,8 +211,8 @@ WITH usable AS (
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
     AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 scored AS (
-  SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
-  FROM usable q JOIN usable c ON c.vec_id <> q.vec_id WHERE q.vec_id % 20 = 0),
-ranked AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM scored)
+  SELECT q.n, q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
+  FROM (SELECT row_number() OVER () AS n, * FROM (SELECT DISTINCT * FROM usable WHERE vec_id % 20 = 0)) q JOIN usable c ON c.vec_id <> q.vec_id),
+ranked AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY n ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM scored)
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
 """

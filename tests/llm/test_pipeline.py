@@ -42,7 +42,7 @@ def made():
     return {
         "documents": docs,
         "labels": [(i, int("zorkel" not in t), int("zorkel" in t)) for i, t in texts[:60]] + [(None, 1, 0), (3, None, None)],
-        "embeddings": [(k, [float(x) for x in rng.normal(size=6)], 0) for k in range(120)] + [(200, None, 0), (201, [1.0, None], 0), (202, [float("nan")] * 6, 0), (None, [1.0] * 6, 0)],
+        "embeddings": [(k, [float(x) for x in rng.normal(size=6)], 0) for k in range(120)] + [(20, [0.5] * 6, 0), (40, [0.25] * 6, 1), (40, [0.25] * 6, 1), (200, None, 0), (201, [1.0, None], 0), (202, [float("nan")] * 6, 0), (None, [1.0] * 6, 0)],
         "conversations": [(c, t, RANDOM.choice(["user", "assistant", "system", " User ", "bot", None]), RANDOM.choice(["hi", "", None])) for c in [*range(6), None] for t in [*range(RANDOM.randint(1, 6)), None]],
     }
 
@@ -188,7 +188,7 @@ def test_query_equals_brute_force(spark, rows, small, name, columns, brute):
     assert sorted(found, key=key) == sorted(wanted, key=key)
 
 
-@pytest.mark.parametrize("name", ["op3_pareto_mix", "op8_branch_and_bound"])
+@pytest.mark.parametrize("name", ["op3_pareto_mix", "op8_branch_and_bound", "op13_packed_tree_negatives"])
 def test_query_equals_sql(spark, small, name):
     found = QUERIES[name](spark, small)
     columns = sorted(found.columns)
