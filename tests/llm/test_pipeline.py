@@ -270,3 +270,25 @@ def test_run_chains_the_stages(spark, small, stages):
 
 def test_run_on_empty_tables(spark, empty):
     assert corpus_pipeline.run(spark, empty).collect() == []
+
+
+def test_stages_on_long_texts_ties_and_maps(spark, small):
+    """Each stage alone: a text of a million characters, null and repeated rows, equal ids, rows that differ in a map alone."""
+    long, near = " ".join(f"{RANDOM.choice(WORDS)}{k}" for k in range(150_000)), prose(60)
+    texts = [(1, long), (2, long), (3, None), (3, None), (4, near), (4, near), (5, ""), (None, near), (6, prose(30))]
+    rows = [(i, t, "en", None if k % 2 else "a", None if t is None else len(t), {"k": k}) for k, (i, t) in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, extra map<string,int>").repartition(3)
+    assert len(long) > 1_000_000
+    by_name = dict(corpus_pipeline.STAGES)
+    clean = by_name["toxicity"](spark, docs, small)
+    assert clean.columns == docs.columns and clean.count() == len(rows)
+    one_each = [r.asDict() for r in by_name["ngram_jaccard_join"](spark, docs, small).collect()]
+    assert sorted((r["doc_id"], len(r["text"] or "")) for r in one_each) == sorted((i, len(t or "")) for i, t in ((1, long), (3, None), (3, None), (4, near), (5, ""), (6, texts[8][1])))
+    again = [r.asDict() for r in by_name["ngram_jaccard_join"](spark, docs.repartition(5), small).collect()]
+    assert sorted(map(str, one_each)) == sorted(map(str, again))
+    cut = {(r.doc_id, r.extra["k"]): r for r in by_name["suffix_array_dedup"](spark, docs, small).collect()}
+    assert len(cut) == len(rows) and cut[1, 0].text == cut[2, 1].text == "" and cut[1, 0].n_chars == 0 and cut[6, 8].text == texts[8][1] and cut[3, 2].text is None
+    mixed = by_name["mix_sources"](spark, docs, small).collect()
+    assert all(mixed.count(r) <= 2 for r in mixed) and {r.doc_id for r in mixed} <= {i for i, _ in texts}
+    ids = by_name["sentencepiece"](spark, docs.filter("doc_id <> 2 or doc_id is null"), small).collect()
+    assert bag((r.doc_id, r.n_tokens, r.ids, r.decoded, r.restored) for r in ids) == encoded([x for x in texts if x[0] != 2])
