@@ -323,7 +323,8 @@ def _in_cells(pairs: DataFrame, values: DataFrame, read, decide) -> DataFrame:
     """The pairs (a, b, bucket, x, y) for which decide(value of a, value of b) holds; values has cls, n and value.
 
     Pairs are dealt out by the first of the cells that found them, which groups of similar texts share, so that a value travels
-    once for each cell and not for each pair; cells of many pairs are dealt out further by the first text of the pair.
+    once for each cell and not for each pair; cells of many pairs are dealt out further by both texts of the pair, as a grid of parts, so that one text's partners
+    are in many tasks.
     """
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -339,7 +340,9 @@ def _in_cells(pairs: DataFrame, values: DataFrame, read, decide) -> DataFrame:
             yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b", "bucket", "x", "y"])
 
     parts = pairs.groupBy("bucket", "x", "y").agg(F.ceil(F.count(F.lit(1)) / CELL_PAIRS).alias("parts")).filter("parts > 1")
-    pairs = pairs.join(parts, ["bucket", "x", "y"], "left").withColumn("part", F.pmod(F.xxhash64("a"), F.coalesce("parts", F.lit(1))).cast("long")).drop("parts")
+    side = F.ceil(F.sqrt(F.coalesce("parts", F.lit(1))))
+    part = F.pmod(F.xxhash64("a"), side) * side + F.pmod(F.xxhash64("b"), side)
+    pairs = pairs.join(parts, ["bucket", "x", "y"], "left").withColumn("part", part.cast("long")).drop("parts")
     members = pairs.select("bucket", "x", "y", "part", F.explode(F.array("a", "b")).alias("cls")).distinct().join(values, "cls")
     both = members.withColumnRenamed("cls", "a").withColumn("b", F.lit(None).cast("long")).unionByName(pairs, allowMissingColumns=True)
     dealt = both.select("bucket", "x", "y", "part", "a", "b", "n", "value").repartition("bucket", "x", "y", "part")

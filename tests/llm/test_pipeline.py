@@ -4,6 +4,7 @@ import hashlib
 import os
 import random
 import re
+import unicodedata
 import zlib
 from collections import Counter
 from functools import lru_cache
@@ -16,7 +17,7 @@ public_tokenizers = pytest.importorskip("public_tokenizers")
 from test_edges import WORD, brute_components, brute_cost, brute_repeats, brute_toxicity  # noqa: E402
 
 import corpus_pipeline  # noqa: E402
-from larder.llm import toxicity  # noqa: E402
+from larder.llm import quality, toxicity  # noqa: E402
 from larder.llm.registry import QUERIES, SQL  # noqa: E402
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -156,16 +157,27 @@ def brute_op7(spark, folder, rows):
 
 
 def brute_op10(spark, folder, rows):
+    """With kept: the learned conditions, read as thresholds of features that are computed here."""
+    rules = quality.learn(spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet"))
     out = []
     for i, t in texts_of(rows["documents"]):
-        words = WORD.findall(t or "")
+        t = t or ""
+        words = WORD.findall(t)
         grams = [tuple(words[k : k + 5]) for k in range(len(words) - 4)]
         counts, covered = Counter(grams), set()
         for k, g in enumerate(grams):
             if counts[g] > 1:
                 covered.update(range(k, k + 5))
-        lines = [x for x in (t or "").split("\n") if WORD.search(x)]
-        out.append((i, len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", t or "")), len(lines) - len(set(lines)), len(covered), len(words) < 10 or 100 * len(covered) > 20 * len(words)))
+        lines = [x for x in t.split("\n") if WORD.search(x)]
+        n, chars, symbols, doubled = len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines))
+        per = lambda a, b: a / b if b else 0.0
+        features = {
+            "f_words": float(n), "f_word_length": per(chars, n), "f_symbols": per(symbols, n), "f_dup_lines": per(doubled, len(lines)), "f_repeats": per(len(covered), n),
+            "f_upper": per(sum(unicodedata.category(c) == "Lu" for c in t), chars), "f_exclaims": per(t.count("!"), n),
+        }
+        caught = any(all((features[quality.FEATURES[c.feature]] > c.threshold) == c.above for c in rule) for rule in rules)
+        failed = n < 10 or 100 * len(covered) > 20 * n
+        out.append((i, n, chars, symbols, doubled, len(covered), failed, not failed and not caught))
     return out
 
 
@@ -177,7 +189,7 @@ BRUTE = [
     ("op5_column_suffix_order", ["doc_id", "n_removed", "n_spans", "kept_sha256"], brute_op5),
     ("op6_prefix_table", ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"], brute_op6),
     ("op7_token_files", ["doc_id", "n_tokens", "ids_crc32"], brute_op7),
-    ("op10_decision_list", ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"], brute_op10),
+    ("op10_decision_list", ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"], brute_op10),
 ]
 
 
@@ -211,6 +223,16 @@ def test_query_equals_sql_on_given_tables(spark, name):
     assert bag(map(tuple, found.collect())) == bag(con.sql(f"SELECT {', '.join(found.columns)} FROM ({SQL[name]})").fetchall())
 
 
+def test_kept_of_given_tables_equals_brute_force(spark):
+    """Here the list has rules, and they turn documents away."""
+    folder = "/root/testdata/sf0.01"
+    rows = {"documents": [tuple(r) for r in spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").collect()]}
+    want = {r[0]: r[1:] for r in brute_op10(spark, folder, rows)}
+    found = {r.doc_id: r for r in QUERIES["op10_decision_list"](spark, folder).collect()}
+    assert {i: (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed, r.kept) for i, r in found.items()} == want
+    assert sum(not r.kept and not r.base_failed for r in found.values()) > 50
+
+
 def test_roles_equal_brute_force(spark, rows, small):
     found = QUERIES["op9_role_repair"](spark, small).collect()
     assert bag((r.conv_id, r.turn, r.role) for r in found) == bag(r[:3] for r in rows["conversations"])
