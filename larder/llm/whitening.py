@@ -19,6 +19,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+from pyspark import StorageLevel
 from pyspark.ml.functions import array_to_vector
 from pyspark.mllib.linalg import DenseMatrix
 from pyspark.mllib.linalg.distributed import BlockMatrix, IndexedRowMatrix
@@ -90,11 +91,16 @@ def _centred(sums: list[int], n: int) -> Column:
 
 
 def _blocks(rows: DataFrame, n_rows: int, dimensions: int) -> BlockMatrix:
-    """The BlockMatrix of rows (index, v array<double>); rows that are absent are zeros."""
+    """The BlockMatrix of rows (index, v array<double>); rows that are absent are zeros. A product reads its blocks several times, so they are kept until
+    _released(); blocks of a lost executor are made anew from the written rows."""
     columns = min(dimensions, BLOCK_COLUMNS)
     tall = int(min(max(LEAST_ROWS, -(-n_rows // ENOUGH_BLOCKS)), max(1, BLOCK_BYTES // (8 * columns))))
     frame = MLUtils.convertVectorColumnsFromML(rows.select("index", array_to_vector("v").alias("vector")), "vector")
-    return IndexedRowMatrix(frame, n_rows, dimensions).toBlockMatrix(tall, columns)
+    return IndexedRowMatrix(frame, n_rows, dimensions).toBlockMatrix(tall, columns).persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def _released(a: BlockMatrix) -> None:
+    a._java_matrix_wrapper._java_model.blocks().unpersist(False)
 
 
 def _scatter(a: BlockMatrix) -> np.ndarray:
@@ -120,14 +126,16 @@ def fit(rows: DataFrame, components: int = COMPONENTS) -> tuple[Whitening | None
     # Scatter of (x - S / n): exact whole numbers, one rounding for the quotient.
     unrounded = F.transform(_centred(sums, n), lambda v: v.cast("double") / F.lit(float(n)))
     most = rows.agg(F.max("index")).first()[0] + 1
-    covariance = _scatter(_blocks(once.select("index", unrounded.alias("v")), most, dimensions)) / n
+    a = _blocks(once.select("index", unrounded.alias("v")), most, dimensions)
+    covariance = _scatter(a) / n
+    _released(a)
     values, vectors = np.linalg.eigh((covariance + covariance.T) / 2)
     order = np.argsort(-values, kind="stable")[:components]
     return Whitening(n, sums, values[order], vectors[:, order], float(np.trace(covariance)), components), once
 
 
 def project(rows: DataFrame, model: Whitening) -> DataFrame:
-    """index and z, the array of whitened components, of each row (x, index)."""
+    """index and z, the array of whitened components, of each row (x, index), written."""
     dimensions, spark = len(model.sums), rows.sparkSession
     unrounded = F.transform(_centred(model.sums, model.n), lambda v: v.cast("double") / F.lit(float(model.n)))
     most = rows.agg(F.max("index")).first()[0] + 1
@@ -142,7 +150,9 @@ def project(rows: DataFrame, model: Whitening) -> DataFrame:
         return [(i * step + k, v) for k, v in enumerate(part.toArray().tolist())]
 
     # Blocks come as they are: toIndexedRowMatrix() would number rows by 32 bits and shuffle them once more.
-    return spark.createDataFrame(z.blocks.flatMap(rows_of), "index long, z array<double>")
+    out = written(spark.createDataFrame(z.blocks.flatMap(rows_of), "index long, z array<double>"), "whitening-projected")
+    _released(a)
+    return out
 
 
 def identity_error(z: DataFrame, usable: list[bool]) -> float | None:
@@ -173,7 +183,7 @@ def whiten(vectors: DataFrame, *, components: int = COMPONENTS, vec_id: str = "v
     if model is None:
         kind = rows.schema["vec_id"].dataType.simpleString()
         return spark.createDataFrame([], f"vec_id {kind}, component int, n long, deviation long, whitened double, explained double, identity_error double")
-    z = written(project(rows, model), "whitening-projected")
+    z = project(rows, model)
     error = identity_error(z.join(once.select("index"), "index", "left_semi"), model.usable)
     explained = [float(e) / model.trace if model.trace > 0 else None for e in model.values]
     told = F.array(*[
