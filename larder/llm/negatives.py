@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from larder.llm.common import written
+from larder.llm.common import removed, written
 
 TREE_BLOCK, ANCHOR_BLOCK = 4096, 1024
 LEAF, FANOUT = 64, 8
@@ -254,10 +254,12 @@ def hard_negatives(rows: DataFrame, anchors: DataFrame, *, positives: int = POSI
     size, asked = ((r.n, r.d or 0) for r in (df.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("d")).first() for df in (rows, anchors)))
     dimensions, n_tree, n_anchors = max(1, size[1], asked[1]), -(-size[0] // tree_block) or 1, -(-asked[0] // anchor_block) or 1
     tree, boxed = packed(rows, n_tree, dimensions, "negatives-tree"), packed(anchors, n_anchors, dimensions, "negatives-asked")
+    removed(rows, anchors)
     best = written(nearest_of_label(tree, boxed, n_tree, dimensions, positives), "negatives-positives")
     # At most anchor_block times positives of them for an anchor block.
     windows = best.groupBy(F.col("q").alias("block")).agg(F.collect_list(F.struct("slot", "rank", "positive_id", "positive_score")).alias("positives"))
     asking = written(boxed.join(windows, "block").withColumnRenamed("block", "q"), "negatives-windows")
+    removed(best, boxed)
     low, high = window
     bounds = lambda score: (-(-low * score // 100), high * score // 100)
 
@@ -317,6 +319,7 @@ def hard_negatives(rows: DataFrame, anchors: DataFrame, *, positives: int = POSI
     # The k-th score of a full window.
     beaten = seeds.filter(F.col("rank") == negatives).groupBy("q").agg(F.collect_list(F.struct("slot", F.col("of").alias("rank"), F.col("negative_score").alias("known"))).alias("known"))
     knowing = written(asking.join(beaten, "q", "left"), "negatives-knowing")
+    removed(asking)
     rest = paired(knowing).join(first, ["q", "c"], "left_anti").select("q", "c").join(knowing, "q").select("c", *sent)
     others = _cells(rest, tree, n_tree).mapInArrow(search, found)
     return top(seeds.drop("rank").unionByName(others)).select(names)

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from larder.llm.common import written
+from larder.llm.common import removed, written
 
 CANDIDATE_BLOCK, QUERY_BLOCK = 4096, 2048
 DIMENSIONS = 8
@@ -160,6 +160,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, *, k: int = 20, vec_id: str =
     blocks = _pack(rows, n_candidates, dimensions).withColumnRenamed("block", "c")
     two = _pack(asked, n_queries, dimensions).select(F.col("block").alias("q"), F.col("ids").alias("query_ids"), F.col("columns").alias("queries"))
 
+    removed(rows, asked)
+
     def search(cell: dict, known: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, list[tuple[int, np.ndarray, np.ndarray]]]:
         ids, query_ids = np.frombuffer(cell["ids"], np.int64), np.frombuffer(cell["query_ids"], np.int64)
         asked_rows = _columns(cell["queries"], dimensions, len(query_ids)).T

@@ -27,7 +27,7 @@ from pyspark.mllib.util import MLUtils
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larder.llm.common import written
+from larder.llm.common import removed, written
 
 SCALE, SHIFT, LARGEST = 64, 1_000_000, 2.0**50
 COMPONENTS = 16
@@ -185,6 +185,7 @@ def whiten(vectors: DataFrame, *, components: int = COMPONENTS, vec_id: str = "v
         return spark.createDataFrame([], f"vec_id {kind}, component int, n long, deviation long, whitened double, explained double, identity_error double")
     z = project(rows, model)
     error = identity_error(z.join(once.select("index"), "index", "left_semi"), model.usable)
+    removed(once)
     explained = [float(e) / model.trace if model.trace > 0 else None for e in model.values]
     told = F.array(*[
         F.struct(F.lit(k + 1).alias("component"), (F.col("z")[k] if model.usable[k] else F.lit(None).cast("double")).alias("whitened"), F.lit(explained[k]).cast("double").alias("explained"))
