@@ -14,7 +14,9 @@ that starts with it shares ``length`` symbols with a neighbour. Segments that ar
 Blocks of whole buckets stand in a task's memory; the files between the steps are Parquet tables and shuffles.
 
 A bucket above ``largest`` segments isn't gathered: its blocks exchange distinct 128-bit fingerprints of their strings by ranges, as
-rows that hold many, so that no task sees the whole bucket. That, and the 128-bit keys of whole texts, is exact but for collisions.
+rows that hold many, so that no task sees the whole bucket. Fingerprints only propose: in a block each string is compared, byte by byte, with
+the first of its fingerprint, and that one with the first of the block before that has it, which travels as bytes. Where bytes differ, the step runs
+again with other hashes, so buckets of every size are decided by bytes. Texts that are equal as wholes meet by 128-bit keys.
 
 Shorter passages can be asked for beside: with ``passage``, runs of strings of that many bytes come first, and strings of
 ``length`` bytes are sought inside those runs only, where alone they can be.
@@ -25,6 +27,7 @@ more lose everything; repeated rows are equal texts; an empty table gives an emp
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Iterator
 
@@ -42,8 +45,8 @@ LARGEST_BUCKET = 2_000
 BLOCK_BYTES, CHUNK_BYTES, ROWS = 2_000_000, 1_000_000, 4_000
 #: No byte of UTF-8; stands outside of segments and equals nothing.
 OUTSIDE = 255
-_FACTORS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
-_TABLES = [np.random.default_rng(seed).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1) for seed in (5, 6)]
+#: Pairs of hash families, each an odd factor and the seed of a table of bytes; a pair makes a fingerprint, later ones stand by.
+FAMILIES = (((0x9E3779B97F4A7C15, 5), (0xC2B2AE3D27D4EB4F, 6)), ((0xD6E8FEB86659FD93, 7), (0xA0761D6478BD642F, 8)), ((0xE7037ED1A0B428DB, 9), (0x8EBC6AF09C88C6E3, 10)))
 
 
 class _Powers:
@@ -61,7 +64,12 @@ class _Powers:
         return self.up[:n], self.down[:n]
 
 
-_POWERS = [_Powers(f) for f in _FACTORS]
+_powers = functools.cache(_Powers)
+
+
+@functools.cache
+def _symbols(seed: int) -> np.ndarray:
+    return np.random.default_rng(seed).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -71,12 +79,12 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-def rolling(data: np.ndarray, width: int, which: int = 0) -> np.ndarray:
-    """64-bit hashes of all substrings of this width, of one of two independent families."""
+def rolling(data: np.ndarray, width: int, family: tuple[int, int] = FAMILIES[0][0]) -> np.ndarray:
+    """64-bit hashes of all substrings of this width, of one family."""
     n = len(data)
-    up, down = _POWERS[which].upto(n + 1)
+    up, down = _powers(family[0]).upto(n + 1)
     sums = np.zeros(n + 1, np.uint64)
-    terms = _TABLES[which][data]
+    terms = _symbols(family[1])[data]
     terms *= up[:n]
     np.cumsum(terms, out=sums[1:])
     out = sums[width:] - sums[:-width]
@@ -267,6 +275,15 @@ def _whole_blocks(batches: Iterator[pa.RecordBatch], limit: int, keys: int = 1)
         yield pa.concat_tables(held)
 
 
+def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
+    """A table for each value of the first columns, by which the batches are sorted."""
+    for table in _whole_blocks(batches, 1, keys):
+        key = np.stack([table.column(k).to_numpy() for k in range(keys)])
+        cuts = [0, *(np.flatnonzero((key[:, 1:] != key[:, :-1]).any(0)) + 1).tolist(), table.num_rows]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            yield table.slice(a, b - a)
+
+
 def _column(table: pa.Table, k: int) -> np.ndarray:
     return table.column(k).to_numpy()
 
@@ -332,16 +349,16 @@ def _by_columns(rows: DataFrame, length: int, gram: int, block_bytes: int) -> Da
 _PRINT = np.dtype([("a", "<u8"), ("b", "<u8")])
 
 
-def _prints(column: pa.Array, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """128-bit fingerprints of all strings of all values, and how many each value has."""
+def _prints(column: pa.Array, length: int, families: tuple[tuple[int, int], ...]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """128-bit fingerprints of all strings of all values, how many each value has, the bytes of all, and where in them each string begins."""
     data, ends = bytes_of(column)
     count = np.diff(ends) - length + 1
     first = np.cumsum(count) - count
     at = np.arange(count.sum()) + np.repeat(ends[:-1] - first, count)
     out = np.empty(len(at), _PRINT)
-    for which, name in enumerate("ab"):
-        out[name] = rolling(data, length, which)[at]
-    return out, count
+    for family, name in zip(families, "ab", strict=True):
+        out[name] = rolling(data, length, family)[at]
+    return out, count, data, at
 
 
 def _alike(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -351,73 +368,175 @@ def _alike(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, np.cumsum(np.concatenate([[0], s[1:] != s[:-1]])) if len(s) else np.empty(0, np.int64)
 
 
-def _by_prints(rows: DataFrame, length: int, largest: int, block_bytes: int) -> DataFrame:
-    """The same for segments of large buckets, which have their bucket's size.
+def _firsts(number: np.ndarray) -> np.ndarray:
+    """Where each group begins in such an order."""
+    return np.concatenate([[0], np.flatnonzero(np.diff(number)) + 1]).astype(np.int64) if len(number) else np.empty(0, np.int64)
 
-    A bucket's segments fall into blocks of bounded size. Each block sends the distinct fingerprints of its strings in ranges, a row
-    for each range that it has any of; the task of a range finds those of several blocks, or of several places in one,
-    and each block hears which of its own these are.
+
+def _among(asked: np.ndarray, held: np.ndarray) -> np.ndarray:
+    """The place of each asked fingerprint among the held ones, which are distinct; -1 if it isn't there."""
+    order, sorted_number = _alike(np.concatenate([asked, held]))
+    number = np.empty(len(order), np.int64)
+    number[order] = sorted_number
+    place = np.full(len(order), -1)
+    place[number[len(asked) :]] = np.arange(len(held))
+    return place[number[: len(asked)]]
+
+
+def unequal(one: bytes, at: np.ndarray, other: bytes, there: np.ndarray, length: int) -> bool:
+    """Whether a string of this length at a place of one differs from that at the same turn's place of the other.
+
+    Places that go on side by side are compared as one stretch, so a run of strings costs its bytes once.
     """
+    cuts = [0, *(np.flatnonzero((np.diff(at) != 1) | (np.diff(there) != 1)) + 1).tolist(), len(at)]
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        if a < b:
+            p, q, n = int(at[a]), int(there[a]), b - a + length - 1
+            if one[p : p + n] != other[q : q + n]:
+                return True
+    return False
+
+
+def packed(data: bytes, at: np.ndarray, length: int) -> tuple[bytes, np.ndarray]:
+    """The bytes that strings at these ascending places cover, and where each string begins in them."""
+    first = _firsts(np.cumsum(np.concatenate([[0], np.diff(at) > length])))
+    last = np.concatenate([first[1:], [len(at)]]) - 1
+    sizes = at[last] + length - at[first]
+    moved = np.repeat(at[first] - (np.cumsum(sizes) - sizes), np.diff(np.concatenate([first, [len(at)]])))
+    return b"".join(data[p : p + n] for p, n in zip(at[first].tolist(), sizes.tolist(), strict=True)), at - moved
 
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in _whole_blocks(batches, 1, 2):
-            prints, _ = _prints(block.column(3).combine_chunks(), length)
-            order, group = _alike(prints)
-            first = np.concatenate([[0], np.flatnonzero(np.diff(group)) + 1])
-            own, again = prints[order][first], np.diff(np.concatenate([first, [len(group)]])) > 1
-            ranges = own["a"] % np.uint64(_column(block, 2)[0])
-            for r in np.unique(ranges).tolist():
-                chosen = ranges == r
-                yield pa.RecordBatch.from_pydict({"bucket": [_column(block, 0)[0]], "range": [r], "block": [_column(block, 1)[0]], "prints": [own[chosen].tobytes()], "again": [again[chosen].tobytes()]}, schema)
-
-    schema = pa.schema([("bucket", pa.int64()), ("range", pa.int64()), ("block", pa.int64()), ("prints", pa.binary()), ("again", pa.binary())])
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in _whole_blocks(batches, 1, 2):
-            data, ends = bytes_of(group.column(3).combine_chunks())
-            prints, again = np.frombuffer(data.tobytes(), _PRINT), bytes_of(group.column(4).combine_chunks())[0].view(bool)
-            order, number = _alike(prints)
-            several = np.bincount(number) > 1
-            several[number[again[order]]] = True
-            told = np.zeros(len(prints), bool)
-            told[order] = several[number]
-            mine = [prints[a:b][told[a:b]].tobytes() for a, b in zip(ends[:-1] // 16, ends[1:] // 16, strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(_column(group, 0)), pa.array(_column(group, 2)), pa.array(mine, pa.binary())], ["bucket", "block", "told"])
-
-    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in _whole_blocks(batches, 1, 2):
-            said = group.column(6).drop_null()
-            told = np.frombuffer(b"".join(said.to_pylist()), _PRINT)
-            group = group.filter(group.column(5).is_valid())
-            if not len(told) or not group.num_rows:
-                continue
-            prints, count = _prints(group.column(5).combine_chunks(), length)
-            order, number = _alike(np.concatenate([told, prints]))
-            known = np.zeros(len(order), bool)
-            hit = np.zeros(number[-1] + 1, bool)
-            hit[number[order < len(told)]] = True
-            known[order] = hit[number]
-            known = known[len(told) :]
-            # A run ends where its segment does.
-            ends = np.cumsum(count)
-            apart = np.insert(known, ends, False)
-            a, b = _runs(apart)
-            row = np.searchsorted(ends + np.arange(1, len(ends) + 1), a, "right")
-            base = _column(group, 4).astype(np.int64)[row] - (ends - count)[row] - row
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (_column(group, 2)[row], _column(group, 3)[row], a + base, b + base)], ["h1", "h2", "first", "end"])
-
-    blocks = F.ceil(F.col("size") / largest)
-    placed = rows.withColumn("ranges", blocks).withColumn("block", F.pmod(F.xxhash64("h1", "h2", "start"), blocks))
-    placed = written(placed.select("bucket", "block", "ranges", "h1", "h2", "start", "bytes"), "repeats-blocks")
-    in_blocks = placed.select("bucket", "block", "ranges", "bytes").repartition("bucket", "block").sortWithinPartitions("bucket", "block")
-    sent = in_blocks.mapInArrow(send, "bucket long, range long, block long, prints binary, again binary")
-    told = sent.repartition("bucket", "range").sortWithinPartitions("bucket", "range").mapInArrow(compare, "bucket long, block long, told binary")
-    both = placed.drop("ranges").withColumn("told", F.lit(None).cast("binary")).unionByName(told, allowMissingColumns=True)
-    dealt = both.select("bucket", "block", "h1", "h2", "start", "bytes", "told").repartition("bucket", "block").sortWithinPartitions("bucket", "block")
-    return dealt.mapInArrow(mark, "h1 long, h2 long, first long, end long")
 
+def _by_prints(rows: DataFrame, length: int, largest: int, families: tuple) -> DataFrame:
+    """Runs of repeated starts (rows of kind RUN in a written table) in segments of large buckets, which have their bucket's size.
+
+    A bucket's segments fall into blocks of bounded size. Each block sends the distinct fingerprints of its strings in ranges, a row
+    for each range that it has any of. The task of a range finds those of several blocks, or of several places in one; each block hears
+    which of its own these are and to which next block it has to show the bytes of which. Where bytes differ from what fingerprints told, the next pair of families is taken.
+    """
+    RUN, SHOWN, DIFFERS = 0, 1, 2
+    parts = F.ceil(F.col("size") / largest)
+    placed = rows.withColumn("ranges", parts).withColumn("block", F.pmod(F.xxhash64("h1", "h2", "start"), parts))
+    placed = written(placed.select("bucket", "block", "ranges", "h1", "h2", "start", "bytes"), "repeats-blocks")
 
-def _shared_runs(texts: DataFrame, length: int, gram: int, largest: int, block_bytes: int, tag: str) -> DataFrame:
+    def dealt(df: DataFrame, *keys: str) -> DataFrame:
+        return df.repartition(*keys).sortWithinPartitions(*keys)
+
+    def step(pair: tuple) -> DataFrame | None:
+        def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for block in _groups(batches, 2):
+                prints = _prints(block.column(3).combine_chunks(), length, pair)[0]
+                order, number = _alike(prints)
+                first = _firsts(number)
+                own, again = prints[order][first], np.diff(np.concatenate([first, [len(number)]])) > 1
+                ranges = own["a"] % np.uint64(_column(block, 2)[0])
+                turn = np.argsort(ranges, kind="stable")
+                for chosen in np.split(turn, _firsts(ranges[turn])[1:]):
+                    yield pa.RecordBatch.from_pydict({"bucket": [_column(block, 0)[0]], "range": [int(ranges[chosen[0]])], "block": [_column(block, 1)[0]], "prints": [own[chosen].tobytes()], "again": [again[chosen].tobytes()]}, schema)
+
+        schema = pa.schema([("bucket", pa.int64()), ("range", pa.int64()), ("block", pa.int64()), ("prints", pa.binary()), ("again", pa.binary())])
+
+        def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for group in _groups(batches, 2):
+                data, ends = bytes_of(group.column(3).combine_chunks())
+                prints, again = np.frombuffer(data.tobytes(), _PRINT), bytes_of(group.column(4).combine_chunks())[0].view(bool)
+                block = np.repeat(_column(group, 2), np.diff(ends) // 16)
+                order, number = _alike(prints)
+                several = np.bincount(number) > 1
+                several[number[again[order]]] = True
+                told = order[several[number]]
+                near = number[1:] == number[:-1]
+                # Told ones go to their block (to -1); those of the next block too are to be shown to it.
+                at = np.concatenate([told, order[:-1][near]])
+                to = np.concatenate([np.full(len(told), -1), block[order[1:][near]]])
+                turn = np.lexsort((to, block[at]))
+                at, to = at[turn], to[turn]
+                if len(at):
+                    first = np.concatenate([[0], np.flatnonzero((np.diff(block[at]) != 0) | (np.diff(to) != 0)) + 1])
+                    lists = [prints[x].tobytes() for x in np.split(at, first[1:])]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(_column(group, 0)[:1], len(first))), pa.array(block[at][first]), pa.array(to[first]), pa.array(lists, pa.binary())], ["bucket", "block", "to", "prints"])
+
+        def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for group in _groups(batches, 2):
+                said, own = group.filter(group.column(7).is_valid()), group.filter(group.column(5).is_valid())
+                if not said.num_rows or not own.num_rows:
+                    continue
+                prints, count, data, at = _prints(own.column(5).combine_chunks(), length, pair)
+                data = data.tobytes()
+                order, number = _alike(prints)
+                first = order[_firsts(number)]
+                held, held_at = prints[first], at[first]
+                raw, cuts = bytes_of(said.column(7).combine_chunks())
+                place = _among(np.frombuffer(raw.tobytes(), _PRINT), held)
+                to = np.repeat(_column(said, 6), np.diff(cuts) // 16)
+                hit = np.zeros(len(held), bool)
+                hit[place[to < 0]] = True
+                known, one = np.empty(len(at), bool), np.empty(len(at), np.int64)
+                known[order], one[order] = hit[number], held_at[number]
+                differs = unequal(data, at[one != at], data, one[one != at], length)
+                # A run ends where its segment does.
+                ends = np.cumsum(count)
+                a, b = _runs(np.insert(known, ends, False))
+                row = np.searchsorted(ends + np.arange(1, len(ends) + 1), a, "right")
+                base = _column(own, 4).astype(np.int64)[row] - (ends - count)[row] - row
+                runs = [pa.array(x) for x in (_column(own, 2)[row], _column(own, 3)[row], a + base, b + base)]
+                yield _row_batch(marks, kind=pa.array(np.full(len(row), RUN)), h1=runs[0], h2=runs[1], first=runs[2], end=runs[3])
+                if differs:
+                    yield _row_batch(marks, kind=pa.array([DIFFERS]))
+                shown = np.flatnonzero(to >= 0)
+                shown = shown[np.lexsort((held_at[place[shown]], to[shown]))]
+                for mine in np.split(shown, _firsts(to[shown])[1:]) if len(shown) else []:
+                    part, there = packed(data, held_at[place[mine]], length)
+                    where = {"bucket": pa.array([_column(own, 0)[0]]), "block": pa.array([to[mine[0]]])}
+                    yield _row_batch(marks, kind=pa.array([SHOWN]), **where, prints=pa.array([held[place[mine]].tobytes()]), places=pa.array([there.tolist()]), part=pa.array([part]))
+
+        def hold_against(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for group in _groups(batches, 2):
+                shown, own = group.filter(group.column(3).is_valid()), group.filter(group.column(2).is_valid())
+                if not shown.num_rows:
+                    continue
+                prints, _, data, at = _prints(own.column(2).combine_chunks(), length, pair)
+                data = data.tobytes()
+                order, number = _alike(prints)
+                first = order[_firsts(number)]
+                raw, cuts = bytes_of(shown.column(3).combine_chunks())
+                mine = at[first][_among(np.frombuffer(raw.tobytes(), _PRINT), prints[first])]
+                parts = shown.column(5).to_pylist()
+                for k, (a, b) in enumerate(zip(cuts // 16, cuts[1:] // 16, strict=False)):
+                    if unequal(data, mine[a:b], parts[k], np.array(shown.column(4)[k].values), length):
+                        yield pa.RecordBatch.from_arrays([pa.array([_column(group, 0)[0]])], ["bucket"])
+
+        marks = pa.schema([("kind", pa.int64()), *((c, pa.int64()) for c in ("h1", "h2", "first", "end", "bucket", "block")), ("prints", pa.binary()), ("places", pa.list_(pa.int64())), ("part", pa.binary())])
+        sent = dealt(placed.select("bucket", "block", "ranges", "bytes"), "bucket", "block").mapInArrow(send, "bucket long, range long, block long, prints binary, again binary")
+        told = dealt(sent, "bucket", "range").mapInArrow(compare, "bucket long, block long, to long, prints binary")
+        both = placed.drop("ranges").withColumns({"to": F.lit(None).cast("long"), "prints": F.lit(None).cast("binary")}).unionByName(told, allowMissingColumns=True)
+        marked = dealt(both.select("bucket", "block", "h1", "h2", "start", "bytes", "to", "prints"), "bucket", "block")
+        marked = written(marked.mapInArrow(mark, "kind long, h1 long, h2 long, first long, end long, bucket long, block long, prints binary, places array<long>, part binary"), "repeats-marked")
+        shown = marked.filter(F.col("kind") == SHOWN).select("bucket", "block", "prints", "places", "part")
+        asked = placed.join(shown.select("bucket", "block").distinct(), ["bucket", "block"], "left_semi").select("bucket", "block", "bytes")
+        against = asked.unionByName(shown, allowMissingColumns=True).select("bucket", "block", "bytes", "prints", "places", "part")
+        wrong = marked.filter(F.col("kind") == DIFFERS).select("bucket").unionByName(dealt(against, "bucket", "block").mapInArrow(hold_against, "bucket long"))
+        if not wrong.count():
+            return marked
+        removed(marked)
+        return None
+
+    try:
+        for pair in families:
+            marked = step(pair)
+            if marked is not None:
+                return marked
+    finally:
+        removed(placed)
+    raise ValueError("unequal strings have equal fingerprints in all pairs of hash families; pass others")
+
+
+def _row_batch(schema: pa.Schema, **columns: pa.Array) -> pa.RecordBatch:
+    """A batch in which columns that aren't given are null."""
+    n = len(columns["kind"])
+    return pa.RecordBatch.from_arrays([columns[f.name].cast(f.type) if f.name in columns else pa.nulls(n, f.type) for f in schema], schema=schema)
+
+
+def _shared_runs(texts: DataFrame, length: int, gram: int, largest: int, block_bytes: int, tag: str, families: tuple) -> DataFrame:
     """h1, h2 and runs of repeated starts, from distinct texts (h1, h2, data)."""
     marks = written(_with_segments(texts, length, gram), f"{tag}-marks")
     each = marks.select("h1", "h2", F.explode(F.arrays_zip("buckets", "starts", "counts", "anchors")).alias("s")).select("h1", "h2", "s.*")
@@ -426,9 +545,10 @@ def _shared_runs(texts: DataFrame, length: int, gram: int, largest: int, block_b
     wanted = each.join(shared, "buckets").groupBy("h1", "h2").agg(F.collect_list(F.struct("buckets", "size", "starts", "counts", "anchors")).alias("wanted"))
     cut = written(_cut_segments(texts.join(wanted, ["h1", "h2"]), length), f"{tag}-segments")
     found = _by_columns(cut.filter(F.col("size") <= largest), length, gram, block_bytes)
-    found = found.unionByName(_by_prints(cut.filter(F.col("size") > largest), length, largest, block_bytes))
+    marked = _by_prints(cut.filter(F.col("size") > largest), length, largest, families)
+    found = found.unionByName(marked.filter("kind = 0").select("h1", "h2", "first", "end"))
     found = written(found.groupBy("h1", "h2").agg(F.collect_list(F.struct("first", "end")).alias("runs")), f"{tag}-runs")
-    removed(marks, shared, cut)
+    removed(marks, shared, cut, marked)
     return found
 
 
@@ -499,7 +619,7 @@ def keyed(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.withColumns({"h1": F.xxhash64(or_empty(text)), "h2": F.xxhash64(F.lit(1), or_empty(text))})
 
 
-def repeated_strings(docs: DataFrame, *, length: int = LENGTH, passage: int | None = None, gram: int = GRAM, text: str = "text", largest: int = LARGEST_BUCKET, block_bytes: int = BLOCK_BYTES, keep_text: bool = True) -> DataFrame:
+def repeated_strings(docs: DataFrame, *, length: int = LENGTH, passage: int | None = None, gram: int = GRAM, text: str = "text", largest: int = LARGEST_BUCKET, block_bytes: int = BLOCK_BYTES, keep_text: bool = True, families: tuple = FAMILIES) -> DataFrame:
     """For each text that holds a repeated string, by key: n_removed, n_spans, n_passages, kept_sha256 and kept (text, if asked for).
 
     passage, a number of bytes below length: n_passages counts runs of repeated strings of that many bytes, else of length;
@@ -517,7 +637,7 @@ def repeated_strings(docs: DataFrame, *, length: int = LENGTH, passage: int | No
         both = texts.join(found, ["h1", "h2"], "left").withColumn("runs", F.when(F.col("n") > 1, whole).otherwise(F.col("runs")))
         return both.filter("runs is not null")
 
-    outer = _shared_runs(texts, shortest, gram, largest, block_bytes, "repeats")
+    outer = _shared_runs(texts, shortest, gram, largest, block_bytes, "repeats", families)
     found = with_runs(texts, outer, shortest)
     if passage is None:
         done = written(_cleaned(found.withColumn("held", F.col("runs")), length, keep_text), "repeats-found")
@@ -526,7 +646,7 @@ def repeated_strings(docs: DataFrame, *, length: int = LENGTH, passage: int | No
     pieces = _pieces(found, length - passage + 1, passage).withColumns({"h1": F.xxhash64("data"), "h2": F.xxhash64(F.lit(1), "data")})
     pieces = written(pieces, "repeats-pieces")
     distinct = bucketed(pieces.groupBy("h1", "h2").agg(F.sum("n").alias("n"), F.first("data").alias("data")), "repeats-distinct", "h1", "h2")
-    inner = _shared_runs(distinct, length, gram, largest, block_bytes, "repeats-inner")
+    inner = _shared_runs(distinct, length, gram, largest, block_bytes, "repeats-inner", families)
     moved = pieces.select("t1", "t2", "start", "h1", "h2").join(with_runs(distinct, inner, length).select("h1", "h2", "runs"), ["h1", "h2"])
     moved = moved.select(F.col("t1").alias("h1"), F.col("t2").alias("h2"), F.transform("runs", lambda r: F.struct((r["first"] + F.col("start")).alias("first"), (r["end"] + F.col("start")).alias("end"))).alias("part"))
     moved = written(moved.groupBy("h1", "h2").agg(F.flatten(F.collect_list("part")).alias("runs")), "repeats-moved")

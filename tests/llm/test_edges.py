@@ -224,6 +224,36 @@ def test_repeats(docs, empty, largest, passage):
     assert repeats.repeated_strings(empty, passage=passage and 250).count() == 0
 
 
+def test_large_buckets_are_decided_by_bytes(spark):
+    """Sums of symbols as fingerprints are equal for all strings of the same letters: bytes show it, and other hashes are taken."""
+    texts = [(k, "".join(RANDOM.choice(["ab", "ba"]) for _ in range(90))) for k in range(30)]
+    texts += [(30, texts[0][1] + "x"), (31, "y" + texts[0][1][20:80]), (32, texts[1][1]), (33, None), (34, "ab")]
+    rows = spark.createDataFrame(texts, "doc_id long, text string")
+    sums = ((1, 5), (1, 6))
+    given = dict(length=24, gram=8, largest=2, keep_text=False)
+    for families in (repeats.FAMILIES, (sums, *repeats.FAMILIES)):
+        found = {(r.h1, r.h2): r for r in repeats.repeated_strings(rows, families=families, **given).collect()}
+        out = []
+        for r in repeats.keyed(rows).select("doc_id", "text", "h1", "h2").collect():
+            f = found.get((r.h1, r.h2))
+            out.append((r.doc_id, 0, 0, hashlib.sha256((r.text or "").encode()).hexdigest()) if f is None else (r.doc_id, f.n_removed, f.n_spans, f.kept_sha256))
+        assert bag(out) == brute_repeats(texts, 24)
+    with pytest.raises(ValueError, match="fingerprints"):
+        repeats.repeated_strings(rows, families=(sums,), **given)
+
+
+def test_bytes_of_strings_in_stretches():
+    for _ in range(500):
+        n = RANDOM.randint(1, 6)
+        data = bytes(RANDOM.choice(b"ab") for _ in range(RANDOM.randint(n, 40)))
+        at = np.array(sorted(RANDOM.sample(range(len(data) - n + 1), RANDOM.randint(1, len(data) - n + 1))), np.int64)
+        part, there = repeats.packed(data, at, n)
+        assert [part[i : i + n] for i in there] == [data[i : i + n] for i in at] and len(part) == len({i + k for i in at for k in range(n)})
+        other = np.array([RANDOM.randint(0, len(data) - n) for _ in at])
+        assert not repeats.unequal(data, at, part, there, n)
+        assert repeats.unequal(data, at, data, other, n) == any(data[a : a + n] != data[b : b + n] for a, b in zip(at, other, strict=True))
+
+
 def test_suffix_order():
     import pyarrow as pa
 

@@ -269,6 +269,19 @@ def test_passages_go(stages):
     assert rest(after) == rest(before) and any(a.text != b.text for a, b in zip(bag(after), bag(before), strict=True))
 
 
+@pytest.mark.parametrize("size", [249, 250, 330, 450])
+def test_planted_passages(spark, small, size):
+    """A passage of so many bytes in three documents, at their beginning, middle and end, goes from PASSAGE bytes on; what stands around it and clean documents stay."""
+    passage = prose(size).encode()[:size].decode(errors="ignore")
+    passage += "x" * (size - len(passage.encode()))
+    around = [(prose(40) + " [", "] " + prose(60)), ("", "} " + prose(50)), (prose(30) + " (", "")]
+    texts = [f"{a}{passage}{b}" for a, b in around] + [prose(200), None]
+    docs = spark.createDataFrame([(k, t, "en", "web", None if t is None else len(t)) for k, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    after = {r.doc_id: r.text for r in corpus_pipeline.remove_repeated_passages(spark, docs, small).collect()}
+    assert [after[k] for k in range(3)] == ([a + b for a, b in around] if size >= corpus_pipeline.PASSAGE else texts[:3])
+    assert after[3] == texts[3] and after[4] is None
+
+
 def test_copies_equal_sql(spark, small, stages, tmp_path):
     before, after = stages["mix_sources"]
     spark.createDataFrame(before, SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
