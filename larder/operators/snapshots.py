@@ -18,6 +18,11 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/larder/{name}-{uuid.uuid4().hex}"
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """df dealt out by keys: a small file is one task's, however much work its rows are."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def snapshot(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table: all that reads it sees the same rows, and lost executors cost no more than a task."""
     path = shared_folder(df.sparkSession, name)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from larder.functions import ingredients, text
 from larder.operators import candidates, classify, datasets, jobs, nutrition, ocr, recognition
+from larder.operators.snapshots import spread
 from larder.plans.base import query, table
 
 s = lambda n: F.col(n).cast("string")
@@ -37,14 +38,14 @@ def f09(spark, d):
 @query("f10", "SELECT p_partkey, CASE WHEN p_size % 4 = 3 THEN '대파' ELSE p_name END AS name FROM part")
 def f10(spark, d):
     raw = by(4, F.concat(F.lit("다진 "), "p_name"), F.concat("p_name", F.lit(" 중간 사이즈 (소)")), F.concat(F.lit("시원한 다진 "), "p_name", F.lit(" 줄기")), F.lit("대파흰부분"))
-    return _part(spark, d).select("p_partkey", ingredients.visual_base(raw).alias("name"))
+    return spread(_part(spark, d), "p_partkey").select("p_partkey", ingredients.visual_base(raw).alias("name"))
 
 
 @query("f11", """
 SELECT p_partkey, CASE p_size % 3 WHEN 0 THEN p_name || '|다진 ' || p_brand || '|' || p_brand WHEN 1 THEN p_name || '|' || p_type ELSE p_name END AS phrases FROM part""")
 def f11(spark, d):
     raw = by(3, F.concat("p_name", F.lit(" 또는 다진 "), "p_brand"), F.concat("p_name", F.lit(", "), "p_type", F.lit(" , ")), F.col("p_name"))
-    return _part(spark, d).select("p_partkey", F.array_join(ingredients.phrases(raw), "|").alias("phrases"))
+    return spread(_part(spark, d), "p_partkey").select("p_partkey", F.array_join(ingredients.phrases(raw), "|").alias("phrases"))
 
 
 def _seed(spark, d):
@@ -361,7 +362,7 @@ def f50(spark, d):
     both = F.struct(*[many[c].alias(c) for c in ("rec_texts", "rec_scores", "rec_boxes")], single["rec_text"].alias("rec_text"), single["rec_score"].alias("rec_score"), single["rec_poly"].alias("rec_poly"))
     short = F.struct(F.slice(texts, 1, 2).alias("rec_texts"), F.array(F.col("p_size") / 50.0).alias("rec_scores"), boxes.alias("rec_boxes"))
     answer = by(4, F.to_json(F.struct(both.alias("res"))), F.to_json(many), F.to_json(F.struct(short.alias("res"))), F.to_json(F.struct(F.col("p_brand").alias("rec_text"), F.lit(0.5).alias("rec_score"))))
-    lines = ocr.flattened(_part(spark, d).select("p_partkey", answer.alias("answer")), "p_partkey", "answer")
+    lines = ocr.flattened(spread(_part(spark, d), "p_partkey").select("p_partkey", answer.alias("answer")), "p_partkey", "answer")
     return lines.select("p_partkey", F.col("line_no").cast("long").alias("line_no"), "text", "confidence", ocr.box_edges("box")["x1"].alias("x1"))
 
 
