@@ -43,7 +43,8 @@ def flattened(results: DataFrame, image: str, answer: str) -> DataFrame:
     many = F.transform(F.coalesce("_r.rec_texts", none), lambda t, i: entry(t, F.get("_r.rec_scores", i), F.get(F.col("_boxes"), i)))
     one = entry(F.col("_r.rec_text"), F.col("_r.rec_score"), F.coalesce("_r.rec_box", "_r.rec_poly"))
     rows = rows.withColumn("_boxes", F.coalesce(boxes, none)).withColumn("_lines", F.filter(F.concat(many, F.array(one)), lambda x: x["text"] != ""))
-    lines = rows.select(image, F.posexplode("_lines").alias("line_no", "l")).select(image, "line_no", "l.text", "l.confidence", F.col("l.box").alias("_box"))
+    # The outer form, since a filter on lists that aren't empty would parse each answer again.
+    lines = rows.select(image, F.posexplode_outer("_lines").alias("line_no", "l")).filter("l is not null").select(image, "line_no", "l.text", "l.confidence", F.col("l.box").alias("_box"))
     flat = F.array(F.from_json("_box", "array<double>"))
     points = F.from_json("_box", "array<array<double>>")
     return lines.withColumn("box", F.when(F.col("_box").rlike(r"^\s*\[\s*\["), points).when(F.col("_box").isNotNull(), flat)).drop("_box")
