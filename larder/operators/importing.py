@@ -151,7 +151,9 @@ def import_recipes(raw: DataFrame, recipes: DataFrame, master: DataFrame, *, sit
 def ordinal_map(accepted: DataFrame, recipes: DataFrame, site: str, *, required: bool = False) -> DataFrame:
     """Ordinal (file order, then line order) and the recipe's id by key, then title. Without one the id is null, or, if
     ids are required, the job fails."""
-    rows = ordinals(accepted.select("path", "line_no", "key", "title"), ["path", "line_no"]).withColumn("site", F.lit(site))
+    # Cells are parsed to tell which rows are accepted, and bounds of ranges are sampled before rows are dealt out.
+    accepted = snapshot(accepted.select("path", "line_no", "key", "title"), "ordinal-rows")
+    rows = ordinals(accepted, ["path", "line_no"]).withColumn("site", F.lit(site))
     known = recipes.select("recipe_id", F.col("source_site").alias("site"), F.col("source_recipe_key").alias("key"), "title")
     found = match_existing(rows, known, "site", "key", "title", "recipe_id")
     absent = F.raise_error(F.concat(F.lit("no recipe for ordinal "), F.col("ordinal").cast("string"), F.lit(", title "), F.col("title")))

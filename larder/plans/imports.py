@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from larder.functions import text
 from larder.operators import importing
+from larder.operators.snapshots import snapshot, spread
 from larder.plans.base import query, table
 
 c = lambda n: F.col(n).cast("string")
@@ -70,7 +71,7 @@ def p06(spark, d):
 
 def _raw(spark, d):
     """Rows of recipe files: a part is a row of the file of its brand; several have one title; some lack ingredients or title."""
-    part = table(spark, d, "part")
+    part = spread(table(spark, d, "part"), "p_partkey")
     title = F.when(F.col("p_size") == 1, F.lit(" ")).when(F.col("p_size") < 10, F.concat_ws(" ", "p_name", c("p_size"))).otherwise(F.concat_ws(" ", "p_name", c("p_partkey")))
     amount = F.concat(F.lit("[{'name': "), quoted(F.col("p_name")), F.lit(", 'quantity': '"), c("p_size"), F.lit("g'}, {'name': "), quoted(F.col("p_type")), F.lit("}]"))
     fields = F.create_map(
@@ -156,12 +157,12 @@ def c07(spark, d):
     from larder.operators.ordinals import ordinals
     from larder.sources.files import insert_ids
 
-    mapping = importing.ordinal_map(_accepted(spark, d), _known(spark, d), "site").filter("recipe_id is not null")
-    numbered = ordinals(mapping, ["ordinal"], "k").select((F.col("k") - 1).alias("o_custkey"), "ordinal")
+    mapping = snapshot(importing.ordinal_map(_accepted(spark, d), _known(spark, d), "site"), "ordinal-map")
+    numbered = ordinals(mapping.filter("recipe_id is not null"), ["ordinal"], "k").select((F.col("k") - 1).alias("o_custkey"), "ordinal")
     orders = table(spark, d, "orders").join(numbered, "o_custkey")
     line = F.when(F.col("o_orderstatus") != "P", F.concat(F.lit("INSERT INTO recipe_nutrition VALUES ("), c("ordinal"), F.lit(", 1);"))).otherwise("x")
     lines = insert_ids(orders.select(F.col("o_orderkey").alias("line_no"), line.alias("line")), "line", "recipe_nutrition")
-    return importing.remap_nutrition(lines, importing.ordinal_map(_accepted(spark, d), _known(spark, d), "site"))
+    return importing.remap_nutrition(lines, mapping)
 
 
 @query("p04", """
