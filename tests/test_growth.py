@@ -64,3 +64,45 @@ def test_titles_are_ranked_in_bounded_tasks(spark, monkeypatch):
 
 def test_insert_lines_are_remapped_without_parsing_again(spark):
     assert "PythonUDF" not in optimized(QUERIES["c07"](spark, DATA)) and "parse(" not in optimized(QUERIES["c07"](spark, DATA))
+
+
+def test_a_score_collapses_its_text_once(spark):
+    rows = spark.createDataFrame([("서울  우유 ", 0.5, None, 3, 3), ("", 0.9, None, 3, 3), (None, 0.9, None, 3, 3), ("두부", 0.5, None, 3, 3)], "t string, p double, b array<array<double>>, w int, h int")
+    scored = rows.select(ocr.title_score("t", "p", "b", "w", "h").alias("s"), ocr.has_product_word("t").alias("has"))
+    assert [(r.s and round(r.s, 6), r.has) for r in scored.collect()] == [(1.3, True), (0.0, False), (0.0, None), (1.2, True)]
+    assert optimized(scored.select("s")).count(r"\s+,  , 1") == 1
+
+
+def test_near_groups_below_the_threshold_give_no_candidates():
+    """Texts of one group, each pair at a Jaccard index of 0.72 where 0.8 is asked for: bits that sets share by chance let all pairs pass, parities none."""
+    import numpy as np
+
+    from larder.llm import ngram_join
+
+    rng = np.random.default_rng(1)
+    common = rng.integers(0, 2**63, 251).astype(np.uint64)
+    sets = [np.unique(np.concatenate([common, rng.integers(0, 2**63, 49).astype(np.uint64)])) for _ in range(200)]
+    sets.append(sets[0][: len(sets[0]) - 3])
+    bits = np.array([np.frombuffer(ngram_join._bitmap(s) + ngram_join._parity(s), np.uint64) for s in sets])
+    cls, size = np.arange(len(sets)), np.array([len(s) for s in sets])
+    a, b = ngram_join._cell(cls, size, cls, np.zeros_like(cls), bits, np.ones_like(cls), False, 4, 5)
+    assert list(zip(a.tolist(), b.tolist(), strict=True)) == [(0, 200)]
+
+
+def test_bitmaps_are_compared_a_bounded_number_at_once(monkeypatch):
+    import numpy as np
+
+    from larder.llm import ngram_join
+
+    rng = np.random.default_rng(2)
+    base = rng.integers(0, 2**63, 100).astype(np.uint64)
+    sets = [np.concatenate([base, rng.integers(0, 2**63, k % 7).astype(np.uint64)]) for k in range(60)]
+    bits = np.array([np.frombuffer(ngram_join._bitmap(s) + ngram_join._parity(s), np.uint64) for s in sets])
+    cls, size = np.arange(len(sets)), np.array([len(s) for s in sets])
+    cell = lambda: ngram_join._cell(cls, size, cls, np.zeros_like(cls), bits, np.ones_like(cls), False, 4, 5)
+    whole = cell()
+    assert len(whole[0]) == 60 * 59 // 2
+    monkeypatch.setattr(ngram_join, "AT_ONCE", 7)
+    assert all((x == y).all() for x, y in zip(whole, cell(), strict=True))
+    wide = [np.frombuffer(ngram_join._parity(s, w), np.uint64) for s, w in ((sets[0], 512), (sets[5], 2048))]
+    assert ngram_join._apart(*wide) <= 5 and ngram_join._apart(*wide[::-1]) == ngram_join._apart(*wide)
