@@ -44,6 +44,8 @@ BROADCAST_BYTES = 8_000_000
 OFTEN, COUNTED, FREQUENT = 8, 2_000_000, 65_536
 #: Pairs of one cell that are checked in one place; more are dealt out.
 CELL_PAIRS = 2048
+#: Pairs of nodes or sets whose bitmaps are compared at once.
+AT_ONCE = 32_768
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
 
 
@@ -127,22 +129,28 @@ def _bitmap(hashes: np.ndarray, width: int = BITS) -> bytes:
     return np.packbits(bits, bitorder="little").tobytes()
 
 
+def _parity(hashes: np.ndarray, width: int = BITS) -> bytes:
+    """A bit for each place of the width: whether an odd number of the hashes falls there. Hashes that two sets share cancel out, so bits that differ are hashes of one set alone."""
+    bits = np.bincount((hashes % np.uint64(width)).astype(np.int64), minlength=width).astype(np.uint8) & 1
+    return np.packbits(bits, bitorder="little").tobytes()
+
+
 def _wide(n: int) -> int:
     """Bits of a set's own bitmap: a power of two, at least twice the size of the set."""
     return max(512, 1 << (2 * n - 1).bit_length()) if n else 512
 
 
-def _common_bits(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int]:
-    """Bits in both of two bitmaps, in the first and in the second, in the narrower width: the wider one is folded."""
+def _apart(a: np.ndarray, b: np.ndarray) -> int:
+    """The least number of hashes that one of two sets has alone, from parities in the narrower width: the wider ones are folded."""
     while len(a) > len(b):
-        a = a[: len(a) // 2] | a[len(a) // 2 :]
+        a = a[: len(a) // 2] ^ a[len(a) // 2 :]
     while len(b) > len(a):
-        b = b[: len(b) // 2] | b[len(b) // 2 :]
-    return tuple(int(np.bitwise_count(x).sum()) for x in (a & b, a, b))
+        b = b[: len(b) // 2] ^ b[len(b) // 2 :]
+    return int(np.bitwise_count(a ^ b).sum())
 
 
 def with_sets(docs: DataFrame, k: int, num: int, den: int, *, text: str, doc_id: str) -> DataFrame:
-    """doc_id, a hash of the text, n_shingles, a 128-bit key of the set, its smallest and its prefix hashes (32 bits), and bitmaps of fixed and own width."""
+    """doc_id, a hash of the text, n_shingles, a 128-bit key of the set, its smallest and its prefix hashes (32 bits), a bitmap with parities of fixed width, and parities of own width."""
     ranked = frequent_shingles(docs, k, text=text)
     order = np.argsort(ranked)
     shared = docs.sparkSession.sparkContext.broadcast((ranked[order], order))  # at most FREQUENT hashes and their ranks
@@ -159,8 +167,8 @@ def with_sets(docs: DataFrame, k: int, num: int, den: int, *, text: str, doc_id:
                 high.append(_mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64).astype(np.int64))
                 least.append(short(s[: min(FIRST_HASHES, prefix_length(len(s), num, den))]))
                 prefix.append(short(rare_first(s, frequent, places)[: prefix_length(len(s), num, den)]))
-                bitmap.append(_bitmap(s))
-                wide.append(_bitmap(s, _wide(len(s))))
+                bitmap.append(_bitmap(s) + _parity(s))
+                wide.append(_parity(s, _wide(len(s))))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(low, pa.int64()), pa.array(high, pa.int64()), pa.array(least, pa.list_(pa.int32())), pa.array(prefix, pa.list_(pa.int32())), pa.array(bitmap, pa.binary()), pa.array(wide, pa.binary())],
                 ["doc_id", "text_hash", "n_shingles", "low", "high", "least", "prefix", "bitmap", "wide"],
@@ -177,7 +185,8 @@ class SignatureTree:
     def __init__(self, cls: np.ndarray, size: np.ndarray, comp: np.ndarray, bits: np.ndarray, index: np.ndarray):
         order = np.lexsort((cls, size, comp))
         self.cls = cls[order]
-        rows = {"bits": bits[order], "index": index[order], "low": size[order], "high": size[order], "first": comp[order], "last": comp[order]}
+        bits, self.parity = bits[order, : BITS // 64], bits[order, BITS // 64 :]
+        rows = {"bits": bits, "index": index[order], "low": size[order], "high": size[order], "first": comp[order], "last": comp[order]}
         rows["slack"] = rows["low"] - np.bitwise_count(rows["bits"]).sum(1).astype(np.int64)  # tokens that share a bit
         self.levels = [rows]
         for fan in (LEAF, *[FAN] * 12):
@@ -196,14 +205,21 @@ def _possible(a: dict, i: np.ndarray, b: dict, j: np.ndarray, num: int, den: int
     keep = (a["first"][i] != a["last"][i]) | (b["first"][j] != b["last"][j]) | (a["first"][i] != b["first"][j])
     keep &= (a["index"][i] | b["index"][j]) > 0
     keep &= (den * a["high"][i] >= num * b["low"][j]) & (den * b["high"][j] >= num * a["low"][i])
-    i, j, where = i[keep], j[keep], np.flatnonzero(keep)
-    common = np.bitwise_count(a["bits"][i] & b["bits"][j]).sum(1).astype(np.int64)
-    most = np.minimum(common + np.minimum(a["slack"][i], b["slack"][j]), np.minimum(a["high"][i], b["high"][j]))
-    # overlap >= num / (num + den) * (sizes)
-    keep[where] = (num + den) * most >= num * (a["low"][i] + b["low"][j])
+    where = np.flatnonzero(keep)
+    for part in (where[k : k + AT_ONCE] for k in range(0, len(where), AT_ONCE)):
+        x, y = i[part], j[part]
+        common = np.bitwise_count(a["bits"][x] & b["bits"][y]).sum(1).astype(np.int64)
+        most = np.minimum(common + np.minimum(a["slack"][x], b["slack"][y]), np.minimum(a["high"][x], b["high"][y]))
+        # overlap >= num / (num + den) * (sizes)
+        keep[part] = (num + den) * most >= num * (a["low"][x] + b["low"][y])
     return keep
 
 
+def _differing(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Bits that differ between rows i of a and j of b."""
+    return np.concatenate([np.zeros(0, np.int64), *(np.bitwise_count(a[i[k : k + AT_ONCE]] ^ b[j[k : k + AT_ONCE]]).sum(1).astype(np.int64) for k in range(0, len(i), AT_ONCE))])
+
+
 def dual_traversal(a: SignatureTree, b: SignatureTree, same: bool, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
     """Places (in a and in b) of leaf pairs that may reach the threshold; for a tree with itself only i < j."""
     p, q = len(a.levels) - 1, len(b.levels) - 1
@@ -255,17 +271,20 @@ def _cell(cls: np.ndarray, size: np.ndarray, comp: np.ndarray, side: np.ndarray,
     one = SignatureTree(cls[side == 0], size[side == 0], comp[side == 0], bits[side == 0], index[side == 0])
     two = SignatureTree(cls[side == 1], size[side == 1], comp[side == 1], bits[side == 1], index[side == 1]) if side.any() else one
     i, j = dual_traversal(one, two, two is one, num, den)
-    x, y = one.cls[i], two.cls[j]
     a, b = one.levels[0], two.levels[0]
+    # What one set has alone is sizes less twice the overlap, so at most (den - num) / (den + num) of the sizes in a pair that is similar enough.
+    apart = _differing(one.parity, two.parity, i, j)
+    keep = (num + den) * apart <= (den - num) * (a["low"][i] + b["low"][j])
+    i, j, apart = i[keep], j[keep], apart[keep]
+    x, y = one.cls[i], two.cls[j]
     smaller = (a["low"][i] < b["low"][j]) | ((a["low"][i] == b["low"][j]) & (x < y))
     keep = np.where(smaller, a["index"][i], b["index"][j]) > 0
     x, y = x[keep], y[keep]
     if spanning and len(x):
         names, places = np.unique(np.concatenate([x, y]), return_inverse=True)
         # The likeliest pairs first, so that what is chosen are links.
-        i, j = i[keep], j[keep]
-        common = np.bitwise_count(a["bits"][i] & b["bits"][j]).sum(1) + (a["slack"][i] + b["slack"][j]) / 2
-        order = np.lexsort((np.maximum(x, y), np.minimum(x, y), -common / (a["low"][i] + b["low"][j])))
+        i, j, apart = i[keep], j[keep], apart[keep]
+        order = np.lexsort((np.maximum(x, y), np.minimum(x, y), apart / (a["low"][i] + b["low"][j])))
         x, y = x[order], y[order]
         keep = _spanning(places[: len(x)][order], places[len(x) :][order], len(names))
         x, y = x[keep], y[keep]
@@ -278,7 +297,7 @@ def candidates(cells: DataFrame, *, spanning: bool, num: int, den: int) -> DataF
     def flush(parts: list[pa.Table]) -> pa.RecordBatch | None:
         rows = pa.concat_tables(parts).combine_chunks()
         bucket, x, y, side, cls, n, comp = (rows.column(k).to_numpy() for k in range(7))
-        bits = np.frombuffer(b"".join(rows.column(7).to_pylist()), np.uint64).reshape(len(cls), BITS // 64)
+        bits = np.frombuffer(b"".join(rows.column(7).to_pylist()), np.uint64).reshape(len(cls), 2 * BITS // 64)
         index = rows.column(8).to_numpy()
         new = np.flatnonzero((np.diff(bucket) != 0) | (np.diff(x) != 0) | (np.diff(y) != 0)) + 1
         runs = [(s, e) for s, e in zip([0, *new], [*new, len(cls)], strict=True) if e - s > 1]
@@ -350,12 +369,10 @@ def _in_cells(pairs: DataFrame, values: DataFrame, read, decide) -> DataFrame:
 
 
 def possible(pairs: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs that may reach the threshold by the bitmaps of their own width: each bit of one that the other lacks is a hash less."""
+    """The pairs that may reach the threshold by the parities of their own width: each bit that differs is a hash of one set alone."""
 
     def decide(a: tuple[int, np.ndarray], b: tuple[int, np.ndarray]) -> bool:
-        common, first, second = _common_bits(a[1], b[1])
-        most = min(a[0] - first + common, b[0] - second + common)
-        return (num + den) * most >= num * (a[0] + b[0])
+        return (num + den) * _apart(a[1], b[1]) <= (den - num) * (a[0] + b[0])
 
     values = classes.select("cls", "n", F.col("wide").alias("value"))
     return _in_cells(pairs, values, lambda n, value: (n, np.frombuffer(value, np.uint64)), decide)
