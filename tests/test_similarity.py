@@ -122,3 +122,43 @@ def test_shape_of_hashing():
         found = 1 - (1 - (1 - np.arccos(0.9) / np.pi) ** b) ** bands
         assert 0.95 <= found < 0.97
     assert similarity.lsh_shape(1000, 1.0, 0.95)[1] == 1
+
+
+def optimized(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_norm_is_added_up_once(spark):
+    rows = frame(spark, [(1, [3.0, 4.0]), (2, [0.0, 0.0]), (3, []), (4, None)])
+    found = rows.select("id", similarity.unit("v").alias("u"))
+    assert {r.id: r.u for r in found.collect()} == {1: [0.6, 0.8], 2: [0.0, 0.0], 3: [], 4: None}
+    assert "CASE WHEN (SQRT(" not in optimized(found) and "SQRT(" not in optimized(similarity._unit_rows(rows, "id", "v", 0.9))
+
+
+def test_rows_of_length_one(spark):
+    rows = [(1, [3.0, 4.0]), (2, [0.0, 0.0]), (3, []), (4, None), (5, [1.0, float("inf")]), (6, [float("nan"), 1.0]), (7, [1e200, 1.0]), (8, [0.0, 0.0, -2.0])]
+    with_null = frame(spark, rows).unionByName(spark.sql("SELECT 9L AS id, array(1.0D, CAST(NULL AS DOUBLE)) AS v"))
+    assert {r.id: r.v for r in similarity._unit_rows(with_null, "id", "v", 0.9).collect()} == {1: [0.6, 0.8], 8: [0.0, 0.0, -1.0]}
+
+
+def test_a_block_moves_once_for_each_cell(spark):
+    pairs = spark.range(24).alias("a").crossJoin(spark.range(24).alias("b")).selectExpr("a.id * 1024 AS p", "b.id * 1024 AS q").filter("p <= q")
+    cells, n = similarity.tiled(pairs, 4)
+    held = cells.selectExpr("x", "y", "size(pairs) AS pairs", "size(array_distinct(flatten(transform(pairs, z -> array(z.p, z.q))))) AS blocks").collect()
+    assert len(held) == n == 21 and sum(r.pairs for r in held) == 300
+    assert all(r.blocks == (4 if r.x == r.y else 8) for r in held)  # 156 blocks move, not 600
+
+
+@pytest.mark.parametrize("tile,tiles", [(1, 1), (3, 2), (16, 1)])
+def test_pairs_in_tiles_equal_brute_force(spark, monkeypatch, tile, tiles):
+    monkeypatch.setattr(similarity, "TILE", tile)
+    monkeypatch.setattr(similarity, "TILES", tiles)
+    rows = clusters(10, 12, 6, 0.05, 3) + [(500 + k, [1.0, float(k)]) for k in range(5)]
+    found = similarity.similar_pairs(frame(spark, rows), "id", "v", 0.9, block=10).collect()
+    assert {(r.left_id, r.right_id) for r in found} == brute(rows, 0.9) and len(found) == len(brute(rows, 0.9))
+
+
+def test_pairs_are_compared_once_for_a_sorted_list(spark):
+    rows = frame(spark, clusters(4, 6, 5, 0.05)).withColumn("name", F.col("id").cast("string"))
+    found = similarity.suggest_merges(rows, "id", "name", rows, "v", threshold=0.9)
+    assert "MapInArrow" not in optimized(found) and found.count() == len(brute(clusters(4, 6, 5, 0.05), 0.9))
