@@ -11,7 +11,7 @@ until single characters are left, and fails when, at a point in time, the two pa
 before the merge that was just taken back.
 
 No piece holds a space after another character, so text is tabled in units of one word with the spaces before it, and these in
-parts where a letter meets a sign that no piece joins with letters, such as a comma. Words and parts are remembered, up to a fixed
+parts where a letter meets a sign that no piece joins with letters, such as a comma. Words and parts are remembered by a task, up to a fixed
 number in each worker, those not met for long going first. Characters that the vocabulary lacks stand alone and become bytes.
 
 Defined cases: null texts are empty texts and give no ids; repeated rows get equal results; the replacement
@@ -23,6 +23,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from functools import lru_cache
 
 import numpy as np
@@ -168,6 +169,11 @@ class PrefixTable:
         known.forget()
         self.parts_of_words.forget()
 
+    def forget(self) -> None:
+        """Words, parts and pairs go; the table stays."""
+        self.known.clear()
+        self.words, self.parts_of_words = Remembered(REMEMBERED), Remembered(REMEMBERED)
+
     def encode(self, text: str) -> list[int]:
         return [i for u in self.split(text) for i in self.encode_unit(u)]
 
@@ -180,35 +186,45 @@ def table(model: str, as_bytes: bool = False) -> PrefixTable:
     return PrefixTable(model, as_bytes)
 
 
+@contextmanager
+def table_of_task(model: str, as_bytes: bool = False) -> Iterator[PrefixTable]:
+    """The table of this worker, which outlives the task; what it remembers goes at the end, since idle workers would hold it through all later steps."""
+    tool = table(model, as_bytes)
+    try:
+        yield tool
+    finally:
+        tool.forget()
+
+
 def encode_decode(docs: DataFrame, model: str, *, text: str = "text", doc_id: str = "doc_id", outputs: str = "digests") -> DataFrame:
     """Encodes and decodes each row. outputs "digests": n_tokens and SHA-256 values; "ids": n_tokens, the ids, the text decoded from them and whether it is the text that was encoded."""
     small_batches(docs.sparkSession)
 
     def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tool = table(model, False)
         hexed: Callable[[str], str] = lambda s: hashlib.sha256(s.encode()).hexdigest()
-        for batch in batches:
-            n, ids, back = [], [], []
-            for held, decoded in tool.rows(batch.column(1).to_pylist()):
-                line = ",".join(held)
-                n.append(line.count(",") + 1 if line else 0)
-                ids.append(hexed(line))
-                back.append(hexed("".join(decoded).removeprefix(" ")))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(back, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        with table_of_task(model, False) as tool:
+            for batch in batches:
+                n, ids, back = [], [], []
+                for held, decoded in tool.rows(batch.column(1).to_pylist()):
+                    line = ",".join(held)
+                    n.append(line.count(",") + 1 if line else 0)
+                    ids.append(hexed(line))
+                    back.append(hexed("".join(decoded).removeprefix(" ")))
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(back, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tool = table(model, True)
-        for batch in batches:
-            ids, back, same = [], [], []
-            texts = batch.column(1).to_pylist()
-            for t, (held, decoded) in zip(texts, tool.rows(texts), strict=True):
-                ids.append(b"".join(held))
-                back.append("".join(decoded).removeprefix(" "))
-                same.append(back[-1] == t)
-            sizes = np.array([len(x) // 4 for x in ids], np.int64)
-            offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
-            lists = pa.ListArray.from_arrays(offsets, pa.array(np.frombuffer(b"".join(ids), np.int32)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes), lists, pa.array(back, pa.string()), pa.array(same, pa.bool_())], ["doc_id", "n_tokens", "ids", "decoded", "restored"])
+        with table_of_task(model, True) as tool:
+            for batch in batches:
+                ids, back, same = [], [], []
+                texts = batch.column(1).to_pylist()
+                for t, (held, decoded) in zip(texts, tool.rows(texts), strict=True):
+                    ids.append(b"".join(held))
+                    back.append("".join(decoded).removeprefix(" "))
+                    same.append(back[-1] == t)
+                sizes = np.array([len(x) // 4 for x in ids], np.int64)
+                offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
+                lists = pa.ListArray.from_arrays(offsets, pa.array(np.frombuffer(b"".join(ids), np.int32)))
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes), lists, pa.array(back, pa.string()), pa.array(same, pa.bool_())], ["doc_id", "n_tokens", "ids", "decoded", "restored"])
 
     rows = docs.select(F.col(doc_id).alias("doc_id"), or_empty(text).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()

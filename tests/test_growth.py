@@ -106,3 +106,26 @@ def test_bitmaps_are_compared_a_bounded_number_at_once(monkeypatch):
     assert all((x == y).all() for x, y in zip(whole, cell(), strict=True))
     wide = [np.frombuffer(ngram_join._parity(s, w), np.uint64) for s, w in ((sets[0], 512), (sets[5], 2048))]
     assert ngram_join._apart(*wide) <= 5 and ngram_join._apart(*wide[::-1]) == ngram_join._apart(*wide)
+
+
+def test_idle_workers_hold_no_words(spark):
+    import pyarrow as pa
+    import public_tokenizers
+
+    from larder.llm import sentence_pieces
+
+    model = public_tokenizers.path("piece_bpe_32k.model")
+
+    def held(batches):
+        for batch in batches:
+            tool = sentence_pieces.table(model, True)
+            n = sum(len(x) for x in (tool.known, tool.words.now, tool.words.older, tool.parts_of_words.now, tool.parts_of_words.older))
+            yield pa.RecordBatch.from_arrays([pa.array([n] * batch.num_rows)], ["n"])
+
+    docs = spark.range(200, numPartitions=4).selectExpr("id AS doc_id", "concat('some words, of row', id, ' and others ', id * 7) AS text")
+    rows = sentence_pieces.encode_decode(docs, model, outputs="ids").collect()
+    assert len(rows) == 200 and all(r.restored for r in rows)
+    assert spark.range(8, numPartitions=4).mapInArrow(held, "n long").agg(F.max("n")).first()[0] == 0
+    with sentence_pieces.table_of_task(model, True) as tool:
+        assert list(tool.rows(["two words"])) and tool.words.now
+    assert not tool.words.now and not tool.known and tool.encode("two words") == sentence_pieces.table(model, True).encode("two words")
