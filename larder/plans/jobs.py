@@ -122,6 +122,7 @@ def a07(spark, d):
 @query("c12")
 def c12(spark, d):
     """Each document's lines as the lines of an image, without boxes."""
-    docs = table(spark, d, "documents").select(F.col("doc_id").alias("image_id"), F.posexplode(F.split("text", "\n")).alias("line_no", "text"))
+    split = F.split("text", "\n")
+    docs = ocr.dealt_images(table(spark, d, "documents").select(F.col("doc_id").alias("image_id"), "text"), F.size(split)).select("image_id", F.posexplode(split).alias("line_no", "text"))
     lines = docs.withColumns({"confidence": 1.0 / (1 + F.col("line_no") % 7), "box": F.lit(None).cast("array<array<double>>"), "width": F.lit(300), "height": F.lit(300)})
-    return ocr.rank_titles(lines)
+    return ocr.rank_titles(lines, dealt=True)

@@ -376,8 +376,9 @@ def _titles(spark, d):
     one = lambda n, t, p, top: F.struct(F.lit(n).alias("line_no"), t.alias("text"), F.lit(p).alias("confidence"), F.array(F.array(F.lit(1.0), F.lit(top), F.lit(9.0), F.lit(top + 5))).alias("box"))
     a, b = (F.concat(F.lit(x), s("p_size")) for x in ("매일우유 ", "서울두부 "))
     lines = F.array(one(0, a, 0.9, 50.0), one(1, F.concat(F.lit(" "), b), 0.8, 10.0), one(2, a, 0.95, 5.0), one(3, F.lit("원재료 표시"), 0.5, 1.0), one(4, F.lit(" "), 0.9, 1.0))
-    rows = _part(spark, d).select(F.col("p_partkey").alias("image_id"), F.explode(lines).alias("l")).select("image_id", "l.*", F.lit(300).alias("width"), F.lit(300).alias("height"))
-    return ocr.rank_titles(rows).withColumn("place", F.col("place").cast("long"))
+    images = ocr.dealt_images(_part(spark, d).select(F.col("p_partkey").alias("image_id"), "p_size"), F.size(lines))
+    rows = images.select("image_id", F.explode(lines).alias("l")).select("image_id", "l.*", F.lit(300).alias("width"), F.lit(300).alias("height"))
+    return ocr.rank_titles(rows, dealt=True).withColumn("place", F.col("place").cast("long"))
 
 
 @query("c12_titles", f"WITH t AS (SELECT p_partkey, '매일우유 ' || p_size AS a, '서울두부 ' || p_size AS b FROM part) {TITLED}")

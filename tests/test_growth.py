@@ -62,6 +62,14 @@ def test_titles_are_ranked_in_bounded_tasks(spark, monkeypatch):
     assert not [f for f in filters(found) if "array_join" in f]
 
 
+@pytest.mark.parametrize("name", ["c12_titles", "t06", "f49", "a13", "f51", "c12"])
+def test_images_are_dealt_out_before_lines_are_made(spark, monkeypatch, name):
+    monkeypatch.setattr(ocr, "TASK_LINES", 100)
+    found = QUERIES[name](spark, DATA)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and plan.index("Exchange") > plan.rindex("explode(") and found.rdd.getNumPartitions() >= 10
+
+
 def test_insert_lines_are_remapped_without_parsing_again(spark):
     assert "PythonUDF" not in optimized(QUERIES["c07"](spark, DATA)) and "parse(" not in optimized(QUERIES["c07"](spark, DATA))
 
