@@ -18,6 +18,10 @@ BLOCK, PIVOTS, GROUP = 2048, 32, 256
 TILE, TILES = 16, 16
 #: Unrelated rows of a bucket of LSH, and rows of a part of a larger bucket.
 OCCUPANCY, PART = 8, 1024
+#: Rows that are compared with a block at once, pairs of a list (places in its names are short numbers), pairs of which one is a mark, and pairs that a task lists or sorts at once.
+STRIP, LIST, MARK, AT_ONCE = 512, 16384, 1024, 1 << 21
+#: A similarity of 1 in the numbers of rounded ones.
+ONE = 10**4
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -173,40 +177,149 @@ def block_pairs(blocks: DataFrame, threshold: float) -> DataFrame:
     return cells.mapInArrow(compare, "p long, q long, near boolean")
 
 
-def similar_pairs(vectors: DataFrame, key: str, vector: str, threshold: float, block: int = BLOCK, pivots: int = PIVOTS) -> DataFrame:
-    """left_id < right_id with a cosine of threshold or more, exactly. Vectors of other lengths, of norm 0 or without entries are similar to none.
-
-    Vectors are packed once into blocks along pivots; pairs of blocks that the triangle inequality rules out never meet, and each other pair is one product of matrices.
-    """
+def _meeting(vectors: DataFrame, key: str, vector: str, threshold: float, block: int, pivots: int) -> DataFrame:
+    """Packed blocks, dealt out and sorted by the cells x, y in which they meet, each with the pairs of blocks that its cell compares."""
     # Written, since sizes, pivots, the sample of the order and the blocks each read the rows.
     rows = snapshot(_unit_rows(vectors, key, vector, threshold), "similar-rows")
-    kind = rows.schema["id"].dataType.simpleString()
     blocks = packed_blocks(rows, block, pivots)
     pairs = block_pairs(blocks, threshold).filter("near").select("p", "q")
-    cells, n = tiled(pairs, max(1, min(TILE, blocks.count() // TILES)))
+    cells, n = tiled(pairs, max(1, min(TILE, -(-blocks.count() // TILES))))
     members = cells.withColumn("block", F.explode(F.array_distinct(F.flatten(F.transform("pairs", lambda x: F.array(x["p"], x["q"]))))))
     held = members.join(blocks.select("block", "d", "ids", "vectors"), "block").select("x", "y", "pairs", "block", "d", "ids", "vectors")
+    return held.repartition(n, "x", "y").sortWithinPartitions("x", "y")
+
+
+def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict[int, tuple[pa.Array, np.ndarray]], list[dict]]]:
+    """Ids and vectors of the blocks of each cell, and the pairs of blocks that it compares."""
+    cell, known, asked = None, {}, []
+    for batch in batches:
+        for k in range(batch.num_rows):
+            x, y, pairs, block, d, ids, vectors = batch.slice(k, 1).columns
+            if (now := (x[0].as_py(), y[0].as_py())) != cell:
+                if asked:
+                    yield known, asked
+                cell, known, asked = now, {}, pairs[0].as_py()
+            # Copies, so that the batch can go.
+            ids = ids.flatten()
+            known[block[0].as_py()] = ids.take(pa.array(np.arange(len(ids)))), np.frombuffer(vectors[0].as_buffer()).reshape(-1, d[0].as_py()).copy()
+    if asked:
+        yield known, asked
 
-    def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cell, known, asked = None, {}, []
 
-        def out() -> Iterator[pa.RecordBatch]:
+def similar_pairs(vectors: DataFrame, key: str, vector: str, threshold: float, block: int = BLOCK, pivots: int = PIVOTS) -> DataFrame:
+    """left_id < right_id with a cosine of threshold or more, exactly. Vectors of other lengths, of norm 0 or without entries are similar to none.
+
+    Vectors are packed once into blocks along pivots; pairs of blocks that the triangle inequality rules out never meet, and each other pair is one product of matrices.
+    """
+    met = _meeting(vectors, key, vector, threshold, block, pivots)
+    kind = met.schema["ids"].dataType.elementType.simpleString()
+
+    def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for known, asked in _cells(batches):
+            known = {b: (ids.to_numpy(zero_copy_only=False), v) for b, (ids, v) in known.items()}
             for pair in asked:
                 p, q = pair["p"], pair["q"]
                 if (found := _close(*(known[k][i] for i in range(2) for k in (p, q)), threshold, p == q)) is not None:
                     yield found
 
-        for batch in batches:
-            for k in range(batch.num_rows):
-                x, y, pairs_, block_, d, ids, vectors_ = batch.slice(k, 1).columns
-                if (now := (x[0].as_py(), y[0].as_py())) != cell:
-                    yield from out()
-                    cell, known, asked = now, {}, pairs_[0].as_py()
-                # A copy, so that the batch can go.
-                known[block_[0].as_py()] = ids.flatten().to_numpy(zero_copy_only=False).copy(), np.frombuffer(vectors_[0].as_buffer()).reshape(-1, d[0].as_py()).copy()
-        yield from out()
+    return met.mapInArrow(multiply, f"left_id {kind}, right_id {kind}, similarity double")
+
+
+def _as_lists(found: list[tuple[np.ndarray, ...]], ids: pa.Array, id_of: np.ndarray, names: pa.Array, name_of: np.ndarray, most: int, mark: int) -> pa.RecordBatch:
+    """Lists of pairs (rank, and the places of the left and the right row): each of one rank and a range of left ids, with so many pairs at most. ids and names: the different ones in order; id_of
+    and name_of: which of them a row has. marks: a left id for each mark pairs, any of theirs."""
+    rank, a, b = (np.concatenate(x) for x in zip(*found, strict=True))
+    order = np.argsort(id_of[a] - rank * len(ids), kind="stable")
+    rank, a, b, n = rank[order], a[order], b[order], len(order)
+    sizes = lambda starts: np.diff(np.append(starts, n))
+    ranks = np.flatnonzero(np.append(True, rank[1:] != rank[:-1]))
+    place = (np.arange(n) - np.repeat(ranks, sizes(ranks))) % most
+    starts, marked = np.flatnonzero(place == 0), np.flatnonzero(place % mark == 0)
+    marks = a[marked + np.random.default_rng(n).integers(sizes(marked))]
+    # Inside a list by names, so that they pack well.
+    of = np.repeat(np.arange(len(starts)), sizes(starts))
+    order = np.argsort((of * len(names) + name_of[a]) * len(names) + name_of[b], kind="stable")
+    a, b = a[order], b[order]
+    # The different names of each list, and where in them those of a pair are.
+    of = np.tile(of, 2)
+    entries, at = np.unique(of * len(names) + name_of[np.concatenate([a, b])], return_inverse=True)
+    begin = np.searchsorted(entries, np.arange(len(starts) + 1) * len(names))
+    at = (at - begin[of]).astype(np.int16)
+    lists = lambda offsets, values: pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), values)
+    told, edges = lambda rows: ids.take(pa.array(id_of[rows])), np.append(starts, n)
+    columns = {
+        "rank": pa.array(rank[starts].astype(np.int32)), "pairs": pa.array(sizes(starts).astype(np.int32)), "marks": lists(np.append(np.searchsorted(marked, starts), len(marked)), told(marks)),
+        "lefts": lists(edges, told(a)), "rights": lists(edges, told(b)), "names": lists(begin, names.take(pa.array(entries % len(names)))), "left_at": lists(edges, pa.array(at[:n])), "right_at": lists(edges, pa.array(at[n:])),
+    }
+    return pa.RecordBatch.from_arrays([*columns.values()], [*columns])
+
+
+def similar_lists(rows: DataFrame, threshold: float, block: int = BLOCK, pivots: int = PIVOTS) -> DataFrame:
+    """The pairs of similar_pairs among rows (id, name, v), without those of one name, as lists of one rounded similarity (rank, of ONE), since there can be nearly as many as pairs of rows: lefts
+    and rights are ids, left_at and right_at places in the list's names."""
+    met = _meeting(rows.select(F.struct("id", "name").alias("row"), "v"), "row", "v", threshold, block, pivots)
+    kind, named = (f.dataType.simpleString() for f in met.schema["ids"].dataType.elementType.fields)
 
-    return held.repartition(n, "x", "y").sortWithinPartitions("x", "y").mapInArrow(multiply, f"left_id {kind}, right_id {kind}, similarity double")
+    def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for known, asked in _cells(batches):
+            at = dict(zip(known, np.cumsum([0, *(len(ids) for ids, _ in known.values())]), strict=False))
+            held = [pa.concat_arrays([ids.field(k) for ids, _ in known.values()]) for k in (0, 1)]
+            (ids, id_of), (names, name_of) = (np.unique(x.to_numpy(zero_copy_only=False), return_inverse=True) for x in held)
+            told = pa.array(ids, held[0].type), id_of, pa.array(names, held[1].type), name_of
+            found, n = [], 0
+            for p, q, cut in ((pair["p"], pair["q"], cut) for pair in asked for cut in range(0, len(known[pair["p"]][1]), STRIP)):
+                scores = known[p][1][cut : cut + STRIP] @ known[q][1].T
+                i, j = np.nonzero(scores >= threshold)
+                a, b = i + (at[p] + cut), j + at[q]
+                keep = (id_of[a] < id_of[b] if p == q else id_of[a] != id_of[b]) & (name_of[a] != name_of[b])
+                a, b, rank = a[keep], b[keep], np.floor(scores[i[keep], j[keep]] * ONE + 0.5).astype(np.int64)
+                turned = id_of[a] > id_of[b]
+                found.append((rank, np.where(turned, b, a), np.where(turned, a, b)))
+                n += len(a)
+                if n >= AT_ONCE:
+                    yield _as_lists(found, *told, LIST, MARK)
+                    found, n = [], 0
+            if n:
+                yield _as_lists(found, *told, LIST, MARK)
+
+    ids = f"array<{kind}>"
+    return met.mapInArrow(multiply, f"rank int, pairs int, marks {ids}, lefts {ids}, rights {ids}, names array<{named}>, left_at array<smallint>, right_at array<smallint>")
+
+
+def list_parts(lists: DataFrame) -> tuple[DataFrame, int]:
+    """rank, low, high and part: which left ids of a similarity belong to which part of the sorted pairs (null: no limit), and the number of parts. Marks stand for the pairs; a part has about
+    AT_ONCE at most, but for those of one left id and one similarity."""
+    spark, kind = lists.sparkSession, lists.schema["lefts"].dataType.elementType.simpleString()
+    total = lists.agg(F.sum("pairs")).first()[0] or 0
+    share = min(AT_ONCE, max(LIST, total // int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    marks = lists.select("rank", F.col("pairs").alias("of"), F.posexplode("marks").alias("k", "mark")).withColumn("n", F.least(F.lit(MARK), F.col("of") - F.col("k") * MARK))
+    cut = F.floor((F.sum("n").over(Window.partitionBy("rank").orderBy("mark")) - 1) / share)
+    # ONE rows at most, and one for each share.
+    cuts = marks.withColumn("cut", cut).groupBy("rank", "cut").agg(F.sum("n").alias("n"), F.min("mark").alias("low")).orderBy(F.desc("rank"), "cut").collect()
+    rows, part, held = [], 0, 0
+    for k, c in enumerate(cuts):
+        if held and held + c["n"] > share:
+            part, held = part + 1, 0
+        held += c["n"]
+        low = c["low"] if k and cuts[k - 1]["rank"] == c["rank"] else None
+        high = cuts[k + 1]["low"] if k + 1 < len(cuts) and cuts[k + 1]["rank"] == c["rank"] else None
+        rows.append((c["rank"], low, high, part))
+    return spark.createDataFrame(rows, f"rank int, low {kind}, high {kind}, part int"), part + 1
+
+
+def sorted_pairs(lists: DataFrame) -> DataFrame:
+    """left_id, left_name, right_id, right_name and similarity of written lists, the most similar first, then by ids. Lists move and not pairs, which are some times as wide."""
+    parts, n = list_parts(lists)
+    of = ["lefts", "rights", "left_at", "right_at"]
+    # Only similarities of more pairs than a part holds have limits; their lists are cut.
+    inside = lambda x: F.coalesce(x["lefts"] >= F.col("low"), F.lit(True)) & F.coalesce(x["lefts"] < F.col("high"), F.lit(True))
+    cut = F.when(F.coalesce("low", "high").isNotNull(), F.filter(F.arrays_zip(*of), inside))
+    met = lists.join(F.broadcast(parts), "rank").withColumn("cut", cut).filter("cut IS NULL OR size(cut) > 0")
+    dealt = met.select("part", "rank", "names", *[F.coalesce(F.col("cut")[c], F.col(c)).alias(c) for c in of]).repartitionById(n, "part")
+    pairs = dealt.select("rank", "names", F.inline(F.arrays_zip(*of)))
+    rows = pairs.select("rank", F.col("lefts").alias("left_id"), F.col("names")[F.col("left_at")].alias("left_name"), F.col("rights").alias("right_id"), F.col("names")[F.col("right_at")].alias("right_name"))
+    rows = rows.sortWithinPartitions(F.desc("rank"), "left_id", "right_id")
+    return rows.select("left_id", "left_name", "right_id", "right_name", (F.col("rank") / float(ONE)).alias("similarity"))
 
 
 def tiled(pairs: DataFrame, wide: int) -> tuple[DataFrame, int]:
@@ -292,11 +405,16 @@ def suggest_merges(master: DataFrame, key: str, name: str, vectors: DataFrame, v
     """Candidate pairs with different names, most similar first, with three blank columns for review. method: "exact", or "lsh" for large tables."""
     if method not in ("exact", "lsh"):
         raise ValueError("method must be exact or lsh")
-    # Written, since the sort reads its rows twice, and the comparisons would be made twice.
-    pairs = snapshot((similar_pairs if method == "exact" else lsh_pairs)(vectors, key, vector, threshold), "merge-pairs")
-    names = lambda side: master.select(F.col(key).alias(f"{side}_id"), F.col(name).alias(f"{side}_name"))
-    rows = pairs.join(names("left"), "left_id").join(names("right"), "right_id").filter("left_name <> right_name")
+    names = master.select(F.col(key).alias("id"), F.col(name).alias("name"))
+    if method == "exact":
+        # Names are compared with the vectors, and pairs are written once, as lists, since there can be nearly as many as pairs of rows.
+        rows = vectors.select(F.col(key).alias("id"), F.col(vector).alias("v")).join(names.filter("name is not null"), "id")
+        ordered = sorted_pairs(snapshot(similar_lists(rows, threshold), "merge-lists", compression="zstd"))
+    else:
+        # Written, since the sort reads its rows twice, and the comparisons would be made twice.
+        pairs = snapshot(lsh_pairs(vectors, key, vector, threshold).withColumn("similarity", F.round("similarity", 4)), "merge-pairs")
+        side = lambda s: names.select(F.col("id").alias(f"{s}_id"), F.col("name").alias(f"{s}_name"))
+        rows = pairs.join(side("left"), "left_id").join(side("right"), "right_id").filter("left_name <> right_name")
+        ordered = rows.select("left_id", "left_name", "right_id", "right_name", "similarity").orderBy(F.desc("similarity"), "left_id", "right_id")
     blank = F.lit("")
-    return rows.select("left_id", "left_name", "right_id", "right_name", F.round("similarity", 4).alias("similarity"), blank.alias("suggested_name"), blank.alias("approved"), blank.alias("memo")).orderBy(F.desc("similarity"), "left_id", "right_id")
-
-
+    return ordered.withColumns({"suggested_name": blank, "approved": blank, "memo": blank})

@@ -23,8 +23,8 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
 
 
-def snapshot(df: DataFrame, name: str) -> DataFrame:
+def snapshot(df: DataFrame, name: str, **options: str) -> DataFrame:
     """df as a Parquet table: all that reads it sees the same rows, and lost executors cost no more than a task."""
     path = shared_folder(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -162,3 +162,43 @@ def test_pairs_are_compared_once_for_a_sorted_list(spark):
     rows = frame(spark, clusters(4, 6, 5, 0.05)).withColumn("name", F.col("id").cast("string"))
     found = similarity.suggest_merges(rows, "id", "name", rows, "v", threshold=0.9)
     assert "MapInArrow" not in optimized(found) and found.count() == len(brute(clusters(4, 6, 5, 0.05), 0.9))
+
+
+def executed(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_lists_of_pairs_are_sorted_out_and_not_pairs(spark):
+    rows = frame(spark, clusters(4, 30, 5, 0.05)).withColumn("name", (F.col("id") % 7).cast("string"))
+    plan = executed(similarity.suggest_merges(rows, "id", "name", rows, "v", threshold=0.9))
+    # Pairs come out of lists above the one exchange, and no join moves them.
+    assert plan.count("- Exchange ") == 1 and plan.index("Generate inline") < plan.index("- Exchange ") and "SortMergeJoin" not in plan
+
+
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_sorted_pairs_of_names_equal_brute_force(spark, monkeypatch, kind):
+    for size, value in (("STRIP", 7), ("LIST", 16), ("MARK", 4), ("AT_ONCE", 64), ("TILES", 2)):
+        monkeypatch.setattr(similarity, size, value)
+    # Beside clusters 70 copies of one vector: more pairs of one similarity than a part of the order holds.
+    vectors = clusters(6, 12, 5, 0.1) + [(100 + k, [1.0, 2.0, 0.0, 0.5, 3.0]) for k in range(70)] + [(300, None), (301, [0.0] * 5), (302, [1.0, 2.0])]
+    told = lambda k: k if kind == "long" else f"k{k:05d}"
+    # An id can have two names, no name, or no row.
+    names = [(k, f"n{k % 9}") for k, _ in vectors if k not in (3, 104)] + [(5, "n0"), (5, None), (107, "other"), (104, None), (999, "n1")]
+    master = spark.createDataFrame([(told(k), n) for k, n in names], f"id {kind}, name string")
+    found = similarity.suggest_merges(master, "id", "name", frame(spark, vectors, kind), "v", threshold=0.9, method="exact")
+    assert found.columns == ["left_id", "left_name", "right_id", "right_name", "similarity", "suggested_name", "approved", "memo"]
+    by_id, of = dict(vectors), {}
+    for k, n in names:
+        of.setdefault(k, []).extend([n] if n is not None else [])
+    cosine = lambda a, b: float(np.dot(by_id[a], by_id[b]) / np.linalg.norm(by_id[a]) / np.linalg.norm(by_id[b]))
+    want = [(told(a), x, told(b), y, round(cosine(a, b), 4)) for a, b in brute(vectors, 0.9) for x in of.get(a, []) for y in of.get(b, []) if x != y]
+    parts = [[tuple(r)[:5] for r in part] for part in found.rdd.glom().collect()]
+    rows = [r for part in parts for r in part]
+    assert sorted(rows) == sorted(want) and len(want) > 2000
+    assert [(-r[4], r[0], r[2]) for r in rows] == sorted((-r[4], r[0], r[2]) for r in rows)
+    assert len(parts) > 20 and max(map(len, parts)) <= 3 * 64
+
+
+def test_merges_of_nothing(spark):
+    rows = frame(spark, clusters(3, 4, 5, 0.05)).withColumn("name", F.lit("one"))
+    assert similarity.suggest_merges(rows, "id", "name", rows, "v").collect() == [] == similarity.suggest_merges(rows.limit(0), "id", "name", rows, "v").collect()
