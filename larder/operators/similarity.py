@@ -42,11 +42,21 @@ def unit(v: str | Column) -> Column:
     return F.transform(F.array(F.sqrt(dot(v, v))), lambda norm: F.transform(v, lambda x: x.cast("double") / F.when(norm > 0, norm).otherwise(1.0)))[0]
 
 
-def _unit_rows(vectors: DataFrame, key: str, vector: str, threshold: float) -> DataFrame:
-    """id and v, of length 1, of the rows that can be similar to one: vectors of length 0 have the cosine 0, and others hold what is no number."""
+def _units(v: np.ndarray) -> np.ndarray:
+    """Rows by their norms, as doubles; a zero norm counts as 1."""
+    v = v.astype(np.float64)
+    with np.errstate(all="ignore"):
+        norm = np.sqrt((v * v).sum(1, keepdims=True))
+        return v / np.where(norm > 0, norm, 1.0)
+
+
+def _unit_rows(vectors: DataFrame, key: str, vector: str, threshold: float, raw: bool = False) -> DataFrame:
+    """id and v, of length 1, of the rows that can be similar to one: vectors of length 0 have the cosine 0, and others hold what is no number. raw: v as it is, floats where the table has floats,
+    which are half as wide as entries of length 1."""
     if not 0 < threshold <= 1:
         raise ValueError("the threshold is a cosine above 0")
-    rows = vectors.select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v")).filter(F.size("v") > 0)
+    entry = "float" if raw and vectors.select(vector).dtypes[0][1] == "array<float>" else "double"
+    rows = vectors.select(F.col(key).alias("id"), F.col(vector).cast(f"array<{entry}>").alias("v")).filter(F.size("v") > 0)
     kind = rows.schema["id"].dataType.simpleString()
 
     def units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -54,15 +64,14 @@ def _unit_rows(vectors: DataFrame, key: str, vector: str, threshold: float) -> D
             if batch.column(1).values.null_count:
                 batch = batch.filter(pa.array([None not in v for v in batch.column(1).to_pylist()], pa.bool_()))
             for part in _by_dimension(batch):
-                v = _stacked(part.column(1))
+                given = _stacked(part.column(1))
+                v = _units(given)
                 with np.errstate(all="ignore"):
-                    norm = np.sqrt((v * v).sum(1, keepdims=True))
-                    v = v / np.where(norm > 0, norm, 1.0)
                     squares = (v * v).sum(1)
                 keep = (squares >= 0.5) & (squares <= 1.5)
-                yield pa.RecordBatch.from_arrays([part.column(0).filter(pa.array(keep)), _lists(v[keep])], ["id", "v"])
+                yield pa.RecordBatch.from_arrays([part.column(0).filter(pa.array(keep)), _lists((given if raw else v)[keep])], ["id", "v"])
 
-    return rows.mapInArrow(units, f"id {kind}, v array<double>")
+    return rows.mapInArrow(units, f"id {kind}, v array<{entry}>")
 
 
 def _close(a: np.ndarray, b: np.ndarray, x: np.ndarray, y: np.ndarray, threshold: float, same: bool) -> pa.RecordBatch | None:
@@ -94,26 +103,26 @@ def _by_dimension(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
 
 
 def packed_blocks(rows: DataFrame, block: int = BLOCK, pivots: int = PIVOTS) -> DataFrame:
-    """A written row for each block of unit rows of one dimension: ids and vectors as bytes, and where the block lies: its centre, the largest angle to it,
+    """A written row for each block of rows of one dimension: ids and vectors as bytes, as wide as the rows have them, and where the block lies on the sphere: its centre, the largest angle to it,
     and the range of its angles to each pivot. Rows fall to their nearest pivot, and the order of pivots and angles is cut into blocks.
 
     Pivots are rows of the table, as many as asked for each dimension at most, by hashes of their ids.
     """
-    kind = rows.schema["id"].dataType.simpleString()
+    kind, entries = (rows.schema[c].dataType.simpleString() for c in ("id", "v"))
     sizes = rows.groupBy(F.size("v").alias("d")).agg(F.count(F.lit(1)).alias("n")).collect()  # one row for each dimension
     # The hash decides which rows are pivots; a few for each dimension reach the driver.
     chosen = rows.withColumn("_h", F.xxhash64("id", F.lit("pivot"))).withColumn("_k", F.row_number().over(Window.partitionBy(F.size("v")).orderBy("_h", "id"))).filter(F.col("_k") <= pivots)
     held: dict[int, np.ndarray] = {}
     for r in chosen.select("v").collect():
         held.setdefault(len(r["v"]), []).append(r["v"])
-    held = {d: np.array(v) for d, v in held.items()}
+    held = {d: _units(np.array(v)) for d, v in held.items()}
 
     def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes_ = np.diff(batch.column(1).offsets.to_numpy())
             for d in np.unique(sizes_):
                 part = batch.filter(pa.array(sizes_ == d))
-                cosines = np.clip(_stacked(part.column(1)) @ held[int(d)].T, -1, 1)
+                cosines = np.clip(_units(_stacked(part.column(1))) @ held[int(d)].T, -1, 1)
                 best = cosines.argmax(1)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(np.full(len(best), d, np.int32)), pa.array(best.astype(np.int32)), pa.array(np.arccos(cosines[np.arange(len(best)), best]))], ["id", "v", "d", "pivot", "angle"])
 
@@ -129,18 +138,18 @@ def packed_blocks(rows: DataFrame, block: int = BLOCK, pivots: int = PIVOTS) ->
                 parts.setdefault(int(d), []).append((ids.slice(at, n), _stacked(part.column(1))))
                 at += n
         for k, (d, held_rows) in enumerate(parts.items()):
-            v = np.concatenate([x for _, x in held_rows])
-            ids = pa.concat_arrays([x for x, _ in held_rows])
+            given = np.concatenate([x for _, x in held_rows])
+            v, ids = _units(given), pa.concat_arrays([x for x, _ in held_rows])
             middle = v.sum(0)
             norm = np.linalg.norm(middle)
             middle = middle / norm if norm > 1e-9 else v[0]
             radius = float(np.arccos(np.clip(v @ middle, -1, 1)).max())
             angles = np.arccos(np.clip(v @ held[d].T, -1, 1))
-            row = [TaskContext.get().partitionId() * 1024 + k, d, len(v), ids.to_pylist(), v.tobytes(), middle.tobytes(), radius, angles.min(0).tobytes(), angles.max(0).tobytes()]
+            row = [TaskContext.get().partitionId() * 1024 + k, d, len(v), ids.to_pylist(), given.tobytes(), middle.tobytes(), radius, angles.min(0).tobytes(), angles.max(0).tobytes()]
             yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, (pa.int64(), pa.int32(), pa.int32(), pa.list_(ids.type), *[None] * 5), strict=True)], ["block", "d", "n", "ids", "vectors", "centre", "radius", "low", "high"])
 
     total = sum(r["n"] for r in sizes)
-    told = rows.mapInArrow(nearest, f"id {kind}, v array<double>, d int, pivot int, angle double")
+    told = rows.mapInArrow(nearest, f"id {kind}, v {entries}, d int, pivot int, angle double")
     dealt = told.repartitionByRange(max(1, -(-total // block)), "d", "pivot", "angle", "id").sortWithinPartitions("d")
     return snapshot(dealt.mapInArrow(pack, f"block long, d int, n int, ids array<{kind}>, vectors binary, centre binary, radius double, low binary, high binary"), "similar-blocks")
 
@@ -180,7 +189,7 @@ def block_pairs(blocks: DataFrame, threshold: float) -> DataFrame:
 def _meeting(vectors: DataFrame, key: str, vector: str, threshold: float, block: int, pivots: int) -> DataFrame:
     """Packed blocks, dealt out and sorted by the cells x, y in which they meet, each with the pairs of blocks that its cell compares."""
     # Written, since sizes, pivots, the sample of the order and the blocks each read the rows.
-    rows = snapshot(_unit_rows(vectors, key, vector, threshold), "similar-rows")
+    rows = snapshot(_unit_rows(vectors, key, vector, threshold, raw=True), "similar-rows")
     blocks = packed_blocks(rows, block, pivots)
     pairs = block_pairs(blocks, threshold).filter("near").select("p", "q")
     cells, n = tiled(pairs, max(1, min(TILE, -(-blocks.count() // TILES))))
@@ -190,7 +199,7 @@ def _meeting(vectors: DataFrame, key: str, vector: str, threshold: float, block:
 
 
 def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict[int, tuple[pa.Array, np.ndarray]], list[dict]]]:
-    """Ids and vectors of the blocks of each cell, and the pairs of blocks that it compares."""
+    """Ids and unit vectors of the blocks of each cell, and the pairs of blocks that it compares."""
     cell, known, asked = None, {}, []
     for batch in batches:
         for k in range(batch.num_rows):
@@ -200,8 +209,9 @@ def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict[int, tuple[
                     yield known, asked
                 cell, known, asked = now, {}, pairs[0].as_py()
             # Copies, so that the batch can go.
-            ids = ids.flatten()
-            known[block[0].as_py()] = ids.take(pa.array(np.arange(len(ids)))), np.frombuffer(vectors[0].as_buffer()).reshape(-1, d[0].as_py()).copy()
+            ids, held = ids.flatten(), vectors[0].as_buffer()
+            wide = held.size // (len(ids) * d[0].as_py())
+            known[block[0].as_py()] = ids.take(pa.array(np.arange(len(ids)))), _units(np.frombuffer(held, f"f{wide}").reshape(len(ids), -1))
     if asked:
         yield known, asked
 

@@ -202,3 +202,14 @@ def test_sorted_pairs_of_names_equal_brute_force(spark, monkeypatch, kind):
 def test_merges_of_nothing(spark):
     rows = frame(spark, clusters(3, 4, 5, 0.05)).withColumn("name", F.lit("one"))
     assert similarity.suggest_merges(rows, "id", "name", rows, "v").collect() == [] == similarity.suggest_merges(rows.limit(0), "id", "name", rows, "v").collect()
+
+
+def test_floats_move_as_floats(spark):
+    rows = frame(spark, clusters(6, 20, 10, 0.08))
+    floats = rows.select("id", F.col("v").cast("array<float>").alias("v"))
+    met = {k: similarity._meeting(v, "id", "v", 0.9, 50, 4).selectExpr("sum(length(vectors)) AS n", "count(*) AS blocks").first() for k, v in (("float", floats), ("double", rows))}
+    assert met["double"].blocks == met["float"].blocks and met["double"].n == 2 * met["float"].n
+    # Norms and cosines are those of doubles.
+    as_doubles = floats.select("id", F.col("v").cast("array<double>").alias("v"))
+    told = [sorted(map(tuple, similarity.similar_pairs(x, "id", "v", 0.9).collect())) for x in (floats, as_doubles)]
+    assert told[0] == told[1] and len(told[0]) > 500
