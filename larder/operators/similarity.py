@@ -237,7 +237,7 @@ def similar_pairs(vectors: DataFrame, key: str, vector: str, threshold: float, b
 
 def _as_lists(found: list[tuple[np.ndarray, ...]], ids: pa.Array, id_of: np.ndarray, names: pa.Array, name_of: np.ndarray, most: int, mark: int) -> pa.RecordBatch:
     """Lists of pairs (rank, and the places of the left and the right row): each of one rank and a range of left ids, with so many pairs at most. ids and names: the different ones in order; id_of
-    and name_of: which of them a row has. marks: a left id for each mark pairs, any of theirs."""
+    and name_of: which of them a row has. first and last: the ends of its left ids; marks: one for each mark pairs, any of theirs."""
     rank, a, b = (np.concatenate(x) for x in zip(*found, strict=True))
     order = np.argsort(id_of[a] - rank * len(ids), kind="stable")
     rank, a, b, n = rank[order], a[order], b[order], len(order)
@@ -246,6 +246,7 @@ def _as_lists(found: list[tuple[np.ndarray, ...]], ids: pa.Array, id_of: np.ndar
     place = (np.arange(n) - np.repeat(ranks, sizes(ranks))) % most
     starts, marked = np.flatnonzero(place == 0), np.flatnonzero(place % mark == 0)
     marks = a[marked + np.random.default_rng(n).integers(sizes(marked))]
+    first, last = a[starts], a[starts + sizes(starts) - 1]
     # Inside a list by names, so that they pack well.
     of = np.repeat(np.arange(len(starts)), sizes(starts))
     order = np.argsort((of * len(names) + name_of[a]) * len(names) + name_of[b], kind="stable")
@@ -258,7 +259,7 @@ def _as_lists(found: list[tuple[np.ndarray, ...]], ids: pa.Array, id_of: np.ndar
     lists = lambda offsets, values: pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), values)
     told, edges = lambda rows: ids.take(pa.array(id_of[rows])), np.append(starts, n)
     columns = {
-        "rank": pa.array(rank[starts].astype(np.int32)), "pairs": pa.array(sizes(starts).astype(np.int32)), "marks": lists(np.append(np.searchsorted(marked, starts), len(marked)), told(marks)),
+        "rank": pa.array(rank[starts].astype(np.int32)), "pairs": pa.array(sizes(starts).astype(np.int32)), "first": told(first), "last": told(last), "marks": lists(np.append(np.searchsorted(marked, starts), len(marked)), told(marks)),
         "lefts": lists(edges, told(a)), "rights": lists(edges, told(b)), "names": lists(begin, names.take(pa.array(entries % len(names)))), "left_at": lists(edges, pa.array(at[:n])), "right_at": lists(edges, pa.array(at[n:])),
     }
     return pa.RecordBatch.from_arrays([*columns.values()], [*columns])
@@ -293,7 +294,7 @@ def similar_lists(rows: DataFrame, threshold: float, block: int = BLOCK, pivots:
                 yield _as_lists(found, *told, LIST, MARK)
 
     ids = f"array<{kind}>"
-    return met.mapInArrow(multiply, f"rank int, pairs int, marks {ids}, lefts {ids}, rights {ids}, names array<{named}>, left_at array<smallint>, right_at array<smallint>")
+    return met.mapInArrow(multiply, f"rank int, pairs int, first {kind}, last {kind}, marks {ids}, lefts {ids}, rights {ids}, names array<{named}>, left_at array<smallint>, right_at array<smallint>")
 
 
 def list_parts(lists: DataFrame) -> tuple[DataFrame, int]:
@@ -314,17 +315,18 @@ def list_parts(lists: DataFrame) -> tuple[DataFrame, int]:
         low = c["low"] if k and cuts[k - 1]["rank"] == c["rank"] else None
         high = cuts[k + 1]["low"] if k + 1 < len(cuts) and cuts[k + 1]["rank"] == c["rank"] else None
         rows.append((c["rank"], low, high, part))
-    return spark.createDataFrame(rows, f"rank int, low {kind}, high {kind}, part int"), part + 1
+    return spark.createDataFrame(rows, f"rank int, low {kind}, high {kind}, part int").coalesce(1), part + 1
 
 
 def sorted_pairs(lists: DataFrame) -> DataFrame:
     """left_id, left_name, right_id, right_name and similarity of written lists, the most similar first, then by ids. Lists move and not pairs, which are some times as wide."""
     parts, n = list_parts(lists)
     of = ["lefts", "rights", "left_at", "right_at"]
-    # Only similarities of more pairs than a part holds have limits; their lists are cut.
+    # Only similarities of more pairs than a part holds have limits; their lists are cut where they reach over one.
+    reached = F.coalesce(F.col("last") >= F.col("low"), F.lit(True)) & F.coalesce(F.col("first") < F.col("high"), F.lit(True))
     inside = lambda x: F.coalesce(x["lefts"] >= F.col("low"), F.lit(True)) & F.coalesce(x["lefts"] < F.col("high"), F.lit(True))
-    cut = F.when(F.coalesce("low", "high").isNotNull(), F.filter(F.arrays_zip(*of), inside))
-    met = lists.join(F.broadcast(parts), "rank").withColumn("cut", cut).filter("cut IS NULL OR size(cut) > 0")
+    cut = F.when((F.col("first") < F.col("low")) | (F.col("last") >= F.col("high")), F.filter(F.arrays_zip(*of), inside))
+    met = lists.join(F.broadcast(parts), "rank").filter(reached).withColumn("cut", cut)
     dealt = met.select("part", "rank", "names", *[F.coalesce(F.col("cut")[c], F.col(c)).alias(c) for c in of]).repartitionById(n, "part")
     pairs = dealt.select("rank", "names", F.inline(F.arrays_zip(*of)))
     rows = pairs.select("rank", F.col("lefts").alias("left_id"), F.col("names")[F.col("left_at")].alias("left_name"), F.col("rights").alias("right_id"), F.col("names")[F.col("right_at")].alias("right_name"))
